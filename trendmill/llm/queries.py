@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .bpe import bpe_encode_decode
 from .ngram_join import ngram_components
+from .storage import shared_folder
+from .token_store import read_tokens, write_tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -49,3 +55,16 @@ FROM n LEFT JOIN r ON r.a = n.doc_id GROUP BY n.doc_id, n.n
 @query("op2_ngram_jaccard_join", OP2_SQL)
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_components(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@query("op4_token_store")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    path = f"{shared_folder(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
+    write_tokens(table(spark, folder, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return read_tokens(spark, path, ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@query("op10_bpe_encode_decode")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    done = bpe_encode_decode(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
