@@ -29,7 +29,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     only a count and a checksum of it reach the driver. Minima are combined before
     the shuffle, so a hub with very many neighbours stays one small row per task.
     """
-    edges = edges.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL")
+    edges = stored(edges.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL").distinct())
     loops = edges.where("a = b").select(F.col("a").alias("node")).distinct()
     state = stored(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = None

@@ -63,14 +63,14 @@ def _parts(total: np.ndarray) -> Iterator[pa.RecordBatch]:
     for k in range(len(total) // SKETCH_PART):
         part = total[k * SKETCH_PART : (k + 1) * SKETCH_PART]
         if part.any():
-            yield pa.RecordBatch.from_pydict({"part": pa.array([k], pa.int32()), "counts": pa.array([part.tobytes()], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"part": pa.array([k], pa.int32()), "counts": pa.array([part.astype(np.uint32).tobytes()], pa.binary())})
 
 
 def _add_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for part, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            own = np.frombuffer(counts, dtype=np.int64)
+            own = np.frombuffer(counts, dtype=np.uint32).astype(np.int64)
             total[part] = total[part] + own if part in total else own
     for part, counts in total.items():
         level = np.minimum(8 * np.log2(1 + counts), 255).astype(np.uint8)
@@ -303,7 +303,6 @@ def ngram_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
         .withColumn("hub", F.expr("min(set_key) OVER (PARTITION BY shingle)"))
         .where("hub != set_key")
         .select(F.col("set_key").alias("a"), F.col("hub").alias("b"))
-        .distinct()
     )
     clusters = stored(connected_components(shared).withColumnRenamed("component", "cluster"))
 
