@@ -18,6 +18,7 @@
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +30,8 @@ from .graph import connected_components
 from .storage import stored
 from .text import U, chunks, mix, shingle_sets
 
-SKETCH_BITS = 22
-SKETCH_PART = 1 << 14
+SKETCH_BITS = 24
+SKETCH_PART = 1 << 16
 LEAF = 8
 
 
@@ -45,40 +46,35 @@ def _slot(hashes: np.ndarray) -> np.ndarray:
 
 def _count_shingles(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
-        some = False
+        total = np.zeros(1 << SKETCH_BITS, dtype=np.int32)
         for batch in batches:
             for chunk in chunks(batch.column(0)):
-                sets = [s for s in shingle_sets(chunk, width) if len(s)]
-                if sets:
-                    some = True
-                    total += np.bincount(_slot(np.concatenate(sets)), minlength=len(total))
-        if some:
-            yield from _parts(total)
+                for own in shingle_sets(chunk, width):
+                    np.add.at(total, _slot(own), 1)
+        for k in range(len(total) // SKETCH_PART):
+            part = total[k * SKETCH_PART : (k + 1) * SKETCH_PART]
+            if part.any():
+                yield _part(k, zlib.compress(part.tobytes(), 1))
 
     return run
 
 
-def _parts(total: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for k in range(len(total) // SKETCH_PART):
-        part = total[k * SKETCH_PART : (k + 1) * SKETCH_PART]
-        if part.any():
-            yield pa.RecordBatch.from_pydict({"part": pa.array([k], pa.int32()), "counts": pa.array([part.astype(np.uint32).tobytes()], pa.binary())})
+def _part(k: int, counts: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"part": pa.array([k], pa.int32()), "counts": pa.array([counts], pa.binary())})
 
 
 def _add_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for part, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            own = np.frombuffer(counts, dtype=np.uint32).astype(np.int64)
+            own = np.frombuffer(zlib.decompress(counts), dtype=np.int32).astype(np.int64)
             total[part] = total[part] + own if part in total else own
     for part, counts in total.items():
-        level = np.minimum(8 * np.log2(1 + counts), 255).astype(np.uint8)
-        yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "counts": pa.array([level.tobytes()], pa.binary())})
+        yield _part(part, np.minimum(8 * np.log2(1 + counts), 255).astype(np.uint8).tobytes())
 
 
 def shingle_levels(docs: DataFrame, text: str, width: int) -> np.ndarray:
-    """Commonness of shingles over all texts: 2**22 one-byte levels, at any input size."""
+    """Commonness of shingles over all texts: 2**24 one-byte levels, at any input size."""
     schema = "part int, counts binary"
     counted = docs.select(text).mapInArrow(_count_shingles(width), schema)
     levels = np.zeros(1 << SKETCH_BITS, dtype=np.uint8)
@@ -120,17 +116,6 @@ def _describe(width: int, percent: int, levels):
     return run
 
 
-def _sets(width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for chunk in chunks(batch.column(0)):
-                sets = list(shingle_sets(chunk, width))
-                keys = [_set_key(own) for own in sets]
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([own.tobytes() for own in sets], pa.binary())], names=["set_key", "shingles"])
-
-    return run
-
-
 class SignatureTree:
     """Levels from leaves (sets) to the root: bitmaps, size ranges, bitmap slack.
 
@@ -238,17 +223,22 @@ def spanning_links(left: list[np.ndarray], right: list[np.ndarray] | None, perce
     return found
 
 
-def _join_unit(percent: int):
+def _join_unit(width: int, percent: int):
     def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        known = table.column("set_key").to_numpy()
         side = table.column("side").to_numpy()
-        keys = table.column("set_key").to_numpy()
-        sets = [np.frombuffer(s, dtype=np.uint64) for s in table.column("shingles").to_pylist()]
-        order = sorted(range(len(sets)), key=lambda k: (sets[k][0], len(sets[k]), keys[k]))
-        left = [k for k in order if side[k] == 0]
-        right = [k for k in order if side[k] == 1]
-        at = left + right
-        pairs = spanning_links([sets[k] for k in left], [sets[k] for k in right] or None, percent) if left else []
-        return pa.table({"a": pa.array([keys[at[x]] for x, _ in pairs], pa.int64()), "b": pa.array([keys[at[y]] for _, y in pairs], pa.int64())})
+        texts = table.column("text").combine_chunks()
+        found: tuple[dict[int, np.ndarray], ...] = ({}, {})
+        for chunk in chunks(texts):
+            for k, own in enumerate(shingle_sets(chunk, width), chunk.first):
+                key = _set_key(own)
+                if key == known[k]:  # a repeated id may bring another text
+                    found[side[k]][key] = own
+        left, right = (dict(sorted(f.items(), key=lambda s: (s[1][0], len(s[1]), s[0]))) for f in found)
+        keys = [*left, *right]
+        pairs = spanning_links([*left.values()], [*right.values()] or None, percent) if left else []
+        return pa.table({"a": pa.array([keys[x] for x, _ in pairs], pa.int64()), "b": pa.array([keys[y] for _, y in pairs], pa.int64())})
 
     return run
 
@@ -260,7 +250,7 @@ def _units(candidates: DataFrame, unit: int, percent: int) -> DataFrame:
     classes = sized.groupBy("cluster", "size_class").agg(F.count("*").alias("of_class"))
     wholes = classes.groupBy("cluster").agg(F.sum("of_class").alias("of_cluster"))
     dealt = sized.join(wholes, "cluster")
-    small = dealt.where(F.col("of_cluster") <= unit).select("set_key", F.xxhash64("cluster").alias("unit"), F.lit(0).alias("side"))
+    small = dealt.where(F.col("of_cluster") <= unit).select("row_id", "set_key", F.xxhash64("cluster").alias("unit"), F.lit(0).alias("side"))
     blocks = F.ceil(F.col("of_class") / F.lit(unit // 2)).cast("int")
     counts = classes.join(wholes.where(F.col("of_cluster") > unit), "cluster").select("cluster", "size_class", blocks.alias("blocks"))
     large = dealt.where(F.col("of_cluster") > unit).join(counts, ["cluster", "size_class"])
@@ -279,7 +269,7 @@ def _units(candidates: DataFrame, unit: int, percent: int) -> DataFrame:
     downward = F.transform(F.sequence(F.lit(1), F.coalesce("below", F.lit(0))), lambda k: uses(down, k - 1, own, block, F.lit(True)))
     none = F.array().cast("array<struct<unit:bigint,side:int>>")
     parts = F.concat(within, F.when(F.col("above") > 0, upward).otherwise(none), F.when(F.col("below") > 0, downward).otherwise(none))
-    large = large.select("set_key", F.explode(parts).alias("use")).select("set_key", "use.unit", "use.side")
+    large = large.select("row_id", "set_key", F.explode(parts).alias("use")).select("row_id", "set_key", "use.unit", "use.side")
     return small.unionByName(large)
 
 
@@ -307,11 +297,9 @@ def ngram_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     clusters = stored(connected_components(shared).withColumnRenamed("component", "cluster"))
 
     members = described.join(clusters, described.set_key == clusters.node).groupBy("set_key").agg(F.min("row_id").alias("row_id"), F.first("n_shingles").alias("n_shingles"), F.first("cluster").alias("cluster"))
-    members = stored(members)
-    picked = docs.join(members.select("row_id").hint("shuffle_hash"), "row_id", "left_semi").select("text")
-    sets = picked.mapInArrow(_sets(width), "set_key long, shingles binary").dropDuplicates(["set_key"])
-    units = _units(members.select("set_key", "n_shingles", "cluster"), unit, percent).join(sets, "set_key")
-    links = units.groupBy("unit").applyInArrow(_join_unit(percent), "a long, b long")
+    units = _units(stored(members), unit, percent)
+    placed = docs.join(units.hint("shuffle_hash"), "row_id").select("unit", "side", "set_key", "text")
+    links = placed.groupBy("unit").applyInArrow(_join_unit(width, percent), "a long, b long")
     components = connected_components(links)
 
     named = described.select("doc_id", "n_shingles", "set_key").join(components, described.set_key == F.col("node"), "left")
