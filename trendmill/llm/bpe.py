@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .text import U, chunks, mix
 
-MEMO_LIMIT = 200_000
+MEMO_LIMIT = 300_000
 PAIR_BITS = 20
 
 
@@ -52,31 +52,36 @@ class WordBpe:
         self.end = model["end_of_word_suffix"]
         self.longest = max(map(len, self.vocab))
         self.size = max(self.token) + 1
-        self.merge: dict[tuple[int, int], tuple[int, int]] = {}
+        self.rank: dict[int, int] = {}
+        self.made: list[int] = []
         for rank, pair in enumerate(model["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self.merge[self.vocab[a], self.vocab[b]] = (rank, self.vocab[a + b])
+            self.rank.setdefault(self.vocab[a] * self.size + self.vocab[b], rank)
+            self.made.append(self.vocab[a + b])
+        self.ends = {c: self.vocab[c + self.end] for c in byte_letters().values()}
         self.known = np.zeros(1 << PAIR_BITS, dtype=np.uint64)
         self.pieces: dict[str, tuple[str, str]] = {}
-        self.parts: dict[str, tuple[str, str]] = {}
 
     def merged(self, symbols: list[int]) -> list[int]:
         """Exact merging: again and again the leftmost pair of the lowest rank."""
-        symbols = list(symbols)
-        while len(symbols) > 1:
-            found = [(self.merge[p][0], k) for k, p in enumerate(zip(symbols, symbols[1:], strict=False)) if p in self.merge]
-            if not found:
-                break
-            k = min(found)[1]
-            symbols[k : k + 2] = [self.merge[symbols[k], symbols[k + 1]][1]]
+        symbols, size, rank, never = list(symbols), self.size, self.rank.get, len(self.made)
+        ranks = [rank(a * size + b, never) for a, b in zip(symbols, symbols[1:], strict=False)]
+        while ranks and (least := min(ranks)) < never:
+            k = ranks.index(least)
+            symbols[k : k + 2] = [self.made[least]]
+            del ranks[k]
+            if k:
+                ranks[k - 1] = rank(symbols[k - 1] * size + symbols[k], never)
+            if k < len(ranks):
+                ranks[k] = rank(symbols[k] * size + symbols[k + 1], never)
         return symbols
 
     def symbols(self, text: str) -> list[int]:
         """Ids of single letters; a trailing word end belongs to the last letter."""
         if text.endswith(self.end) and len(text) > len(self.end):
-            body = text[: -len(self.end)]
-            return [self.vocab[c] for c in body[:-1]] + [self.vocab[body[-1] + self.end]]
-        return [self.vocab[c] for c in text]
+            *body, last = text[: -len(self.end)]
+            return [*map(self.vocab.__getitem__, body), self.ends[last]]
+        return [*map(self.vocab.__getitem__, text)]
 
     def greedy(self, word: str) -> list[int]:
         out, at, size = [], 0, len(word)
@@ -131,45 +136,40 @@ class WordBpe:
     def _written(self, ids: list[int]) -> tuple[str, str]:
         return "".join(f"{k} " for k in ids), "".join(f"{t} " for t in self.decode(ids))
 
-    def _split(self, part: str) -> list[str | int]:
-        """Words and special tokens of a text without spaces, in order."""
-        out: list[str | int] = []
+    def _normal(self, text: str) -> list[str]:
+        # lower() treats a final sigma by its context, the file's rule doesn't
+        return self.words.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+
+    def _split(self, text: str) -> list[str]:
+        """Words and special tokens of a text, in order."""
+        if not self.specials or not any(s in text for s in self.special):
+            return self._normal(text)
+        out: list[str] = []
         at = 0
-        for found in self.specials.finditer(part) if self.specials else ():
-            out += self._normal(part[at : found.start()])
-            out.append(self.special[found.group()])
+        for found in self.specials.finditer(text):
+            out += [*self._normal(text[at : found.start()]), found.group()]
             at = found.end()
-        return out + self._normal(part[at:])
-
-    def _normal(self, part: str) -> list[str]:
-        # lower() treats a final sigma by its context, the file's rule doesn't
-        part = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-        return self.words.findall(part)
+        return out + self._normal(text[at:])
 
-    def _learn(self, parts: set[str]) -> None:
-        split = {part: self._split(part) for part in parts}
-        if len(self.pieces) > MEMO_LIMIT:
-            self.pieces.clear()
-        new = list({w for own in split.values() for w in own if isinstance(w, str)} - self.pieces.keys())
+    def _learn(self, new: list[str]) -> None:
+        plain = [w for w in new if w not in self.special]
         letters = byte_letters()
-        for word, ids in zip(new, self.encode_words([w.encode().decode("latin-1").translate(letters) for w in new]), strict=True):
+        self.pieces |= {w: self._written([self.special[w]]) for w in new if w in self.special}
+        for word, ids in zip(plain, self.encode_words([w.encode().decode("latin-1").translate(letters) for w in plain]), strict=True):
             self.pieces[word] = self._written(ids)
-        for part, own in split.items():
-            both = [self.pieces[w] if isinstance(w, str) else self._written([w]) for w in own]
-            self.parts[part] = "".join(a for a, _ in both), "".join(b for _, b in both)
 
     def encode_texts(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
-        """Per text: number of tokens, decimal ids and decoded text, joined by spaces.
-
-        No token spans a space, so a text is the sequence of its parts between spaces.
-        """
-        split = [t.split(" ") for t in texts]
-        if len(self.parts) > MEMO_LIMIT:
-            self.parts.clear()
-        self._learn({p for own in split for p in own} - self.parts.keys())
-        for own in split:
-            both = [self.parts[p] for p in own]
-            ids, decoded = "".join([a for a, _ in both]), "".join([b for _, b in both])
+        """Per text: number of tokens, decimal ids and decoded text, joined by spaces."""
+        if len(self.pieces) > MEMO_LIMIT:
+            self.pieces.clear()
+        split = [self._split(t) for t in texts]
+        found = [list(map(self.pieces.get, own)) for own in split]
+        gaps = [[k for k, f in enumerate(own) if f is None] for own in found]
+        self._learn(list({own[k]: None for own, missing in zip(split, gaps, strict=True) for k in missing}))
+        for own, written, missing in zip(split, found, gaps, strict=True):
+            for k in missing:
+                written[k] = self.pieces[own[k]]
+            ids, decoded = "".join([a for a, _ in written]), "".join([b for _, b in written])
             yield ids.count(" "), ids[:-1], decoded[:-1]
 
 
