@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import bpe_encode_decode
+from .language import identify_language, learn_profiles
 from .ngram_join import ngram_components
+from .samples import fold
 from .storage import shared_folder
 from .token_store import read_tokens, write_tokens
 
@@ -68,3 +70,10 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     done = bpe_encode_decode(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op6_language_id")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    named = identify_language(docs.select("doc_id", "text"), learn_profiles(docs))
+    return named.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
