@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 from .bpe import bpe_encode_decode
 from .language import identify_language, learn_profiles
 from .ngram_join import ngram_components
-from .samples import fold
+from .quality import learn_quality, score_quality
+from .samples import fold, labelled_texts
 from .storage import shared_folder
 from .token_store import read_tokens, write_tokens
+from .toxicity import learn_toxicity, score_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -77,3 +79,20 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     named = identify_language(docs.select("doc_id", "text"), learn_profiles(docs))
     return named.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
+def _scored(spark: SparkSession, folder: str, label: str, learn, score, threshold: float, limit: int) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = learn(labelled_texts(docs, table(spark, folder, "labels"), label, limit))
+    done = score(docs, model)
+    return done.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+@query("op3_quality_classifier")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return _scored(spark, folder, "quality", learn_quality, score_quality, 0.7, 3000)
+
+
+@query("op5_toxicity")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return _scored(spark, folder, "toxic", learn_toxicity, score_toxicity, 0.3, 4000)
