@@ -14,7 +14,8 @@ from .language import identify_language, learn_profiles
 from .ngram_join import ngram_components
 from .quality import learn_quality, score_quality
 from .samples import fold, labelled_texts
-from .storage import shared_folder
+from .rules import choose_cutoffs, count_texts, judge
+from .storage import shared_folder, stored
 from .token_store import read_tokens, write_tokens
 from .toxicity import learn_toxicity, score_toxicity
 
@@ -96,3 +97,10 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_toxicity")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return _scored(spark, folder, "toxic", learn_toxicity, score_toxicity, 0.3, 4000)
+
+
+@query("op8_quality_rules")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    counted = stored(count_texts(table(spark, folder, "documents").select("doc_id", "text")))
+    judged = judge(counted, choose_cutoffs(counted, table(spark, folder, "labels")))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
