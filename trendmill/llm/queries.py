@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .bpe import bpe_encode_decode
 from .language import identify_language, learn_profiles
 from .ngram_join import ngram_components
+from .pii import find_pii, learn_tagger
 from .quality import learn_quality, score_quality
 from .samples import fold, labelled_texts
 from .rules import choose_cutoffs, count_texts, judge
@@ -104,3 +105,9 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     counted = stored(count_texts(table(spark, folder, "documents").select("doc_id", "text")))
     judged = judge(counted, choose_cutoffs(counted, table(spark, folder, "labels")))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query("op9_pii")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return find_pii(docs, learn_tagger(docs)).drop("text")
