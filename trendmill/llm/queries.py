@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .bpe import bpe_encode_decode
 from .language import identify_language, learn_profiles
+from .neighbours import nearest
 from .ngram_join import ngram_components
 from .pii import find_pii, learn_tagger
 from .quality import learn_quality, score_quality
@@ -111,3 +112,8 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return find_pii(docs, learn_tagger(docs)).drop("text")
+
+
+@query("op7_nearest_neighbours")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest(table(spark, folder, "embeddings"))
