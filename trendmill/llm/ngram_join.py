@@ -3,11 +3,12 @@
 1. Each text becomes its set of word shingles (64-bit hashes). Equal sets are one
    node of the join, whatever their number.
 2. A fixed-size count sketch over all shingles of all texts orders shingles from
-   rare to common. Two sets with Jaccard >= t share one of their first
-   n - ceil(t * n) + 1 shingles in *any* common order, so the order decides the
+   rare to common. Two sets with Jaccard >= t share at least m of their first
+   n - ceil(t * n) + m shingles in *any* common order, so the order decides the
    cost and never the result.
-3. Sets that share such a shingle fall into one candidate cluster (connected
-   components). A linked pair is always inside one cluster.
+3. Sets with fewer than m such shingles that another set has too are linked with
+   nothing. The others fall into candidate clusters (connected components of
+   sharing one). A linked pair is always inside one cluster.
 4. In each cluster a signature tree is built: nodes hold the OR of their sets'
    token bitmaps and the range of set sizes. A dual traversal drops node pairs
    whose largest possible overlap is too small; surviving pairs of sets are
@@ -33,11 +34,17 @@ from .text import U, chunks, mix, shingle_sets
 SKETCH_BITS = 24
 SKETCH_PART = 1 << 16
 LEAF = 8
+SHARED = 6
+
+
+def required_shared(n: int, percent: int) -> int:
+    """How many leading shingles a set of ``n`` must share with any set it is linked with."""
+    return min(SHARED, (n * percent + 99) // 100)
 
 
 def required_prefix(n: int, percent: int) -> int:
-    """How many leading shingles must hold a shared one, for a set of ``n``."""
-    return n - (n * percent + 99) // 100 + 1
+    """How many leading shingles must hold those shared ones."""
+    return n - (n * percent + 99) // 100 + required_shared(n, percent)
 
 
 def _slot(hashes: np.ndarray) -> np.ndarray:
@@ -243,6 +250,12 @@ def _join_unit(width: int, percent: int):
     return run
 
 
+def _held_twice(rows: DataFrame) -> DataFrame:
+    """Rows whose shingle another set has too."""
+    both = rows.selectExpr("*", "min(set_key) OVER (PARTITION BY shingle) AS low", "max(set_key) OVER (PARTITION BY shingle) AS high")
+    return both.where("low != high").drop("low", "high")
+
+
 def _units(candidates: DataFrame, unit: int, percent: int) -> DataFrame:
     """Deal each cluster's sets to units: whole clusters, or pairs of blocks of a large one."""
     ratio = math.log(100 / percent) * (1 + 1e-9)
@@ -288,12 +301,13 @@ def ngram_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     levels = spark.sparkContext.broadcast(shingle_levels(docs, "text", width).tobytes())
     described = stored(docs.mapInArrow(_describe(width, percent, levels), "row_id long, doc_id long, n_shingles long, set_key long, prefix array<long>"))
 
-    shared = (
-        described.select("set_key", F.explode("prefix").alias("shingle"))
-        .withColumn("hub", F.expr("min(set_key) OVER (PARTITION BY shingle)"))
-        .where("hub != set_key")
-        .select(F.col("set_key").alias("a"), F.col("hub").alias("b"))
-    )
+    least = F.least(F.lit(SHARED), F.ceil(F.col("n_shingles") * percent / 100)).cast("int")
+    shared = stored(_held_twice(described.select("set_key", least.alias("least"), F.explode("prefix").alias("shingle"))).distinct())
+    for _ in range(2):
+        strong = shared.groupBy("set_key").agg(F.count("*").alias("n"), F.first("least").alias("least")).where("n >= least").select("set_key")
+        shared = stored(_held_twice(shared.join(strong, "set_key")))
+    hubs = shared.groupBy("shingle").agg(F.min("set_key").alias("b"))
+    shared = shared.join(hubs, "shingle").select(F.col("set_key").alias("a"), "b")
     clusters = stored(connected_components(shared).withColumnRenamed("component", "cluster"))
 
     members = described.join(clusters, described.set_key == clusters.node).groupBy("set_key").agg(F.min("row_id").alias("row_id"), F.first("n_shingles").alias("n_shingles"), F.first("cluster").alias("cluster"))
