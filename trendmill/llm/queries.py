@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .bpe import bpe_encode_decode
 from .language import identify_language, learn_profiles
+from .mixing import mix_sources, root_weights
 from .neighbours import nearest
 from .ngram_join import ngram_components
 from .pii import find_pii, learn_tagger
@@ -117,3 +118,30 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @query("op7_nearest_neighbours")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return nearest(table(spark, folder, "embeddings"))
+
+
+OP1_SQL = """
+WITH RECURSIVE c AS (SELECT coalesce(source, '(none)') AS source, count(*) AS n FROM documents GROUP BY 1),
+w AS (SELECT source, greatest(1, CAST(round(100 * sqrt(n) / (SELECT sum(sqrt(n)) FROM c)) AS BIGINT)) AS weight FROM c),
+s AS (SELECT list(source ORDER BY source) AS src, list(weight ORDER BY source) AS w, CAST(sum(weight) AS BIGINT) AS n FROM w),
+sim AS (
+  SELECT CAST(-1 AS BIGINT) AS t, list_transform(w, lambda x: CAST(0 AS BIGINT)) AS done, CAST(0 AS BIGINT) AS pick FROM s
+  UNION ALL
+  SELECT t + 1, list_transform(range(1, len(w) + 1), lambda i: done[i] + CASE WHEN i = p.i THEN 1 ELSE 0 END), p.i
+  FROM (SELECT sim.t, sim.done, s.w, s.n, list_min(list_transform(list_filter(range(1, len(s.w) + 1),
+          lambda i: sim.done[i] < s.w[i] AND (sim.done[i] * s.n) // s.w[i] <= sim.t + 1),
+          lambda i: {'due': ((sim.done[i] + 1) * s.n + s.w[i] - 1) // s.w[i], 'i': i})) AS p
+        FROM sim, s WHERE sim.t + 1 < s.n)),
+plan AS (SELECT s.src[pick] AS source, s.w[pick] AS weight, s.n AS period, t AS slot, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS turn FROM sim, s WHERE t >= 0),
+r AS (SELECT doc_id, source, coalesce(source, '(none)') AS k, row_number() OVER (PARTITION BY coalesce(source, '(none)') ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '')), doc_id) - 1 AS rk FROM documents),
+b AS (SELECT r.*, rk // 64 AS block, weight FROM r JOIN w ON r.k = w.source)
+SELECT b.doc_id, b.source, b.block, (b.block // b.weight) * plan.period + plan.slot AS slot,
+       ((b.block // b.weight) * plan.period + plan.slot) * 64 + b.rk % 64 AS position
+FROM b JOIN plan ON plan.source = b.k AND plan.turn = b.block % b.weight
+"""
+
+
+@query("op1_mix_sources", OP1_SQL)
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "source")
+    return mix_sources(docs, root_weights(docs))
