@@ -10,7 +10,6 @@ one table lookup per control byte and a few numpy gathers.
 from __future__ import annotations
 
 import json
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -22,10 +21,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .text import chunks
+from .text import Chunk, chunks, span_hashes
 
-MEMO_LIMIT = 250_000
+MEMO_LIMIT = 350_000
 BLOCK_TOKENS = 1 << 20
+CHUNK_BYTES = 1 << 21
+#: Bytes that surely begin a visible character; those of white space don't.
+VISIBLE = np.ones(256, dtype=bool)
+VISIBLE[[*range(0x09, 0x0E), *range(0x1C, 0x21), 0xC2, 0xE1, 0xE2, 0xE3]] = False
 SCHEMA = "part int, block int, first_token long, doc_ids array<long>, n_tokens array<int>, ranked binary, control binary, payload binary"
 LENGTHS = np.stack([(np.arange(256) >> 2 * k & 3) + 1 for k in range(4)], axis=1).astype(np.uint8)
 
@@ -59,17 +62,14 @@ def unpack(control: bytes, payload: bytes, count: int) -> np.ndarray:
 
 
 class LibraryEncoder:
-    """The library's ids, with a memo of the parts between spaces.
+    """The library's ids, with a memo of the parts of texts.
 
     For a byte-level file without normaliser a space before a visible character
     always begins a token, so a text's ids are those of its parts, one after
-    another. Texts that hold a special token, and other kinds of files, go through
-    the library whole.
+    another. Each distinct part of a chunk is looked up once. Texts that hold a
+    special token, and other kinds of files, go through the library whole.
     """
 
-    odd = re.compile(r" (?=\s|$)")
-    cut = re.compile(r" (?=\S)")
-
     def __init__(self, source: str):
         spec = json.loads(source)
         self.library = Tokenizer.from_str(source)
@@ -79,59 +79,59 @@ class LibraryEncoder:
         vocab = self.library.get_vocab(True)
         self.opens = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.opens[[k for t, k in vocab.items() if t.startswith("Ġ")]] = True
-        self.memo: dict[str, bytes] = {}
+        self.memo: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=np.uint32).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _parts(self, new: list[str]) -> list[bytes]:
-        """Ids of each part with the space before it; many parts share one library call."""
-        out: list[bytes] = []
-        groups = [new[k : k + 128] for k in range(0, len(new), 128)]
-        for group, ids in zip(groups, self.whole(["".join([f" {p}" for p in g]) for g in groups]), strict=True):
-            ids = np.frombuffer(ids, dtype=np.uint32)
-            begin = np.flatnonzero(self.opens[ids])
+    def _learn(self, new: list[bytes]) -> None:
+        """Ids of new parts; many that begin with a space share one library call."""
+        spaced = [p for p in new if p[:1] == b" "]
+        heads = [p for p in new if p[:1] != b" "]
+        groups = [spaced[k : k + 128] for k in range(0, len(spaced), 128)]
+        for group, ids in zip(groups, self.whole([b"".join(g).decode() for g in groups]), strict=True):
+            begin = np.flatnonzero(self.opens[np.frombuffer(ids, dtype=np.uint32)])
             if len(begin) == len(group):
-                at = [*(4 * begin).tolist(), 4 * len(ids)]
-                raw = ids.tobytes()
-                out += [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
+                at = [*(4 * begin).tolist(), len(ids)]
+                self.memo.update((p, ids[a:b]) for p, a, b in zip(group, at, at[1:], strict=False))
             else:  # a part with spaces inside
-                out += self.whole([f" {p}" for p in group])
-        return out
+                heads += group
+        self.memo.update(zip(heads, self.whole([p.decode() for p in heads]), strict=True))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of every text."""
+    def encode(self, chunk: Chunk) -> list[bytes]:
+        """Little-endian 32-bit ids of every text of a chunk."""
+        raw = chunk.data.tobytes()
+        borders = chunk.offsets.tolist()
         if not self.by_parts:
-            return self.whole(texts)
-        if len(self.memo) > MEMO_LIMIT:
-            self.memo.clear()
-        memo, out, rest, heads = self.memo, [], [], []
-        missing: dict[str, None] = {}
-        for k, text in enumerate(texts):
-            if any(s in text for s in self.special):
-                rest.append(k)
-                out.append(None)
-                continue
-            head, *parts = self.cut.split(text) if self.odd.search(text) else text.split(" ")
-            heads.append(head)
-            found = list(map(memo.get, parts))
-            gaps = [(i, parts[i]) for i, f in enumerate(found) if f is None]
-            missing.update((p, None) for _, p in gaps)
-            out.append((found, gaps))
-        new = list(missing)
-        memo.update(zip(new, self._parts(new), strict=True))
-        head_ids = iter(self.whole(heads))
-        whole = iter(self.whole([texts[k] for k in rest]))
-        done = []
-        for own in out:
-            if own is None:
-                done.append(next(whole))
-                continue
-            found, gaps = own
-            for i, p in gaps:
-                found[i] = memo[p]
-            done.append(next(head_ids) + b"".join(found))
-        return done
+            return self.whole([raw[a:b].decode() for a, b in zip(borders, borders[1:], strict=False)])
+        if len(self.memo) > MEMO_LIMIT:  # what is used again moves on to the new half
+            self.memo, self.older = {}, self.memo
+        cut = np.zeros(len(chunk.data) + 1, dtype=bool)
+        cut[:-1][:-1] = (chunk.data[:-1] == 0x20) & VISIBLE[chunk.data[1:]]
+        cut[chunk.offsets[1:-1] - 1] = False  # the next character is another text's
+        cut[chunk.offsets] = True
+        cut[-1] = False
+        start = np.flatnonzero(cut)
+        stop = np.append(start[1:], len(chunk.data))
+        _, first, back = np.unique(span_hashes(chunk.data, start, stop), return_index=True, return_inverse=True)
+        parts = [raw[a:b] for a, b in zip(start[first].tolist(), stop[first].tolist(), strict=True)]
+        missing = [p for p in parts if p not in self.memo]
+        self.memo.update((p, self.older[p]) for p in missing if p in self.older)
+        self._learn([p for p in missing if p not in self.memo])
+        own = [self.memo[p] for p in parts]
+        size = np.fromiter(map(len, own), dtype=np.int64, count=len(own)) // 4
+        begin = np.cumsum(size) - size
+        each = size[back]
+        end = np.cumsum(each)
+        ids = np.frombuffer(b"".join(own), dtype=np.uint32)[np.repeat(begin[back] - end + each, each) + np.arange(end[-1] if len(end) else 0)].tobytes()
+        at = np.concatenate([[0], 4 * end])[np.searchsorted(start, chunk.offsets)].tolist()
+        out = [ids[a:b] for a, b in zip(at, at[1:], strict=False)]
+        if any(s.encode() in raw for s in self.special):
+            for k, (a, b) in enumerate(zip(borders, borders[1:], strict=False)):
+                if any(s.encode() in raw[a:b] for s in self.special):
+                    out[k] = self.whole([raw[a:b].decode()])[0]
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -170,10 +170,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, end_id: int, doc
         ids: list[bytes] = []
         names: list[int | None] = []
         for batch in batches:
-            texts = batch.column(1).fill_null("")
             own_names = batch.column(0).to_pylist()
-            for chunk in chunks(texts):
-                new = encoder.encode(texts.slice(chunk.first, chunk.rows).to_pylist())
+            for chunk in chunks(batch.column(1), CHUNK_BYTES):
+                new = encoder.encode(chunk)
                 for name, own in zip(own_names[chunk.first : chunk.first + chunk.rows], new, strict=True):
                     ids.append(own + end)
                     names.append(name)
