@@ -62,7 +62,7 @@ def events_of_today(products: DataFrame, history: DataFrame, *, now: str, epoch:
 
 def merge_events(ledger: DataFrame, fresh: DataFrame) -> DataFrame:
     """H3: next ledger; a fresh row replaces that of its product and day, no row is removed."""
-    return ledger.join(fresh.select("product_id", "date"), ["product_id", "date"], "left_anti").unionByName(fresh)
+    return ledger.join(fresh.select("product_id", "date"), ["product_id", "date"], "left_anti").select(*ledger.columns).unionByName(fresh)
 
 
 def daily_last(history: DataFrame) -> DataFrame:

@@ -144,3 +144,6 @@ def e4(spark, folder):
     return L.observed_steps(L.daily_last(M.history(spark, folder)))
 
 from . import queries_catalog  # noqa: E402,F401
+from . import queries_state  # noqa: E402,F401
+from . import queries_search  # noqa: E402,F401
+from . import queries_streaming  # noqa: E402,F401
