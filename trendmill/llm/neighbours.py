@@ -128,6 +128,8 @@ def best_of_cell(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, i
 
 def _vectors(column: pa.Array) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    if not len(column):
+        return np.zeros((0, 0))
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), -1)
 

@@ -113,7 +113,7 @@ class LibraryEncoder:
         cut[chunk.offsets] = True
         cut[-1] = False
         start = np.flatnonzero(cut)
-        stop = np.append(start[1:], len(chunk.data))
+        stop = np.append(start[1:], len(chunk.data))[: len(start)]
         _, first, back = np.unique(span_hashes(chunk.data, start, stop), return_index=True, return_inverse=True)
         parts = [raw[a:b] for a, b in zip(start[first].tolist(), stop[first].tolist(), strict=True)]
         missing = [p for p in parts if p not in self.memo]
