@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOCK_DOCS = 64
-BUCKET_DOCS = 20_000
+BUCKET_DOCS = 2_000
 NO_SOURCE = "(none)"
 
 
@@ -62,7 +62,7 @@ def mix_sources(docs: DataFrame, weights: DataFrame, *, block_docs: int = BLOCK_
     rows share any of their places. An empty table gives no rows, other columns may
     have any names but those three, which are replaced.
 
-    A hot source is ranked in buckets of about 20,000 documents: only the buckets'
+    A hot source is ranked in buckets of about 2,000 documents: only the buckets'
     sizes are summed up per source.
     """
     key = F.coalesce("source", F.lit(NO_SOURCE))
