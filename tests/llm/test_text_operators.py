@@ -187,9 +187,9 @@ def test_op3_op5_scores(spark, odd, learn, score, label):
 
 
 def test_op9_patterns_and_redaction(odd):
-    text = "a.b@c.example 10.0.0.300 1.2.3.4 4785380592391139, 4785380592391138, +1 (523) 555-1055"
-    assert pii.written(pii.pattern_spans(text)) == "email:0:13,ip:25:32,card:33:49,phone:69:86"
-    assert pii.redacted(text, pii.pattern_spans(text)).startswith("[EMAIL] 10.0.0.300 [IP] [CARD]")
+    text = "a.b@c.example 10.0.0.300 1.2.3.4, 4785380592391139, 4785380592391138, +1 (523) 555-1055"
+    assert pii.written(pii.pattern_spans(text)) == "email:0:13,ip:25:32,card:34:50,phone:70:87"
+    assert pii.redacted(text, pii.pattern_spans(text)).startswith("[EMAIL] 10.0.0.300 [IP], [CARD]")
     rows = pii.find_pii(odd, b"", redact=True).collect()
     assert len(rows) == len(ODD) and sum(r["n_email"] for r in rows) == 1 and sum(r["n_phone"] for r in rows) == 1
     empty = hashlib.sha256(b"").hexdigest()
