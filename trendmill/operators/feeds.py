@@ -83,11 +83,11 @@ def unhealthy_stores(counts: DataFrame, skew: int = 100) -> DataFrame:
 
 def statistics(stores: DataFrame, products: DataFrame, ledger: DataFrame, *, days: int, is_fashion: bool, now: str, start: str) -> DataFrame:
     """D3: one row of totals; crossed frames have one row each."""
-    def events(label: str) -> DataFrame:
-        return L.event_window(ledger, products, label=label, days=days, now=now, start=start, is_fashion=is_fashion).agg(F.count("*").alias(f"{label}s"))
+    def events(label: str, name: str) -> DataFrame:
+        return L.event_window(ledger, products, label=label, days=days, now=now, start=start, is_fashion=is_fashion).agg(F.count("*").alias(name))
 
     own = products.where(in_feed(is_fashion)).agg(F.count("*").alias("products"))
-    return stores.agg(F.count("*").alias("stores")).crossJoin(own).crossJoin(events("hero")).crossJoin(events("villain"))
+    return stores.agg(F.count("*").alias("stores")).crossJoin(own).crossJoin(events("hero", "heroes")).crossJoin(events("villain", "villains"))
 
 
 def snapshot_histogram(history: DataFrame, products: DataFrame, stores: DataFrame, *, now: str, days: int = 5) -> DataFrame:

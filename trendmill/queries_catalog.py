@@ -18,22 +18,17 @@ _VISITORS = "CASE WHEN monthly_visitors LIKE '%K' THEN CAST(floor(CAST(replace(m
 _COUNTS = f"counts AS (SELECT s.id, s.name, s.niche, coalesce(f, 0) AS fashion_count, coalesce(g, 0) AS general_count, last_scraped FROM stores s LEFT JOIN (SELECT store_id, count(*) FILTER (WHERE {_FEED[True]}) AS f, count(*) FILTER (WHERE {_FEED[False]}) AS g, max(last_scraped) AS last_scraped FROM products GROUP BY 1) c ON c.store_id = s.id)"
 
 
-def rx(column: str, pattern: str) -> str:
-    return f"regexp_matches(coalesce({column}, ''), '{pattern}', 'i')".replace("'i'", "'i'")
-
-
 @query("a1_scan_products", "SELECT id, store_id, handle, title, current_position FROM products")
 def a1(spark, folder):
     return M.products(spark, folder).select("id", "store_id", "handle", "title", "current_position")
 
 
-_TITLES = "SELECT p_partkey AS id, CASE p_partkey % 6 WHEN 0 THEN '  SALE ' WHEN 1 THEN '{\"id\":1}' WHEN 2 THEN repeat('x', 301) WHEN 3 THEN '-' || p_size || ' %' ELSE '  ' || replace(p_name, ' ', '   ') || ' ' END AS t FROM part"
+_TITLE = "CASE p_partkey % 6 WHEN 0 THEN '  SALE ' WHEN 1 THEN '{\"id\":1}' WHEN 2 THEN repeat('x', 301) WHEN 3 THEN '-' || p_size || ' %' ELSE '  ' || replace(p_name, ' ', '   ') || ' ' END"
 
 
-@query("a5_clean_title", f"SELECT id, CASE WHEN id % 6 < 4 THEN '' ELSE trim(regexp_replace(t, '\\s+', ' ', 'g')) END AS title FROM ({_TITLES})")
+@query("a5_clean_title", f"SELECT id, CASE WHEN id % 6 < 4 THEN '' ELSE trim(regexp_replace(t, '\\s+', ' ', 'g')) END AS title FROM (SELECT p_partkey AS id, {_TITLE} AS t FROM part)")
 def a5(spark, folder):
-    M.read(spark, folder, "part").createOrReplaceTempView("part_titles")
-    return spark.sql(_TITLES.replace("FROM part", "FROM part_titles").replace("||", "||")).select("id", X.clean_title(F.col("t")).alias("title"))
+    return M.read(spark, folder, "part").select(F.col("p_partkey").alias("id"), X.clean_title(F.expr(_TITLE)).alias("title"))
 
 
 @query("a6_image_url", "SELECT id, 'https:' || image_url AS image_url, CASE WHEN id % 2 = 0 THEN '/' || handle ELSE '' END AS other FROM products")
@@ -47,7 +42,7 @@ def a6(spark, folder):
 def a11(spark, folder):
     from .operators.vectors import pending
 
-    return pending(M.products(spark, folder), "embedding", store_id=0, limit=50).select("id")
+    return pending(M.products(spark, folder, True), "embedding", store_id=0, limit=50).select("id")
 
 
 @query("a11_pending_vision", f"SELECT id FROM products WHERE vision_classified_at IS NULL AND {_FEED[False]}")
@@ -239,7 +234,7 @@ def d1(spark, folder):
 _EV = lambda label: f"(SELECT count(DISTINCT product_id) FROM ledger JOIN products p ON p.id = product_id WHERE label = '{label}' AND date >= DATE '2024-01-17' AND is_fashion)"
 
 
-@query("d3_statistics", f"SELECT (SELECT count(*) FROM stores) AS stores, (SELECT count(*) FROM products WHERE is_fashion) AS products, {_EV('hero')} AS heros, {_EV('villain')} AS villains")
+@query("d3_statistics", f"SELECT (SELECT count(*) FROM stores) AS stores, (SELECT count(*) FROM products WHERE is_fashion) AS products, {_EV('hero')} AS heroes, {_EV('villain')} AS villains")
 def d3(spark, folder):
     stores, products, _ = tables(spark, folder)
     return D.statistics(stores, products, ledger(spark, folder), days=14, is_fashion=True, now=NOW, start=START)
@@ -278,7 +273,7 @@ def d9(spark, folder):
 
 @query("d10_embedding_coverage", "SELECT count(*) AS total, count(embedding) AS with_vector, round(100.0 * count(embedding) / count(*), 1) AS pct FROM products")
 def d10(spark, folder):
-    return D.embedding_coverage(M.products(spark, folder))
+    return D.embedding_coverage(M.products(spark, folder, True))
 
 
 @query("d15_labels_today", "SELECT count(*) FILTER (WHERE prior > current_position) AS heroes, count(*) FILTER (WHERE prior < current_position) AS villains FROM labelled WHERE is_fashion AND prior > 0 AND abs(prior - current_position) <= 30")

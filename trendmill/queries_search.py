@@ -162,7 +162,7 @@ ranked AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id
 
 
 def hybrid(spark, folder, limit):
-    p = M.products(spark, folder)
+    p = M.products(spark, folder, True)
     index = p.where("embedding IS NOT NULL").select("id", V.normalised(F.col("embedding")).alias("unit"))
     asked = query_set(spark, folder)
     vectors = index.join(asked.select(F.col("query_id").alias("id")), "id").select(F.col("id").alias("query_id"), "unit")
@@ -176,7 +176,7 @@ def j9(spark, folder):
 
 @query("j13_search_explain", f"WITH {_HYBRID} SELECT query_id, (SELECT count(*) FROM cand c WHERE c.query_id = q.query_id) AS candidates, (SELECT count(*) FROM fin f WHERE f.query_id = q.query_id) AS kept, (SELECT id FROM ranked r WHERE r.query_id = q.query_id AND rank = 1) AS best FROM q")
 def j13(spark, folder):
-    p = M.products(spark, folder)
+    p = M.products(spark, folder, True)
     asked = J.expand_queries(query_set(spark, folder))
     index = p.where("embedding IS NOT NULL").select("id", V.normalised(F.col("embedding")).alias("unit"))
     vectors = index.join(asked.select(F.col("query_id").alias("id")), "id").select(F.col("id").alias("query_id"), "unit")

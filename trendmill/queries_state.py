@@ -77,7 +77,7 @@ _MERGED = _SCRAPED + """, merged AS (SELECT coalesce(p.store_id, s.store_id) AS
 
 @query("g2_product_upsert", "WITH " + _MERGED.replace("CASE WHEN is_fashion THEN CASE WHEN subniche IN ('fashion', 'jewelry') THEN subniche ELSE 'fashion' END WHEN subniche IN ('home', 'other') THEN subniche ELSE 'other' END AS subniche", "subniche") + f" SELECT store_id, handle, current_position, is_fashion, subniche, CASE WHEN listed THEN {_CAT_SQL} ELSE old_category END AS product_category, has_vector, existed, listed FROM merged")
 def g2(spark, folder):
-    state = S.upsert_products(M.products(spark, folder), scraped(spark, folder), now=NOW)
+    state = S.upsert_products(M.products(spark, folder, True), scraped(spark, folder), now=NOW)
     return state.select("store_id", "handle", "current_position", "is_fashion", "subniche", "product_category", F.col("embedding").isNotNull().alias("has_vector"), "existed", "listed")
 
 
@@ -160,7 +160,7 @@ def a7(spark, folder):
 
 @query("a9_vector_codec", "SELECT id, len(embedding) AS size, true AS same_binary, true AS same_json, true AS bad_is_null FROM products WHERE embedding IS NOT NULL")
 def a9(spark, folder):
-    own = M.products(spark, folder).where("embedding IS NOT NULL")
+    own = M.products(spark, folder, True).where("embedding IS NOT NULL")
     packed = own.withColumns({"b": V.encode_vector(F.col("embedding")), "j": F.to_json("embedding")})
     back = packed.withColumns({"from_b": V.parse_vector(F.col("b")), "from_j": V.parse_vector(F.col("j")), "bad": V.parse_vector(F.concat(F.lit("b64:!"), "handle"))})
     return back.select("id", F.size("from_b").alias("size"), (F.col("from_b") == F.col("embedding")).alias("same_binary"), (F.col("from_j") == F.col("embedding")).alias("same_json"), F.col("bad").isNull().alias("bad_is_null"))
@@ -168,7 +168,7 @@ def a9(spark, folder):
 
 @query("a10_latest_index", "SELECT id, round(list_sum(list_transform(unit, lambda x: x * x)), 6) AS norm2, round(unit[1], 6) AS first FROM (SELECT id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) / sqrt(list_sum(list_transform(embedding, lambda y: CAST(y AS DOUBLE) * CAST(y AS DOUBLE))))) AS unit FROM (SELECT * FROM products WHERE embedding IS NOT NULL ORDER BY last_scraped DESC, id LIMIT 300))")
 def a10(spark, folder):
-    index = V.load_index(M.products(spark, folder), 300)
+    index = V.load_index(M.products(spark, folder, True), 300)
     return index.select("id", F.round(V.dot(F.col("unit"), F.col("unit")), 6).alias("norm2"), F.round(F.col("unit")[0], 6).alias("first"))
 
 
@@ -184,7 +184,7 @@ _RESULTS = "SELECT doc_id AS id, quality, toxic FROM labels"
 
 @query("k7_embedding_merge", "SELECT p.id, coalesce(e.embedding IS NOT NULL, false) OR p.embedding IS NOT NULL AS has_vector, CASE WHEN e.vec_id IS NULL THEN NULL ELSE p.title END AS embedding_text FROM products p LEFT JOIN (SELECT * FROM embeddings WHERE vec_id % 2 = 0) e ON e.vec_id = p.id")
 def k7(spark, folder):
-    p = M.products(spark, folder)
+    p = M.products(spark, folder, True)
     results = M.read(spark, folder, "embeddings").where("vec_id % 2 = 0").selectExpr("vec_id AS id", "embedding").join(p.select("id", F.col("title").alias("embedding_text")), "id")
     merged = V.merge_results(p, results, ("embedding", "embedding_text"))
     return merged.select("id", F.col("embedding").isNotNull().alias("has_vector"), "embedding_text")

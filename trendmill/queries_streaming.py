@@ -72,7 +72,7 @@ def a2(spark, folder):
 
 def json_pages(spark, folder):
     """A collection page per product, with its event block as a shop would write it."""
-    p = M.products(spark, folder).drop("embedding").join(M.stores(spark, folder).select(F.col("id").alias("store_id"), "name"), "store_id")
+    p = M.products(spark, folder).join(M.stores(spark, folder).select(F.col("id").alias("store_id"), "name"), "store_id")
     amount = F.when(F.col("id") % 3 != 0, F.col("price").cast("double"))
     variant = F.struct(F.struct(amount.alias("amount")).alias("price"), F.struct(F.col("image_url").alias("src")).alias("image"), F.struct(F.col("id").cast("string").alias("id"), "title", F.concat(F.lit("/products/"), "handle", F.lit("?v=1")).alias("url"), "vendor", F.col("product_type").alias("type")).alias("product"))
     payload = F.to_json(F.struct(F.struct(F.array(variant, variant).alias("productVariants")).alias("collection")))
@@ -86,7 +86,7 @@ def json_pages(spark, folder):
 def a4(spark, folder):
     from .sources.pages import page_items
 
-    p = M.products(spark, folder).drop("embedding")
+    p = M.products(spark, folder)
     html = F.concat(F.lit('<main><div class="grid"><div class="card"><a href="/products/'), "handle", F.lit('?v=1"><img data-src="'), "image_url", F.lit('" alt="x"></a><div class="info"><a href="/products/'), "handle", F.lit('"><span> '), "title", F.lit('</span></a><b class="price-badge">-20%</b><span class="price">'), "price", F.lit("</span></div></div></div></main>"))
     pages = p.select(F.col("id").alias("page_id"), F.lit("https://shop.example/collections/all").alias("url"), html.alias("html"))
     return page_items(pages).select("page_id", "handle", "title", "price", "image_url")

@@ -45,11 +45,14 @@ def history(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def products(spark: SparkSession, folder: str) -> DataFrame:
+def products(spark: SparkSession, folder: str, vectors: bool = False) -> DataFrame:
+    """Products; with ``vectors`` also their embeddings, which cost a join."""
     last = history(spark, folder).where(f"to_date(date) = DATE'{TODAY}'").selectExpr("product_id AS p_partkey", "date", "position").groupBy("p_partkey").agg(F.max_by("position", "date").alias("now_position"))
-    vectors = read(spark, folder, "embeddings").selectExpr("vec_id AS p_partkey", "embedding")
     ranked = _with_store(spark, folder).selectExpr("*", "row_number() OVER (PARTITION BY store_id ORDER BY p_retailprice DESC, p_partkey) AS price_rank")
-    return ranked.join(last, "p_partkey", "left").join(vectors, "p_partkey", "left").selectExpr(
+    joined = ranked.join(last, "p_partkey", "left")
+    if vectors:
+        joined = joined.join(read(spark, folder, "embeddings").selectExpr("vec_id AS p_partkey", "embedding"), "p_partkey", "left")
+    return joined.selectExpr(
         "p_partkey AS id", "store_id", "concat(replace(p_name, ' ', '-'), '-', p_partkey) AS handle",
         "concat(p_name, CASE p_partkey % 5 WHEN 0 THEN ' for men' WHEN 1 THEN ' for women' ELSE '' END) AS title",
         "p_type AS product_type", "p_brand AS vendor", "cast(cast(p_retailprice AS DECIMAL(12,2)) AS STRING) AS price",
@@ -61,7 +64,7 @@ def products(spark: SparkSession, folder: str) -> DataFrame:
         "CASE WHEN p_partkey % 7 = 0 THEN '' ELSE split_part(p_name, ' ', 2) END AS product_category",
         "cast(date_sub(DATE'2024-01-30', cast(p_partkey % 9 AS INT)) AS TIMESTAMP_NTZ) AS last_scraped",
         "CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE cast(DATE'2024-01-20' AS TIMESTAMP_NTZ) END AS vision_classified_at",
-        "embedding",
+        *["embedding"] * vectors,
     )
 
 
