@@ -82,12 +82,12 @@ def unhealthy_stores(counts: DataFrame, skew: int = 100) -> DataFrame:
 
 
 def statistics(stores: DataFrame, products: DataFrame, ledger: DataFrame, *, days: int, is_fashion: bool, now: str, start: str) -> DataFrame:
-    """D3: one row of totals; crossed frames have one row each."""
-    def events(label: str, name: str) -> DataFrame:
-        return L.event_window(ledger, products, label=label, days=days, now=now, start=start, is_fashion=is_fashion).agg(F.count("*").alias(name))
-
-    own = products.where(in_feed(is_fashion)).agg(F.count("*").alias("products"))
-    return stores.agg(F.count("*").alias("stores")).crossJoin(own).crossJoin(events("hero", "heroes")).crossJoin(events("villain", "villains"))
+    """D3: one row of totals; the ledger is read once, crossed frames have one row each."""
+    low = F.greatest(F.date_sub(L.day(now), days - 1), F.to_date(F.lit(start[:10])))
+    moved = ledger.where(F.col("date") >= low).groupBy("product_id").agg(F.bool_or(F.col("label") == "hero").alias("hero"), F.bool_or(F.col("label") == "villain").alias("villain"))
+    own = products.where(in_feed(is_fashion)).select("id").join(moved, F.col("id") == F.col("product_id"), "left")
+    totals = own.agg(F.count("*").alias("products"), F.count_if(F.col("hero")).alias("heroes"), F.count_if(F.col("villain")).alias("villains"))
+    return stores.agg(F.count("*").alias("stores")).crossJoin(totals)
 
 
 def snapshot_histogram(history: DataFrame, products: DataFrame, stores: DataFrame, *, now: str, days: int = 5) -> DataFrame:
