@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from trendmill.llm import language, mixing, neighbours, ngram_join, pii, quality, queries, rules, samples, token_store, toxicity
+from trendmill.llm import language, mixing, models, neighbours, ngram_join, pii, quality, queries, rules, samples, token_store, toxicity
 from trendmill.llm.bpe import WordBpe, bpe_encode_decode
 from trendmill.llm.text import chunks, shingle_sets
 
@@ -186,6 +186,25 @@ def test_op3_op5_scores(spark, odd, learn, score, label):
     assert score(odd, b"").select("score").distinct().count() == 1
 
 
+@pytest.mark.parametrize("learn, score, label, near", [(quality.learn_quality, quality.score_quality, "quality", 0.02), (toxicity.learn_toxicity, toxicity.score_toxicity, "toxic", 0.2)])
+def test_op3_op5_scores_do_not_follow_the_sample_ratio(spark, learn, score, label, near):
+    folder = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    known = docs.join(labels, "doc_id").where(samples.fold("doc_id", 4) == 2).select("doc_id", "text")
+    few, many = (score(known, learn(samples.labelled_texts(docs, labels, label, limit))).agg(F.avg("score")).first()[0] for limit in (300, 3000))
+    assert abs(few - many) < near
+
+
+def test_op3_op5_rates(spark):
+    ids = [k for k in range(400) if zlib.crc32(str(k).encode()) % 4 != 2]
+    docs = spark.createDataFrame([(k, "a") for k in ids], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 10 == 0)) for k in ids], "doc_id long, toxic int")
+    size = Counter(int(k % 10 == 0) for k in ids)
+    got = Counter((r["label"], round(r["rate"], 9)) for r in samples.labelled_texts(docs, labels, "toxic", 50).collect())
+    assert got == Counter({(k, round(min(1, 50 / size[k]), 9)): min(50, size[k]) for k in (0, 1)})
+    assert np.isclose(models.prior_shift(np.array([0, 0, 1]), np.array([0.1, 0.1, 0.8])), np.log(8)) and models.prior_shift(np.array([0]), np.array([0.1])) == 0
+
+
 def test_op9_patterns_and_redaction(odd):
     text = "a.b@c.example 10.0.0.300 1.2.3.4, 4785380592391139, 4785380592391138, +1 (523) 555-1055"
     assert pii.written(pii.pattern_spans(text)) == "email:0:13,ip:25:32,card:34:50,phone:70:87"

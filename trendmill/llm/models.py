@@ -16,23 +16,34 @@ from .text import Chunk, chunks
 Arrays = dict[str, np.ndarray]
 
 
+def prior_shift(labels: np.ndarray, rates: np.ndarray) -> float:
+    """What unequal sampling of the classes adds to the log-odds of class 1; 0 if one is missing."""
+    either = [rates[labels == k] for k in (0, 1)]
+    return float(np.log(either[1].mean() / either[0].mean())) if len(either[0]) and len(either[1]) else 0.0
+
+
 def train(sample: DataFrame, learn: Callable[[pa.Array, np.ndarray], Arrays]) -> bytes:
     """Run ``learn(texts, labels)`` over a sample of bounded size; returns an npz file.
 
     The sample is read in the order of a hash of its ids, so a lost executor and a
-    second run give the same model. An empty sample gives an empty model.
+    second run give the same model. An empty sample gives an empty model. The
+    model's ``shift`` is to be subtracted from a log-odds: it comes from the column
+    ``rate``, the sampled share of a row's class; without it all is taken.
     """
+    rate = F.col("rate").cast("double") if "rate" in sample.columns else F.lit(1.0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = pa.table({"text": pa.chunked_array([], pa.string()), "label": pa.chunked_array([], pa.int32())})
-        held = pa.concat_tables([held, *(pa.table({"text": b.column(0), "label": b.column(1)}) for b in batches)])
+        held = pa.table({"text": pa.chunked_array([], pa.string()), "label": pa.chunked_array([], pa.int32()), "rate": pa.chunked_array([], pa.float64())})
+        held = pa.concat_tables([held, *(pa.table({"text": b.column(0), "label": b.column(1), "rate": b.column(2)}) for b in batches)])
         if not held.num_rows:
             return
         file = io.BytesIO()
-        np.savez(file, **learn(held.column("text").combine_chunks(), held.column("label").to_numpy()))
+        labels = held.column("label").to_numpy()
+        shift = prior_shift(labels, held.column("rate").to_numpy())
+        np.savez(file, **learn(held.column("text").combine_chunks(), labels), shift=np.array([shift]))
         yield pa.RecordBatch.from_pydict({"model": pa.array([file.getvalue()], pa.binary())})
 
-    ordered = sample.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "text").select(F.coalesce("text", F.lit("")).alias("text"), "label")
+    ordered = sample.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "text").select(F.coalesce("text", F.lit("")).alias("text"), "label", rate.alias("rate"))
     rows = ordered.mapInArrow(run, "model binary").collect()
     return bytes(rows[0]["model"]) if rows else b""
 

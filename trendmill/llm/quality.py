@@ -4,7 +4,8 @@ A text's tokens are its words as written and the words' shapes (runs of upper,
 lower, digit and other signs). Each hashed token has a fixed sparse random index
 vector; its word vector adds the index vectors of the tokens around it in the
 learned texts. A text is the mean of its words' vectors and of its shapes'. The network's last
-output is divided by a temperature fitted on texts that it hasn't learned.
+output is divided by a temperature fitted on texts that it hasn't learned, and
+then freed of the sample's class ratio where the classes were sampled unequally.
 """
 
 from __future__ import annotations
@@ -139,7 +140,7 @@ def learn(texts: pa.Array, labels: np.ndarray) -> Arrays:
 
 def score(model: Arrays, chunk: Chunk) -> np.ndarray:
     logit = forward(model, pooled(model["vectors"].astype(np.float32), chunk))[1]
-    return 1 / (1 + np.exp(-np.clip(logit / model["temperature"][0], -30, 30)))
+    return 1 / (1 + np.exp(-np.clip(logit / model["temperature"][0] - model["shift"][0], -30, 30)))
 
 
 def learn_quality(sample: DataFrame) -> bytes:

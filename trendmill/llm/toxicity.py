@@ -3,6 +3,7 @@
 Words are runs of letters and digits, A-Z lower-cased. A text's features are its
 distinct words, neighbouring pairs and pairs with one word between, hashed to
 2**20 coordinates. Learning rates are per coordinate and L1 leaves few weights.
+Unequal sampling of the classes is taken back from the log-odds.
 """
 
 from __future__ import annotations
@@ -86,7 +87,7 @@ def score(model: Arrays, chunk: Chunk) -> np.ndarray:
     row = np.searchsorted(begin, used, "right") - 1
     both = np.unique(row * (1 << FEATURE_BITS) + coordinates[used])
     total = np.bincount(both >> FEATURE_BITS, weight[both & ((1 << FEATURE_BITS) - 1)], minlength=chunk.rows)
-    return 1 / (1 + np.exp(-np.clip(total + model["bias"][0], -30, 30)))
+    return 1 / (1 + np.exp(-np.clip(total + model["bias"][0] - model["shift"][0], -30, 30)))
 
 
 def learn_toxicity(sample: DataFrame) -> bytes:
@@ -96,7 +97,7 @@ def learn_toxicity(sample: DataFrame) -> bytes:
 def score_toxicity(docs: DataFrame, model: bytes) -> DataFrame:
     """``docs`` with ``score`` in (0, 1); only ``text`` is read.
 
-    Null and empty texts have no feature and get the score of the bias alone. With
+    Null and empty texts have no feature and get the score of bias and shift alone. With
     an empty model all scores are 0. Repeated rows score alike, an empty table
     gives no rows, other columns are kept and an old ``score`` is replaced.
     """
