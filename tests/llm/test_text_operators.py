@@ -217,6 +217,43 @@ def test_op9_patterns_and_redaction(odd):
     assert pii.find_pii(odd.where("false"), b"").count() == 0
 
 
+def test_op9_long_region_in_parts_equals_whole():
+    random = np.random.default_rng(2)
+    moves = random.normal(0, 2, (pii.TAGS, pii.TAGS))
+    for length in (2, 9, 100, 333):
+        scores = random.normal(0, 2, (length, pii.TAGS))
+        tags, sure = pii.decode(moves, [scores])[0]
+        got = pii.decode_long(moves, lambda a, b: scores[a:b], length, block=56, part=8)
+        assert (got[0] == tags).all() and np.allclose(got[1], sure)
+    model = pii.fresh(random)
+    text = "1 " * 300
+    whole = pii.region_scores(model, [(text, 0, 600, 0, 600)])[0]
+    for lo, hi in ((0, 1), (1, 97), (47, 49), (500, 600), (599, 600)):
+        assert np.allclose(whole[lo:hi], pii.region_scores(model, [(text, 0, 600, lo, hi)])[0], atol=1e-5)
+
+
+def test_op9_long_table_beside_short_texts(monkeypatch):
+    decode, cells = pii.decode, []
+
+    def watched(moves, regions_, *more):
+        cells.append(len(regions_) * max(map(len, regions_)))
+        assert cells[-1] <= 1 << 20  # 240 bytes each
+        return decode(moves, regions_, *more)
+
+    monkeypatch.setattr(pii, "decode", watched)
+    short = [f"call +1 (523) 555-{1000 + k} or {k}.b@c.example" for k in range(127)]
+    assert len(pii.tagger_spans(pii.fresh(np.random.default_rng(6)), [*short, "12.5, 7\n" * (1 << 17)])) == 128
+    assert sum(cells) > 1 << 20
+
+
+def test_op9_added_spans_overlap_no_base_span():
+    random = np.random.default_rng(8)
+    for _ in range(200):
+        base, added = (sorted((int(a), int(a + n), "ip") for a, n in zip(random.integers(0, 60, 8), random.integers(1, 9, 8))) for _ in range(2))
+        free = [s for s in added if not any(s[0] < b[1] and b[0] < s[1] for b in base)]
+        assert pii.all_spans(base, added) == sorted([*base, *free], key=lambda s: s[0])
+
+
 def test_op9_gradient():
     random = np.random.default_rng(0)
     model = {n: v.astype(np.float64) for n, v in pii.fresh(random).items()}

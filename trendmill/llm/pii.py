@@ -6,14 +6,15 @@ removed. Texts are tagged where it matters: a span holds a digit or an @, so the
 windows are laid over the surroundings of all of those and nothing else.
 Overlapping windows vote on each character, weighted by its distance from the
 window's border, and one Viterbi pass over each whole region of windows decodes
-them together.
+them together; a very long region passes by parts that exchange exact messages.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,7 @@ EMBED, HIDDEN = 12, 16
 TAGS = 1 + 2 * len(KINDS)
 BATCH, BATCHES, TRAIN_WINDOWS = 64, 260, 6000
 SURE = 0.8
+CELLS, LONG = 1 << 18, 1 << 12  # characters decoded together, and of a region that is decoded by itself
 Span = tuple[int, int, str]
 
 
@@ -191,16 +193,24 @@ def slopes(model: Arrays, x: np.ndarray, y: np.ndarray) -> Arrays:
     return out | {"embed": embed}
 
 
-def decode(moves: np.ndarray, regions_: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Viterbi tags and their posterior chances, for regions of scores (time, tag) at once."""
+def decode(moves: np.ndarray, regions_: list[np.ndarray], ahead_of: tuple[np.ndarray, np.ndarray] | None = None, after: tuple[np.ndarray, np.ndarray] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Viterbi tags and their posterior chances, for regions of scores (time, tag) at once.
+
+    Parts of a longer region bring what the rest of it says: ``ahead_of`` the best
+    and the summed scores (row, tag) that end just before each part, ``after`` the
+    summed scores of what follows each tag of its last character, and that tag.
+    """
     length = np.array([len(r) for r in regions_])
     rows, steps = np.arange(len(regions_)), int(length.max())
     scores = np.zeros((steps, len(rows), TAGS))
     for k, own in enumerate(regions_):
         scores[: len(own), k] = own
     inside = np.arange(steps)[:, None] < length
+    links = np.tile(np.arange(TAGS, dtype=np.int8), (steps, len(rows), 1))
     best, total = scores[0], scores[0]
-    links = np.tile(np.arange(TAGS), (steps, len(rows), 1))
+    if ahead_of:
+        best = (ahead_of[0][:, :, None] + moves).max(axis=1) + scores[0]
+        total = _lse(ahead_of[1][:, :, None] + moves, 1) + scores[0]
     ahead = [total]
     for t in range(1, steps):
         on = inside[t][:, None]
@@ -209,21 +219,75 @@ def decode(moves: np.ndarray, regions_: list[np.ndarray]) -> list[tuple[np.ndarr
         best = np.where(on, way.max(axis=1) + scores[t], best)
         total = np.where(on, _lse(total[:, :, None] + moves, 1) + scores[t], total)
         ahead.append(total)
-    behind = np.zeros((len(rows), TAGS))
-    chance = np.zeros(scores.shape)
-    tags = np.zeros((steps, len(rows)), dtype=np.int64)
-    tag = best.argmax(axis=1)
-    whole = _lse(total, 1)[:, None]
+    behind, tag = after or (np.zeros((len(rows), TAGS)), best.argmax(axis=1))
+    sure = np.zeros((steps, len(rows)))
+    tags = np.zeros((steps, len(rows)), dtype=np.int8)
+    whole = _lse(total + behind, 1)
     for t in range(steps - 1, -1, -1):
         tags[t] = tag
-        chance[t] = np.exp(ahead[t] + behind - whole)
+        sure[t] = np.exp(ahead[t][rows, tag] + behind[rows, tag] - whole)
         tag = links[t, rows, tag]
         if t:
             behind = np.where(inside[t][:, None], _lse(moves + (scores[t] + behind)[:, None, :], 2), behind)
-    sure = np.take_along_axis(chance, tags[:, :, None], 2)[:, :, 0]
     return [(tags[:n, k], sure[:n, k]) for k, n in enumerate(length)]
 
 
+def transfers(moves: np.ndarray, parts: list[np.ndarray]) -> np.ndarray:
+    """Best and summed scores (part, 2, tag, tag) of all ways through each part, from the tag before it to its last."""
+    length = np.array([len(r) for r in parts])
+    scores = np.zeros((int(length.max()), len(parts), 1, TAGS))
+    for k, own in enumerate(parts):
+        scores[: len(own), k, 0] = own
+    # ways that don't exist cost more than any real one
+    best = np.tile(np.where(np.eye(TAGS) > 0, 0.0, -1e30), (len(parts), 1, 1))
+    total, factor = best, np.exp(moves)
+    for t, own in enumerate(scores):
+        on = (t < length)[:, None, None]
+        way = best[:, :, :1] + moves[0]
+        for tag in range(1, TAGS):
+            np.maximum(way, best[:, :, tag : tag + 1] + moves[tag], out=way)
+        best = np.where(on, way + own, best)
+        top = total.max(axis=2, keepdims=True)
+        total = np.where(on, np.log(np.exp(total - top) @ factor) + top + own, total)
+    return np.stack([best, total], axis=1)
+
+
+def decode_long(moves: np.ndarray, read: Callable[[int, int], np.ndarray], length: int, *, block: int = 1 << 16, part: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """What ``decode`` says of one region of any length, whose scores ``read(start, stop)`` gives.
+
+    Scores are held of one block at a time. A block's parts run side by side: first
+    for every tag before them, which gives the exact messages between parts, then
+    with these. The first character has none before it and is handled alone.
+    """
+
+    def blocks() -> Iterator[list[np.ndarray]]:
+        for a in range(1, length, block):
+            own = read(a, min(length, a + block)).astype(np.float64)
+            yield [own[k : k + part] for k in range(0, len(own), part)]
+
+    through = np.concatenate([transfers(moves, parts) for parts in blocks()])
+    first = read(0, 1)[0].astype(np.float64)
+    ahead = np.zeros((2, len(through) + 1, TAGS))
+    ahead[:, 0] = first
+    for k, (best, total) in enumerate(through):
+        ahead[0, k + 1] = (ahead[0, k][:, None] + best).max(axis=0)
+        ahead[1, k + 1] = _lse(ahead[1, k][:, None] + total, 0)
+    behind = np.zeros((len(through) + 1, TAGS))
+    last = np.zeros(len(through) + 1, dtype=np.int64)
+    last[-1] = ahead[0, -1].argmax()
+    for k in range(len(through) - 1, -1, -1):
+        behind[k] = _lse(through[k, 1] + behind[k + 1], 1)
+        last[k] = (ahead[0, k] + through[k, 0][:, last[k + 1]]).argmax()
+    chance = ahead[1, 0] + behind[0]
+    done = [(last[:1].astype(np.int8), np.exp(chance[last[:1]] - _lse(chance, 0)))]
+    k = 0
+    for parts in blocks():
+        n = k + len(parts)
+        done += decode(moves, parts, (ahead[0, k:n], ahead[1, k:n]), (behind[k + 1 : n + 1], last[k + 1 : n + 1]))
+        k = n
+    return np.concatenate([tags for tags, _ in done]), np.concatenate([sure for _, sure in done])
+
+
 # ---- training -------------------------------------------------------------
 
 
@@ -302,45 +366,89 @@ def learn_tagger(docs: DataFrame, *, texts: int = 4000) -> bytes:
 # ---- tagging --------------------------------------------------------------
 
 
-def tagger_spans(model: Arrays, texts: list[str]) -> list[list[Span]]:
-    """Confident and valid spans of the tagger in each text."""
-    places, xs = [], []
-    own_classes = {}
-    for k, text in enumerate(texts):
-        for a, b in regions(text):
-            own = own_classes.setdefault(k, classes(text) if k not in own_classes else None)
-            for start in window_starts(a, b):
-                stop = min(len(text), start + WINDOW)
-                places.append((k, a, b, start, stop))
-                xs.append(np.pad(own[start:stop], (0, WINDOW - stop + start)))
-    votes: dict[tuple[int, int, int], list[np.ndarray]] = {}
-    near = np.minimum(np.arange(WINDOW), np.arange(WINDOW)[::-1]).astype(np.float32)[:, None] + 1
+NEAR = np.minimum(np.arange(WINDOW), np.arange(WINDOW)[::-1]).astype(np.float32)[:, None] + 1
+
+
+def region_scores(model: Arrays, asked: list[tuple[str, int, int, int, int]]) -> list[np.ndarray]:
+    """The windows' votes on characters [lo, hi) of regions [a, b), given as (text, a, b, lo, hi)."""
+    places, xs, held = [], [], []
+    for k, (text, a, b, lo, hi) in enumerate(asked):
+        starts = window_starts(a, b)[max(0, (lo - a - WINDOW) // STRIDE + 1) : max(1, -((a - hi) // STRIDE))]
+        own = classes(text[starts[0] : starts[-1] + WINDOW])
+        own = np.pad(own, (0, starts[-1] + WINDOW - starts[0] - len(own)))
+        for start in starts:
+            places.append((k, start))
+            xs.append(own[start - starts[0] : start - starts[0] + WINDOW])
+        held.append((np.zeros((hi - lo, TAGS), dtype=np.float32), np.zeros((hi - lo, 1), dtype=np.float32)))
     for first in range(0, len(xs), 256):
         scores = emissions(model, np.stack(xs[first : first + 256]))[0]
-        for w, (k, a, b, start, stop) in enumerate(places[first : first + 256]):
-            held = votes.setdefault((k, a, b), [np.zeros((b - a, TAGS), dtype=np.float32), np.zeros((b - a, 1), dtype=np.float32)])
-            last = min(stop, b)
-            held[0][start - a : last - a] += near[: last - start] * scores[: last - start, w]
-            held[1][start - a : last - a] += near[: last - start]
-    out: list[list[Span]] = [[] for _ in texts]
-    held_scores = sorted(((at, total / np.maximum(weight, 1e-6)) for at, (total, weight) in votes.items()), key=lambda v: (len(v[1]), v[0]))
-    for first in range(0, len(held_scores), 128):
-        group = held_scores[first : first + 128]
+        for w, (k, start) in enumerate(places[first : first + 256]):
+            _, _, _, lo, hi = asked[k]
+            x, y = max(start, lo), min(start + WINDOW, hi)
+            held[k][0][x - lo : y - lo] += NEAR[x - start : y - start] * scores[x - start : y - start, w]
+            held[k][1][x - lo : y - lo] += NEAR[x - start : y - start]
+    return [total / np.maximum(weight, 1e-6) for total, weight in held]
+
+
+def _short(model: Arrays, texts: list[str], own: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Decode regions in groups of at most ``CELLS`` characters, padding included."""
+    order = sorted(zip(own, region_scores(model, [(texts[k], a, b, a, b) for k, a, b in own]), strict=True), key=lambda v: (len(v[1]), v[0]))
+    first = 0
+    while first < len(order):
+        stop = first + 1
+        while stop < len(order) and (stop + 1 - first) * len(order[stop][1]) <= CELLS:
+            stop += 1
+        group = order[first:stop]
         for ((k, a, _), _), (tags, sure) in zip(group, decode(model["moves"], [v for _, v in group]), strict=True):
-            for start in np.flatnonzero(tags % 2 == 1).tolist():
-                stop = start + 1
-                while stop < len(tags) and tags[stop] == tags[start] + 1:
-                    stop += 1
-                kind = KINDS[(tags[start] - 1) // 2]
-                if sure[start:stop].min() >= SURE and valid(kind, texts[k][a + start : a + stop]):
-                    out[k].append((a + start, a + stop, kind))
+            yield k, a, tags, sure
+        first = stop
+
+
+def _decoded(model: Arrays, texts: list[str]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Text, start, tags and chances of every region; memory is bounded by a few blocks of characters."""
+    waiting, size = [], 0
+    for k, text in enumerate(texts):
+        for a, b in regions(text):
+            if b - a > LONG:
+                yield k, a, *decode_long(model["moves"], lambda lo, hi: region_scores(model, [(text, a, b, a + lo, a + hi)])[0], b - a)
+                continue
+            waiting.append((k, a, b))
+            size += b - a
+            if size >= CELLS:
+                yield from _short(model, texts, waiting)
+                waiting, size = [], 0
+    yield from _short(model, texts, waiting)
+
+
+def tagger_spans(model: Arrays, texts: list[str]) -> list[list[Span]]:
+    """Confident and valid spans of the tagger in each text."""
+    out: list[list[Span]] = [[] for _ in texts]
+    for k, a, tags, sure in _decoded(model, texts):
+        for start in np.flatnonzero(tags % 2 == 1).tolist():
+            stop = start + 1
+            while stop < len(tags) and tags[stop] == tags[start] + 1:
+                stop += 1
+            kind = KINDS[(int(tags[start]) - 1) // 2]
+            if sure[start:stop].min() >= SURE and valid(kind, texts[k][a + start : a + stop]):
+                out[k].append((a + start, a + stop, kind))
     return [sorted(own) for own in out]
 
 
 def all_spans(base: list[Span], added: list[Span]) -> list[Span]:
     """Base spans, and those added ones that overlap none of them."""
-    free = [s for s in added if not any(s[0] < b[1] and b[0] < s[1] for b in base)]
-    return sorted([*base, *free], key=lambda s: (s[0], KINDS.index(s[2])))
+    taken: list[list[int]] = []
+    for a, b, _ in base:  # by start
+        if taken and a <= taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], b)
+        else:
+            taken.append([a, b])
+    starts = [a for a, _ in taken]
+
+    def free(a: int, b: int) -> bool:
+        before = bisect_left(starts, b)  # the last one that starts before the span's end
+        return not before or taken[before - 1][1] <= a
+
+    return sorted([*base, *(s for s in added if free(s[0], s[1]))], key=lambda s: (s[0], KINDS.index(s[2])))
 
 
 def written(spans: list[Span]) -> str:
