@@ -9,6 +9,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+import regex
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -217,7 +218,7 @@ def test_op9_patterns_and_redaction(odd):
     assert pii.find_pii(odd.where("false"), b"").count() == 0
 
 
-def test_op9_long_region_in_parts_equals_whole():
+def test_op9_long_stretch_in_parts_equals_whole():
     random = np.random.default_rng(2)
     moves = random.normal(0, 2, (pii.TAGS, pii.TAGS))
     for length in (2, 9, 100, 333):
@@ -225,25 +226,109 @@ def test_op9_long_region_in_parts_equals_whole():
         tags, sure = pii.decode(moves, [scores])[0]
         got = pii.decode_long(moves, lambda a, b: scores[a:b], length, block=56, part=8)
         assert (got[0] == tags).all() and np.allclose(got[1], sure)
-    model = pii.fresh(random)
-    text = "1 " * 300
-    whole = pii.region_scores(model, [(text, 0, 600, 0, 600)])[0]
-    for lo, hi in ((0, 1), (1, 97), (47, 49), (500, 600), (599, 600)):
-        assert np.allclose(whole[lo:hi], pii.region_scores(model, [(text, 0, 600, lo, hi)])[0], atol=1e-5)
+
+
+def test_op9_reading_equals_training_pass():
+    random = np.random.default_rng(6)
+    model, x = pii.fresh(random), random.integers(0, 40, (5, 64)).astype(np.uint8)
+    assert np.allclose(pii.read_windows(model, x), pii.emissions(model, x)[0].transpose(1, 0, 2), atol=1e-4)
+    code, place, bounds = pii.reading(["", "aaaa BBBB1111  x", "bbb", ""])
+    assert "".join(map(str, place)) == "0345891011121314150" + "2" and bounds.tolist() == [0, 0, 12, 14, 14]
+
+
+def test_op9_cuts_only_where_the_best_path_is_untagged():
+    random = np.random.default_rng(9)
+    cut = 0
+    for k in range(60):
+        moves = random.normal(0, 1.5, (pii.TAGS, pii.TAGS))
+        moves[0, 0] += k % 5
+        scores = random.normal(0, 2, (80, pii.TAGS))
+        scores[:, 0] += 4 + k % 3
+        border = np.zeros(81, dtype=bool)
+        border[[0, 50, 80]] = True
+        sure = pii.surely_outside(scores, moves, border)
+        best = np.concatenate([pii.decode(moves, [part])[0][0] for part in (scores[:50], scores[50:])])
+        assert not best[sure].any()
+        cut += sure.sum()
+    assert cut > 400
+
+
+def test_op9_stretches_do_not_depend_on_blocks_or_neighbours(monkeypatch):
+    model = dict(pii.fresh(np.random.default_rng(6)))
+    model["wo"] *= 15
+    model["bo"][0] = 3
+    texts = ["1 " * 300, "", "call 5 or 6.b@c.example " * 20, "x" * 400, "7"]
+
+    def tags(texts, block=1 << 18):
+        code, _, bounds = pii.reading(texts)
+        out = np.zeros(len(code), dtype=np.int64)
+        for a, own, _ in pii.stretches(model, code, bounds, block=block):
+            out[a : a + len(own)] = np.maximum(out[a : a + len(own)], own)
+        return out
+
+    whole = tags(texts)
+    assert whole.any() and all((tags(texts, block) == whole).all() for block in (64, 100, 333))
+    assert (np.concatenate([tags([t]) for t in texts]) == whole).all()
+    monkeypatch.setattr(pii, "LONG", 50)
+    assert (tags(texts, 100) == whole).all()
 
 
 def test_op9_long_table_beside_short_texts(monkeypatch):
     decode, cells = pii.decode, []
 
-    def watched(moves, regions_, *more):
-        cells.append(len(regions_) * max(map(len, regions_)))
+    def watched(moves, parts, *more):
+        cells.append(len(parts) * max(map(len, parts)))
         assert cells[-1] <= 1 << 20  # 240 bytes each
-        return decode(moves, regions_, *more)
+        return decode(moves, parts, *more)
 
     monkeypatch.setattr(pii, "decode", watched)
     short = [f"call +1 (523) 555-{1000 + k} or {k}.b@c.example" for k in range(127)]
-    assert len(pii.tagger_spans(pii.fresh(np.random.default_rng(6)), [*short, "12.5, 7\n" * (1 << 17)])) == 128
-    assert sum(cells) > 1 << 20
+    assert len(pii.tagger_spans(pii.fresh(np.random.default_rng(6)), [*short, "12.5, 7\n" * (1 << 16)])) == 128
+    assert sum(cells) > 1 << 19
+
+
+def brute_base(text):
+    """The contract's spans, by another engine and checks of its own."""
+    out = []
+    for m in regex.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", text):
+        out.append((m.start(), 0, m.end()))
+    for m in regex.finditer(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", text):
+        if all(int(x) <= 255 for x in m.group().split(".")):
+            out.append((m.start(), 1, m.end()))
+    for m in regex.finditer(r"[0-9](?:[ -]?[0-9])+", text):
+        d = [int(c) for c in m.group() if c.isdigit()]
+        total = sum(x if k % 2 == 0 else (2 * x if x < 5 else 2 * x - 9) for k, x in enumerate(reversed(d)))
+        if 12 <= len(d) <= 19 and total % 10 == 0:
+            out.append((m.start(), 2, m.end()))
+    for m in regex.finditer(r"\+[0-9][ ().0-9-]+[0-9]", text):
+        if 9 <= sum(c.isdigit() for c in m.group()) <= 15:
+            out.append((m.start(), 3, m.end()))
+    return [(a, b, pii.KINDS[k]) for a, k, b in sorted(out)]
+
+
+def test_op9_finds_planted_spans_and_recounts_base(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    model = pii.learn_tagger(docs.where("doc_id % 2 = 0"))
+    random = np.random.default_rng(99)
+    rows, want = [], {}
+    for k, r in enumerate(docs.where("doc_id % 2 = 1").collect()):
+        text = r["text"] or ""
+        at = max(0, text.find(" ", int(random.integers(0, len(text) + 1))))
+        piece, own = pii.planted(random) if k % 2 else (pii.harmless(random), [])
+        rows.append((k, f"{text[:at]} {piece} {text[at:]}"))
+        want[k] = (at + 1, at + 1 + len(piece), {(a + at + 1, b + at + 1, kind) for a, b, kind in own})
+    hit = missed = wrong = 0
+    for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string"), model).collect():
+        base = brute_base(r["text"])
+        assert r["base_sha256"] == hashlib.sha256(pii.written(base).encode()).hexdigest()
+        assert [r[f"n_{k}"] for k in pii.KINDS] == [sum(s[2] == k for s in base) for k in pii.KINDS]
+        spans = {(int(a), int(b), kind) for kind, a, b in (s.split(":") for s in r["spans"].split(",") if s)}
+        assert set(base) <= spans
+        a, b, own = want[r["doc_id"]]
+        hit += len(own & spans)
+        missed += len(own - spans)
+        wrong += sum(s not in own and s[0] < b and a < s[1] for s in spans - set(base))
+    assert hit >= 0.75 * (hit + missed) and wrong <= 0.1 * hit, (hit, missed, wrong)
 
 
 def test_op9_added_spans_overlap_no_base_span():

@@ -22,6 +22,24 @@ def prior_shift(labels: np.ndarray, rates: np.ndarray) -> float:
     return float(np.log(either[1].mean() / either[0].mean())) if len(either[0]) and len(either[1]) else 0.0
 
 
+def fit(rows: DataFrame, learn: Callable[[pa.Table], Arrays]) -> bytes:
+    """Run ``learn`` over a bounded number of rows in one task; returns an npz file, empty without rows.
+
+    The rows keep the order they have within the one partition of ``rows``.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if not sum(b.num_rows for b in held):
+            return
+        file = io.BytesIO()
+        np.savez(file, **learn(pa.Table.from_batches(held).combine_chunks()))
+        yield pa.RecordBatch.from_pydict({"model": pa.array([file.getvalue()], pa.binary())})
+
+    found = rows.mapInArrow(run, "model binary").collect()
+    return bytes(found[0]["model"]) if found else b""
+
+
 def train(sample: DataFrame, learn: Callable[[pa.Array, np.ndarray], Arrays]) -> bytes:
     """Run ``learn(texts, labels)`` over a sample of bounded size; returns an npz file.
 
@@ -32,20 +50,12 @@ def train(sample: DataFrame, learn: Callable[[pa.Array, np.ndarray], Arrays]) ->
     """
     rate = F.col("rate").cast("double") if "rate" in sample.columns else F.lit(1.0)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = pa.table({"text": pa.chunked_array([], pa.string()), "label": pa.chunked_array([], pa.int32()), "rate": pa.chunked_array([], pa.float64())})
-        held = pa.concat_tables([held, *(pa.table({"text": b.column(0), "label": b.column(1), "rate": b.column(2)}) for b in batches)])
-        if not held.num_rows:
-            return
-        file = io.BytesIO()
+    def of_table(held: pa.Table) -> Arrays:
         labels = held.column("label").to_numpy()
-        shift = prior_shift(labels, held.column("rate").to_numpy())
-        np.savez(file, **learn(held.column("text").combine_chunks(), labels), shift=np.array([shift]))
-        yield pa.RecordBatch.from_pydict({"model": pa.array([file.getvalue()], pa.binary())})
+        return learn(held.column("text").combine_chunks(), labels) | {"shift": np.array([prior_shift(labels, held.column("rate").to_numpy())])}
 
-    ordered = sample.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "text").select(F.coalesce("text", F.lit("")).alias("text"), "label", rate.alias("rate"))
-    rows = ordered.mapInArrow(run, "model binary").collect()
-    return bytes(rows[0]["model"]) if rows else b""
+    ordered = sample.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "text")
+    return fit(ordered.select(F.coalesce("text", F.lit("")).alias("text"), "label", rate.alias("rate")), of_table)
 
 
 def load(model: bytes) -> Arrays:
