@@ -375,6 +375,44 @@ def test_op7_exact_on_small_and_odd_vectors(spark):
     assert neighbours.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def recall_of(found, rows, k=20, every=20):
+    """Share of the true neighbours found; each query must have k rows, ranked by the exact score."""
+    ids, vectors = np.array([i for i, _ in rows]), np.array([v for _, v in rows], dtype=np.float64)
+    hit = total = 0
+    for q, v in zip(ids, vectors):
+        if q % every == 0:
+            own = sorted((r["rank"], r["vec_id"], r["score"]) for r in found if r["query_id"] == q)
+            near = np.where(ids == q, -np.inf, vectors @ v)
+            want = ids[np.lexsort((ids, -near))[:k]].tolist()
+            assert [o[0] for o in own] == list(range(1, k + 1)) and len({o[1] for o in own}) == k and q not in {o[1] for o in own}
+            assert all(abs(s - near[np.flatnonzero(ids == i)[0]]) < 1e-9 for _, i, s in own) and [(-s, i) for _, i, s in own] == sorted((-s, i) for _, i, s in own)
+            hit += len(set(want) & {o[1] for o in own})
+            total += k
+    return hit / total
+
+
+def test_op7_recall_of_learned_partitions(spark):
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = [(r["vec_id"], r["embedding"]) for r in table.collect()]
+    # sampled vectors are a fourth of the table
+    assert recall_of(neighbours.nearest(table, sample=500, leaf_rows=200).collect(), rows) >= 0.9
+    random = np.random.default_rng(0)
+    rows = [(k, v.tolist()) for k, v in enumerate(random.normal(size=(3000, 16)) * np.exp(random.normal(0, 0.5, (3000, 1))))]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    own = neighbours.usable(table, "vec_id", "embedding")
+    index, places = neighbours.partitioned(own, own.where("vec_id % 20 = 0"), k=20, leaf_rows=60, sample=1000, coverage=0.97)
+    assert index.count() == 3000 and index.select("part").distinct().count() > neighbours.FANOUT
+    assert places.groupBy("h1").count().where("count > 1").count() > 0
+    assert recall_of(neighbours.nearest(table, sample=1000, leaf_rows=60).collect(), rows) >= 0.9
+
+
+def test_op7_copies_are_searched_once_and_found_all(spark):
+    random = np.random.default_rng(1)
+    rows = [(k, [1.0, 0.5, 0.25, 0.0] if k % 3 == 0 else random.normal(size=4).tolist()) for k in range(400)]
+    got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), leaf_rows=100, coverage=1.0).collect()
+    assert recall_of(got, rows) == 1
+
+
 def test_op1_deviation_and_odd_rows(spark, odd):
     weights = spark.createDataFrame([("a", 5), ("b", 3), ("c", 1), ("d", 1), ("(none)", 2)], "source string, weight int")
     plan = sorted((r["slot"], r["source"], r["weight"], r["period"]) for r in mixing.period_plan(weights).collect())

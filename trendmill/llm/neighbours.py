@@ -1,15 +1,18 @@
 """Approximate nearest neighbours over learned partitions.
 
-A bounded sample gives a neighbour graph. Balanced partitioning of that graph
-(recursive halving by its slow vectors, refined by the neighbours' votes) labels
-the sample; a softmax classifier learns to tell a vector's partition. Every
-vector is indexed under its most probable partition. A query goes to its most
-probable partitions until they hold ``coverage`` of its probability, and all
-their vectors are compared with it exactly.
+Partitions form a tree that grows with the table. In each partition that is still
+too large, a bounded sample gives a neighbour graph by inner products; balanced
+partitioning of that graph (recursive halving by its slow vectors) labels the
+sample, and a small classifier learns two things: where a vector is kept, and
+where the neighbours of a query of that direction are. Every vector is indexed in
+its most probable leaf. A query goes to its most probable partitions until they
+hold ``coverage`` of its probability and enough vectors; all of these are compared
+with it exactly. Equal vectors are searched once.
 """
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +23,10 @@ from pyspark.sql import functions as F
 from .storage import stored
 
 CELL_ROWS = 4096
+QUERY_ROWS = 1024
 NEIGHBOURS = 10
+FANOUT = 32
+SALTS = 16
 
 
 def knn_graph(rows: np.ndarray, k: int = NEIGHBOURS) -> np.ndarray:
@@ -63,42 +69,45 @@ def partition_graph(graph: np.ndarray, depth: int) -> np.ndarray:
     return label
 
 
-def train_router(rows: np.ndarray, graph: np.ndarray, label: np.ndarray, parts: int, hidden: int = 96, epochs: int = 40) -> dict[str, np.ndarray]:
-    """One hidden layer; a vector's target is the share of its neighbours in each part."""
-    random = np.random.default_rng(29)
-    target = np.zeros((len(rows), parts))
-    for k in range(graph.shape[1]):
-        np.add.at(target, (np.arange(len(rows)), label[graph[:, k]]), 1)
-    np.add.at(target, (np.arange(len(rows)), label), 1)
-    target /= target.sum(axis=1, keepdims=True)
-    size = rows.shape[1]
-    net = {"w1": random.normal(0, size**-0.5, (size, hidden)), "b1": np.zeros(hidden), "w2": random.normal(0, hidden**-0.5, (hidden, parts)), "b2": np.zeros(parts)}
-    first, second, step = {n: 0.0 for n in net}, {n: 0.0 for n in net}, 0
-    for _ in range(epochs):
-        order = random.permutation(len(rows))
-        for a in range(0, len(rows), 256):
-            at = order[a : a + 256]
-            inner = np.tanh(rows[at] @ net["w1"] + net["b1"])
-            chance = softmax(inner @ net["w2"] + net["b2"])
-            error = (chance - target[at]) / len(at)
-            back = error @ net["w2"].T * (1 - inner**2)
-            slope = {"w1": rows[at].T @ back, "b1": back.sum(axis=0), "w2": inner.T @ error, "b2": error.sum(axis=0)}
-            step += 1
-            for n, g in slope.items():
-                first[n] = 0.9 * first[n] + 0.1 * g
-                second[n] = 0.999 * second[n] + 0.001 * g * g
-                net[n] = net[n] - 0.004 * (first[n] / (1 - 0.9**step)) / (np.sqrt(second[n] / (1 - 0.999**step)) + 1e-8)
-    return net
-
-
 def softmax(x: np.ndarray) -> np.ndarray:
     e = np.exp(x - x.max(axis=1, keepdims=True))
     return e / e.sum(axis=1, keepdims=True)
 
 
-def route(net: dict[str, np.ndarray], rows: np.ndarray) -> np.ndarray:
+def inputs(rows: np.ndarray, typical: float, asks: bool) -> np.ndarray:
+    """What the classifier reads: the direction, and for a kept vector also its length; a query's length means nothing."""
     size = np.linalg.norm(rows, axis=1, keepdims=True)
-    return softmax(np.tanh(rows / size @ net["w1"] + net["b1"]) @ net["w2"] + net["b2"])
+    length = np.zeros_like(size) if asks else np.clip(np.log(size / typical), -4, 4)
+    return np.concatenate([rows / size, length, np.full_like(size, float(asks))], axis=1)
+
+
+def train_router(rows: np.ndarray, graph: np.ndarray, label: np.ndarray, parts: int, *, hidden: int = 96, passes: int = 40) -> dict[str, np.ndarray]:
+    """One hidden layer. A kept vector's target is its part, a query's the parts of its neighbours."""
+    random = np.random.default_rng(29)
+    typical = float(np.median(np.linalg.norm(rows, axis=1)))
+    near = np.zeros((len(rows), parts))
+    for k in range(graph.shape[1]):
+        np.add.at(near, (np.arange(len(rows)), label[graph[:, k]]), 1)
+    x = np.concatenate([inputs(rows, typical, True), inputs(rows, typical, False)])
+    target = np.concatenate([near / near.sum(axis=1, keepdims=True), np.eye(parts)[label]])
+    net = {"w1": random.normal(0, x.shape[1] ** -0.5, (x.shape[1], hidden)), "b1": np.zeros(hidden), "w2": random.normal(0, hidden**-0.5, (hidden, parts)), "b2": np.zeros(parts)}
+    first, second = {n: 0.0 for n in net}, {n: 0.0 for n in net}
+    for step in range(1, max(200, passes * len(x) // 256) + 1):
+        at = random.integers(0, len(x), 256)
+        inner = np.tanh(x[at] @ net["w1"] + net["b1"])
+        error = (softmax(inner @ net["w2"] + net["b2"]) - target[at]) / len(at)
+        back = error @ net["w2"].T * (1 - inner**2)
+        slope = {"w1": x[at].T @ back, "b1": back.sum(axis=0), "w2": inner.T @ error, "b2": error.sum(axis=0)}
+        for n, g in slope.items():
+            first[n] = 0.9 * first[n] + 0.1 * g
+            second[n] = 0.999 * second[n] + 0.001 * g * g
+            net[n] = net[n] - 0.004 * (first[n] / (1 - 0.9**step)) / (np.sqrt(second[n] / (1 - 0.999**step)) + 1e-8)
+    return net | {"typical": np.array([typical])}
+
+
+def route(net: dict[str, np.ndarray], rows: np.ndarray, asks: bool) -> np.ndarray:
+    inner = np.tanh(inputs(rows, net["typical"][0], asks) @ net["w1"] + net["b1"])
+    return softmax(inner @ net["w2"] + net["b2"])
 
 
 def exact_products(query: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -109,24 +118,21 @@ def exact_products(query: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return total
 
 
-def best_of_cell(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query its k best rows: by product, then by smaller id; never itself."""
+def best_of_cell(queries: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each query its k best rows: by product, then by smaller id."""
     for a in range(0, len(queries), 256):
         rough = queries[a : a + 256] @ rows.T
         for q, own in enumerate(rough, a):
-            other = ids != query_ids[q]
-            own = np.where(other, own, -np.inf)
+            near = np.arange(len(own))
             if len(own) > k:
                 least = np.partition(own, len(own) - k)[len(own) - k]
-                near = np.flatnonzero((own >= least - 1e-9 * (1 + abs(least))) & other)
-            else:
-                near = np.flatnonzero(other)
+                near = np.flatnonzero(own >= least - 1e-9 * (1 + abs(least)))
             score = exact_products(queries[q], rows[near])
-            best = near[np.lexsort((ids[near], -score))[:k]]
-            yield q, ids[best], exact_products(queries[q], rows[best])
+            best = np.lexsort((ids[near], -score))[:k]
+            yield ids[near[best]], score[best]
 
 
-def _vectors(column: pa.Array) -> np.ndarray:
+def _vectors(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     if not len(column):
         return np.zeros((0, 0))
@@ -135,29 +141,90 @@ def _vectors(column: pa.Array) -> np.ndarray:
 
 
 def usable(vectors: DataFrame, id_column: str, vector: str) -> DataFrame:
-    """``vec_id, vector`` (doubles) of the rows that take part."""
+    """``vec_id, vector`` (doubles), and two hashes of the vector, of the rows that take part."""
     v = F.col(vector)
     fine = v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    return vectors.where(F.col(id_column).isNotNull() & fine).select(F.col(id_column).cast("long").alias("vec_id"), v.cast("array<double>").alias("vector"))
-
-
-def learn_router(vectors: DataFrame, *, sample: int = 8000, per_part: int = 250) -> dict[str, np.ndarray]:
-    """Fit graph, partition and router on about ``sample`` vectors chosen by a hash of their ids."""
-    size = max(1, vectors.count())
-    share = min(1.0, sample / size)
-    chosen = vectors.where(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < int(1_000_000 * share)).orderBy("vec_id").toArrow()
-    rows = _vectors(chosen.column("vector"))
-    rows = rows / np.linalg.norm(rows, axis=1, keepdims=True) if len(rows) else rows
-    if len(rows) < 4 * per_part:
-        wide = rows.shape[1] if rows.size else 0
-        return {"w1": np.zeros((wide, 1)), "b1": np.zeros(1), "w2": np.zeros((1, 1)), "b2": np.zeros(1)}
-    rows = np.unique(rows, axis=0)
-    depth = max(1, min(6, int(np.log2(len(rows) / per_part))))
-    graph = knn_graph(rows)
-    return train_router(rows, graph, partition_graph(graph, depth), 2**depth)
-
-
-def nearest(vectors: DataFrame, *, k: int = 20, every: int = 20, coverage: float = 0.97, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    own = vectors.where(F.col(id_column).isNotNull() & fine).select(F.col(id_column).cast("long").alias("vec_id"), F.transform(v.cast("array<double>"), lambda x: x + 0.0).alias("vector"))
+    return own.select("vec_id", "vector", F.xxhash64("vector").alias("h1"), F.xxhash64(F.lit(1), "vector").alias("h2"))
+
+
+def _learn_part(sample: int, leaf_rows: int):
+    def run(table: pa.Table) -> pa.Table:
+        part, size = table.column("part")[0].as_py(), table.column("size")[0].as_py()
+        rows = np.unique(_vectors(table.column("vector")), axis=0)
+        depth = min(int(np.ceil(np.log2(min(FANOUT, max(2, size / leaf_rows))))), int(np.log2(max(1, len(rows) / 8))))
+        if depth < 1:  # too few different vectors to tell parts
+            return pa.table({"part": pa.array([], pa.int64()), "net": pa.array([], pa.binary())})
+        graph = knn_graph(rows)
+        file = io.BytesIO()
+        np.savez(file, **train_router(rows, graph, partition_graph(graph, depth), 2**depth))
+        return pa.table({"part": pa.array([part], pa.int64()), "net": pa.array([file.getvalue()], pa.binary())})
+
+    return run
+
+
+def _routed(asks: bool):
+    """One group holds some rows of a part, and the part's router if there is one."""
+
+    def run(rows: pa.Table, nets: pa.Table) -> pa.Table:
+        if not rows.num_rows:
+            return rows.select(names)
+        if not nets.num_rows:
+            return rows.select(names).append_column("child", rows.column("part")).append_column("chance", pa.array(np.ones(rows.num_rows)))
+        net = dict(np.load(io.BytesIO(nets.column("net")[0].as_py())))
+        chance = route(net, _vectors(rows.column("vector")), asks)
+        base = rows.column("part").to_numpy() * FANOUT + 1
+        at, child = np.nonzero(chance >= 0) if asks else (np.arange(rows.num_rows), chance.argmax(axis=1))
+        return rows.select(names).take(pa.array(at)).append_column("child", pa.array(base[at] + child)).append_column("chance", pa.array(chance[at, child]))
+
+    names = ["h1", "h2"] if asks else ["h1", "h2", "vec_id", "vector"]
+    return run
+
+
+def _step(rows: DataFrame, nets: DataFrame, asks: bool) -> DataFrame:
+    """Rows with ``child`` and ``chance``; of a query its hashes with every child. Router and rows meet in cells."""
+    sizes = rows.groupBy("part").agg(F.ceil(F.count("*") / F.lit(CELL_ROWS)).cast("int").alias("cells"))
+    cell = F.pmod(F.xxhash64("vec_id", "h1"), F.col("cells")).cast("int")
+    dealt = rows.join(sizes, "part").withColumn("cell", cell)
+    spread = nets.join(sizes, "part").select("part", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), "net")
+    schema = f"h1 long, h2 long, {'' if asks else 'vec_id long, vector array<double>, '}child long, chance double"
+    return dealt.select("part", "cell", "h1", "h2", "vec_id", "vector").groupBy("part", "cell").cogroup(spread.groupBy("part", "cell")).applyInArrow(_routed(asks), schema)
+
+
+def partitioned(own: DataFrame, asked: DataFrame, *, k: int, leaf_rows: int, sample: int, coverage: float) -> tuple[DataFrame, DataFrame]:
+    """``own`` with its leaf as ``part``, and ``asked`` with a row per leaf to be searched.
+
+    Each round splits the partitions of over ``leaf_rows`` vectors that different
+    vectors can split. Only the number of those reaches the driver.
+    """
+    index = own.withColumn("part", F.lit(0).cast("long"))
+    route_to = asked.withColumns({"part": F.lit(0).cast("long"), "sure": F.lit(1.0)})
+    done = None
+    while True:
+        sizes = stored(index.groupBy("part").agg(F.count("*").alias("size")))
+        large = sizes.where(F.col("size") > leaf_rows)
+        large = large.join(done, "part", "left_anti") if done is not None else large
+        if large.isEmpty():
+            return index, route_to
+        picked = index.join(large, "part").where(F.pmod(F.xxhash64("h1", "h2", "vec_id"), F.lit(1_000_000)) < F.least(F.lit(1.0), F.lit(float(sample)) / F.col("size")) * 1_000_000)
+        nets = stored(picked.select("part", "size", "vector").groupBy("part").applyInArrow(_learn_part(sample, leaf_rows), "part long, net binary"))
+        failed = large.select("part").join(nets.select("part"), "part", "left_anti")
+        done = stored(failed if done is None else done.unionByName(failed))
+        index = stored(_step(index, nets, False).select("h1", "h2", "vec_id", "vector", F.col("child").alias("part")))
+        held = index.groupBy("part").agg(F.count("*").alias("size"))
+        # the chance of a path is the product along it
+        known = route_to.select("h1", "h2", F.col("part").alias("from"), "sure")
+        stepped = _step(route_to.drop("sure"), nets, True)
+        came = F.when(F.col("child") == 0, F.lit(0)).otherwise(F.floor((F.col("child") - 1) / FANOUT)).cast("long")
+        kept = stepped.join(nets.select(F.col("part").alias("split")), came == F.col("split"), "left")
+        kept = kept.withColumn("from", F.when(F.col("split").isNull(), F.col("child")).otherwise(came)).join(known, ["h1", "h2", "from"]).join(held, F.col("child") == F.col("part"))
+        order = "PARTITION BY h1, h2 ORDER BY chance * sure DESC, child ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+        ranked = kept.withColumns({"before": F.expr(f"coalesce(sum(chance * sure) OVER ({order}), 0)"), "rows_before": F.expr(f"coalesce(sum(size) OVER ({order}), 0)")})
+        chosen = ranked.where((F.col("before") < coverage) | (F.col("rows_before") <= k)).select("h1", "h2", F.col("child").alias("part"), (F.col("chance") * F.col("sure")).alias("sure"))
+        route_to = stored(chosen.join(asked, ["h1", "h2"]))
+
+
+def nearest(vectors: DataFrame, *, k: int = 20, every: int = 20, coverage: float = 0.97, leaf_rows: int = 256, sample: int = 4000, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """``query_id, rank, vec_id, score``: the k nearest found of each queried row.
 
     Queries are the rows whose id is divisible by ``every``; candidates are all
@@ -166,51 +233,42 @@ def nearest(vectors: DataFrame, *, k: int = 20, every: int = 20, coverage: float
     non-finite components take no part; vectors of one table share one length.
     Repeated rows of one id count once each. An empty table gives no rows.
 
-    A partition with many rows is cut into cells by a hash of the ids, so equal
-    vectors, however many, are spread; each cell keeps its k best per query, and
-    those are merged.
+    Of equal vectors the k + 1 with the smallest ids are candidates: the others
+    could only follow them. Equal queries are searched once. A leaf with many rows
+    or queries is cut into cells by hashes, so every group of the search is bounded;
+    each keeps its k + 1 best per query, and those are merged.
     """
-    spark = vectors.sparkSession
-    own = stored(usable(vectors, id_column, vector))
-    net = spark.sparkContext.broadcast(learn_router(own))
-
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                part = route(net.value, _vectors(batch.column(1))).argmax(axis=1)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part, pa.int32())], names=["vec_id", "vector", "part"])
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                chance = route(net.value, _vectors(batch.column(1)))
-                order = np.argsort(-chance, axis=1, kind="stable")
-                held = np.cumsum(np.take_along_axis(chance, order, 1), axis=1)
-                wanted = (held < coverage).sum(axis=1) + 1
-                parts = [order[q, : wanted[q]].tolist() for q in range(len(order))]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(parts, pa.list_(pa.int32()))], names=["vec_id", "vector", "parts"])
-
-    indexed = stored(own.mapInArrow(index, "vec_id long, vector array<double>, part int"))
-    cells = indexed.groupBy("part").agg(F.ceil(F.count("*") / F.lit(CELL_ROWS)).cast("int").alias("cells"))
-    # one row per partition of the router, at most 64
-    held = indexed.join(F.broadcast(cells), "part").select("part", F.pmod(F.xxhash64("vec_id"), F.col("cells")).cast("int").alias("cell"), "vec_id", "vector", F.lit(False).alias("asks"))
-    asked = own.where(F.col("vec_id") % every == 0).mapInArrow(ask, "vec_id long, vector array<double>, parts array<int>")
-    asked = asked.select("vec_id", "vector", F.explode("parts").alias("part")).join(F.broadcast(cells), "part")
-    asked = asked.select("part", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), "vec_id", "vector", F.lit(True).alias("asks"))
+    usable_rows = stored(usable(vectors, id_column, vector))
+    own = stored(usable_rows.withColumn("_n", F.expr("row_number() OVER (PARTITION BY h1, h2 ORDER BY vec_id)")).where(F.col("_n") <= k + 1).drop("_n"))
+    askers = usable_rows.where(F.col("vec_id") % every == 0).select("h1", "h2", F.col("vec_id").alias("query_id"))
+    asked = own.withColumn("_n", F.expr("row_number() OVER (PARTITION BY h1, h2 ORDER BY vec_id)")).where("_n = 1").drop("_n").join(askers.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi").select(*own.columns)
+    index, places = partitioned(own, stored(asked), k=k, leaf_rows=leaf_rows, sample=sample, coverage=coverage)
+
+    cells = index.groupBy("part").agg(F.ceil(F.count("*") / F.lit(CELL_ROWS)).cast("int").alias("cells"))
+    blocks = places.groupBy("part").agg(F.ceil(F.count("*") / F.lit(QUERY_ROWS)).cast("int").alias("blocks"))
+    grid = stored(cells.join(blocks, "part"))
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    held = index.join(grid, "part").select("part", F.pmod(F.xxhash64("vec_id", "h1"), F.col("cells")).cast("int").alias("cell"), spread("blocks").alias("block"), "h1", "h2", "vec_id", "vector", F.lit(False).alias("asks"))
+    wanted = places.join(grid, "part").select("part", spread("cells").alias("cell"), F.pmod(F.xxhash64("h1"), F.col("blocks")).cast("int").alias("block"), "h1", "h2", "vec_id", "vector", F.lit(True).alias("asks"))
 
     def search(table: pa.Table) -> pa.Table:
         asks = table.column("asks").to_numpy()
-        ids = table.column("vec_id").to_numpy()
         rows = _vectors(table.column("vector"))
-        found = [(ids[asks][q], i, s) for q, i, s in best_of_cell(rows[asks], ids[asks], rows[~asks], ids[~asks], k)] if asks.any() and not asks.all() else []
-        size = [len(i) for _, i, _ in found]
+        mine, others = np.flatnonzero(asks), np.flatnonzero(~asks)
+        found = [*best_of_cell(rows[mine], rows[others], table.column("vec_id").to_numpy()[others], k + 1)] if len(mine) and len(others) else []
+        each = np.repeat(mine[: len(found)], [len(i) for i, _ in found])
         return pa.table({
-            "query_id": pa.array(np.repeat([q for q, _, _ in found], size).astype(np.int64)),
-            "vec_id": pa.array(np.concatenate([i for _, i, _ in found]) if found else np.zeros(0, dtype=np.int64)),
-            "score": pa.array(np.concatenate([s for _, _, s in found]) if found else np.zeros(0)),
+            "h1": pa.array(table.column("h1").to_numpy()[each]), "h2": pa.array(table.column("h2").to_numpy()[each]),
+            "vec_id": pa.array(np.concatenate([i for i, _ in found]) if found else np.zeros(0, dtype=np.int64)),
+            "score": pa.array(np.concatenate([s for _, s in found]) if found else np.zeros(0)),
         })
 
-    best = held.unionByName(asked).groupBy("part", "cell").applyInArrow(search, "query_id long, vec_id long, score double")
-    merged = best.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id"))), 1, k).alias("top"))
-    ranked = merged.select("query_id", F.posexplode("top").alias("pos", "hit"))
+    best = held.unionByName(wanted).groupBy("part", "cell", "block").applyInArrow(search, "h1 long, h2 long, vec_id long, score double")
+    # as many entries as a query has searched groups, k + 1 each
+    tops = best.groupBy("h1", "h2").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id"))), 1, k + 1).alias("top"))
+    # many queries may share one vector
+    salted = tops.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    each = askers.withColumn("salt", F.pmod(F.xxhash64("query_id"), F.lit(SALTS)).cast("int")).join(salted, ["h1", "h2", "salt"])
+    own_top = F.slice(F.filter("top", lambda x: x.vec_id != F.col("query_id")), 1, k)
+    ranked = each.select("query_id", F.posexplode(own_top).alias("pos", "hit"))
     return ranked.select("query_id", (F.col("pos") + 1).alias("rank"), F.col("hit.vec_id").alias("vec_id"), (-F.col("hit.far")).alias("score"))
