@@ -81,7 +81,7 @@ def inputs(rows: np.ndarray, typical: float, asks: bool) -> np.ndarray:
     return np.concatenate([rows / size, length, np.full_like(size, float(asks))], axis=1)
 
 
-def train_router(rows: np.ndarray, graph: np.ndarray, label: np.ndarray, parts: int, *, hidden: int = 96, passes: int = 40) -> dict[str, np.ndarray]:
+def train_router(rows: np.ndarray, graph: np.ndarray, label: np.ndarray, parts: int, *, hidden: int = 96, passes: int = 60) -> dict[str, np.ndarray]:
     """One hidden layer. A kept vector's target is its part, a query's the parts of its neighbours."""
     random = np.random.default_rng(29)
     typical = float(np.median(np.linalg.norm(rows, axis=1)))
@@ -92,7 +92,7 @@ def train_router(rows: np.ndarray, graph: np.ndarray, label: np.ndarray, parts:
     target = np.concatenate([near / near.sum(axis=1, keepdims=True), np.eye(parts)[label]])
     net = {"w1": random.normal(0, x.shape[1] ** -0.5, (x.shape[1], hidden)), "b1": np.zeros(hidden), "w2": random.normal(0, hidden**-0.5, (hidden, parts)), "b2": np.zeros(parts)}
     first, second = {n: 0.0 for n in net}, {n: 0.0 for n in net}
-    for step in range(1, max(200, passes * len(x) // 256) + 1):
+    for step in range(1, max(600, passes * len(x) // 256) + 1):
         at = random.integers(0, len(x), 256)
         inner = np.tanh(x[at] @ net["w1"] + net["b1"])
         error = (softmax(inner @ net["w2"] + net["b2"]) - target[at]) / len(at)
