@@ -72,6 +72,17 @@ def test_op2_components(spark, odd, unit):
     assert ngram_join.ngram_components(docs.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("hot", [1, 500])
+def test_op2_one_shingle_in_all_sets_and_many_copies(spark, monkeypatch, hot):
+    monkeypatch.setattr(ngram_join, "HOT_ROWS", hot)
+    monkeypatch.setattr(ngram_join, "UNIT_SHINGLES", 200)
+    passage = "one two three four five six seven"
+    texts = [f"{passage} " + " ".join(f"w{k}x{j}" for j in range(k % 9)) for k in range(60)] + [BASE] * 40 + [" ".join(f"v{j}" if (j + k) % 50 else f"y{k}" for j in range(90)) for k in range(20)]
+    rows = [(k, t) for k, t in enumerate(texts)]
+    got = ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_shingles", "component_id").collect()
+    assert Counter(map(tuple, got)) == brute_components([k for k, _ in rows], brute_sets(texts))
+
+
 def test_op2_tree_loses_no_link():
     random = np.random.default_rng(3)
     sets = []

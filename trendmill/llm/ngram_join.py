@@ -8,12 +8,15 @@
    cost and never the result.
 3. Sets with fewer than m such shingles that another set has too are linked with
    nothing. The others fall into candidate clusters (connected components of
-   sharing one). A linked pair is always inside one cluster.
+   sharing one). A linked pair is always inside one cluster. Rows of shingles that
+   the sketch knows as frequent are met by minima combined before the shuffle, so
+   neither copies nor common passages bring their rows to one task.
 4. In each cluster a signature tree is built: nodes hold the OR of their sets'
    token bitmaps and the range of set sizes. A dual traversal drops node pairs
    whose largest possible overlap is too small; surviving pairs of sets are
-   compared exactly. A cluster of more than ``unit`` sets is dealt into blocks by
-   size class and hash, and each compatible pair of blocks is traversed by itself.
+   compared exactly. A cluster of more than ``unit`` sets, or of very many shingles,
+   is dealt into blocks by size class and hash, and each compatible pair of blocks
+   is traversed by itself.
 """
 
 from __future__ import annotations
@@ -35,6 +38,8 @@ SKETCH_BITS = 24
 SKETCH_PART = 1 << 16
 LEAF = 8
 SHARED = 6
+HOT_ROWS, HOT_SLOTS = 500, 100_000
+UNIT_SHINGLES = 1 << 21
 
 
 def required_shared(n: int, percent: int) -> int:
@@ -90,6 +95,12 @@ def shingle_levels(docs: DataFrame, text: str, width: int) -> np.ndarray:
     return levels
 
 
+def hot_level(levels: np.ndarray) -> int:
+    """The level from which a counter is frequent: at most ``HOT_SLOTS`` of them can be, whatever the input."""
+    total = float(np.exp2(levels / 8.0).sum() - len(levels))
+    return min(255, math.ceil(8 * math.log2(1 + max(HOT_ROWS, total / HOT_SLOTS))))
+
+
 def _set_key(shingles: np.ndarray) -> int:
     if not len(shingles):
         return 0
@@ -104,20 +115,22 @@ def _lists(values: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))
 
 
-def _describe(width: int, percent: int, levels):
+def _describe(width: int, percent: int, levels, hot: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = np.frombuffer(levels.value, dtype=np.uint8)
         for batch in batches:
             for chunk in chunks(batch.column(2)):
-                sizes, keys, prefixes = [], [], []
+                sizes, keys, rare, frequent = [], [], [], []
                 for own in shingle_sets(chunk, width):
                     sizes.append(len(own))
                     keys.append(_set_key(own))
-                    order = np.argsort(level[_slot(own)], kind="stable")
-                    prefixes.append(own[order[: required_prefix(len(own), percent)]] if len(own) else own)
+                    common = level[_slot(own)]
+                    prefix = np.argsort(common, kind="stable")[: required_prefix(len(own), percent) if len(own) else 0]
+                    rare.append(own[prefix[common[prefix] < hot]])
+                    frequent.append(own[prefix[common[prefix] >= hot]])
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(k).slice(chunk.first, chunk.rows) for k in (0, 1)), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), _lists(prefixes)],
-                    names=["row_id", "doc_id", "n_shingles", "set_key", "prefix"],
+                    [*(batch.column(k).slice(chunk.first, chunk.rows) for k in (0, 1, 3)), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), _lists(rare), _lists(frequent)],
+                    names=["row_id", "doc_id", "text_key", "n_shingles", "set_key", "rare", "frequent"],
                 )
 
     return run
@@ -251,22 +264,30 @@ def _join_unit(width: int, percent: int):
 
 
 def _held_twice(rows: DataFrame) -> DataFrame:
-    """Rows whose shingle another set has too."""
-    both = rows.selectExpr("*", "min(set_key) OVER (PARTITION BY shingle) AS low", "max(set_key) OVER (PARTITION BY shingle) AS high")
-    return both.where("low != high").drop("low", "high")
+    """Rows whose shingle another set has too, and the least such set as ``low``.
+
+    Rows of frequent shingles (``hot``) are joined with what their shingles' minima
+    and maxima leave, a small table; the planner decides how. The others have no
+    more rows a shingle than a counter that isn't frequent.
+    """
+    both = rows.where("NOT hot").selectExpr("*", "min(set_key) OVER (PARTITION BY shingle) AS low", "max(set_key) OVER (PARTITION BY shingle) AS high")
+    ends = stored(rows.where("hot").groupBy("shingle").agg(F.min("set_key").alias("low"), F.max("set_key").alias("high")).where("low != high").drop("high"))
+    return both.where("low != high").drop("high").unionByName(rows.where("hot").join(ends, "shingle"))
 
 
 def _units(candidates: DataFrame, unit: int, percent: int) -> DataFrame:
     """Deal each cluster's sets to units: whole clusters, or pairs of blocks of a large one."""
     ratio = math.log(100 / percent) * (1 + 1e-9)
     sized = candidates.withColumn("size_class", F.floor(F.log(F.col("n_shingles").cast("double")) / F.lit(ratio)).cast("int"))
-    classes = sized.groupBy("cluster", "size_class").agg(F.count("*").alias("of_class"))
+    # what counts of a set is its share of a unit's sets or of its shingles
+    load = F.greatest(F.lit(1.0 / unit), F.col("n_shingles") / F.lit(float(UNIT_SHINGLES)))
+    classes = sized.groupBy("cluster", "size_class").agg(F.sum(load).alias("of_class"))
     wholes = classes.groupBy("cluster").agg(F.sum("of_class").alias("of_cluster"))
     dealt = sized.join(wholes, "cluster")
-    small = dealt.where(F.col("of_cluster") <= unit).select("row_id", "set_key", F.xxhash64("cluster").alias("unit"), F.lit(0).alias("side"))
-    blocks = F.ceil(F.col("of_class") / F.lit(unit // 2)).cast("int")
-    counts = classes.join(wholes.where(F.col("of_cluster") > unit), "cluster").select("cluster", "size_class", blocks.alias("blocks"))
-    large = dealt.where(F.col("of_cluster") > unit).join(counts, ["cluster", "size_class"])
+    small = dealt.where(F.col("of_cluster") <= 1).select("row_id", "set_key", F.xxhash64("cluster").alias("unit"), F.lit(0).alias("side"))
+    blocks = F.ceil(F.col("of_class") * 2).cast("int")
+    counts = classes.join(wholes.where(F.col("of_cluster") > 1), "cluster").select("cluster", "size_class", blocks.alias("blocks"))
+    large = dealt.where(F.col("of_cluster") > 1).join(counts, ["cluster", "size_class"])
     large = large.withColumn("block", F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int"))
     above = counts.select("cluster", (F.col("size_class") - 1).alias("size_class"), F.col("blocks").alias("above"))
     below = counts.select("cluster", (F.col("size_class") + 1).alias("size_class"), F.col("blocks").alias("below"))
@@ -289,7 +310,9 @@ def _units(candidates: DataFrame, unit: int, percent: int) -> DataFrame:
 def ngram_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, unit: int = 4096) -> DataFrame:
     """Exact components of the relation ``100 * |A & B| >= percent * |A | B|``.
 
-    Returns ``doc_id, n_shingles, component_id, set_key``, one row per input row.
+    Returns ``doc_id, n_shingles, component_id, set_key, class, text_key``, one row per
+    input row. ``class`` is equal for linked rows and null without shingles; ``text_key``
+    is Spark's xxhash64 of the text, to tell rows of one id apart.
     A null or empty text has no shingles and is linked with nothing: its component
     is its own id. A null ``doc_id`` takes part; it never names a component that
     has another id. Repeated rows are rows of their own. An empty table gives no
@@ -297,17 +320,18 @@ def ngram_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     """
     spark = docs.sparkSession
     own, words = F.col(doc_id).cast("long"), F.col(text)
-    docs = docs.select(F.coalesce(own, F.xxhash64(words)).alias("row_id"), own.alias("doc_id"), words.alias("text"))
-    levels = spark.sparkContext.broadcast(shingle_levels(docs, "text", width).tobytes())
-    described = stored(docs.mapInArrow(_describe(width, percent, levels), "row_id long, doc_id long, n_shingles long, set_key long, prefix array<long>"))
+    docs = docs.select(F.coalesce(own, F.xxhash64(words)).alias("row_id"), own.alias("doc_id"), words.alias("text"), F.xxhash64(words).alias("text_key"))
+    levels = shingle_levels(docs, "text", width)
+    describe = _describe(width, percent, spark.sparkContext.broadcast(levels.tobytes()), hot_level(levels))
+    described = stored(docs.mapInArrow(describe, "row_id long, doc_id long, text_key long, n_shingles long, set_key long, rare array<long>, frequent array<long>"))
 
     least = F.least(F.lit(SHARED), F.ceil(F.col("n_shingles") * percent / 100)).cast("int")
-    shared = stored(_held_twice(described.select("set_key", least.alias("least"), F.explode("prefix").alias("shingle"))).distinct())
+    rows = lambda column: described.select("set_key", least.alias("least"), F.explode(column).alias("shingle"), F.lit(column == "frequent").alias("hot"))
+    shared = stored(_held_twice(rows("rare").unionByName(rows("frequent"))).distinct())
     for _ in range(2):
         strong = shared.groupBy("set_key").agg(F.count("*").alias("n"), F.first("least").alias("least")).where("n >= least").select("set_key")
-        shared = stored(_held_twice(shared.join(strong, "set_key")))
-    hubs = shared.groupBy("shingle").agg(F.min("set_key").alias("b"))
-    shared = shared.join(hubs, "shingle").select(F.col("set_key").alias("a"), "b")
+        shared = stored(_held_twice(shared.drop("low").join(strong, "set_key")))
+    shared = shared.select(F.col("set_key").alias("a"), F.col("low").alias("b"))
     clusters = stored(connected_components(shared).withColumnRenamed("component", "cluster"))
 
     members = described.join(clusters, described.set_key == clusters.node).groupBy("set_key").agg(F.min("row_id").alias("row_id"), F.first("n_shingles").alias("n_shingles"), F.first("cluster").alias("cluster"))
@@ -316,7 +340,7 @@ def ngram_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     links = placed.groupBy("unit").applyInArrow(_join_unit(width, percent), "a long, b long")
     components = connected_components(links)
 
-    named = described.select("doc_id", "n_shingles", "set_key").join(components, described.set_key == F.col("node"), "left")
-    named = named.withColumn("class", F.when(F.col("n_shingles") > 0, F.coalesce("component", "set_key"))).select("doc_id", "n_shingles", "set_key", "class")
+    named = described.select("doc_id", "text_key", "n_shingles", "set_key").join(components, described.set_key == F.col("node"), "left")
+    named = named.withColumn("class", F.when(F.col("n_shingles") > 0, F.coalesce("component", "set_key"))).select("doc_id", "text_key", "n_shingles", "set_key", "class")
     least = named.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least"))
-    return named.join(least, "class", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"), "set_key")
+    return named.join(least, "class", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"), "set_key", "class", "text_key")
