@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import small
+
 BLOCK_DOCS = 64
 BUCKET_DOCS = 2_000
 NO_SOURCE = "(none)"
@@ -30,7 +32,8 @@ def period_plan(weights: DataFrame) -> DataFrame:
     """``source, weight, period, turn, slot``: the slot of each of a source's blocks in one period.
 
     Earliest deadline first over released blocks; ties go to the first source in
-    alphabetical order. ``weights`` is a small table of the user's: one row is made of it.
+    alphabetical order. ``weights`` is a small table of the user's: one row is made of
+    it, and planning takes as many steps as sources times their summed weights.
     """
     listed = weights.where("weight > 0").agg(F.sort_array(F.collect_list(F.struct("source", "weight"))).alias("all"))
     listed = listed.where("size(all) > 0").select("all", F.expr("transform(all, x -> cast(x.weight AS BIGINT))").alias("w")).withColumn("period", F.expr("aggregate(w, 0L, (a, x) -> a + x)"))
@@ -38,13 +41,11 @@ def period_plan(weights: DataFrame) -> DataFrame:
         "plan",
         F.expr("""aggregate(sequence(0L, period - 1),
           named_struct('done', transform(w, x -> 0L), 'slots', cast(array() AS ARRAY<INT>)),
-          (a, t) -> named_struct(
-            'done', transform(a.done, (d, i) -> d + if(i = array_min(transform(
-                filter(sequence(0, size(w) - 1), j -> a.done[j] < w[j] AND a.done[j] * period div w[j] <= t),
-                j -> named_struct('due', ((a.done[j] + 1) * period + w[j] - 1) div w[j], 'j', j))).j, 1L, 0L)),
-            'slots', concat(a.slots, array(array_min(transform(
-                filter(sequence(0, size(w) - 1), j -> a.done[j] < w[j] AND a.done[j] * period div w[j] <= t),
-                j -> named_struct('due', ((a.done[j] + 1) * period + w[j] - 1) div w[j], 'j', j))).j))),
+          (a, t) -> transform(
+            array(array_min(transform(
+              filter(sequence(0, size(w) - 1), j -> get(a.done, j) < get(w, j) AND get(a.done, j) * period div get(w, j) <= t),
+              j -> named_struct('due', ((get(a.done, j) + 1) * period + get(w, j) - 1) div get(w, j), 'j', j))).j),
+            p -> named_struct('done', transform(a.done, (d, i) -> d + if(i = p, 1L, 0L)), 'slots', concat(a.slots, array(p))))[0],
           a -> a.slots)"""),
     )
     rows = planned.select("all", "period", F.posexplode("plan").alias("slot", "j")).select(F.expr("all[j].source").alias("source"), F.expr("all[j].weight").alias("weight"), "period", "slot")
@@ -63,25 +64,25 @@ def mix_sources(docs: DataFrame, weights: DataFrame, *, block_docs: int = BLOCK_
     have any names but those three, which are replaced.
 
     A hot source is ranked in buckets of about 2,000 documents: only the buckets'
-    sizes are summed up per source.
+    sizes are summed up per source. Tables of sources and of the plan are broadcast
+    if they are small, else joined by shuffles.
     """
+    deep = "_" * (1 + max(len(c) - len(c.lstrip("_")) for c in docs.columns))  # no column of docs begins so
+    source, order, bucket, buckets, before, rank, weight, period, turn, slot = (deep + n for n in ("source", "order", "bucket", "buckets", "before", "rank", "weight", "period", "turn", "slot"))
     key = F.coalesce("source", F.lit(NO_SOURCE))
-    own = docs.drop("block", "slot", "position").withColumns({"_source": key, "_order": F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))})
-    cut = F.conv(F.substring("_order", 1, 7), 16, 10).cast("long")
-    sizes = docs.groupBy(key.alias("_source")).agg(F.ceil(F.count("*") / F.lit(BUCKET_DOCS)).alias("_buckets"))
-    # one row per source
-    own = own.join(F.broadcast(sizes), "_source").withColumn("_bucket", F.floor(cut * F.col("_buckets") / F.lit(1 << 28)).cast("int"))
-    ids = own.select("_source", "_bucket").groupBy("_source", "_bucket").count()
-    before = ids.selectExpr("_source", "_bucket", "coalesce(sum(count) OVER (PARTITION BY _source ORDER BY _bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS _before")
-    ranked = own.withColumn("_rank", F.expr("row_number() OVER (PARTITION BY _source, _bucket ORDER BY _order, doc_id) - 1")).join(before, ["_source", "_bucket"])
-    ranked = ranked.withColumn("_rank", F.col("_rank") + F.col("_before")).withColumn("block", F.floor(F.col("_rank") / block_docs).cast("long"))
-    plan = period_plan(weights).select(F.col("source").alias("_source"), F.col("weight").alias("_weight"), F.col("period").alias("_period"), F.col("turn").alias("_turn"), F.col("slot").cast("long").alias("_slot"))
-    # as many rows as the weights sum up to
-    weight = F.broadcast(plan.groupBy("_source").agg(F.first("_weight").alias("_weight"), F.first("_period").alias("_period")))
-    placed = ranked.join(weight, "_source", "left").withColumn("_turn", F.col("block") % F.col("_weight"))
-    placed = placed.join(F.broadcast(plan.select("_source", "_turn", "_slot")), ["_source", "_turn"], "left")
-    slot = (F.floor(F.col("block") / F.col("_weight")) * F.col("_period") + F.col("_slot")).cast("long")
-    placed = placed.withColumn("slot", slot).withColumn("position", F.col("slot") * block_docs + F.col("_rank") % block_docs)
+    own = docs.drop("block", "slot", "position").withColumns({source: key, order: F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))})
+    cut = F.conv(F.substring(order, 1, 7), 16, 10).cast("long")
+    sizes = docs.groupBy(key.alias(source)).agg(F.ceil(F.count("*") / F.lit(BUCKET_DOCS)).alias(buckets))
+    own = own.join(small(sizes), source).withColumn(bucket, F.floor(cut * F.col(buckets) / F.lit(1 << 28)).cast("int"))
+    counts = own.groupBy(source, bucket).agg(F.count("*").alias(rank))
+    upto = counts.select(source, bucket, F.expr(f"coalesce(sum({rank}) OVER (PARTITION BY {source} ORDER BY {bucket} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)").alias(before))
+    ranked = own.withColumn(rank, F.expr(f"row_number() OVER (PARTITION BY {source}, {bucket} ORDER BY {order}, doc_id) - 1")).join(upto, [source, bucket])
+    ranked = ranked.withColumn(rank, F.col(rank) + F.col(before)).withColumn("block", F.floor(F.col(rank) / block_docs).cast("long"))
+    plan = small(period_plan(weights).select(F.col("source").alias(source), F.col("weight").alias(weight), F.col("period").alias(period), F.col("turn").alias(turn), F.col("slot").cast("long").alias(slot)))
+    rates = small(plan.groupBy(source).agg(F.first(weight).alias(weight), F.first(period).alias(period)))
+    placed = ranked.join(rates, source, "left").withColumn(turn, F.col("block") % F.col(weight)).join(plan.select(source, turn, slot), [source, turn], "left")
+    placed = placed.withColumn("slot", (F.floor(F.col("block") / F.col(weight)) * F.col(period) + F.col(slot)).cast("long"))
+    placed = placed.withColumn("position", F.col("slot") * block_docs + F.col(rank) % block_docs)
     return placed.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("block", "slot", "position")], "block", "slot", "position")
 
 

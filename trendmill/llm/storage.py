@@ -4,12 +4,19 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SETTING = "spark.checkpoint.dir"
 
 
+@lru_cache(maxsize=8)
+def _local_folder(application: str) -> str:
+    return tempfile.mkdtemp(prefix="spark-")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared folder; a temporary one only in local mode without it."""
     found = spark.conf.get(SETTING, None)
@@ -17,9 +24,7 @@ def shared_folder(spark: SparkSession) -> str:
         return found
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {SETTING} to a folder that all executors share")
-    own = tempfile.mkdtemp(prefix="spark-")
-    spark.conf.set(SETTING, own)
-    return own
+    return _local_folder(spark.sparkContext.applicationId)
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -32,3 +37,9 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark).rstrip('/')}/trendmill-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """``df``, stored, as the broadcast side of a join if it has at most ``rows`` narrow rows, else as it is."""
+    df = stored(df)
+    return F.broadcast(df) if df.count() <= rows else df
