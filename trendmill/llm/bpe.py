@@ -19,6 +19,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from tokenizers import Tokenizer
 
 from .text import U, chunks, mix
 
@@ -59,6 +61,8 @@ class WordBpe:
             self.rank.setdefault(self.vocab[a] * self.size + self.vocab[b], rank)
             self.made.append(self.vocab[a + b])
         self.ends = {c: self.vocab[c + self.end] for c in byte_letters().values()}
+        self.library = Tokenizer.from_str(source)
+        self.byte_of = {letter: b for b, letter in byte_letters().items()}
         self.known = np.zeros(1 << PAIR_BITS, dtype=np.uint64)
         self.pieces: dict[str, tuple[str, str]] = {}
 
@@ -137,6 +141,10 @@ class WordBpe:
         return "".join(f"{k} " for k in ids), "".join(f"{t} " for t in self.decode(ids))
 
     def _normal(self, text: str) -> list[str]:
+        if not text.isascii() and any(unicodedata.category(c) == "Cn" for c in set(text)):
+            # characters that this Python doesn't know yet: the library's tables decide
+            pieces = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
+            return [bytes(map(self.byte_of.__getitem__, piece)).decode() for piece, _ in pieces]
         # lower() treats a final sigma by its context, the file's rule doesn't
         return self.words.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
 
@@ -178,8 +186,8 @@ def _codec(source: str) -> WordBpe:
     return WordBpe(source)
 
 
-def bpe_encode_decode(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, n_tokens, ids, decoded``: decimal ids and decoded text, both joined by spaces.
+def bpe_encode_decode(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, n_tokens, ids, decoded``: decimal ids and decoded text, both joined by spaces; then the columns ``keep``.
 
     ``tokenizer`` is the path of a word-end BPE file on the driver. A null or empty
     text has no tokens and two empty strings. Rows are independent: order, repeats,
@@ -195,9 +203,12 @@ def bpe_encode_decode(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id"
             texts = batch.column(1).fill_null("")
             for chunk in chunks(texts):
                 done = list(codec.encode_texts(texts.slice(chunk.first, chunk.rows).to_pylist()))
+                first, *more = (c.slice(chunk.first, chunk.rows) for k, c in enumerate(batch.columns) if k != 1)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(chunk.first, chunk.rows), *(pa.array([d[k] for d in done], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.string())))],
-                    names=["doc_id", "n_tokens", "ids", "decoded"],
+                    [first, *(pa.array([d[k] for d in done], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.string()))), *more],
+                    names=["doc_id", "n_tokens", "ids", "decoded", *keep],
                 )
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids string, decoded string")
+    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *keep)
+    found = [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.StringType()), T.StructField("decoded", T.StringType())]
+    return own.mapInArrow(run, T.StructType([own.schema.fields[0], *found, *own.schema.fields[2:]]))
