@@ -114,7 +114,7 @@ def test_op10_random_words():
     path = public_tokenizers.path("word_bpe_49k.json")
     library, codec = Tokenizer.from_file(path), WordBpe(open(path, encoding="utf-8").read())
     random = np.random.default_rng(5)
-    letters = list("aabcdeeefghiilmnoorsttuv ÀéßİΣ'中1.,!\n") + ["<|endoftext|>", " 's", "ing"]
+    letters = list("aabcdeeefghiilmnoorsttuv ÀéßİΣ'中1.,!\n\u0558\ua7cb\ua7dc\U0002fffe") + ["<|endoftext|>", " 's", "ing"]
     texts = ["".join(random.choice(letters, random.integers(0, 40))) for _ in range(3000)]
     for text, (n, ids, decoded) in zip(texts, codec.encode_texts(texts)):
         want = library.encode(text, add_special_tokens=False).ids
@@ -167,11 +167,26 @@ def test_op8_counts(odd, documents):
 def test_op8_bound_is_exact():
     from math import comb
 
-    for bad, size, error in ((0, 50, 0.05), (3, 200, 0.01)):
+    for bad, size, error in ((0, 50, 0.05), (3, 200, 0.01), (150, 200, 0.02), (199, 200, 0.3)):
         p = rules.upper_bound(bad, size, error)
         assert abs(sum(comb(size, k) * p**k * (1 - p) ** (size - k) for k in range(bad + 1)) - error) < 1e-6
 
 
+def test_op8_cutoffs_lose_few_good_texts(spark):
+    folder = "/root/testdata/sf0.1"
+    counted = rules.count_texts(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")).cache()
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    cutoffs = rules.choose_cutoffs(counted, labels)
+    assert len(cutoffs) >= 5
+    judged = rules.judge(counted, cutoffs).join(labels, "doc_id").where("NOT base_failed").select(rules.stratum().alias("stratum"), "quality", "kept", (samples.fold("doc_id", 4) == 2).alias("held_out")).toPandas()
+    good = judged[(judged.quality == 1) & judged.held_out]
+    for _, own in good.groupby("stratum"):
+        # the allowed risk, and what chance adds in a small holdout
+        assert rules.at_most(int(own.kept.sum()) - 1, len(own), 0.95) > 0.001
+    bad = judged[judged.quality == 0]
+    assert (~bad.kept).mean() > 0.3 and (~good.kept).mean() < 0.05
+
+
 def test_op6_accuracy_and_odd_rows(spark, odd, documents):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     profiles = language.learn_profiles(docs)
@@ -191,6 +206,11 @@ def test_op3_op5_scores(spark, odd, learn, score, label):
     known = docs.join(labels, "doc_id").where(samples.fold("doc_id", 4) == 2).select("doc_id", "text", label)
     means = {r[label]: r["m"] for r in score(known, model).groupBy(label).agg(F.avg("score").alias("m")).collect()}
     assert means[1] - means[0] > 0.4
+    frame = score(known, model).select(label, "score").toPandas()
+    rank = frame.score.rank()
+    positive = frame[label] == 1
+    area = (rank[positive].sum() - positive.sum() * (positive.sum() + 1) / 2) / (positive.sum() * (~positive).sum())
+    assert area > 0.93, area
     rows = score(odd, model).collect()
     assert len(rows) == len(ODD) and all(0 <= r["score"] <= 1 for r in rows)
     assert score(odd.where("false"), model).count() == 0
@@ -431,7 +451,9 @@ def test_op1_deviation_and_odd_rows(spark, odd):
     for name, weight in {(p[1], p[2]) for p in plan}:
         for t in range(13):
             assert abs(sum(p[1] == name for p in plan[:t]) - weight * t / 12) < 1
-    mixed = mixing.mix_sources(odd, weights, block_docs=2)
+    clashing = odd.withColumns({c: F.lit("mine") for c in ("_weight", "_period", "_turn", "_slot", "_bucket", "_source", "__rank", "position")})
+    mixed = mixing.mix_sources(clashing, weights, block_docs=2)
+    assert mixed.select("_weight", "__rank", "_source").distinct().collect() == [("mine",) * 3]
     assert mixed.count() == len(ODD) and mixed.where("position IS NULL").count() == 0
     assert mixed.select("position").distinct().count() == len(ODD)
     assert mixing.mix_sources(odd, weights.where("source = 'b'")).where("position IS NULL").count() == sum(r[3] != "b" for r in ODD)

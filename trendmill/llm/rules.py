@@ -127,6 +127,29 @@ def level(rule: str) -> Column:
     return F.when(F.col(base) > 0, F.least(F.ceil(F.col(top) * GRID / F.col(base)), F.lit(4 * GRID))).otherwise(0).cast("int")
 
 
+def incomplete_beta(a: float, b: float, x: float) -> float:
+    """The regularised incomplete beta function, by its continued fraction (about sqrt(a + b) steps)."""
+    if not 0 < x < 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - incomplete_beta(b, a, 1 - x)
+    top, low = 1.0, 1 / (1 - (a + b) * x / (a + 1))
+    value, step, change = low, 0, 0.0
+    while abs(change - 1) > 1e-13:
+        step += 1
+        change = 1.0
+        for term in (step * (b - step) / ((a + 2 * step - 1) * (a + 2 * step)), -(a + step) * (a + b + step) / ((a + 2 * step) * (a + 2 * step + 1))):
+            low, top = 1 / (1 + term * x * low), 1 + term * x / top
+            change *= low * top
+            value *= low * top
+    return value * math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+
+
+def at_most(bad: int, size: int, rate: float) -> float:
+    """Probability of at most ``bad`` of ``size`` at this rate."""
+    return 1.0 if bad >= size else incomplete_beta(size - bad, bad + 1, 1 - rate)
+
+
 def upper_bound(bad: int, size: int, error: float) -> float:
     """Clopper-Pearson: the largest rate under which at most ``bad`` of ``size`` has probability ``error``."""
     if bad >= size:
@@ -134,12 +157,7 @@ def upper_bound(bad: int, size: int, error: float) -> float:
     low, high = bad / size, 1.0
     for _ in range(60):
         p = (low + high) / 2
-        terms = [math.lgamma(size + 1) - math.lgamma(k + 1) - math.lgamma(size - k + 1) + k * math.log(p) + (size - k) * math.log1p(-p) for k in range(bad + 1)] if 0 < p < 1 else [0.0]
-        top = max(terms)
-        if top + math.log(sum(math.exp(t - top) for t in terms)) > math.log(error):
-            low = p
-        else:
-            high = p
+        low, high = (p, high) if at_most(bad, size, p) > error else (low, p)
     return high
 
 
@@ -149,7 +167,8 @@ def choose_cutoffs(counted: DataFrame, labels: DataFrame, *, risk: float = 0.05,
     Every good (quality 1) row outside the held-out fold is counted; only counts
     per stratum, rule and level reach the driver. ``risk`` is shared evenly by the
     rules, so that a stratum's good texts lose at most ``risk`` in all, and ``error``
-    by rules and strata (Bonferroni). A null or double label counts as its minimum.
+    by rules and strata (Bonferroni). A null or double label counts as its minimum. A
+    stratum of fewer than about 500 good rows can't guarantee anything: it gets none.
     """
     good = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1").select("doc_id")
     held = counted.where(fold("doc_id", fold_parts) != held_out).join(good, "doc_id", "left_semi")
@@ -164,7 +183,7 @@ def choose_cutoffs(counted: DataFrame, labels: DataFrame, *, risk: float = 0.05,
         size = sum(table.values())
         for cut in range(4 * GRID - 1, -1, -1):
             lost = sum(n for at, n in table.items() if at > cut)
-            if upper_bound(lost, size, share) > risk / len(RULES):
+            if at_most(lost, size, risk / len(RULES)) > share:  # the upper bound exceeds the risk
                 break
             cutoffs[pair] = cut
     return cutoffs
@@ -175,7 +194,8 @@ def judge(counted: DataFrame, cutoffs: dict[tuple[str, str], int]) -> DataFrame:
 
     The base rule fails texts of fewer than 50 words, or with more than half of
     their words in repeated windows. ``kept`` is false for those and for texts
-    beyond a cutoff of their stratum. Texts without words fail the base rule.
+    beyond a cutoff of their stratum. Texts without words fail the base rule. Old
+    columns of these names, like old counts in ``count_texts``, are replaced.
     """
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     beyond = F.lit(False)
