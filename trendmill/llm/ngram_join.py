@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import connected_components
-from .storage import stored
+from .storage import join_uneven, stored
 from .text import U, chunks, mix, shingle_sets
 
 SKETCH_BITS = 24
@@ -310,9 +310,10 @@ def _units(candidates: DataFrame, unit: int, percent: int) -> DataFrame:
 def ngram_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, unit: int = 4096) -> DataFrame:
     """Exact components of the relation ``100 * |A & B| >= percent * |A | B|``.
 
-    Returns ``doc_id, n_shingles, component_id, set_key, class, text_key``, one row per
-    input row. ``class`` is equal for linked rows and null without shingles; ``text_key``
-    is Spark's xxhash64 of the text, to tell rows of one id apart.
+    Returns ``doc_id, n_shingles, component_id, set_key, class, text_key, is_first``, one
+    row per input row. ``class`` is equal for linked rows and null without shingles;
+    ``text_key`` is Spark's xxhash64 of the text, to tell rows of one id apart;
+    ``is_first`` marks a class's smallest id (null last), of these the smallest text key.
     A null or empty text has no shingles and is linked with nothing: its component
     is its own id. A null ``doc_id`` takes part; it never names a component that
     has another id. Repeated rows are rows of their own. An empty table gives no
@@ -341,6 +342,10 @@ def ngram_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     components = connected_components(links)
 
     named = described.select("doc_id", "text_key", "n_shingles", "set_key").join(components, described.set_key == F.col("node"), "left")
-    named = named.withColumn("class", F.when(F.col("n_shingles") > 0, F.coalesce("component", "set_key"))).select("doc_id", "text_key", "n_shingles", "set_key", "class")
-    least = named.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least"))
-    return named.join(least, "class", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"), "set_key", "class", "text_key")
+    named = stored(named.withColumn("class", F.when(F.col("n_shingles") > 0, F.coalesce("component", "set_key"))).select("doc_id", "text_key", "n_shingles", "set_key", "class"))
+    place = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_key")
+    classes = named.where("class IS NOT NULL").groupBy("class").agg(F.min(place).alias("first"), F.count("*").alias("rows"))
+    linked = join_uneven(named.where("class IS NOT NULL"), classes, "class", "rows")
+    alone = named.where("class IS NULL").withColumns({"first": place, "rows": F.lit(1).cast("long")})
+    both = linked.unionByName(alone).withColumn("is_first", place == F.col("first"))
+    return both.select("doc_id", "n_shingles", F.col("first.doc_id").alias("component_id"), "set_key", "class", "text_key", "is_first")

@@ -43,6 +43,7 @@ EMBED, HIDDEN = 12, 16
 TAGS = 1 + 2 * len(KINDS)
 BATCH, BATCHES, TRAIN_WINDOWS = 64, 480, 16000
 SURE = 0.6
+GROUP = 512  # windows read at once; their state stays in a core's cache
 CELLS, LONG = 1 << 18, 1 << 12  # characters decoded together, and of a stretch that is decoded by itself
 AT_WORD = re.compile(r"[(\[{] ?(at|a) ?[)\]}]", re.I)
 Span = tuple[int, int, str]
@@ -156,19 +157,26 @@ def read_windows(model: Arrays, x: np.ndarray) -> np.ndarray:
     wh = model["wh"].transpose(0, 2, 1).copy()
     ahead = x.T.astype(np.intp)
     h, c = np.zeros((2, HIDDEN, size), dtype=np.float32), np.zeros((2, HIDDEN, size), dtype=np.float32)
-    z, more, out = np.empty((2, 4 * HIDDEN, size), dtype=np.float32), np.empty((4 * HIDDEN, size), dtype=np.float32), np.empty((steps, 2, HIDDEN, size), dtype=np.float32)
+    z, more, far, own = (np.empty((2, n * HIDDEN, size), dtype=np.float32) for n in (4, 4, 4, 1))
+    out = np.empty((steps, 2, HIDDEN, size), dtype=np.float32)
     for t in range(steps):
         np.matmul(wh, h, out=z)
         for way, at in ((0, t), (1, steps - 1 - t)):
-            z[way] += np.take(table[way], ahead[at], axis=1, out=more, mode="clip")
-        z /= np.abs(z) + 1
+            np.take(table[way], ahead[at], axis=1, out=more[way], mode="clip")
+        z += more
+        np.abs(z, out=far)
+        far += 1
+        z /= far
         gate = z[:, : 3 * HIDDEN]
         gate *= 0.5
         gate += 0.5
         c *= gate[:, HIDDEN : 2 * HIDDEN]
-        c += gate[:, :HIDDEN] * z[:, 3 * HIDDEN :]
+        np.multiply(gate[:, :HIDDEN], z[:, 3 * HIDDEN :], out=own)
+        c += own
         h = out[t]
-        np.divide(c, np.abs(c) + 1, out=h)
+        np.abs(c, out=own)
+        own += 1
+        np.divide(c, own, out=h)
         h *= gate[:, 2 * HIDDEN :]
     wo = model["wo"].T
     scores = wo[:, :HIDDEN] @ out[:, 0] + wo[:, HIDDEN:] @ out[::-1, 1] + model["bo"][:, None]
@@ -493,7 +501,7 @@ def scores_of(model: Arrays, code: np.ndarray, bounds: np.ndarray, lo: int, hi:
     for size in np.unique(length):
         near = np.minimum(np.arange(size), np.arange(size)[::-1]).astype(np.float32)[:, None] + 1
         own = np.flatnonzero(length == size)
-        for group in (own[k : k + 2048] for k in range(0, len(own), 2048)):
+        for group in (own[k : k + GROUP] for k in range(0, len(own), GROUP)):
             at = start[group, None] + np.arange(size)
             inside = at < stop[group, None]
             scores = read_windows(model, np.where(inside, code[np.minimum(at, len(code) - 1)], 0)) * near

@@ -43,3 +43,16 @@ def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
     """``df``, stored, as the broadcast side of a join if it has at most ``rows`` narrow rows, else as it is."""
     df = stored(df)
     return F.broadcast(df) if df.count() <= rows else df
+
+
+def join_uneven(rows: DataFrame, table: DataFrame, key: str, size: str, *, least: int = 500, most: int = 100_000) -> DataFrame:
+    """Inner join of ``rows`` with ``table``, which has one row per key and the number of the key's rows as ``size``.
+
+    Keys of very many rows don't meet in one task: they are fewer than ``most``, so
+    their part of ``table`` is broadcast; the others are joined as the planner likes.
+    """
+    table = stored(table)
+    total = table.agg(F.sum(size)).first()[0] or 0
+    often = F.col(size) > max(least, total / most)
+    hot = F.broadcast(table.where(often))
+    return rows.join(hot, key).unionByName(rows.join(F.broadcast(table.where(often).select(key)), key, "left_anti").join(table.where(~often), key))
