@@ -41,10 +41,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFr
     different texts are told apart. Of rows with equal id and text one stays, the
     first by the other columns. Texts without words have no copies but such rows.
     """
-    groups = ngram_components(docs).select("doc_id", "text_key", "class")
-    place = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_key")
-    first = groups.where("class IS NOT NULL").groupBy("class").agg(F.min(place).alias("first"))
-    others = groups.join(first, "class").where(place != F.col("first")).select(F.col("doc_id").alias("other_id"), F.col("text_key").alias("other_key")).distinct()
+    others = ngram_components(docs).where("NOT is_first").select(F.col("doc_id").alias("other_id"), F.col("text_key").alias("other_key")).distinct()
     key = F.xxhash64("text")
     kept = docs.join(others.hint("shuffle_hash"), F.col("doc_id").cast("long").eqNullSafe(F.col("other_id")) & (key == F.col("other_key")), "left_anti")
     again = ", ".join(f"`{c}`" for c in docs.columns if c not in ("doc_id", "text")) or "doc_id"
