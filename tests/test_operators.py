@@ -130,3 +130,72 @@ def test_plans_have_no_python_and_no_cartesian_product(spark):
     for name in ("h2_movement_labels", "h4_event_backfill", "i1_combined_fashion_feed", "g3_g8_scrape_application"):
         plan = registry.QUERIES[name](spark, folder)._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "CartesianProduct" not in plan and "Pandas" not in plan
+
+
+def test_json_page_of_a_megabyte_and_repeated_ids(spark):
+    variant = r'{\"price\":{\"amount\":%d},\"image\":{\"src\":\"//c/%d.jpg\"},\"product\":{\"id\":\"%d\",\"title\":\"a \\\"%d\\\"\",\"url\":\"/products/p%d\"}}'
+    many = ",".join(variant % ((k,) * 5) for k in range(1, 9001))
+    html = '<script>{"events":"[[\\"collection_viewed\\",{\\"collection\\":{\\"productVariants\\":[' + many + ']}}]]"}</script>'
+    assert len(html) > 1_000_000
+    rows = [(1, "https://s.example/c", html)] + [(2, "https://s.example/d", '<a href="/products/x">a dress</a><a href="/products/y">b dress</a>')] * 3
+    got = P.page_items(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert got.where("page_id = 1").count() == 9000 and got.where("page_id = 1 AND slot = 7").first()["title"] == 'a "7"'
+    assert got.where("page_id = 2").count() == 6
+
+
+def test_cards_follow_the_shop_rules():
+    own = lambda html: P._cards(html)[0]
+    assert own('<body><a href="/products/out">no</a><main><a href="/products/in?x=1#y">in here</a></main></body>')[:2] == ("in", "in here")
+    grid = '<main><ul>' + "".join(f'<li><a href="/products/p{k}"><img alt="pic {k}" srcset="//c/{k}.jpg 2x, //c/b.jpg"></a><span class="price--sale">-30%</span><span class="money">{k},50 €</span></li>' for k in (11, 12)) + "</ul></main>"
+    assert P._cards(grid) == [(f"p{k}", f"pic {k}", f"{k},50", f"https://c/{k}.jpg") for k in (11, 12)]
+    assert own('<div><section><a href="/products/red-shoe">Sale</a><p><img src="data:x"><img src="/i.png"></p><b class="amount">7</b><b class="amount">1234</b><i class="sale-price badge">99</i></section></div>') == ("red-shoe", "Red Shoe", "1234", "/i.png")
+    deep = "<div>" * 300 + '<a href="/products/z">deep one</a>' + "</div>" * 300
+    assert P._cards(f"<body>{deep}{deep.replace('/z', '/w')}</body>")[1][:2] == ("w", "deep one")
+    wide = "<main><div>" + "".join(f'<a href="/products/n{k}">name {k}</a>' for k in range(3000)) + "</div></main>"
+    assert len(P._cards(wide)) == 3000
+
+
+def test_tables_of_a_user_reach_every_rule(spark):
+    tables = R.Tables(junk={"title": r"\bsample\b", "product_type": r"\bx\b", "url": "zzz"}, general=r"\bdrill\b", fashion=r"\bcape\b", subniches=(("tools", r"\bdrill\b"),), catalog=(("cape", "coats", r"\bcapes?\b"),))
+    rows = [(1, "sample cape"), (2, "drill"), (3, "red cape"), (4, "ring")]
+    own = spark.createDataFrame([(k, 1, t, f"h{k}", "", "", "", "", "", "", k == 2, "bags" if k == 2 else "other", 5) for k, t in rows], "id long, store_id long, title string, handle string, product_type string, product_url string, image_url string, ai_tags string, price string, vendor string, is_fashion boolean, subniche string, current_position int")
+    routed = {r["id"]: (r["is_fashion"], r["subniche"]) for r in R.route(own, tables).collect()}
+    assert routed == {2: (False, "tools"), 3: (True, "fashion"), 4: (False, "other")}
+    swept = S.maintain(own.withColumn("product_category", F.lit("")), tables)
+    assert {r["id"]: (r["is_fashion"], r["subniche"], r["product_category"]) for r in swept.collect()} == {1: (True, "fashion", "cape"), 2: (False, "tools", ""), 3: (True, "fashion", "cape"), 4: (False, "other", "")}
+    words = J.Dictionaries(translations=(("cape", "umhang"),), synonyms=(), nouns=(("coat", "cape"),), aliases=(("capes", "coat"),))
+    titles = own.withColumn("product_category", F.lit("")).withColumn("title", F.when(F.col("id") == 4, "roter Umhang").otherwise(F.col("title")))
+    hits = lambda cond: sorted(r["id"] for r in titles.where(cond).collect())
+    assert hits(J.word_condition(titles, "capes", words)) == [1, 3, 4] and hits(J.loose_match("drill", words)) == [2]
+
+
+def test_scrape_plan_joins_the_state_once(spark):
+    p = M.saved(M.products(spark, "/root/testdata/sf0.001"))
+    state = S.apply_scrape(p, p.where("id % 3 > 0").select("store_id", *S.OVERWRITTEN), now="2024-01-30 10:00:00")
+    assert state._jdf.queryExecution().analyzed().toString().count("Join FullOuter") == 1
+
+
+def test_a_run_appends_snapshots_and_events(spark, tmp_path):
+    p = products(spark, [(1, 9)]).withColumns({c: F.lit("x") for c in ("title", "handle", "image_url", "price", "vendor", "product_type", "ai_tags", "product_category", "last_scraped")}).withColumn("last_scraped", F.lit("2024-01-01").cast("timestamp_ntz"))
+    past = history(spark, [(1, 9, "2024-01-29")])
+    ledger = spark.createDataFrame([], "store_id long, product_id long, date date, label string, prior_position int, current_position int, position_change int")
+    seen = p.withColumn("current_position", F.lit(8)).select("store_id", *S.OVERWRITTEN)
+    state, snapshots, events = S.apply_run(p, past, ledger, seen, **FLOORS)
+    assert state.first()["current_position"] == 8 and snapshots.first()["position"] == 8
+    assert [(r["label"], r["position_change"]) for r in events.collect()] == [("hero", 1)]
+    for _ in range(2):  # a repeated batch has the same effect
+        S.write_history(snapshots, str(tmp_path / "history"))
+    assert spark.read.parquet(str(tmp_path / "history")).count() == 1
+    assert S.newest_state(spark, str(tmp_path / "none")) is None
+
+
+def test_failed_batches_are_told(spark):
+    from trendmill.operators import enrich as K
+
+    def score(rows):
+        if rows[0]["id"] == 0:
+            raise ValueError
+        return [{"tags": "t"}]
+
+    got = K.batched_scores(spark.range(4).coalesce(1).withColumn("title", F.lit("x")), score, ("title",), "tags string", size=2)
+    assert sorted(map(tuple, got.collect())) == [(0, None, True), (1, None, True), (2, "t", False), (3, None, False)]

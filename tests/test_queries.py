@@ -9,7 +9,7 @@ from trendmill import registry
 FOLDER = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", sorted(registry.QUERIES))
+@pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_query_equals_sql(spark, name):
     got = registry.QUERIES[name](spark, FOLDER).toPandas()
     want = duck(FOLDER, registry.ORACLES[name])

@@ -25,7 +25,7 @@ def clean_title(c: Column) -> Column:
     """A5: blank for JSON, badges and over 300 characters; white space collapsed."""
     t = F.trim(text_or_empty(c))
     flat = F.regexp_replace(t, r"\s+", " ")
-    return F.when(t.startswith("[{") | t.startswith("{") | t.contains('"id":') | t.rlike(BADGE) | (F.length(flat) > 300), "").otherwise(flat)
+    return F.when(t.rlike(r'(?s)^[\[{].*"id"\s*:\s*[0-9]') | t.startswith("[{") | t.startswith("{") | t.contains('"id":') | t.rlike(BADGE) | (F.length(flat) > 300), "").otherwise(flat)
 
 
 def image_url(c: Column) -> Column:
@@ -43,10 +43,13 @@ def store_url(c: Column) -> Column:
 
 def reject_reason(name: Column, url: Column) -> Column:
     """Why a store can't be saved, or null."""
-    n, host = F.trim(text_or_empty(name)), F.substring_index(store_url(url), "://", -1)
+    n, clean = F.trim(text_or_empty(name)), store_url(url)
+    host = F.substring_index(clean, "://", -1)
+    # fixed values: messages
     return (
         F.when(n == "", "Store name is required").when(F.length(n) > 255, "Store name must be 255 characters or fewer")
-        .when(F.trim(text_or_empty(url)) == "", "Store URL is required").when(~host.contains("."), "Store URL host looks invalid")
+        .when(F.trim(text_or_empty(url)) == "", "Store URL is required").when(~clean.rlike("^https?://"), "Store URL must start with http:// or https://")
+        .when(~host.contains("."), "Store URL host looks invalid (missing TLD?)")
     )
 
 
@@ -99,6 +102,7 @@ def expects_both(niche: Column) -> Column:
 
 def scrape_warning(niche: Column, fashion: Column, general: Column) -> Column:
     """What is wrong with a store's last run, or null."""
+    # fixed values: messages
     return (
         F.when((fashion == 0) & (general == 0), "Dead scrape — both feeds empty").when(~expects_both(niche), None)
         .when(fashion == 0, "Fashion feed empty (mixed-niche store expected to populate both)").when(general == 0, "General feed empty (mixed-niche store expected to populate both)")

@@ -17,7 +17,8 @@ from .state import promoted
 def batched_scores(df: DataFrame, score: Callable[[list[dict]], list], columns: tuple[str, ...], schema: str, size: int = 50) -> DataFrame:
     """K1, K2: ``id`` and the fields of ``schema`` from ``score(rows)``, ``size`` rows a call.
 
-    A result that is missing, and every result of a failing call, is null.
+    A result that is missing, and every result of a failing call, is null; ``failed``
+    tells the latter.
     """
     names = [f.strip().split(" ")[0] for f in schema.split(",")]
 
@@ -25,17 +26,19 @@ def batched_scores(df: DataFrame, score: Callable[[list[dict]], list], columns:
         for frame in frames:
             for a in range(0, len(frame), size):
                 part = frame.iloc[a : a + size]
+                failed = False
                 try:
                     found = list(score(part.to_dict("records")))
                 except Exception:  # a failed batch is a batch of nulls
-                    found = []
+                    found, failed = [], True
                 found += [None] * (len(part) - len(found))
                 rows = [[f.get(n) if isinstance(f, dict) else None for n in names] for f in found[: len(part)]]
                 out = pd.DataFrame(rows, columns=names, dtype=object)
                 out.insert(0, "id", part["id"].to_numpy())
+                out["failed"] = failed
                 yield out
 
-    return df.select("id", *(c for c in columns if c != "id")).mapInPandas(run, f"id long, {schema}")
+    return df.select("id", *(c for c in columns if c != "id")).mapInPandas(run, f"id long, {schema}, failed boolean")
 
 
 def merge_classes(products: DataFrame, results: DataFrame) -> DataFrame:

@@ -46,8 +46,8 @@ def feed(stores: DataFrame, products: DataFrame, history: DataFrame, ledger: Dat
     """A combined or store feed as cards.
 
     Hero and villain of combined feeds come from the ledger. Without a label the
-    page is cut first and only its rows are labelled; with one all rows are
-    labelled, filtered and then cut. ``matching`` (ids) restricts to search hits.
+    page is cut first and only its rows are labelled, from their own snapshots; with
+    one all rows are labelled, filtered and then cut. ``matching`` (ids) restricts to search hits.
     """
     scope = products if store_id is None else products.where(F.col("store_id") == store_id)
     if matching is not None:
@@ -61,7 +61,9 @@ def feed(stores: DataFrame, products: DataFrame, history: DataFrame, ledger: Dat
     sizes_of = products.select("id", "store_id", "is_fashion", "subniche", "current_position")
     if label is None:
         page = sort_limit(own, sort, limit)
-        labels = L.movement_labels(sizes_of, history, **floors).select("id", "label", "position_change", "prior_position")
+        shown = F.broadcast(page.select("id"))  # at most 500 rows
+        past = history.join(shown.withColumnRenamed("id", "product_id"), "product_id", "left_semi")
+        labels = L.movement_labels(sizes_of, past, **floors, among=shown).select("id", "label", "position_change", "prior_position")
         return cards(page.join(labels, "id", "left"))
     labels = L.label_filter(L.movement_labels(sizes_of, history, **floors), label).select("id", "label", "position_change", "prior_position")
     return cards(sort_limit(own.join(labels, "id"), sort, limit))

@@ -35,9 +35,10 @@ def catalog_sizes(products: DataFrame) -> DataFrame:
     return products.groupBy("store_id", "is_fashion").agg(F.count_if(F.col("is_fashion") | (F.col("subniche") != "")).alias("size"))
 
 
-def movement_labels(products: DataFrame, history: DataFrame, *, now: str, epoch: str, start: str) -> DataFrame:
-    """Products with ``label, position_change, prior_position``."""
-    known = products.join(prior_positions(history, now=now, epoch=epoch, start=start), "id", "left").join(catalog_sizes(products), ["store_id", "is_fashion"], "left")
+def movement_labels(products: DataFrame, history: DataFrame, *, now: str, epoch: str, start: str, among: DataFrame | None = None) -> DataFrame:
+    """Products, or those of the ids ``among``, with ``label, position_change, prior_position``."""
+    own = products if among is None else products.join(among.select("id"), "id", "left_semi")
+    known = own.join(prior_positions(history, now=now, epoch=epoch, start=start), "id", "left").join(catalog_sizes(products), ["store_id", "is_fashion"], "left")
     prior, at = F.col("prior"), F.coalesce("current_position", F.lit(0))
     none = F.coalesce(prior, F.lit(0)) == 0
     far = F.abs(prior - at) > threshold(F.coalesce("size", F.lit(0)))

@@ -7,6 +7,7 @@ patterns are matched with Unicode case and word borders (``(?iU)``).
 from __future__ import annotations
 
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +21,19 @@ FORCE_GENERAL = r"\b(smartwatch|lamp|gear|gizmo|hängelampe|überraschungsbox)\b
 FORCE_FASHION = r"\b(dress|sneakers?|ring|rod|red widget)\b"
 SUBNICHES = (("electronics", r"\b(gizmo|charger|smartwatch)\b"), ("home", r"\b(plate|lamp|hängelampe)\b"), ("beauty", r"\b(serum|mascara)\b"), ("health", r"\b(posture|massage)\b"), ("food", r"\b(coffee|snack)\b"), ("toys-books", r"\b(puzzle|toy|gear)\b"))
 CATEGORIES = (("smartwatch", "electronics", r"\bsmart\s*watch(es)?\b"), ("watch", "accessories", r"\bwatch(es)?\b"), ("ring", "jewelry", r"\brings?\b"), ("bolt", "hardware", r"\bbolts?\b"), ("gear", "hardware", r"\bgears?\b|\banvils?\b"), ("plate", "home", r"\bplates?\b"), ("red-widget", "home", r"\bred widgets?\b"), ("widget", "home", r"\bwidgets?\b"))
+
+
+class Tables(NamedTuple):
+    """The rule tables of a user; all are patterns or ordered (name, pattern) entries."""
+
+    junk: dict[str, str] = JUNK
+    general: str = FORCE_GENERAL
+    fashion: str = FORCE_FASHION
+    subniches: tuple[tuple[str, str], ...] = SUBNICHES
+    catalog: tuple[tuple[str, str, str], ...] = CATEGORIES
+
+
+SAMPLE = Tables()
 FIELDS = ("title", "product_type", "handle", "product_url", "image_url")
 
 
@@ -57,12 +71,12 @@ def assign_category(df: DataFrame, catalog=CATEGORIES) -> Column:
     return F.coalesce(*(F.when(hits(text, p), name) for name, _, p in catalog), F.lit(""))
 
 
-def route(items: DataFrame) -> DataFrame:
+def route(items: DataFrame, tables: Tables = SAMPLE) -> DataFrame:
     """Drops junk and ``exclude``; sets ``is_fashion`` and ``subniche``. Function beats form."""
-    own = items.where(~is_junk(items)).withColumn("_sub", F.lower(F.trim(text_or_empty(F.col("subniche"))))).where("_sub <> 'exclude'")
-    wearable, general = F.col("_sub").isin(*WEARABLE), forced_general(own)
-    fashion = ~general & forced_fashion(own)
-    sub = F.when(general & (wearable | (F.col("_sub") == "")), general_subniche(F.col("title"))).when(fashion & ~wearable, "fashion").otherwise(F.col("subniche"))
+    own = items.where(~is_junk(items, tables.junk)).withColumn("_sub", F.lower(F.trim(text_or_empty(F.col("subniche"))))).where("_sub <> 'exclude'")
+    wearable, general = F.col("_sub").isin(*WEARABLE), forced_general(own, tables.general)
+    fashion = ~general & forced_fashion(own, tables.fashion)
+    sub = F.when(general & (wearable | (F.col("_sub") == "")), general_subniche(F.col("title"), tables.subniches)).when(fashion & ~wearable, "fashion").otherwise(F.col("subniche"))
     feed = F.when(general, False).when(fashion | wearable, True).otherwise(F.coalesce("is_fashion", F.lit(False)))
     return own.withColumns({"is_fashion": feed, "subniche": sub}).drop("_sub")
 

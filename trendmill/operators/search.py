@@ -6,13 +6,17 @@ of their shape. A set of queries is a table with a ``query_id``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
+from typing import NamedTuple
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import gender_contradiction, loose_word, plural_variants, singulars, text_or_empty, whole_word
 from .rules import CATEGORIES
+from .sides import checked
 from .vectors import vector_top_k
 
 TRANSLATIONS = (("ring", "bague"), ("ring", "anillo"), ("plate", "teller"), ("plate", "assiette"), ("widget", "dings"))
@@ -23,6 +27,30 @@ INTENTS = (("rings", "ring"), ("rings", "band"), ("tableware", "plate"), ("table
 VOCABULARY = (("color", "red"), ("color", "blue"), ("color", "green"), ("material", "steel"), ("occasion", "wedding"), ("style", "large"))
 CONFLICTS = (("ring", "rod"), ("plate", "widget"), ("knee-high-boots", "ankle-boots"))
 DENIED = ("hot", "new")
+
+
+class Dictionaries(NamedTuple):
+    """A user's word tables; pairs in all of them."""
+
+    translations: tuple[tuple[str, str], ...] = TRANSLATIONS
+    synonyms: tuple[tuple[str, str], ...] = SYNONYMS
+    nouns: tuple[tuple[str, str], ...] = NOUNS
+    aliases: tuple[tuple[str, str], ...] = ALIASES
+
+    def terms(self, word: str) -> list[str]:
+        """J5 for one word: its singulars, and what the tables say of them, of three letters at least."""
+        w = word.lower()
+        base = {w, *[w[:-1]] * (len(w) > 3 and w.endswith("s") and not w.endswith("ss")), *[w[:-2]] * (len(w) > 4 and w.endswith("es"))}
+        pairs = [p for t in (self.translations, self.synonyms) for a, b in t for p in ((a, b), (b, a))]
+        return sorted(t for t in base | {b for a, b in pairs if a in base} if len(t) >= 3)
+
+    def canonical(self, word: str) -> list[str]:
+        """J4 for one word: the categories that it names."""
+        w = word.lower()
+        return sorted({c for a, c in self.aliases if a == w} | {c for c, _ in self.nouns if c == w})
+
+
+SAMPLE = Dictionaries()
 COLUMNS = ("title", "ai_tags", "subniche", "product_type")
 
 
@@ -61,35 +89,26 @@ def expand_terms(words: DataFrame, translations=TRANSLATIONS, synonyms=SYNONYMS)
     return base.select("word", F.col("base").alias("term")).unionByName(base.join(pairs, "base").select("word", "term")).distinct()
 
 
-def _terms(rows: DataFrame, column: str) -> list[str]:
-    """A query's own terms: the dictionaries bound their number, the catalog doesn't enter."""
-    return sorted(r[0] for r in rows.select(column).distinct().collect() if r[0] and len(r[0]) >= 3)
-
-
-def word_condition(products: DataFrame, word: str) -> Column:
+def word_condition(products: DataFrame, word: str, words: Dictionaries = SAMPLE) -> Column:
     """A category word matches by category, strictly in names, loosely in tags; others loosely everywhere."""
-    spark = products.sparkSession
-    words = small(spark, [(word,)], "word string")
-    terms = _terms(expand_terms(words), "term")
-    nouns = _terms(resolve_aliases(words), "noun")
     any_of = lambda parts: reduce(lambda a, b: a | b, parts)
+    terms, canonical = words.terms(word), words.canonical(word)
+    nouns = sorted({n for c, n in words.nouns if c in canonical and len(n) >= 3})
     if nouns:
-        canonical = _terms(resolve_aliases(words), "canonical")
         strict = any_of(whole_word(F.col(c), t) for c in ("title", "handle", "product_type") for t in {*nouns, *terms})
         loose = any_of(loose_word(F.col(c), t) for c in ("ai_tags", "subniche") for t in {*nouns, *terms})
         return F.col("product_category").isin(*canonical) | strict | loose
     return any_of([F.lit(False), *(loose_word(F.col(c), t) for c in COLUMNS for t in terms)])
 
 
-def strict_match(products: DataFrame, text: str) -> Column:
+def strict_match(products: DataFrame, text: str, words: Dictionaries = SAMPLE) -> Column:
     """Every word matches."""
-    return reduce(lambda a, b: a & b, (word_condition(products, w) for w in text.split()), F.lit(True))
+    return reduce(lambda a, b: a & b, (word_condition(products, w, words) for w in text.split()), F.lit(True))
 
 
-def loose_match(products: DataFrame, text: str) -> Column:
+def loose_match(text: str, words: Dictionaries = SAMPLE) -> Column:
     """Any variant of any word matches anywhere."""
-    words = small(products.sparkSession, [(w,) for w in text.split()], "word string")
-    return reduce(lambda a, b: a | b, (loose_word(F.col(c), t) for c in COLUMNS for t in _terms(expand_terms(words), "term")), F.lit(False))
+    return reduce(lambda a, b: a | b, (loose_word(F.col(c), t) for c in COLUMNS for t in sorted({t for w in text.split() for t in words.terms(w)})), F.lit(False))
 
 
 def tag_match(text: str) -> Column:
@@ -97,18 +116,23 @@ def tag_match(text: str) -> Column:
     return reduce(lambda a, b: a & b, (loose_word(F.col("ai_tags"), w) for w in text.split()), F.lit(True))
 
 
-def cascade(products: DataFrame, text: str) -> DataFrame:
+def cascade(products: DataFrame, text: str, words: Dictionaries = SAMPLE) -> DataFrame:
     """Rows of the first strategy with any: tag, strict, loose; in one pass and one aggregate."""
-    flagged = products.withColumns({"_tag": tag_match(text), "_strict": strict_match(products, text), "_loose": loose_match(products, text)})
+    flagged = products.withColumns({"_tag": tag_match(text), "_strict": strict_match(products, text, words), "_loose": loose_match(text, words)})
     some = flagged.agg(F.coalesce(F.bool_or("_tag"), F.lit(False)).alias("_any_tag"), F.coalesce(F.bool_or("_strict"), F.lit(False)).alias("_any_strict"))
     both = flagged.crossJoin(F.broadcast(some))  # one row
     kept = F.when(F.col("_any_tag"), F.col("_tag")).when(F.col("_any_strict"), F.col("_strict")).otherwise(F.col("_loose"))
     return both.where(kept).select(*products.columns)
 
 
-def strategy_counts(products: DataFrame, text: str) -> DataFrame:
-    """Matches of every strategy."""
-    return products.agg(F.count_if(tag_match(text)).alias("tag"), F.count_if(strict_match(products, text)).alias("strict"), F.count_if(loose_match(products, text)).alias("loose"))
+def strategy_counts(products: DataFrame, text: str, words: Dictionaries = SAMPLE, samples: int = 5) -> DataFrame:
+    """Per strategy its matches, and the first ids of these."""
+    parts = []
+    for name, hit in (("tag", tag_match(text)), ("strict", strict_match(products, text, words)), ("loose", loose_match(text, words))):
+        rows = products.where(hit).select("id")
+        first = rows.orderBy("id").limit(samples).agg(F.sort_array(F.collect_list("id")).alias("sample"))
+        parts.append(rows.agg(F.count("*").alias("matches")).crossJoin(F.broadcast(first)).select(F.lit(name).alias("strategy"), "matches", "sample"))  # one row each
+    return reduce(DataFrame.unionByName, parts)
 
 
 def expand_queries(queries: DataFrame, intents=INTENTS, vocabulary=VOCABULARY) -> DataFrame:
@@ -171,29 +195,48 @@ def lexical_score(conflicts=CONFLICTS) -> Column:
 
 def score_products(products: DataFrame, queries: DataFrame) -> DataFrame:
     """Every product against every query of the stated set; ``query_id, id, kw``."""
-    return products.withColumns(_token_columns()).crossJoin(F.broadcast(queries)).select("query_id", "id", lexical_score().alias("kw"))
+    return products.withColumns(_token_columns()).crossJoin(checked(queries)).select("query_id", "id", lexical_score().alias("kw"))
 
 
 def intent_gate(queries: DataFrame, products: DataFrame) -> DataFrame:
-    """``query_id, id`` of products that name a keyword of the query's intents; a query without intents passes all."""
-    words = products.select("id", F.array_union(tokens(F.col("title")), tokens(F.col("ai_tags"))).alias("words"))
-    return words.crossJoin(F.broadcast(queries)).where((F.size("intents") == 0) | F.arrays_overlap("words", "keywords")).select("query_id", "id")
+    """``query_id, id`` of products that name a keyword of the query's intents.
+
+    Queries without intents aren't gated and have no rows here. Words meet keywords
+    by equality, so no product is compared with a query that it shares nothing with.
+    """
+    asked = queries.where(F.size("intents") > 0).select("query_id", F.explode("keywords").alias("word")).distinct()
+    named = products.select("id", F.explode(F.array_distinct(F.concat(tokens(F.col("title")), tokens(F.col("ai_tags"))))).alias("word"))
+    return named.join(checked(asked), "word").select("query_id", "id").distinct()
+
+
+def named_by_terms(products: DataFrame, queries: DataFrame, top_k: int) -> DataFrame:
+    """``query_id, id``: per query the first ``top_k`` rows by id whose title or tags contain a strong term.
+
+    Each distinct term of all queries is looked for once. The first rows of a query
+    are among the first ones of its terms, so no more than those leave the search.
+    """
+    asked = queries.select("query_id", F.explode("strong").alias("term"))
+    # one row; its terms are those of the dictionaries and the queries' own words
+    listed = asked.agg(F.collect_set("term").alias("all"))
+    hay = F.lower(F.concat_ws(" ", "title", text_or_empty(F.col("ai_tags"))))
+    found = products.select("id", hay.alias("hay")).crossJoin(F.broadcast(listed)).select("id", F.explode(F.filter("all", lambda t: F.col("hay").contains(t))).alias("term"))
+    first = lambda df, key: df.withColumn("_n", F.expr(f"row_number() OVER (PARTITION BY {key} ORDER BY id)")).where(F.col("_n") <= top_k).drop("_n")
+    return first(asked.join(first(found, "term"), "term").select("query_id", "id").distinct(), "query_id")
 
 
 def _candidates(products: DataFrame, index: DataFrame, queries: DataFrame, vectors: DataFrame, top_k: int) -> DataFrame:
     """G1: ``query_id, id, sim``: nearest vectors, and the first rows that contain a strong term."""
     near = vector_top_k(index, vectors, top_k).select("query_id", "id", "sim")
-    hay = F.lower(F.concat_ws(" ", "title", text_or_empty(F.col("ai_tags"))))
-    named = products.crossJoin(F.broadcast(queries)).where(F.exists("strong", lambda t: hay.contains(t))).select("query_id", "id")
-    named = named.withColumn("_n", F.expr("row_number() OVER (PARTITION BY query_id ORDER BY id)")).where(F.col("_n") <= top_k).drop("_n")
-    return near.select("query_id", "id").unionByName(named).distinct().join(near, ["query_id", "id"], "left")
+    named = named_by_terms(products, queries, top_k).select("*", F.lit(None).cast("double").alias("sim"))
+    return near.unionByName(named).groupBy("query_id", "id").agg(F.max("sim").alias("sim"))
 
 
 def _ranked(candidates: DataFrame, products: DataFrame, queries: DataFrame) -> DataFrame:
-    rows = candidates.join(products, "id").join(F.broadcast(queries), "query_id").where(~gender_contradiction(F.col("text"), F.concat_ws(" ", "title", text_or_empty(F.col("ai_tags")))))
+    rows = candidates.join(products, "id").join(checked(queries), "query_id").where(~gender_contradiction(F.col("text"), F.concat_ws(" ", "title", text_or_empty(F.col("ai_tags")))))
     score = F.when(F.col("sim").isNotNull(), F.round(100.0 * F.col("sim"), 4)).otherwise(F.least(F.lit(59.0), lexical_score().cast("double")))
     at = F.when(F.coalesce("current_position", F.lit(0)) == 0, 999999).otherwise(F.col("current_position"))
-    scored = rows.withColumns(_token_columns()).select("query_id", "id", score.alias("score"), at.alias("_at"))
+    gated = (F.size("intents") == 0) | F.arrays_overlap(F.concat(tokens(F.col("title")), tokens(F.col("ai_tags"))), "keywords")
+    scored = rows.withColumns(_token_columns()).select("query_id", "id", score.alias("score"), at.alias("_at"), gated.alias("gated"))
     return scored.withColumn("rank", F.expr("row_number() OVER (PARTITION BY query_id ORDER BY score DESC, _at, id)")).drop("_at")
 
 
@@ -205,13 +248,40 @@ def hybrid_search(products: DataFrame, index: DataFrame, queries: DataFrame, vec
     go. The score is 100 times the cosine, or without vector the lexical score up
     to 59. Ties go to the better rank, unknown ranks last, then to the smaller id.
     """
-    return _ranked(_candidates(products, index, queries, vectors, top_k), products, queries).where(F.col("rank") <= limit)
+    return _ranked(_candidates(products, index, queries, vectors, top_k), products, queries).where(F.col("rank") <= limit).drop("gated")
+
+
+def judged_search(ranked: DataFrame, products: DataFrame, judge: Callable[[list[dict]], list], *, page: int = 150, batch: int = 25, limit: int = 20) -> DataFrame:
+    """J11 after J9: the best ``page`` rows of each query, judged in batches of ``batch``, and the matches among them.
+
+    ``judge(rows)`` gives ``{"match": bool}`` or ``{"score": 0-100, "drop": bool}`` per
+    row; a score of 70 and more that isn't dropped is a match. A row without verdict
+    goes; all rows of a failed batch stay.
+    """
+    shown = ranked.where(F.col("rank") <= page).join(products.select("id", "title", "ai_tags"), "id")
+    placed = shown.withColumn("batch", F.floor((F.col("rank") - 1) / batch).cast("int"))
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        rows = group.sort_values("rank")
+        try:
+            found = list(judge(rows.to_dict("records")))
+        except Exception:  # a failed batch is shown as it is
+            return rows[["query_id", "id", "score", "rank"]]
+        fits = [isinstance(v, dict) and bool(v["match"] if "match" in v else v.get("score", 0) >= 70 and not v.get("drop")) for v in found]
+        fits += [False] * (len(rows) - len(fits))
+        return rows[fits[: len(rows)]][["query_id", "id", "score", "rank"]]
+
+    kept = placed.groupBy("query_id", "batch").applyInPandas(run, "query_id long, id long, score double, rank int")
+    return kept.withColumn("rank", F.expr("row_number() OVER (PARTITION BY query_id ORDER BY rank)")).where(F.col("rank") <= limit)
 
 
-def explain_search(products: DataFrame, index: DataFrame, queries: DataFrame, vectors: DataFrame, *, top_k: int = 200) -> DataFrame:
-    """Per query how many candidates there are, how many are kept, and the best."""
+def explain_search(products: DataFrame, index: DataFrame, queries: DataFrame, vectors: DataFrame, *, top_k: int = 200, shown: int = 15) -> DataFrame:
+    """Per query how many candidates there are, how many pass the intent gate and the gender filter, and the best ids."""
     found = _candidates(products, index, queries, vectors, top_k)
-    before = found.groupBy("query_id").agg(F.count("*").alias("candidates"))
-    after = _ranked(found, products, queries).groupBy("query_id").agg(F.count("*").alias("kept"), F.min_by("id", "rank").alias("best"))
+    before = found.groupBy("query_id").agg(F.count("*").alias("candidates"), F.count("sim").alias("by_vector"))
+    ranked = _ranked(found, products, queries)
+    best = F.filter(F.array_sort(F.collect_list(F.when(F.col("rank") <= shown, F.struct("rank", "id")))), lambda x: x.isNotNull())
+    after = ranked.groupBy("query_id").agg(F.count("*").alias("kept"), F.count_if("gated").alias("gated"), F.transform(best, lambda x: x.id).alias("best"))
     none = F.lit(0).cast("long")
-    return queries.select("query_id").join(before, "query_id", "left").join(after, "query_id", "left").select("query_id", F.coalesce("candidates", none).alias("candidates"), F.coalesce("kept", none).alias("kept"), "best")
+    out = queries.select("query_id").join(before, "query_id", "left").join(after, "query_id", "left")
+    return out.select("query_id", *(F.coalesce(c, none).alias(c) for c in ("candidates", "by_vector", "kept", "gated")), F.coalesce("best", F.array().cast("array<long>")).alias("best"))

@@ -5,12 +5,12 @@ Every function returns complete next tables; ``write_state`` makes one visible.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import reject_reason, store_url, text_or_empty
+from . import labels as L
 from . import rules as R
-from .feeds import in_feed
 
 OVERWRITTEN = ("title", "handle", "image_url", "price", "vendor", "product_type", "ai_tags", "current_position", "is_fashion", "subniche")
 
@@ -23,7 +23,7 @@ def retired(df: DataFrame, when: Column) -> DataFrame:
     return df.withColumns({"is_fashion": F.when(when, False).otherwise(F.col("is_fashion")), "subniche": F.when(when, "").otherwise(F.col("subniche"))})
 
 
-def upsert_products(products: DataFrame, scraped: DataFrame, *, now: str) -> DataFrame:
+def upsert_products(products: DataFrame, scraped: DataFrame, *, now: str, tables: R.Tables = R.SAMPLE) -> DataFrame:
     """Match on store and handle; the scrape's attributes win, vectors and vision times stay.
 
     ``existed`` tells old rows, ``listed`` those of this scrape. A new row's id
@@ -35,25 +35,29 @@ def upsert_products(products: DataFrame, scraped: DataFrame, *, now: str) -> Dat
     listed = F.coalesce("_listed", F.lit(False))
     taken = {c: F.when(listed, F.col(f"_{c}")).otherwise(F.col(c)) for c in OVERWRITTEN if c != "handle" and c in scraped.columns}
     own = both.withColumns(taken | {"handle": F.col("_key"), "id": F.coalesce("id", F.abs(F.xxhash64("store_id", "_key"))), "existed": F.coalesce("_existed", F.lit(False)), "listed": listed, "last_scraped": F.when(listed, F.lit(now).cast("timestamp_ntz")).otherwise(F.col("last_scraped"))})
-    own = own.withColumn("product_category", F.when(listed, R.assign_category(own)).otherwise(F.col("product_category")))
+    own = own.withColumn("product_category", F.when(listed, R.assign_category(own, tables.catalog)).otherwise(F.col("product_category")))
     return own.select(*products.columns, "existed", "listed")
 
 
-def sweep_junk(products: DataFrame) -> DataFrame:
+def _within(hit: Column, among: Column | None) -> Column:
+    return hit if among is None else hit & among
+
+
+def sweep_junk(products: DataFrame, among: Column | None = None, tables: R.Tables = R.SAMPLE) -> DataFrame:
     """Active junk is retired."""
-    return retired(products, active() & R.is_junk(products))
+    return retired(products, _within(active() & R.is_junk(products, tables.junk), among))
 
 
-def sweep_demote(products: DataFrame, among: Column | None = None) -> DataFrame:
+def sweep_demote(products: DataFrame, among: Column | None = None, tables: R.Tables = R.SAMPLE) -> DataFrame:
     """Fashion rows of general purpose move to the general feed."""
-    hit = F.col("is_fashion") & R.forced_general(products) & (F.lit(True) if among is None else among)
-    return products.withColumns({"subniche": F.when(hit, R.general_subniche(F.col("title"))).otherwise(F.col("subniche")), "is_fashion": F.when(hit, False).otherwise(F.col("is_fashion"))})
+    hit = _within(F.col("is_fashion") & R.forced_general(products, tables.general), among)
+    return products.withColumns({"subniche": F.when(hit, R.general_subniche(F.col("title"), tables.subniches)).otherwise(F.col("subniche")), "is_fashion": F.when(hit, False).otherwise(F.col("is_fashion"))})
 
 
-def sweep_promote(products: DataFrame, among: Column | None = None) -> DataFrame:
+def sweep_promote(products: DataFrame, among: Column | None = None, tables: R.Tables = R.SAMPLE) -> DataFrame:
     """Other rows that are apparel move to fashion; wearable subniches stay. Junk isn't tested again."""
-    hit = ~F.col("is_fashion") & R.forced_fashion(products) & ~R.forced_general(products) & (F.lit(True) if among is None else among)
-    return promoted(products, hit)
+    hit = ~F.col("is_fashion") & R.forced_fashion(products, tables.fashion) & ~R.forced_general(products, tables.general)
+    return promoted(products, _within(hit, among))
 
 
 def promoted(products: DataFrame, hit: Column) -> DataFrame:
@@ -61,9 +65,9 @@ def promoted(products: DataFrame, hit: Column) -> DataFrame:
     return products.withColumns({"subniche": sub, "is_fashion": F.when(hit, True).otherwise(F.col("is_fashion"))})
 
 
-def sweep_off_cap(products: DataFrame, cap: int = 600) -> DataFrame:
+def sweep_off_cap(products: DataFrame, cap: int = 600, among: Column | None = None) -> DataFrame:
     """Active rows beyond the source cap are retired."""
-    return retired(products, active() & (F.col("current_position") > cap))
+    return retired(products, _within(active() & (F.col("current_position") > cap), among))
 
 
 def retire_absent(products: DataFrame, scraped: DataFrame, guard: int = 5) -> DataFrame:
@@ -80,26 +84,34 @@ def promote_wearables(products: DataFrame) -> DataFrame:
     return products.withColumn("is_fashion", F.col("is_fashion") | F.col("subniche").isin("bags", "accessories", "jewelry"))
 
 
-def backfill_category(products: DataFrame) -> DataFrame:
+def backfill_category(products: DataFrame, tables: R.Tables = R.SAMPLE) -> DataFrame:
     """G10"""
-    return products.withColumn("product_category", F.when(text_or_empty(F.col("product_category")) == "", R.assign_category(products)).otherwise(F.col("product_category")))
+    return products.withColumn("product_category", F.when(text_or_empty(F.col("product_category")) == "", R.assign_category(products, tables.catalog)).otherwise(F.col("product_category")))
 
 
 def force_promote(products: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Rows of ``chosen(handle)`` go to fashion, with their state before and after."""
-    own = products.join(chosen.select("handle"), "handle", "left_semi")
+    """Rows of ``chosen``, by ``id`` and ``handle`` where given, go to fashion, with their state before and after."""
+    keys = [products.join(chosen.select(k).where(F.col(k).isNotNull()), k, "left_semi").select(*products.columns) for k in ("id", "handle") if k in chosen.columns]
+    own = keys[0] if len(keys) == 1 else keys[0].unionByName(keys[1].join(chosen.select("id"), "id", "left_anti").select(*products.columns))
     after = promoted(own.withColumns({"before_fashion": F.col("is_fashion"), "before_subniche": F.col("subniche")}), F.lit(True))
     return after.select("id", "handle", "before_fashion", "before_subniche", F.col("is_fashion").alias("after_fashion"), F.col("subniche").alias("after_subniche"))
 
 
-def apply_scrape(products: DataFrame, scraped: DataFrame, *, now: str, cap: int = 600, guard: int = 5) -> DataFrame:
-    """Sanitise, upsert, then the sweeps over rows that existed before, then retirement, in this order."""
+def apply_scrape(products: DataFrame, scraped: DataFrame, *, now: str, cap: int = 600, guard: int = 5, tables: R.Tables = R.SAMPLE) -> DataFrame:
+    """Sanitise, upsert, then the sweeps over rows that existed before, then retirement, in this order.
+
+    ``apply_run`` adds the snapshots and the movement events.
+    """
     clean = scraped.withColumn("subniche", R.sane_subniche(F.col("is_fashion"), F.col("subniche")))
-    state = upsert_products(products, clean, now=now)
-    for sweep in (sweep_junk, sweep_demote, sweep_promote, lambda df: sweep_off_cap(df, cap)):
-        after = sweep(state.where("existed"))
-        state = after.unionByName(state.where("NOT existed"))
-    return retire_absent(state, clean, guard).select(*products.columns, "listed")
+    state, old = upsert_products(products, clean, now=now, tables=tables), F.col("existed")
+    state = sweep_promote(sweep_demote(sweep_junk(state, old, tables), old, tables), old, tables)
+    return retire_absent(sweep_off_cap(state, cap, old), clean, guard).select(*products.columns, "listed")
+
+
+def apply_run(products: DataFrame, history: DataFrame, ledger: DataFrame, scraped: DataFrame, *, now: str, epoch: str, start: str, cap: int = 600, guard: int = 5, tables: R.Tables = R.SAMPLE) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Next products (with ``listed``), the snapshots to append, and the next ledger of one run."""
+    state = apply_scrape(products, scraped, now=now, cap=cap, guard=guard, tables=tables)
+    return state, append_history(state, now=now), L.merge_events(ledger, L.events_of_today(state, history, now=now, epoch=epoch, start=start))
 
 
 def sweep_counts(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -165,16 +177,31 @@ def seed_if_empty(stores: DataFrame, initial: DataFrame) -> DataFrame:
     return initial.select(*stores.columns) if stores.isEmpty() else stores
 
 
-def maintain(products: DataFrame) -> DataFrame:
+def maintain(products: DataFrame, tables: R.Tables = R.SAMPLE) -> DataFrame:
     """The whole-table maintenance chain; demotion after promotion, so that function beats form."""
-    for step in (sweep_junk, promote_wearables, sweep_promote, sweep_demote, sweep_off_cap, backfill_category):
-        products = step(products)
-    return products
+    own = promote_wearables(sweep_junk(products, None, tables))
+    return backfill_category(sweep_off_cap(sweep_demote(sweep_promote(own, None, tables), None, tables)), tables)
+
+
+def write_history(snapshots: DataFrame, path: str) -> None:
+    """Append snapshots to a table partitioned by day; a day that is written again is replaced."""
+    snapshots.withColumn("day", F.to_date("date")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
 
 
 def write_state(df: DataFrame, path: str, version: int, partition_by: str | None = None) -> str:
-    """A new version directory; readers switch when it is complete. Returns its path."""
+    """A version directory; readers switch when it is complete. A repeated run writes it anew. Returns its path."""
     out = f"{path.rstrip('/')}/version={version}"
-    writer = df.write.mode("errorifexists")
+    writer = df.write.mode("overwrite")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(out)
     return out
+
+
+def newest_state(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
+    """The newest version, or the newest before one, that was written to its end; None if there is none."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [f.getPath() for f in files.listStatus(root)] if files.exists(root) else []
+    done = {int(p.getName().split("=")[1]): p for p in found if p.getName().startswith("version=") and files.exists(hadoop.Path(p, "_SUCCESS"))}
+    versions = [v for v in done if before is None or v < before]
+    return spark.read.parquet(done[max(versions)].toString()) if versions else None

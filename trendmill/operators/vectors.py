@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .feeds import in_feed
+from .sides import checked
 
 
 def encode_vector(c: Column) -> Column:
@@ -70,12 +71,13 @@ def vector_top_k(index: DataFrame, queries: DataFrame, k: int = 200, scope: Data
 
     ``queries(query_id, unit)`` is the stated query set, compared with every row;
     only the k best of each query leave a task, through the window's group limit.
-    A zero query gives no rows.
+    Rank goes by the double, ``sim`` is rounded to 6 places. A zero query gives no rows.
     """
     rows = index if scope is None else index.join(scope, "id", "left_semi")
     asked = queries.where(F.exists("unit", lambda x: x != 0)).select("query_id", F.col("unit").alias("q"))
-    scored = rows.crossJoin(F.broadcast(asked)).select("query_id", "id", F.round(dot(F.col("unit"), F.col("q")), 6).alias("sim"))
-    return scored.withColumn("rank", F.expr("row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id)")).where(F.col("rank") <= k)
+    scored = rows.crossJoin(checked(asked)).select("query_id", "id", dot(F.col("unit"), F.col("q")).alias("sim"))
+    best = scored.withColumn("rank", F.expr("row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id)")).where(F.col("rank") <= k)
+    return best.withColumn("sim", F.round("sim", 6))
 
 
 def merge_results(products: DataFrame, results: DataFrame, columns: tuple[str, ...]) -> DataFrame:

@@ -28,12 +28,22 @@ def tables(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, Data
     return M.stores(spark, folder), M.products(spark, folder), M.history(spark, folder)
 
 
-def ledger(spark: SparkSession, folder: str) -> DataFrame:
+def run_tables(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Stores, products, history and ledger; the model is derived once and written, as a run would leave it."""
+    stores, products, history = tables(spark, folder)
+    products, history = M.saved(products), M.saved(history)
+    return stores, products, history, ledger_of(products, history)
+
+
+def ledger_of(products: DataFrame, history: DataFrame) -> DataFrame:
     """Backfilled events and those of today."""
-    _, products, history = tables(spark, folder)
     return L.merge_events(L.backfill_events(products, history, None, now=NOW, start=START), L.events_of_today(products, history, **FLOORS))
 
 
+def ledger(spark: SparkSession, folder: str) -> DataFrame:
+    return run_tables(spark, folder)[3]
+
+
 @query("h1_threshold", "SELECT p_partkey, CASE WHEN p_size - 3 <= 0 THEN 30 ELSE least(30, greatest(1, CAST(floor(0.3 * (p_size - 3)) AS INT))) END AS threshold FROM part")
 def h1(spark, folder):
     return M.read(spark, folder, "part").select("p_partkey", L.threshold(F.col("p_size") - 3).alias("threshold"))
@@ -53,8 +63,8 @@ def h3(spark, folder):
 
 @query("h3_merged_ledger", "SELECT * FROM ledger")
 def h3m(spark, folder):
-    fresh = L.events_of_today(*tables(spark, folder)[1:], **FLOORS)
-    return L.merge_events(ledger(spark, folder), fresh)
+    _, products, history, events = run_tables(spark, folder)
+    return L.merge_events(events, L.events_of_today(products, history, **FLOORS))
 
 
 @query("h4_event_backfill", "SELECT * FROM ledger WHERE date < DATE '2024-01-30'")
@@ -86,12 +96,14 @@ _EVENT = ["product_id", "date", "label", "prior_position", "event_position", "po
 
 @query("h7_event_window_heroes", _H7.format(label="hero") + " AND is_fashion")
 def h7(spark, folder):
-    return L.event_window(ledger(spark, folder), M.products(spark, folder), label="hero", days=7, now=NOW, start=START, is_fashion=True).select(_EVENT)
+    _, products, _, events = run_tables(spark, folder)
+    return L.event_window(events, products, label="hero", days=7, now=NOW, start=START, is_fashion=True).select(_EVENT)
 
 
 @query("h7_event_window_all_villains", _H7.format(label="villain"))
 def h7v(spark, folder):
-    return L.event_window(ledger(spark, folder), M.products(spark, folder), label="villain", days=7, now=NOW, start=START).select(_EVENT)
+    _, products, _, events = run_tables(spark, folder)
+    return L.event_window(events, products, label="villain", days=7, now=NOW, start=START).select(_EVENT)
 
 
 @query("h8_trusted_snapshots", f"SELECT * FROM history WHERE CAST(date AS DATE) < DATE '{TODAY}' AND date >= DATE '{START}'")
@@ -131,7 +143,9 @@ def d2(spark, folder):
 
 @query("e2_newest_event_per_label", "SELECT product_id, label, max(date) AS date FROM ledger GROUP BY ALL")
 def e2(spark, folder):
-    return ledger(spark, folder).groupBy("product_id", "label").agg(F.max("date").alias("date"))
+    _, products, _, events = run_tables(spark, folder)
+    found = [L.event_window(events, products, label=label, days=400, now=NOW, start=START).select("product_id", "label", "date") for label in ("hero", "villain")]
+    return found[0].unionByName(found[1])
 
 
 @query("e3_daily_last_snapshot", "SELECT product_id, CAST(date AS DATE) AS date, arg_max(position, (date, id)) AS position FROM history GROUP BY ALL")

@@ -8,7 +8,7 @@ from .functions import text as X
 from .operators import feeds as D
 from .operators import labels as L
 from .operators import rules as R
-from .queries import FLOORS, ledger, query, tables
+from .queries import FLOORS, ledger, query, run_tables, tables
 from .sources import model as M
 from .sources.model import NOW, START
 
@@ -67,8 +67,8 @@ _EVENT_CARD = "SELECT p.id, title, handle, image_url, price, vendor, product_typ
 
 @query("b2_c5_event_cards", "WITH " + _EVENTS.format(label="villain") + " " + _EVENT_CARD.format(active=_FEED[False]))
 def b2(spark, folder):
-    stores, products, _ = tables(spark, folder)
-    events = L.event_window(ledger(spark, folder), products, label="villain", days=7, now=NOW, start=START)
+    stores, products, _, own = run_tables(spark, folder)
+    events = L.event_window(own, products, label="villain", days=7, now=NOW, start=START)
     return D.event_cards(events, stores, False)
 
 
@@ -84,7 +84,7 @@ def b5(spark, folder):
     return s.select("id", X.store_url(messy).alias("clean"), X.store_url(F.lit("   ")).alias("blank"))
 
 
-@query("b6_store_validation", "SELECT id, CASE id % 5 WHEN 0 THEN 'Store name is required' WHEN 1 THEN 'Store name must be 255 characters or fewer' WHEN 2 THEN 'Store URL is required' WHEN 3 THEN 'Store URL host looks invalid' END AS reject_reason FROM stores")
+@query("b6_store_validation", "SELECT id, CASE id % 5 WHEN 0 THEN 'Store name is required' WHEN 1 THEN 'Store name must be 255 characters or fewer' WHEN 2 THEN 'Store URL is required' WHEN 3 THEN 'Store URL host looks invalid (missing TLD?)' END AS reject_reason FROM stores")
 def b6(spark, folder):
     s, k = M.stores(spark, folder), F.col("id") % 5
     name = F.when(k == 0, " ").when(k == 1, F.repeat(F.lit("x"), 256)).otherwise(F.col("name"))
@@ -190,9 +190,11 @@ def b23(spark, folder):
     return c.select("id", X.expects_both(F.col("niche")).alias("expects_both"), X.scrape_warning(F.col("niche"), F.col("fashion_count"), F.col("general_count")).alias("warning"))
 
 
-@query("b24_epoch_guard", "SELECT * FROM ledger WHERE false")
+@query("b24_epoch_guard", "SELECT 'before today' AS epoch, count(*) AS events FROM ledger WHERE date = DATE '2024-01-30' UNION ALL SELECT 'today', 0")
 def b24(spark, folder):
-    return L.events_of_today(*tables(spark, folder)[1:], now=NOW, epoch=NOW, start=START)
+    _, products, history = tables(spark, folder)
+    counts = [L.events_of_today(products, history, now=NOW, epoch=epoch, start=START).agg(F.count("*").alias("events")).select(F.lit(name).alias("epoch"), "events") for name, epoch in (("before today", START), ("today", NOW))]
+    return counts[0].unionByName(counts[1])
 
 
 _LINKS = "links AS (SELECT page_id, regexp_extract(url, '://([^/]+)', 1) AS store_id, lower(l) AS handle, slot FROM (SELECT page_id, url, unnest(ls) AS l, generate_subscripts(ls, 1) AS slot FROM (SELECT page_id, url, regexp_extract_all(html, '<a [^>]*href=\"/([^\"/]+)\"', 1) AS ls FROM pages)))"
@@ -215,15 +217,15 @@ def e6(spark, folder):
     return R.first_per_store(link_rows(spark, folder)).select("page_id", "store_id", "handle", "slot")
 
 
-@query("e5_e7_source_position", "WITH " + _FIRST + " SELECT store_id, handle, source_position FROM placed WHERE source_position <= 15")
+@query("e5_e7_source_position", "WITH " + _FIRST + " SELECT store_id, handle, source_position FROM placed WHERE source_position <= 600")
 def e5(spark, folder):
-    return R.source_positions(R.first_per_store(link_rows(spark, folder)), cap=15).select("store_id", "handle", "source_position")
+    return R.source_positions(R.first_per_store(link_rows(spark, folder))).select("store_id", "handle", "source_position")
 
 
-@query("e8_feed_quota", "WITH " + _FIRST + " SELECT store_id, handle, source_position, is_fashion FROM (SELECT *, row_number() OVER (PARTITION BY store_id, is_fashion ORDER BY source_position) AS rn FROM (SELECT *, length(handle) % 3 = 0 AS is_fashion FROM placed WHERE source_position <= 600)) WHERE rn <= 4")
+@query("e8_feed_quota", "WITH " + _FIRST + " SELECT store_id, handle, source_position, is_fashion FROM (SELECT *, row_number() OVER (PARTITION BY store_id, is_fashion ORDER BY source_position) AS rn FROM (SELECT *, length(handle) % 3 = 0 AS is_fashion FROM placed WHERE source_position <= 600)) WHERE rn <= 200")
 def e8(spark, folder):
     placed = R.source_positions(R.first_per_store(link_rows(spark, folder))).withColumn("is_fashion", F.length("handle") % 3 == 0)
-    return R.feed_quota(placed, 4).select("store_id", "handle", "source_position", "is_fashion")
+    return R.feed_quota(placed).select("store_id", "handle", "source_position", "is_fashion")
 
 
 @query("d1_store_counts", f"WITH {_COUNTS} SELECT * FROM counts")
@@ -236,8 +238,8 @@ _EV = lambda label: f"(SELECT count(DISTINCT product_id) FROM ledger JOIN produc
 
 @query("d3_statistics", f"SELECT (SELECT count(*) FROM stores) AS stores, (SELECT count(*) FROM products WHERE is_fashion) AS products, {_EV('hero')} AS heroes, {_EV('villain')} AS villains")
 def d3(spark, folder):
-    stores, products, _ = tables(spark, folder)
-    return D.statistics(stores, products, ledger(spark, folder), days=14, is_fashion=True, now=NOW, start=START)
+    stores, products, _, events = run_tables(spark, folder)
+    return D.statistics(stores, products, events, days=14, is_fashion=True, now=NOW, start=START)
 
 
 @query("d4_unhealthy_stores", f"WITH {_COUNTS} SELECT id, name, CASE WHEN fashion_count = 0 AND general_count = 0 THEN 'dead' ELSE 'skewed' END AS status, fashion_count, general_count FROM counts WHERE (fashion_count = 0 AND general_count = 0) OR ({_NICHE} AND ((fashion_count > 100 AND general_count = 0) OR (general_count > 100 AND fashion_count = 0)))")
@@ -292,12 +294,12 @@ for _sort, _order in _SORT.items():
 
 
 def _feed(spark, folder, **parameters):
-    stores, products, history = tables(spark, folder)
-    return D.feed(stores, products, history, ledger(spark, folder), **({"sort": "high-low", "limit": 40} | FLOORS | parameters))
+    stores, products, history, events = run_tables(spark, folder)
+    return D.feed(stores, products, history, events, **({"sort": "high-low", "limit": 40} | FLOORS | parameters))
 
 
 _LABEL_CARD = _CARD_SQL.format(p="p", label="label, change AS position_change, prior_position") + " FROM labels_now p JOIN stores s ON s.id = store_id WHERE {where} ORDER BY current_position, p.id LIMIT 40"
-for _name, _fashion, _store in (("i1_combined_fashion_feed", True, None), ("i2_store_fashion_feed", True, 2), ("i3_combined_general_feed", False, None), ("i4_store_general_feed", False, 2)):
+for _name, _fashion, _store in (("i1_combined_fashion_feed", True, None), ("i2_store_fashion_feed", True, 0), ("i3_combined_general_feed", False, None), ("i4_store_general_feed", False, 0)):
     _where = _FEED[_fashion] + (f" AND store_id = {_store}" if _store is not None else "")
 
     @query(_name, _LABEL_CARD.format(where=_where))

@@ -9,7 +9,7 @@ from .operators import feeds as D
 from .operators import search as J
 from .operators import vectors as V
 from .operators.rules import CATEGORIES
-from .queries import FLOORS, ledger, query, tables
+from .queries import FLOORS, query, run_tables
 from .sources import model as M
 
 _NOUN = "split_part(p_name, ' ', 2)"
@@ -89,7 +89,7 @@ def j7s(spark, folder):
 @query("j7_loose_words", f"SELECT id FROM products WHERE {_ALL} LIKE '%widget%' OR {_ALL} LIKE '%dings%' OR {_ALL} LIKE '%blue%'")
 def j7l(spark, folder):
     p = M.products(spark, folder)
-    return p.where(J.loose_match(p, "widget blue")).select("id")
+    return p.where(J.loose_match("widget blue")).select("id")
 
 
 @query("j7_cascade", f"SELECT id FROM products WHERE {_PLATE} AND {_ALL} LIKE '%men%'")
@@ -97,7 +97,10 @@ def j7c(spark, folder):
     return J.cascade(M.products(spark, folder), "plates men").select("id")
 
 
-@query("d14_strategy_counts", f"SELECT count(*) FILTER (WHERE lower(coalesce(ai_tags, '')) LIKE '%plates%' AND lower(coalesce(ai_tags, '')) LIKE '%blue%') AS tag, count(*) FILTER (WHERE {_PLATE} AND {_ALL} LIKE '%blue%') AS strict, count(*) FILTER (WHERE regexp_matches({_ALL}, 'plate|teller|assiette|home|blue')) AS loose FROM products")
+_STRATEGIES = {"tag": "lower(coalesce(ai_tags, '')) LIKE '%plates%' AND lower(coalesce(ai_tags, '')) LIKE '%blue%'", "strict": f"{_PLATE} AND {_ALL} LIKE '%blue%'", "loose": f"regexp_matches({_ALL}, 'plate|teller|assiette|home|blue')"}
+
+
+@query("d14_strategy_counts", " UNION ALL ".join(f"SELECT '{name}' AS strategy, (SELECT count(*) FROM products WHERE {hit}) AS matches, (SELECT coalesce(list(id ORDER BY id), CAST([] AS BIGINT[])) FROM (SELECT id FROM products WHERE {hit} ORDER BY id LIMIT 5)) AS sample" for name, hit in _STRATEGIES.items()))
 def d14(spark, folder):
     return J.strategy_counts(M.products(spark, folder), "plates blue")
 
@@ -136,55 +139,64 @@ def _tok(c: str) -> str:
 
 
 _IMG = "(CASE WHEN len(t) < 3 THEN 0 ELSE CASE WHEN contains(tg, 'img:type:' || t) THEN 10 WHEN contains(tg, 'img:' || t) THEN 6 ELSE 0 END + CASE WHEN contains(tg, 'img:color:' || t) THEN 3 ELSE 0 END END)"
-_KW = f"""sc AS (SELECT query_id, id, current_position, qtext, title, ai_tags, tg, strong, CASE WHEN contains(lower(title), lower(qtext)) THEN 15 ELSE 0 END
+_KW = f"""sc AS (SELECT query_id, id, current_position, qtext, title, ai_tags, tg, strong, intents, keywords, ti, kt, CASE WHEN contains(lower(title), lower(qtext)) THEN 15 ELSE 0 END
  + CAST(coalesce(list_sum(list_transform(qtags, lambda t: CASE WHEN list_contains(kt, t) THEN 4 ELSE 0 END + CASE WHEN list_contains(ti, t) THEN 2 ELSE 0 END)), 0) AS INT)
  + CAST(coalesce(list_sum(list_transform(terms, lambda t: CASE WHEN len(t) < 3 THEN 0 ELSE CASE WHEN list_contains(ti, t) THEN 3 ELSE 0 END + CASE WHEN list_contains(kt, t) THEN 2 ELSE 0 END + CASE WHEN list_contains(ca, t) THEN 1 ELSE 0 END + CASE WHEN list_contains(su, t) THEN 1 ELSE 0 END + CASE WHEN list_contains(ty, t) THEN 1 ELSE 0 END + CASE WHEN list_contains(ha, t) THEN 1 ELSE 0 END END)), 0) AS INT)
  + CASE WHEN contains(tg, 'img:') THEN CAST(coalesce(list_sum(list_transform(terms || qtags, lambda t: {_IMG})), 0) AS INT) - CASE WHEN list_contains(terms, 'ring') AND contains(tg, 'img:type:rod') THEN 8 ELSE 0 END - CASE WHEN list_contains(terms, 'plate') AND contains(tg, 'img:type:widget') THEN 8 ELSE 0 END ELSE 0 END AS kw
- FROM (SELECT q.query_id, q.text AS qtext, q.terms, q.tags AS qtags, q.strong, p.id, p.current_position, p.title, p.ai_tags, lower(coalesce(ai_tags, '')) AS tg, {_tok('title')} AS ti, {_tok('ai_tags')} AS kt, {_tok('product_category')} AS ca, {_tok('subniche')} AS su, {_tok('product_type')} AS ty, {_tok('handle')} AS ha FROM products p, qe q))"""
+ FROM (SELECT q.query_id, q.text AS qtext, q.terms, q.tags AS qtags, q.strong, q.intents, q.keywords, p.id, p.current_position, p.title, p.ai_tags, lower(coalesce(ai_tags, '')) AS tg, {_tok('title')} AS ti, {_tok('ai_tags')} AS kt, {_tok('product_category')} AS ca, {_tok('subniche')} AS su, {_tok('product_type')} AS ty, {_tok('handle')} AS ha FROM products p, qe q))"""
 
 
-@query("j10_c12_lexical_scores", f"WITH {_Q}, {_KW} SELECT query_id, id, kw FROM sc WHERE kw >= 8")
+@query("j10_c12_lexical_scores", f"WITH {_Q}, {_KW} SELECT query_id, id, kw FROM sc")
 def j10(spark, folder):
-    return J.score_products(M.products(spark, folder), J.expand_queries(query_set(spark, folder))).where("kw >= 8")
+    return J.score_products(M.products(spark, folder), J.expand_queries(query_set(spark, folder)))
 
 
-@query("j12_intent_gate", f"WITH {_Q} SELECT query_id, id FROM products p, qe q WHERE len(intents) = 0 OR list_has_any({_tok('title')} || {_tok('ai_tags')}, keywords)")
+@query("j12_intent_gate", f"WITH {_Q} SELECT query_id, id FROM products p, qe q WHERE list_has_any({_tok('title')} || {_tok('ai_tags')}, keywords)")
 def j12(spark, folder):
     return J.intent_gate(J.expand_queries(query_set(spark, folder)), M.products(spark, folder).select("id", "title", "ai_tags"))
 
 
-_HYBRID = f"""{_Q}, {_KW}, near AS (SELECT * FROM (SELECT q.query_id, e.id, round(list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 6) AS sim, row_number() OVER (PARTITION BY q.query_id ORDER BY round(list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 6) DESC, e.id) AS rn FROM q JOIN products v ON v.id = q.query_id, products e WHERE v.embedding IS NOT NULL AND e.embedding IS NOT NULL) WHERE rn <= 50),
-named AS (SELECT query_id, id FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY id) AS rn FROM sc WHERE len(list_filter(strong, lambda t: contains(lower(title || ' ' || coalesce(ai_tags, '')), t))) > 0) WHERE rn <= 50),
+_HYBRID = f"""{_Q}, {_KW}, near AS (SELECT * FROM (SELECT q.query_id, e.id, round(list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 6) AS sim, row_number() OVER (PARTITION BY q.query_id ORDER BY list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) DESC, e.id) AS rn FROM q JOIN products v ON v.id = q.query_id, products e WHERE v.embedding IS NOT NULL AND e.embedding IS NOT NULL) WHERE rn <= 200),
+named AS (SELECT query_id, id FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY id) AS rn FROM sc WHERE len(list_filter(strong, lambda t: contains(lower(title || ' ' || coalesce(ai_tags, '')), t))) > 0) WHERE rn <= 200),
 cand AS (SELECT query_id, id FROM near UNION SELECT query_id, id FROM named),
-fin AS (SELECT c.query_id, c.id, CASE WHEN sim IS NOT NULL THEN round(100.0 * sim, 4) ELSE least(59.0, CAST(kw AS DOUBLE)) END AS score, CASE WHEN coalesce(current_position, 0) = 0 THEN 999999 ELSE current_position END AS place
+fin AS (SELECT c.query_id, c.id, CASE WHEN sim IS NOT NULL THEN round(100.0 * sim, 4) ELSE least(59.0, CAST(kw AS DOUBLE)) END AS score, CASE WHEN coalesce(current_position, 0) = 0 THEN 999999 ELSE current_position END AS place, len(intents) = 0 OR list_has_any(ti || kt, keywords) AS gated
  FROM cand c JOIN sc USING (query_id, id) LEFT JOIN near n ON n.query_id = c.query_id AND n.id = c.id WHERE NOT ((qtext LIKE '%for women' AND title LIKE '%for men') OR (qtext LIKE '%for men' AND title LIKE '%for women'))),
 ranked AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, place, id) AS rank FROM fin)"""
 
 
-def hybrid(spark, folder, limit):
-    p = M.products(spark, folder, True)
+def search_tables(spark, folder):
+    """Products, their unit vectors, and the queries with theirs; the catalog is derived once."""
+    p = M.saved(M.products(spark, folder, True))
     index = p.where("embedding IS NOT NULL").select("id", V.normalised(F.col("embedding")).alias("unit"))
-    asked = query_set(spark, folder)
+    asked = p.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.concat(F.lit("Hot "), "title").alias("text"))
     vectors = index.join(asked.select(F.col("query_id").alias("id")), "id").select(F.col("id").alias("query_id"), "unit")
-    return J.hybrid_search(p.drop("embedding"), index, J.expand_queries(asked), vectors, top_k=50, limit=limit)
+    return p.drop("embedding"), index, M.saved(J.expand_queries(asked)), vectors
 
 
 @query("j9_g1_f3_hybrid_search", f"WITH {_HYBRID} SELECT query_id, id, score, rank FROM ranked WHERE rank <= 20")
 def j9(spark, folder):
-    return hybrid(spark, folder, 20)
+    return J.hybrid_search(*search_tables(spark, folder))
+
+
+@query("j11_judged_search", f"WITH {_HYBRID} SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM (SELECT *, (rank - 1) // 25 AS batch FROM ranked WHERE rank <= 150) WHERE batch = 1 OR id % 3 <> 0 AND NOT (batch = 0 AND rank = 25) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank) <= 20")
+def j11(spark, folder):
+    def judge(rows: list[dict]) -> list:
+        if rows[0]["rank"] == 26:
+            raise ValueError("a failing batch")
+        found = [{"match": r["id"] % 3 != 0} if r["rank"] % 2 else {"score": 70 if r["id"] % 3 else 69, "drop": False} for r in rows]
+        return found[:-1] if rows[0]["rank"] == 1 and len(rows) == 25 else found
 
+    tables_ = search_tables(spark, folder)
+    return J.judged_search(J.hybrid_search(*tables_, limit=150), tables_[0], judge)
 
-@query("j13_search_explain", f"WITH {_HYBRID} SELECT query_id, (SELECT count(*) FROM cand c WHERE c.query_id = q.query_id) AS candidates, (SELECT count(*) FROM fin f WHERE f.query_id = q.query_id) AS kept, (SELECT id FROM ranked r WHERE r.query_id = q.query_id AND rank = 1) AS best FROM q")
+
+@query("j13_search_explain", f"WITH {_HYBRID} SELECT query_id, (SELECT count(*) FROM cand c WHERE c.query_id = q.query_id) AS candidates, (SELECT count(*) FROM near n WHERE n.query_id = q.query_id) AS by_vector, (SELECT count(*) FROM fin f WHERE f.query_id = q.query_id) AS kept, (SELECT count(*) FROM fin f WHERE f.query_id = q.query_id AND gated) AS gated, (SELECT coalesce(list(id ORDER BY rank), CAST([] AS BIGINT[])) FROM ranked r WHERE r.query_id = q.query_id AND rank <= 15) AS best FROM q")
 def j13(spark, folder):
-    p = M.products(spark, folder, True)
-    asked = J.expand_queries(query_set(spark, folder))
-    index = p.where("embedding IS NOT NULL").select("id", V.normalised(F.col("embedding")).alias("unit"))
-    vectors = index.join(asked.select(F.col("query_id").alias("id")), "id").select(F.col("id").alias("query_id"), "unit")
-    return J.explain_search(p.drop("embedding"), index, asked, vectors, top_k=50)
+    return J.explain_search(*search_tables(spark, folder))
 
 
 @query("f5_i1_searched_feed", f"SELECT p.id, label FROM labels_now p WHERE is_fashion AND regexp_matches(title, '\\bring\\b') ORDER BY current_position, id LIMIT 25")
 def f5(spark, folder):
-    stores, products, history = tables(spark, folder)
+    stores, products, history, events = run_tables(spark, folder)
     hits = products.where(X.whole_word(F.col("title"), "ring")).select("id")
-    return D.feed(stores, products, history, ledger(spark, folder), is_fashion=True, label=None, sort="high-low", limit=25, matching=hits, **FLOORS).select("id", "label")
+    return D.feed(stores, products, history, events, is_fashion=True, label=None, sort="high-low", limit=25, matching=hits, **FLOORS).select("id", "label")

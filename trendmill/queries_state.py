@@ -9,7 +9,7 @@ from .operators import feeds as D
 from .operators import labels as L
 from .operators import state as S
 from .operators import vectors as V
-from .queries import ledger, query, tables
+from .queries import ledger, query, run_tables, tables
 from .queries_catalog import _COUNTS, _FASHION_SQL, _FEED, _GENERAL_SQL, _JUNK_SQL, _SUB_SQL, _CAT_SQL
 from .sources import model as M
 from .sources.model import NOW
@@ -133,10 +133,11 @@ def g14(spark, folder):
     return L.keep_recent(M.history(spark, folder), now=NOW, days=12)
 
 
-@query("g15_reset_counts", "SELECT * FROM (VALUES ('products', CAST(0 AS BIGINT)), ('history', 0), ('events', 0)) AS t(\"table\", rows)")
+@query("g15_reset_counts", "SELECT 'products' AS \"table\", count(*) AS removed, 0 AS rows FROM products UNION ALL SELECT 'history', count(*), 0 FROM history UNION ALL SELECT 'events', count(*), 0 FROM ledger")
 def g15(spark, folder):
-    _, products, history = tables(spark, folder)
-    return S.row_counts(S.reset(products, history, ledger(spark, folder)))
+    _, products, history, events = run_tables(spark, folder)
+    before = S.row_counts({"products": products, "history": history, "events": events}).withColumnRenamed("rows", "removed")
+    return before.join(S.row_counts(S.reset(products, history, events)), "table")
 
 
 @query("c9_orphans", "SELECT 'products' AS \"table\", count(*) FILTER (WHERE store_id = 1) AS rows FROM products UNION ALL SELECT 'history', count(*) FILTER (WHERE product_id % 3 = 0) FROM history UNION ALL SELECT 'events', count(*) FILTER (WHERE product_id % 3 = 0) FROM ledger")
@@ -158,21 +159,23 @@ def a7(spark, folder):
     return S.seed_if_empty(stores.where("false"), stores.where("id < 5")).select("id", "name")
 
 
-@query("a9_vector_codec", "SELECT id, len(embedding) AS size, true AS same_binary, true AS same_json, true AS bad_is_null FROM products WHERE embedding IS NOT NULL")
+@query("a9_vector_codec", "SELECT id, len(embedding) AS size, round(CAST(embedding[1] AS DOUBLE), 6) AS first, round(CAST(embedding[len(embedding)] AS DOUBLE), 6) AS last, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 5) AS total_binary, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 5) AS total_json, CASE WHEN id % 2 = 0 THEN NULL ELSE len(embedding) END AS size_or_bad FROM products WHERE embedding IS NOT NULL")
 def a9(spark, folder):
     own = M.products(spark, folder, True).where("embedding IS NOT NULL")
     packed = own.withColumns({"b": V.encode_vector(F.col("embedding")), "j": F.to_json("embedding")})
-    back = packed.withColumns({"from_b": V.parse_vector(F.col("b")), "from_j": V.parse_vector(F.col("j")), "bad": V.parse_vector(F.concat(F.lit("b64:!"), "handle"))})
-    return back.select("id", F.size("from_b").alias("size"), (F.col("from_b") == F.col("embedding")).alias("same_binary"), (F.col("from_j") == F.col("embedding")).alias("same_json"), F.col("bad").isNull().alias("bad_is_null"))
+    back = packed.withColumns({"from_b": V.parse_vector(F.col("b")), "from_j": V.parse_vector(F.col("j")), "mixed": V.parse_vector(F.when(F.col("id") % 2 == 0, F.concat(F.lit("b64:!"), "handle")).otherwise(F.col("b")))})
+    total = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda a, x: a + x.cast("double")), 5)
+    first, last = F.col("from_b")[0].cast("double"), F.element_at("from_j", -1).cast("double")
+    return back.select("id", F.size("from_b").alias("size"), F.round(first, 6).alias("first"), F.round(last, 6).alias("last"), total("from_b").alias("total_binary"), total("from_j").alias("total_json"), F.when(F.col("mixed").isNotNull(), F.size("mixed")).alias("size_or_bad"))
 
 
-@query("a10_latest_index", "SELECT id, round(list_sum(list_transform(unit, lambda x: x * x)), 6) AS norm2, round(unit[1], 6) AS first FROM (SELECT id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) / sqrt(list_sum(list_transform(embedding, lambda y: CAST(y AS DOUBLE) * CAST(y AS DOUBLE))))) AS unit FROM (SELECT * FROM products WHERE embedding IS NOT NULL ORDER BY last_scraped DESC, id LIMIT 300))")
+@query("a10_latest_index", "SELECT id, round(list_sum(list_transform(unit, lambda x: x * x)), 6) AS norm2, round(unit[1], 6) AS first FROM (SELECT id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) / sqrt(list_sum(list_transform(embedding, lambda y: CAST(y AS DOUBLE) * CAST(y AS DOUBLE))))) AS unit FROM (SELECT * FROM products WHERE embedding IS NOT NULL ORDER BY last_scraped DESC, id LIMIT 12000))")
 def a10(spark, folder):
-    index = V.load_index(M.products(spark, folder, True), 300)
+    index = V.load_index(M.products(spark, folder, True))
     return index.select("id", F.round(V.dot(F.col("unit"), F.col("unit")), 6).alias("norm2"), F.round(F.col("unit")[0], 6).alias("first"))
 
 
-@query("f4_vector_top_k", "SELECT query_id, id, sim, rank FROM (SELECT q.vec_id AS query_id, e.vec_id AS id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 6) AS sim, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 6) DESC, e.vec_id) AS rank FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0 AND e.label < 6) WHERE rank <= 10")
+@query("f4_vector_top_k", "SELECT query_id, id, sim, rank FROM (SELECT q.vec_id AS query_id, e.vec_id AS id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 6) AS sim, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) DESC, e.vec_id) AS rank FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0 AND e.label < 6) WHERE rank <= 10")
 def f4(spark, folder):
     rows = M.read(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), V.normalised(F.col("embedding")).alias("unit"), "label")
     asked = rows.where("id % 50 = 0").select(F.col("id").alias("query_id"), "unit")
@@ -241,10 +244,10 @@ def d13(spark, folder):
     return K.error_summary(failures)
 
 
-@query("a12_versioned_state", "SELECT id, is_fashion, subniche, store_id FROM products WHERE store_id < 2")
+@query("a12_versioned_state", "SELECT id, is_fashion, subniche, store_id FROM products")
 def a12(spark, folder):
-    from .queries_streaming import _folder
-
-    state = M.products(spark, folder).where("store_id < 2").select("id", "is_fashion", "subniche", "store_id")
-    path = S.write_state(state, _folder(spark), 1, partition_by="store_id")
-    return spark.read.parquet(path).withColumn("store_id", F.col("store_id").cast("long"))
+    """The older version is other, and one that was never finished isn't seen."""
+    state, path = M.products(spark, folder).select("id", "is_fashion", "subniche", "store_id"), M.new_folder(spark)
+    S.write_state(state.where("is_fashion"), path, 1, partition_by="store_id")
+    S.write_state(state, path, 2, partition_by="store_id")
+    return S.newest_state(spark, path).withColumn("store_id", F.col("store_id").cast("long"))

@@ -2,64 +2,67 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
+from .operators import labels as L
+from .operators import state as S
 from .queries import query
 from .sources import model as M
+from .sources.model import NOW, START
 from .streaming import ingest as I
 
 
-def _folder(spark) -> str:
-    """The shared folder; a temporary one in local mode without it."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+def weekly(spark, folder, run: Callable[[str], None]):
+    """Snapshots arrive week by week as files of one folder, and ``run(path)`` works off what is new after each."""
+    path = M.new_folder(spark)
+    rows = M.saved(M.history(spark, folder).select("id", "product_id", "store_id", "position", F.col("date").cast("timestamp").alias("date")))
+    for week in range(5):
+        rows.where(F.floor((F.dayofmonth("date") - 1) / 7) == week).write.mode("append").parquet(f"{path}/in")
+        run(path)
+    return path, rows
 
 
-def _snapshots(spark, folder):
-    """Snapshots as files, one per week in order, and a stream of them."""
-    path = _folder(spark)
-    rows = M.history(spark, folder).select("product_id", "store_id", "position", F.col("date").cast("timestamp").alias("date"))
-    for week in range(5):
-        own = rows.where(F.floor((F.dayofmonth("date") - 1) / 7) == week)
-        own.coalesce(1).write.mode("append").parquet(f"{path}/in")
-    return path, I.read_snapshots(spark, f"{path}/in")
+def finished(spark, folder, make):
+    """All rows of a stream over the weekly files, after the closing snapshots."""
 
+    def run(path):
+        stream = make(I.read_snapshots(spark, f"{path}/in"))
+        stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+        return stream.schema
 
-def _sink(stream, path):
-    query_ = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").outputMode("append").trigger(availableNow=True).start()
-    query_.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/out")
+    path, rows = weekly(spark, folder, run)
+    I.closing_snapshots(rows).write.mode("append").parquet(f"{path}/in")
+    return spark.read.schema(run(path)).parquet(f"{path}/out")
 
 
-@query("l1_incremental_ingest", "SELECT product_id, CAST(date AS DATE) AS date, arg_max(position, date) AS position FROM history GROUP BY ALL")
+@query("l1_incremental_ingest", "SELECT * FROM ledger WHERE date < DATE '2024-01-30'")
 def l1(spark, folder):
-    path, stream = _snapshots(spark, folder)
+    """Each batch appends its snapshots by day and writes the ledger's next version."""
+    products = M.saved(M.products(spark, folder))
+
+    def run(path):
+        def apply(batch, batch_id):
+            S.write_history(batch.withColumn("date", F.col("date").cast("timestamp_ntz")), f"{path}/history")
+            history = spark.read.parquet(f"{path}/history")
+            known = S.newest_state(spark, f"{path}/ledger", before=batch_id)
+            fresh = L.backfill_events(products, history, known, now=NOW, start=START)
+            S.write_state(fresh if known is None else L.merge_events(known, fresh), f"{path}/ledger", batch_id)
 
-    def apply(batch, batch_id):
-        batch.write.mode("overwrite").parquet(f"{path}/ledger/batch={batch_id}")
+        I.ingest(I.read_snapshots(spark, f"{path}/in"), apply, f"{path}/checkpoint")
 
-    I.ingest(stream, apply, f"{path}/checkpoint")
-    rows = spark.read.parquet(f"{path}/ledger")
-    return rows.groupBy("product_id", F.to_date("date").alias("date")).agg(F.max_by("position", "date").alias("position"))
+    return S.newest_state(spark, f"{weekly(spark, folder, run)[0]}/ledger")
 
 
-@query("l2_daily_last_position", "SELECT product_id, CAST(date AS DATE) AS date, arg_max(position, date) AS position FROM history WHERE CAST(date AS DATE) <= DATE '2024-01-28' GROUP BY ALL")
+@query("l2_daily_last_position", "SELECT product_id, CAST(date AS DATE) AS date, arg_max(position, date) AS position FROM history GROUP BY ALL")
 def l2(spark, folder):
-    path, stream = _snapshots(spark, folder)
-    return _sink(I.daily_last_stream(stream), path).where("date <= DATE'2024-01-28'")
+    return finished(spark, folder, I.daily_last_stream)
 
 
-@query("l3_movement_stream", "WITH d AS (SELECT product_id, CAST(date AS DATE) AS date, arg_max(position, date) AS position FROM history GROUP BY ALL), s AS (SELECT *, lag(position) OVER (PARTITION BY product_id ORDER BY date) AS p, max(date) OVER (PARTITION BY product_id) AS last FROM d) SELECT product_id, date, CASE WHEN position < p THEN 'hero' ELSE 'villain' END AS label, p AS prior_position, position AS current_position, p - position AS position_change FROM s WHERE p IS NOT NULL AND p <> position AND date < last")
+@query("l3_movement_stream", "WITH d AS (SELECT product_id, CAST(date AS DATE) AS date, arg_max(position, date) AS position FROM history GROUP BY ALL), s AS (SELECT *, lag(position) OVER (PARTITION BY product_id ORDER BY date) AS p FROM d) SELECT product_id, date, CASE WHEN position < p THEN 'hero' ELSE 'villain' END AS label, p AS prior_position, position AS current_position, p - position AS position_change FROM s WHERE p IS NOT NULL AND p <> position")
 def l3(spark, folder):
-    path, stream = _snapshots(spark, folder)
-    return _sink(I.movement_stream(stream), path)
+    return finished(spark, folder, I.movement_stream)
 
 
 @query("a2_event_json_products", "SELECT id AS page_id, replace(s.name, '#', '-') || '.example' AS store_id, handle, title, CASE WHEN p.id % 3 = 0 THEN '' ELSE price END AS price, vendor, product_type, 'https:' || image_url AS image_url, 'https://' || replace(s.name, '#', '-') || '.example/products/' || handle AS product_url FROM products p JOIN (SELECT id AS sid, name FROM stores) s ON s.sid = p.store_id")
@@ -82,7 +85,7 @@ def json_pages(spark, folder):
     return p.select(F.col("id").alias("page_id"), F.concat(base, F.lit("/collections/all")).alias("url"), F.concat(F.lit('<html><script>{"events":"'), quoted, F.lit('"}</script></html>')).alias("html"))
 
 
-@query("a4_card_products", "SELECT p.id AS page_id, handle, title, price, 'https:' || image_url AS image_url FROM products p")
+@query("a4_card_products", "SELECT p.id AS page_id, handle, title, regexp_extract(price, '[0-9]{1,3}[.,][0-9]{2}') AS price, 'https:' || image_url AS image_url FROM products p")
 def a4(spark, folder):
     from .sources.pages import page_items
 
@@ -90,3 +93,11 @@ def a4(spark, folder):
     html = F.concat(F.lit('<main><div class="grid"><div class="card"><a href="/products/'), "handle", F.lit('?v=1"><img data-src="'), "image_url", F.lit('" alt="x"></a><div class="info"><a href="/products/'), "handle", F.lit('"><span> '), "title", F.lit('</span></a><b class="price-badge">-20%</b><span class="price">'), "price", F.lit("</span></div></div></div></main>"))
     pages = p.select(F.col("id").alias("page_id"), F.lit("https://shop.example/collections/all").alias("url"), html.alias("html"))
     return page_items(pages).select("page_id", "handle", "title", "price", "image_url")
+
+
+@query("a4_cards_of_pages")
+def a4_pages(spark, folder):
+    """The given raw pages, whose links aren't those of a shop: any rooted link counts as a product's."""
+    from .sources.pages import card_items
+
+    return card_items(M.read(spark, folder, "pages"), r"^/([^/?#]+)").select("page_id", "store_id", "slot", "handle", "title", "price", "image_url")

@@ -7,12 +7,38 @@ events. ``PRELUDE`` is the same derivation in DuckDB's SQL.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TODAY, START, NOW = "2024-01-30", "2024-01-08", "2024-01-30 18:00:00"
 
 
+@lru_cache(maxsize=8)
+def _local_folder(application: str) -> str:
+    return tempfile.mkdtemp(prefix="spark-")
+
+
+def new_folder(spark: SparkSession) -> str:
+    """A fresh path in the cluster's shared folder; in a temporary one only in local mode without it."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = _local_folder(spark.sparkContext.applicationId)
+    return f"{base.rstrip('/')}/state-{uuid.uuid4().hex}"
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """``df``, written once to the shared folder and read from there wherever it is used."""
+    path = new_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

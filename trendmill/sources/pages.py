@@ -3,18 +3,29 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import BADGE
+
 SHOP = r"://([^/]+)"
 EVENT = "array<struct<id:string,title:string,untranslatedTitle:string,url:string,vendor:string,type:string,image:string,amount:string>>"
 ITEMS = "page_id long, store_id string, slot int, handle string, title string, price string, vendor string, product_type string, image_url string, product_url string"
-BADGE_CLASS = re.compile(r"badge|discount|save|off", re.I)
-PRICE = re.compile(r"(?:[$€£]\s*)?[0-9][0-9.,]*(?:\s*[$€£])?")
+#: What tells product links, cards, titles and prices of a shop's page.
+LINK = r"products/([^/?#]+)"
+CARD_CLASS = re.compile(r"product|grid__item|card|tile|item", re.I)
+TITLE_CLASS = re.compile(r"title|product-?name|product-?heading", re.I)
+PRICE_CLASS = re.compile(r"price|money|amount", re.I)
+BADGE_CLASS = re.compile(r"badge|label|percent|saving|save|discount|sale-", re.I)
+PRICE, WHOLE_PRICE = re.compile(r"\d{1,3}[.,]\d{2}"), re.compile(r"\d{2,}")
+VARIANT = re.compile(r'\s*[\[{].*"id"\s*:\s*\d', re.S)
+STEPS_UP = 6
 
 
 def link_items(pages: DataFrame, pattern: str = r'<a [^>]*href="[^"]*products/([^"/?#]+)') -> DataFrame:
@@ -29,7 +40,7 @@ def event_items(pages: DataFrame) -> DataFrame:
     Columns as ``ITEMS``; slots are in document order and the first variant of each
     product stands for it. Pages without such an event give no rows.
     """
-    raw = F.regexp_extract("html", r'"events":"((?:[^"\\]|\\.)*)"', 1)
+    raw = F.regexp_extract("html", r'"events":"([^"\\]*+(?:\\.[^"\\]*+)*+)"', 1)  # possessive: no recursion, pages of any size
     text = F.from_json(F.concat(F.lit('{"t":"'), raw, F.lit('"}')), "t string").t
     events = F.from_json(text, "array<array<string>>")
     viewed = F.flatten(F.transform(F.filter(events, lambda e: e[0] == "collection_viewed"), lambda e: F.from_json(
@@ -50,79 +61,125 @@ def event_items(pages: DataFrame) -> DataFrame:
 
 
 class _Tree(HTMLParser):
-    """Elements with parents and texts; enough to walk from a link up to its card."""
+    """Elements in document order: tag, attributes, parent, and where each one's elements and texts end."""
 
     VOID = {"img", "br", "input", "meta", "link", "hr", "source"}
 
-    def __init__(self):
+    def __init__(self, html: str):
         super().__init__()
-        self.nodes = [("", {}, -1, [])]
+        self.tag, self.attrs, self.parent, self.end, self.first_text, self.last_text = [""], [{}], [-1], [0], [0], [0]
+        self.texts: list[str] = []
         self.open = [0]
+        self.feed(html)
+        self.close_to(0)
+
+    def close_to(self, depth: int) -> None:
+        for k in self.open[depth:]:
+            self.end[k], self.last_text[k] = len(self.tag), len(self.texts)
+        del self.open[depth:]
 
     def handle_starttag(self, tag, attrs):
-        self.nodes.append((tag, dict(attrs), self.open[-1], []))
+        k = len(self.tag)
+        for own, value in ((self.tag, tag), (self.attrs, {n: v or "" for n, v in attrs}), (self.parent, self.open[-1]), (self.end, k + 1), (self.first_text, len(self.texts)), (self.last_text, len(self.texts))):
+            own.append(value)
         if tag not in self.VOID:
-            self.open.append(len(self.nodes) - 1)
+            self.open.append(k)
 
     def handle_endtag(self, tag):
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.nodes[self.open[k]][0] == tag:
-                del self.open[k:]
+        for depth in range(len(self.open) - 1, 0, -1):
+            if self.tag[self.open[depth]] == tag:
+                self.close_to(depth)
                 break
 
     def handle_data(self, data):
-        if data.strip():
-            self.nodes[self.open[-1]][3].append(data.strip())
-
-    def above(self, k: int, steps: int) -> list[int]:
-        out = []
-        while k > 0 and len(out) < steps:
-            k = self.nodes[k][2]
-            out.append(k)
-        return out
-
-
-def _cards(html: str) -> list[tuple[str, str, str, str]]:
-    """``handle, title, price, image`` per product link, in document order."""
-    tree = _Tree()
-    tree.feed(html)
-    links = [(k, m.group(1).lower()) for k, (tag, attrs, _, _) in enumerate(tree.nodes) if tag == "a" and (m := re.search(r"products/([^/?#\"]+)", attrs.get("href") or ""))]
-    inside = {k: set(tree.above(k, 99)) for k in range(len(tree.nodes))}
+        if data.strip() and self.tag[self.open[-1]] not in ("script", "style"):
+            self.texts.append(data.strip())
+
+    def text(self, k: int) -> str:
+        return " ".join(self.texts[self.first_text[k] : self.last_text[k]])
+
+
+def _clean(text: str) -> str:
+    """A5 for a single text."""
+    flat = re.sub(r"\s+", " ", text.strip())
+    return "" if VARIANT.match(text) or flat.startswith(("{", "[{")) or '"id":' in flat or re.match(BADGE, flat) or not 2 <= len(flat) <= 300 else flat
+
+
+def _image(attrs: dict[str, str]) -> str:
+    for name in ("src", "data-src", "data-original", "data-srcset", "srcset"):
+        value = attrs.get(name, "").split(",")[0].strip().split(" ")[0] if "srcset" in name else attrs.get(name, "").strip()
+        if value.startswith(("//", "http", "/")):
+            return "https:" + value if value.startswith("//") else value
+    return ""
+
+
+def _price(text: str) -> str:
+    found = None if "%" in text else PRICE.search(text) or WHOLE_PRICE.search(text)
+    return found.group() if found else ""
+
+
+def _cards(html: str, link: str = LINK) -> list[tuple[str, str, str, str]]:
+    """``handle, title, price, image`` per product link of the main region, in document order."""
+    tree = _Tree(html)
+    of_class = [a.get("class", "") for a in tree.attrs]
+    main = next((k for test in (lambda k: tree.tag[k] == "main", lambda k: tree.attrs[k].get("id") == "MainContent", lambda k: tree.tag[k] == "body") for k in range(len(tree.tag)) if test(k)), 0)
+    nodes = lambda test: [k for k in range(len(tree.tag)) if test(k)]
+    handle_of = {k: m.group(1).lower() for k in nodes(lambda k: tree.tag[k] == "a") if (m := re.search(link, tree.attrs[k].get("href", "").split("?")[0].split("#")[0]))}
+    links, titles, prices = list(handle_of), nodes(lambda k: TITLE_CLASS.search(of_class[k])), nodes(lambda k: PRICE_CLASS.search(of_class[k]))
+    images, sources = nodes(lambda k: tree.tag[k] == "img"), nodes(lambda k: tree.tag[k] == "source")
+    before = lambda held: list(accumulate((k in held for k in range(len(tree.tag))), initial=0))
+    images_before, marked_before = before(set(images)), before({*titles, *prices})
+
+    def within(own: list[int], k: int) -> Iterator[int]:
+        at = bisect_left(own, k)
+        while at < len(own) and own[at] < tree.end[k]:
+            yield own[at]
+            at += 1
+
+    def card_of(k: int) -> int:
+        for _ in range(STEPS_UP):
+            if tree.parent[k] < 0:
+                return k
+            k = tree.parent[k]
+            held = images_before[tree.end[k]] > images_before[k] and marked_before[tree.end[k]] > marked_before[k + 1]
+            if tree.tag[k] in ("li", "article") or tree.tag[k] in ("div", "section") and (CARD_CLASS.search(of_class[k]) or held):
+                return k
+        return k
+
     out, seen = [], set()
-    for k, handle in links:
+    for k in within(links, main):
+        handle = handle_of[k]
         if handle in seen:
             continue
         seen.add(handle)
-        card = k
-        for up in tree.above(k, 6):
-            if any(other != handle and up in inside[j] for j, other in links):
-                break
-            card = up
-        own = [j for j in range(len(tree.nodes)) if j == card or card in inside[j]]
-        text_of = lambda j: " ".join(t for n in own if n == j or j in inside[n] for t in tree.nodes[n][3])  # noqa: B023,E731
-        titles = [text_of(j) for j, h in links if h == handle and j in own] + [text_of(j) for j in own if "title" in (tree.nodes[j][1].get("class") or "")] + [tree.nodes[j][1].get("alt") or "" for j in own if tree.nodes[j][0] == "img"]
-        title = next((t for t in titles if t), handle.replace("-", " ").title())
-        prices = [m.group().strip() for j in own if "price" in (tree.nodes[j][1].get("class") or "") and not BADGE_CLASS.search(tree.nodes[j][1].get("class") or "") for t in [text_of(j)] if "%" not in t and (m := PRICE.search(t))]
-        images = [tree.nodes[j][1][a].split(",")[0].split(" ")[0] for j in own if tree.nodes[j][0] == "img" for a in ("src", "data-src", "data-original", "srcset", "data-srcset") if tree.nodes[j][1].get(a)]
-        out.append((handle, title, prices[0] if prices else "", images[0] if images else ""))
+        card = card_of(k)
+        texts = (t for own in ([k], within(links, card), within(titles, card)) for j in own if (t := _clean(tree.text(j))))
+        title = next(texts, "") or _clean(next((tree.attrs[j].get("alt", "") for j in within(images, card)), "")) or handle.replace("-", " ").title()
+        price = next((p for j in within(prices, card) if not BADGE_CLASS.search(of_class[j]) and (p := _price(tree.text(j)))), "")
+        image = next((i for own in (images, sources) for j in within(own, card) if (i := _image(tree.attrs[j]))), "")
+        out.append((handle, title, price, image))
     return out
 
 
-def card_items(pages: DataFrame) -> DataFrame:
-    """A3, A4: product links with title, price and image of their cards; columns as ``ITEMS``."""
-    from ..functions.text import clean_title, image_url
+def card_items(pages: DataFrame, link: str = LINK) -> DataFrame:
+    """A3, A4: product links with title, price and image of their cards; columns as ``ITEMS``.
+
+    Each page row stands by itself, repeated ids included. A null page has no links.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [(p, i + 1, *c) for p, html in zip(frame.page_id, frame.html, strict=True) for i, c in enumerate(_cards(html or ""))]
-            yield pd.DataFrame(rows, columns=["page_id", "slot", "handle", "title", "price", "image_url"])
+            rows = [(p, u, i + 1, *c) for p, u, html in zip(frame.page_id, frame.url, frame.html, strict=True) for i, c in enumerate(_cards(html or "", link))]
+            yield pd.DataFrame(rows, columns=["page_id", "url", "slot", "handle", "title", "price", "image_url"])
 
-    found = pages.select("page_id", "html").mapInPandas(run, "page_id long, slot int, handle string, title string, price string, image_url string")
-    base = pages.select("page_id", F.regexp_extract("url", SHOP, 1).alias("store_id"), F.regexp_extract("url", r"^([a-z]+://[^/]+)", 1).alias("base"))
-    return found.join(base, "page_id").select("page_id", "store_id", "slot", "handle", clean_title(F.col("title")).alias("title"), "price", F.lit("").alias("vendor"), F.lit("").alias("product_type"), image_url(F.col("image_url")).alias("image_url"), F.concat("base", F.lit("/products/"), "handle").alias("product_url"))
+    found = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), "html").mapInPandas(run, "page_id long, url string, slot int, handle string, title string, price string, image_url string")
+    base = F.regexp_extract("url", r"^([a-z]+://[^/]+)", 1)
+    return found.select("page_id", F.regexp_extract("url", SHOP, 1).alias("store_id"), "slot", "handle", "title", "price", F.lit("").alias("vendor"), F.lit("").alias("product_type"), "image_url", F.concat(base, F.lit("/products/"), "handle").alias("product_url"))
 
 
 def page_items(pages: DataFrame) -> DataFrame:
-    """A2, A3: the JSON items of a page, or its cards if there are none."""
-    events = event_items(pages)
-    return events.unionByName(card_items(pages.join(events.select("page_id").distinct(), "page_id", "left_anti")))
+    """A2, A3: the JSON items of a page, or its cards if there are none; each page's html is read for one of them."""
+    own = pages.withColumn("_json", F.coalesce(F.contains("html", F.lit('"events":"')), F.lit(False)))
+    events = event_items(own.where("_json"))
+    rest = own.join(events.select("page_id").distinct(), "page_id", "left_anti")
+    return events.unionByName(card_items(rest))

@@ -9,13 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-SNAPSHOT = "product_id long, store_id long, position int, date timestamp"
+SNAPSHOT = "id long, product_id long, store_id long, position int, date timestamp"
 EVENT = "product_id long, date date, label string, prior_position int, current_position int, position_change int"
 
 
-def read_snapshots(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
+def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
     """Snapshot files as they arrive."""
-    return spark.readStream.schema(SNAPSHOT).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+    return spark.readStream.schema(SNAPSHOT).parquet(path)
+
+
+def closing_snapshots(rows: DataFrame, date: str = "2200-01-01") -> DataFrame:
+    """A last snapshot of every product, far ahead: it ends a stream by closing all its days, and yields no row itself."""
+    own = rows.select("product_id", "store_id").distinct()
+    return own.select(F.lit(None).cast("long").alias("id"), "product_id", "store_id", F.lit(0).alias("position"), F.lit(date).cast("timestamp").alias("date"))
 
 
 def ingest(stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str) -> None:
@@ -34,7 +40,8 @@ def movement_stream(stream: DataFrame) -> DataFrame:
 
     The state is the day before the last, its position, the last day and its latest
     snapshot. An event of a day appears when a snapshot of a later day arrives; a
-    snapshot of an earlier day than the last comes too late and is dropped.
+    snapshot of an earlier day than the last comes too late and is dropped; the last
+    day's event appears with ``closing_snapshots``.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
