@@ -1,8 +1,8 @@
 """Personal data: fixed patterns, and a BiLSTM-CRF tagger that adds to them.
 
-The tagger reads classes of characters, over whole texts. A run of letters of one
-case is read as its first and last letter, which halves the steps and leaves the
-class of every character in view. Overlapping windows vote on each character,
+The tagger reads classes of characters, over whole texts. A run of letters is
+read as its first and last one, which halves the steps: what a word is made of
+inside says little about spans of these kinds. Overlapping windows vote on each character,
 weighted by its distance from the window's border. Where "outside" leads by more
 than all transitions together can make up for, the best path surely passes through
 it, so these characters cut a text into stretches that Viterbi decodes exactly; a
@@ -39,7 +39,7 @@ PATTERNS = {
 }
 SIGN = {"email": re.compile("@"), "ip": re.compile("[0-9]"), "card": re.compile("[0-9]"), "phone": re.compile(r"\+")}  # without it no match
 WINDOW, STRIDE, STEP, LEARNED = 128, 96, 32, 96  # characters read at once, in multiples of the third; those of a learned window
-EMBED, HIDDEN = 12, 16
+EMBED, HIDDEN = 12, 12
 TAGS = 1 + 2 * len(KINDS)
 BATCH, BATCHES, TRAIN_WINDOWS = 64, 480, 16000
 SURE = 0.6
@@ -102,7 +102,8 @@ def reading(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     own = classes("".join(texts))
     inner = np.zeros(len(own), dtype=bool)
     if len(own) > 2:
-        inner[1:-1] = (own[1:-1] == own[:-2]) & (own[1:-1] == own[2:]) & LETTER[own[1:-1]]
+        letter = LETTER[own]
+        inner[1:-1] = letter[1:-1] & letter[:-2] & letter[2:]
         inner[begin[begin < len(own)]] = False
         inner[begin[1:][begin[1:] > 0] - 1] = False
     kept = np.flatnonzero(~inner)
