@@ -426,21 +426,27 @@ def test_op7_recall_of_learned_partitions(spark):
     table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     rows = [(r["vec_id"], r["embedding"]) for r in table.collect()]
     # sampled vectors are a fourth of the table
-    assert recall_of(neighbours.nearest(table, sample=500, leaf_rows=200).collect(), rows) >= 0.9
+    assert recall_of(neighbours.nearest(table, sample=500).collect(), rows) >= 0.9
     random = np.random.default_rng(0)
     rows = [(k, v.tolist()) for k, v in enumerate(random.normal(size=(3000, 16)) * np.exp(random.normal(0, 0.5, (3000, 1))))]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     own = neighbours.usable(table, "vec_id", "embedding")
-    index, places = neighbours.partitioned(own, own.where("vec_id % 20 = 0"), k=20, leaf_rows=60, sample=1000, coverage=0.97)
+    index, places = neighbours.partitioned(own, own.where("vec_id % 20 = 0"), k=20, leaf_rows=10, sample=1000, per_part=8, coverage=0.95)
     assert index.count() == 3000 and index.select("part").distinct().count() > neighbours.FANOUT
     assert places.groupBy("h1").count().where("count > 1").count() > 0
-    assert recall_of(neighbours.nearest(table, sample=1000, leaf_rows=60).collect(), rows) >= 0.9
+    assert recall_of(neighbours.nearest(table, sample=1000, leaf_rows=20).collect(), rows) >= 0.9
+
+
+def test_op7_takes_enough_rows():
+    chance = np.array([[0.9, 0.05, 0.03, 0.02], [0.3, 0.3, 0.2, 0.2]])
+    assert neighbours.wanted(chance, np.array([5, 0, 10, 50]), 0.8, 20).tolist() == [[True, False, True, True], [True, False, True, True]]
+    assert neighbours.wanted(chance, np.array([90, 90, 90, 90]), 0.8, 20).tolist() == [[True, False, False, False], [True, True, True, False]]
 
 
 def test_op7_copies_are_searched_once_and_found_all(spark):
     random = np.random.default_rng(1)
     rows = [(k, [1.0, 0.5, 0.25, 0.0] if k % 3 == 0 else random.normal(size=4).tolist()) for k in range(400)]
-    got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), leaf_rows=100, coverage=1.0).collect()
+    got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), leaf_rows=40, per_part=20, coverage=1.0).collect()
     assert recall_of(got, rows) == 1
 
 

@@ -25,7 +25,8 @@ from .storage import stored
 CELL_ROWS = 4096
 QUERY_ROWS = 1024
 NEIGHBOURS = 10
-FANOUT = 32
+FANOUT = 64
+SPLIT = 4  # a partition of more than so many leaves' rows is split
 SALTS = 16
 
 
@@ -148,11 +149,11 @@ def usable(vectors: DataFrame, id_column: str, vector: str) -> DataFrame:
     return own.select("vec_id", "vector", F.xxhash64("vector").alias("h1"), F.xxhash64(F.lit(1), "vector").alias("h2"))
 
 
-def _learn_part(sample: int, leaf_rows: int):
+def _learn_part(leaf_rows: int, per_part: int):
     def run(table: pa.Table) -> pa.Table:
         part, size = table.column("part")[0].as_py(), table.column("size")[0].as_py()
         rows = np.unique(_vectors(table.column("vector")), axis=0)
-        depth = min(int(np.ceil(np.log2(min(FANOUT, max(2, size / leaf_rows))))), int(np.log2(max(1, len(rows) / 8))))
+        depth = min(int(np.ceil(np.log2(min(FANOUT, max(2, size / leaf_rows))))), int(np.log2(max(1, len(rows) / per_part))))
         if depth < 1:  # too few different vectors to tell parts
             return pa.table({"part": pa.array([], pa.int64()), "net": pa.array([], pa.binary())})
         graph = knn_graph(rows)
@@ -163,7 +164,17 @@ def _learn_part(sample: int, leaf_rows: int):
     return run
 
 
-def _routed(asks: bool):
+def wanted(chance: np.ndarray, sizes: np.ndarray, coverage: float, k: int) -> np.ndarray:
+    """Which children each query needs: the most probable ones, until they hold ``coverage`` and more than k rows."""
+    order = np.argsort(-chance, axis=1, kind="stable")
+    ranked = np.take_along_axis(chance, order, 1)
+    before, rows_before = np.cumsum(ranked, axis=1) - ranked, np.cumsum(sizes[order], axis=1) - sizes[order]
+    out = np.zeros(chance.shape, dtype=bool)
+    np.put_along_axis(out, order, (before < coverage) | (rows_before <= k), 1)
+    return out & (sizes > 0)
+
+
+def _routed(asks: bool, coverage: float, k: int):
     """One group holds some rows of a part, and the part's router if there is one."""
 
     def run(rows: pa.Table, nets: pa.Table) -> pa.Table:
@@ -174,47 +185,57 @@ def _routed(asks: bool):
         net = dict(np.load(io.BytesIO(nets.column("net")[0].as_py())))
         chance = route(net, _vectors(rows.column("vector")), asks)
         base = rows.column("part").to_numpy() * FANOUT + 1
-        at, child = np.nonzero(chance >= 0) if asks else (np.arange(rows.num_rows), chance.argmax(axis=1))
+        if asks:
+            sizes = np.zeros(chance.shape[1], dtype=np.int64)
+            for entry in nets.column("children")[0].as_py():
+                sizes[entry["child"] - base[0]] = entry["size"]
+            at, child = np.nonzero(wanted(chance, sizes, coverage, k))
+        else:
+            at, child = np.arange(rows.num_rows), chance.argmax(axis=1)
         return rows.select(names).take(pa.array(at)).append_column("child", pa.array(base[at] + child)).append_column("chance", pa.array(chance[at, child]))
 
     names = ["h1", "h2"] if asks else ["h1", "h2", "vec_id", "vector"]
     return run
 
 
-def _step(rows: DataFrame, nets: DataFrame, asks: bool) -> DataFrame:
-    """Rows with ``child`` and ``chance``; of a query its hashes with every child. Router and rows meet in cells."""
+def _step(rows: DataFrame, nets: DataFrame, asks: bool, coverage: float, k: int) -> DataFrame:
+    """Rows with ``child`` and ``chance``; of a query its hashes with the children it needs. Router and rows meet in cells."""
     sizes = rows.groupBy("part").agg(F.ceil(F.count("*") / F.lit(CELL_ROWS)).cast("int").alias("cells"))
     cell = F.pmod(F.xxhash64("vec_id", "h1"), F.col("cells")).cast("int")
     dealt = rows.join(sizes, "part").withColumn("cell", cell)
-    spread = nets.join(sizes, "part").select("part", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), "net")
+    spread = nets.join(sizes, "part").select("part", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), *nets.drop("part").columns)
     schema = f"h1 long, h2 long, {'' if asks else 'vec_id long, vector array<double>, '}child long, chance double"
-    return dealt.select("part", "cell", "h1", "h2", "vec_id", "vector").groupBy("part", "cell").cogroup(spread.groupBy("part", "cell")).applyInArrow(_routed(asks), schema)
+    return dealt.select("part", "cell", "h1", "h2", "vec_id", "vector").groupBy("part", "cell").cogroup(spread.groupBy("part", "cell")).applyInArrow(_routed(asks, coverage, k), schema)
 
 
-def partitioned(own: DataFrame, asked: DataFrame, *, k: int, leaf_rows: int, sample: int, coverage: float) -> tuple[DataFrame, DataFrame]:
+def partitioned(own: DataFrame, asked: DataFrame, *, k: int, leaf_rows: int, sample: int, per_part: int, coverage: float) -> tuple[DataFrame, DataFrame]:
     """``own`` with its leaf as ``part``, and ``asked`` with a row per leaf to be searched.
 
-    Each round splits the partitions of over ``leaf_rows`` vectors that different
-    vectors can split. Only the number of those reaches the driver.
+    Each round splits the partitions of over ``SPLIT * leaf_rows`` vectors that
+    different vectors can split, into parts of about ``leaf_rows`` with at least
+    ``per_part`` sampled vectors each. Only the number of those reaches the driver.
     """
     index = own.withColumn("part", F.lit(0).cast("long"))
     route_to = asked.withColumns({"part": F.lit(0).cast("long"), "sure": F.lit(1.0)})
     done = None
     while True:
         sizes = stored(index.groupBy("part").agg(F.count("*").alias("size")))
-        large = sizes.where(F.col("size") > leaf_rows)
+        large = sizes.where(F.col("size") > SPLIT * leaf_rows)
         large = large.join(done, "part", "left_anti") if done is not None else large
         if large.isEmpty():
             return index, route_to
         picked = index.join(large, "part").where(F.pmod(F.xxhash64("h1", "h2", "vec_id"), F.lit(1_000_000)) < F.least(F.lit(1.0), F.lit(float(sample)) / F.col("size")) * 1_000_000)
-        nets = stored(picked.select("part", "size", "vector").groupBy("part").applyInArrow(_learn_part(sample, leaf_rows), "part long, net binary"))
+        nets = stored(picked.select("part", "size", "vector").groupBy("part").applyInArrow(_learn_part(leaf_rows, per_part), "part long, net binary"))
         failed = large.select("part").join(nets.select("part"), "part", "left_anti")
         done = stored(failed if done is None else done.unionByName(failed))
-        index = stored(_step(index, nets, False).select("h1", "h2", "vec_id", "vector", F.col("child").alias("part")))
+        index = stored(_step(index, nets, False, coverage, k).select("h1", "h2", "vec_id", "vector", F.col("child").alias("part")))
         held = index.groupBy("part").agg(F.count("*").alias("size"))
         # the chance of a path is the product along it
         known = route_to.select("h1", "h2", F.col("part").alias("from"), "sure")
-        stepped = _step(route_to.drop("sure"), nets, True)
+        # a router and its children's sizes
+        parent = F.floor((F.col("part") - 1) / FANOUT).cast("long")
+        children = held.where("part > 0").groupBy(parent.alias("part")).agg(F.collect_list(F.struct(F.col("part").alias("child"), "size")).alias("children"))
+        stepped = _step(route_to.drop("sure"), nets.join(children, "part"), True, coverage, k)
         came = F.when(F.col("child") == 0, F.lit(0)).otherwise(F.floor((F.col("child") - 1) / FANOUT)).cast("long")
         kept = stepped.join(nets.select(F.col("part").alias("split")), came == F.col("split"), "left")
         kept = kept.withColumn("from", F.when(F.col("split").isNull(), F.col("child")).otherwise(came)).join(known, ["h1", "h2", "from"]).join(held, F.col("child") == F.col("part"))
@@ -224,7 +245,7 @@ def partitioned(own: DataFrame, asked: DataFrame, *, k: int, leaf_rows: int, sam
         route_to = stored(chosen.join(asked, ["h1", "h2"]))
 
 
-def nearest(vectors: DataFrame, *, k: int = 20, every: int = 20, coverage: float = 0.97, leaf_rows: int = 256, sample: int = 4000, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, *, k: int = 20, every: int = 20, coverage: float = 0.97, leaf_rows: int | None = None, sample: int = 6000, per_part: int = 125, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """``query_id, rank, vec_id, score``: the k nearest found of each queried row.
 
     Queries are the rows whose id is divisible by ``every``; candidates are all
@@ -236,13 +257,15 @@ def nearest(vectors: DataFrame, *, k: int = 20, every: int = 20, coverage: float
     Of equal vectors the k + 1 with the smallest ids are candidates: the others
     could only follow them. Equal queries are searched once. A leaf with many rows
     or queries is cut into cells by hashes, so every group of the search is bounded;
-    each keeps its k + 1 best per query, and those are merged.
+    each keeps its k + 1 best per query, and those are merged. Without ``leaf_rows``
+    a table has up to 64 leaves of 64 to 2048 rows, then more of them.
     """
     usable_rows = stored(usable(vectors, id_column, vector))
     own = stored(usable_rows.withColumn("_n", F.expr("row_number() OVER (PARTITION BY h1, h2 ORDER BY vec_id)")).where(F.col("_n") <= k + 1).drop("_n"))
     askers = usable_rows.where(F.col("vec_id") % every == 0).select("h1", "h2", F.col("vec_id").alias("query_id"))
     asked = own.withColumn("_n", F.expr("row_number() OVER (PARTITION BY h1, h2 ORDER BY vec_id)")).where("_n = 1").drop("_n").join(askers.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi").select(*own.columns)
-    index, places = partitioned(own, stored(asked), k=k, leaf_rows=leaf_rows, sample=sample, coverage=coverage)
+    leaf_rows = leaf_rows or min(2048, max(64, own.count() // FANOUT))
+    index, places = partitioned(own, stored(asked), k=k, leaf_rows=leaf_rows, sample=sample, per_part=per_part, coverage=coverage)
 
     cells = index.groupBy("part").agg(F.ceil(F.count("*") / F.lit(CELL_ROWS)).cast("int").alias("cells"))
     blocks = places.groupBy("part").agg(F.ceil(F.count("*") / F.lit(QUERY_ROWS)).cast("int").alias("blocks"))
