@@ -341,8 +341,10 @@ def ngram_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     links = placed.groupBy("unit").applyInArrow(_join_unit(width, percent), "a long, b long")
     components = connected_components(links)
 
-    named = described.select("doc_id", "text_key", "n_shingles", "set_key").join(components, described.set_key == F.col("node"), "left")
-    named = stored(named.withColumn("class", F.when(F.col("n_shingles") > 0, F.coalesce("component", "set_key"))).select("doc_id", "text_key", "n_shingles", "set_key", "class"))
+    # one row per different set, whatever its number of copies
+    sets = described.groupBy("set_key").agg(F.count("*").alias("copies"), F.first("n_shingles").alias("size")).join(components, F.col("set_key") == F.col("node"), "left")
+    sets = sets.select("set_key", "copies", F.when(F.col("size") > 0, F.coalesce("component", "set_key")).alias("class"))
+    named = stored(join_uneven(described.select("doc_id", "text_key", "n_shingles", "set_key"), sets, "set_key", "copies").select("doc_id", "text_key", "n_shingles", "set_key", "class"))
     place = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_key")
     classes = named.where("class IS NOT NULL").groupBy("class").agg(F.min(place).alias("first"), F.count("*").alias("rows"))
     linked = join_uneven(named.where("class IS NOT NULL"), classes, "class", "rows")
