@@ -19,7 +19,6 @@ from .text import LOWER, U, Chunk, chunks, fold, mix, span_hashes, words
 FEATURE_BITS = 20
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 15.0, 1.0
 EPOCHS = 6
-LEAST_TEXTS = 8
 
 _PLAIN = np.full(256, 0x20, dtype=np.uint8)
 for _low, _high in ((48, 58), (65, 91), (97, 123), (128, 256)):
@@ -54,10 +53,8 @@ def learn(texts: pa.Array, labels: np.ndarray) -> Arrays:
     held = []
     for chunk in chunks(texts):
         coordinates, begin = features(chunk)
-        held += [np.unique(coordinates[a:b]) for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
+        held += [np.unique(coordinates[a:b]).astype(np.int32) for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
     size = 1 << FEATURE_BITS
-    common = np.bincount(np.concatenate(held), minlength=size) >= LEAST_TEXTS
-    held = [own[common[own]] for own in held]
     z, n = np.zeros(size + 1), np.zeros(size + 1)
 
     def weights(at: np.ndarray) -> np.ndarray:
