@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -132,3 +134,26 @@ def labels_today(labelled: DataFrame, cap: int = L.CAP) -> DataFrame:
     move = F.col("prior_position") - F.col("current_position")
     near = F.col("is_fashion") & (F.col("prior_position") > 0) & (F.abs(move) <= cap)
     return labelled.agg(F.count_if(near & (move > 0)).alias("heroes"), F.count_if(near & (move < 0)).alias("villains"))
+
+
+def movement_diagnostics(labelled: DataFrame, stores: DataFrame, products: DataFrame, history: DataFrame, ledger: DataFrame, *, now: str, start: str, movers: int = 10) -> DataFrame:
+    """D5-D9, D15 and the largest movers as one table ``section, name, value``.
+
+    Names are ``store/day``, ``day/label`` or ``place/product`` where a section has
+    many rows, else the measure. Days as values count from 1970; a measure that is
+    unknown has no row.
+    """
+    named = lambda section, rows, value, *parts: rows.select(F.lit(section).alias("section"), F.concat_ws("/", *(F.col(c).cast("string") for c in parts)).alias("name"), F.col(value).cast("long").alias("value"))
+    measures = lambda section, row: row.select(*(F.col(c).cast("long") for c in row.columns)).unpivot([], row.columns, "name", "value").select(F.lit(section).alias("section"), "name", "value").where("value IS NOT NULL")
+    windows = event_windows(ledger, now=now, start=start).withColumns({c: F.unix_date(c) for c in ("oldest", "newest")})
+    moved = labelled.where("label IN ('hero', 'villain')").orderBy(F.abs("position_change").desc(), "id").limit(movers)
+    placed = moved.withColumn("place", F.expr("row_number() OVER (ORDER BY abs(position_change) DESC, id)"))  # at most ``movers`` rows
+    parts = [
+        named("snapshots", snapshot_histogram(history, products, stores, now=now), "snapshots", "store_id", "date"),
+        measures("moves", delta_summary(labelled)),
+        measures("ledger", windows),
+        named("events", events_per_day(ledger), "events", "date", "label"),
+        measures("today", labels_today(labelled)),
+        named("movers", placed, "position_change", "place", "id"),
+    ]
+    return reduce(DataFrame.unionByName, parts)

@@ -247,7 +247,10 @@ def d4(spark, folder):
     return D.unhealthy_stores(D.store_counts(*tables(spark, folder)[:2]))
 
 
-@query("c6_d5_snapshot_histogram", "SELECT h.store_id, s.name, CAST(date AS DATE) AS date, count(*) AS snapshots FROM history h JOIN stores s ON s.id = h.store_id WHERE CAST(date AS DATE) > DATE '2024-01-25' GROUP BY ALL")
+_D5 = "SELECT h.store_id, s.name, CAST(date AS DATE) AS date, count(*) AS snapshots FROM history h JOIN stores s ON s.id = h.store_id WHERE CAST(date AS DATE) > DATE '2024-01-25' GROUP BY ALL"
+
+
+@query("c6_d5_snapshot_histogram", _D5)
 def d5(spark, folder):
     stores, products, history = tables(spark, folder)
     return D.snapshot_histogram(history, products, stores, now=NOW)
@@ -258,17 +261,26 @@ def labelled(spark, folder):
     return L.movement_labels(products, history, **FLOORS)
 
 
-@query("d6_delta_summary", "WITH m AS (SELECT prior - current_position AS d, abs(prior - current_position) AS a FROM labelled WHERE prior > 0), s AS (SELECT list(a ORDER BY a) AS l FROM m) SELECT (SELECT count(*) FROM m) AS n, (SELECT min(a) FROM m) AS abs_min, (SELECT max(a) FROM m) AS abs_max, (SELECT count(*) FROM m WHERE a <= 30) AS within_cap, (SELECT count(*) FROM m WHERE a > 30) AS over_cap, (SELECT count(*) FROM m WHERE d > 0) AS up, (SELECT count(*) FROM m WHERE d < 0) AS down, (SELECT count(*) FROM m WHERE d = 0) AS same, l[len(l) // 2 + 1] AS abs_median, l[CAST(floor(len(l) * 0.9) AS INT) + 1] AS abs_p90 FROM s")
+_D6 = "WITH m AS (SELECT prior - current_position AS d, abs(prior - current_position) AS a FROM labelled WHERE prior > 0), s AS (SELECT list(a ORDER BY a) AS l FROM m) SELECT (SELECT count(*) FROM m) AS n, (SELECT min(a) FROM m) AS abs_min, (SELECT max(a) FROM m) AS abs_max, (SELECT count(*) FROM m WHERE a <= 30) AS within_cap, (SELECT count(*) FROM m WHERE a > 30) AS over_cap, (SELECT count(*) FROM m WHERE d > 0) AS up, (SELECT count(*) FROM m WHERE d < 0) AS down, (SELECT count(*) FROM m WHERE d = 0) AS same, l[len(l) // 2 + 1] AS abs_median, l[CAST(floor(len(l) * 0.9) AS INT) + 1] AS abs_p90 FROM s"
+
+
+@query("d6_delta_summary", _D6)
 def d6(spark, folder):
     return D.delta_summary(labelled(spark, folder))
 
 
-@query("d7_d8_event_windows", "SELECT count(*) AS total, count(*) FILTER (WHERE date < DATE '2024-01-10') AS before_start, count(*) FILTER (WHERE date >= DATE '2024-01-24') AS last_7, count(*) FILTER (WHERE date >= DATE '2024-01-17') AS last_14, count(*) FILTER (WHERE date >= DATE '2024-01-01') AS last_30, min(date) AS oldest, max(date) AS newest FROM ledger")
+_D7 = "SELECT count(*) AS total, count(*) FILTER (WHERE date < DATE '2024-01-10') AS before_start, count(*) FILTER (WHERE date >= DATE '2024-01-24') AS last_7, count(*) FILTER (WHERE date >= DATE '2024-01-17') AS last_14, count(*) FILTER (WHERE date >= DATE '2024-01-01') AS last_30, min(date) AS oldest, max(date) AS newest FROM ledger"
+
+
+@query("d7_d8_event_windows", _D7)
 def d7(spark, folder):
     return D.event_windows(ledger(spark, folder), now=NOW, start="2024-01-10")
 
 
-@query("d9_events_per_day", "SELECT date, label, count(*) AS events FROM ledger GROUP BY ALL")
+_D9 = "SELECT date, label, count(*) AS events FROM ledger GROUP BY ALL"
+
+
+@query("d9_events_per_day", _D9)
 def d9(spark, folder):
     return D.events_per_day(ledger(spark, folder))
 
@@ -278,7 +290,10 @@ def d10(spark, folder):
     return D.embedding_coverage(M.products(spark, folder, True))
 
 
-@query("d15_labels_today", "SELECT count(*) FILTER (WHERE prior > current_position) AS heroes, count(*) FILTER (WHERE prior < current_position) AS villains FROM labelled WHERE is_fashion AND prior > 0 AND abs(prior - current_position) <= 30")
+_D15 = "SELECT count(*) FILTER (WHERE prior > current_position) AS heroes, count(*) FILTER (WHERE prior < current_position) AS villains FROM labelled WHERE is_fashion AND prior > 0 AND abs(prior - current_position) <= 30"
+
+
+@query("d15_labels_today", _D15)
 def d15(spark, folder):
     return D.labels_today(labelled(spark, folder))
 
@@ -329,7 +344,25 @@ def g16(spark, folder):
     return _feed(spark, folder, is_fashion=False, label="hero", matching=hits)
 
 
-@query("i5_movers_sample", "SELECT id, label, prior_position, current_position FROM labels_now WHERE label IN ('hero', 'villain') ORDER BY abs(change) DESC, id LIMIT 10")
+_MOVERS = "SELECT id, label, prior_position, current_position FROM labels_now WHERE label IN ('hero', 'villain') ORDER BY abs(change) DESC, id LIMIT 10"
+
+
+@query("i5_movers_sample", _MOVERS)
 def i5(spark, folder):
     movers = labelled(spark, folder).where("label IN ('hero', 'villain')")
     return movers.orderBy(F.abs("position_change").desc(), "id").limit(10).select("id", "label", "prior_position", "current_position")
+
+
+_MEASURES = "SELECT '{section}' AS section, name, CAST(value AS BIGINT) AS value FROM (UNPIVOT ({sql}) ON COLUMNS(*) INTO NAME name VALUE value)"
+_DAYS = f"SELECT * REPLACE (oldest - DATE '1970-01-01' AS oldest, newest - DATE '1970-01-01' AS newest) FROM ({_D7})"
+
+
+@query("i5_movement_diagnostics", " UNION ALL ".join((
+    f"SELECT 'snapshots' AS section, store_id || '/' || date AS name, snapshots AS value FROM ({_D5})",
+    f"SELECT 'events', date || '/' || label, events FROM ({_D9})",
+    *(_MEASURES.format(section=section, sql=sql) for section, sql in (("moves", _D6), ("ledger", _DAYS), ("today", _D15))),
+    "SELECT 'movers', place || '/' || id, change FROM (SELECT id, change, row_number() OVER (ORDER BY abs(change) DESC, id) AS place FROM labels_now WHERE label IN ('hero', 'villain')) WHERE place <= 10",
+)))
+def i5_all(spark, folder):
+    stores, products, history, events = run_tables(spark, folder)
+    return D.movement_diagnostics(L.movement_labels(products, history, **FLOORS), stores, products, history, events, now=NOW, start="2024-01-10")
