@@ -183,9 +183,9 @@ def test_a_run_appends_snapshots_and_events(spark, tmp_path):
     state, snapshots, events = S.apply_run(p, past, ledger, seen, **FLOORS)
     assert state.first()["current_position"] == 8 and snapshots.first()["position"] == 8
     assert [(r["label"], r["position_change"]) for r in events.collect()] == [("hero", 1)]
-    for _ in range(2):  # a repeated batch has the same effect
-        S.write_history(snapshots, str(tmp_path / "history"))
-    assert spark.read.parquet(str(tmp_path / "history")).count() == 1
+    for _ in range(2):  # a repeated run has the same effect
+        S.write_history(snapshots, str(tmp_path / "history"), "r1")
+    assert S.read_history(spark, str(tmp_path / "history")).count() == 1
     assert S.newest_state(spark, str(tmp_path / "none")) is None
 
 

@@ -35,10 +35,9 @@ def catalog_sizes(products: DataFrame) -> DataFrame:
     return products.groupBy("store_id", "is_fashion").agg(F.count_if(F.col("is_fashion") | (F.col("subniche") != "")).alias("size"))
 
 
-def movement_labels(products: DataFrame, history: DataFrame, *, now: str, epoch: str, start: str, among: DataFrame | None = None) -> DataFrame:
-    """Products, or those of the ids ``among``, with ``label, position_change, prior_position``."""
-    own = products if among is None else products.join(among.select("id"), "id", "left_semi")
-    known = own.join(prior_positions(history, now=now, epoch=epoch, start=start), "id", "left").join(catalog_sizes(products), ["store_id", "is_fashion"], "left")
+def labels_from_priors(own: DataFrame, priors: DataFrame, sizes: DataFrame) -> DataFrame:
+    """H2 for rows whose prior positions (``id, prior``) and catalog sizes are known."""
+    known = own.join(priors.select("id", "prior"), "id", "left").join(sizes, ["store_id", "is_fashion"], "left")
     prior, at = F.col("prior"), F.coalesce("current_position", F.lit(0))
     none = F.coalesce(prior, F.lit(0)) == 0
     far = F.abs(prior - at) > threshold(F.coalesce("size", F.lit(0)))
@@ -46,21 +45,31 @@ def movement_labels(products: DataFrame, history: DataFrame, *, now: str, epoch:
     return known.withColumns({"label": label, "position_change": F.when(none | far, 0).otherwise(prior - at), "prior_position": F.coalesce(prior, F.lit(0))}).drop("prior", "size")
 
 
+def movement_labels(products: DataFrame, history: DataFrame, *, now: str, epoch: str, start: str, among: DataFrame | None = None) -> DataFrame:
+    """Products, or those of the ids ``among``, with ``label, position_change, prior_position``."""
+    own = products if among is None else products.join(among.select("id"), "id", "left_semi")
+    return labels_from_priors(own, prior_positions(history, now=now, epoch=epoch, start=start), catalog_sizes(products))
+
+
 def label_filter(labelled: DataFrame, label: str) -> DataFrame:
     """H9: as the feeds show labels; ``normal`` keeps equal ranks only."""
     kept = labelled.where(F.col("label") == label)
     return kept.where("prior_position = current_position") if label == "normal" else kept
 
 
-def events_of_today(products: DataFrame, history: DataFrame, *, now: str, epoch: str, start: str) -> DataFrame:
-    """H3: today's hero and villain rows. None at all if the epoch isn't before today."""
-    found = movement_labels(products, history, now=now, epoch=epoch, start=start)
+def events_of(labelled: DataFrame, *, now: str, epoch: str) -> DataFrame:
+    """H3: the hero and villain rows among labelled products, as events of today. None at all if the epoch isn't before today."""
     if dt.date.fromisoformat(epoch[:10]) >= dt.date.fromisoformat(now[:10]):
-        found = found.where("false")
-    found = found.where("label IN ('hero', 'villain') AND current_position <> 0")
+        labelled = labelled.where("false")
+    found = labelled.where("label IN ('hero', 'villain') AND current_position <> 0")
     return found.select("store_id", F.col("id").alias("product_id"), day(now).alias("date"), "label", "prior_position", "current_position", "position_change")
 
 
+def events_of_today(products: DataFrame, history: DataFrame, *, now: str, epoch: str, start: str) -> DataFrame:
+    """H3: today's events by the whole history."""
+    return events_of(movement_labels(products, history, now=now, epoch=epoch, start=start), now=now, epoch=epoch)
+
+
 def merge_events(ledger: DataFrame, fresh: DataFrame) -> DataFrame:
     """H3: next ledger; a fresh row replaces that of its product and day, no row is removed."""
     return ledger.join(fresh.select("product_id", "date"), ["product_id", "date"], "left_anti").select(*ledger.columns).unionByName(fresh)
@@ -89,7 +98,12 @@ def backfill_events(products: DataFrame, history: DataFrame, ledger: DataFrame |
 
 
 def keep_recent(rows: DataFrame, *, now: str, days: int = RETENTION_DAYS) -> DataFrame:
-    """Rows dated at or after ``now`` less ``days``, the time of day included."""
+    """Rows dated at or after ``now`` less ``days``, the time of day included.
+
+    Of a table partitioned by ``day`` older partitions aren't read.
+    """
+    if "day" in rows.columns:
+        rows = rows.where(F.col("day") >= F.date_sub(day(now), days))
     return rows.where(F.col("date").cast("timestamp_ntz") >= F.lit(now).cast("timestamp_ntz") - F.expr(f"INTERVAL {days} DAYS"))
 
 

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from ..functions.text import reject_reason, store_url, text_or_empty
 from . import labels as L
 from . import rules as R
+from .commits import complete_versions, write_part
+from .sides import checked
 
 OVERWRITTEN = ("title", "handle", "image_url", "price", "vendor", "product_type", "ai_tags", "current_position", "is_fashion", "subniche")
 
@@ -23,18 +25,31 @@ def retired(df: DataFrame, when: Column) -> DataFrame:
     return df.withColumns({"is_fashion": F.when(when, False).otherwise(F.col("is_fashion")), "subniche": F.when(when, "").otherwise(F.col("subniche"))})
 
 
+def last_listed(scraped: DataFrame) -> DataFrame:
+    """One row per store and handle: the one listed last, where general lists follow fashion ones and later places earlier ones."""
+    columns = [c for c in scraped.columns if c not in ("store_id", "handle")]
+    order = F.struct((~F.coalesce("is_fashion", F.lit(False))).alias("general"), "current_position", F.xxhash64(*columns).alias("tie"))
+    return scraped.groupBy("store_id", "handle").agg(F.max_by(F.struct(*columns), order).alias("_row")).select("store_id", "handle", "_row.*")
+
+
 def upsert_products(products: DataFrame, scraped: DataFrame, *, now: str, tables: R.Tables = R.SAMPLE) -> DataFrame:
     """Match on store and handle; the scrape's attributes win, vectors and vision times stay.
 
+    A handle that a scrape lists more than once counts as it is listed last.
     ``existed`` tells old rows, ``listed`` those of this scrape. A new row's id
-    follows from store and handle. The category is assigned anew for listed rows.
+    follows from store and handle. The category is assigned anew for listed rows; a
+    row that the scrape marks ``vision_classified`` gets its time.
     """
-    fresh = scraped.select("store_id", F.col("handle").alias("_key"), *(F.col(c).alias(f"_{c}") for c in OVERWRITTEN if c != "handle" and c in scraped.columns), F.lit(True).alias("_listed"))
+    taken = [c for c in (*OVERWRITTEN, "product_url") if c != "handle" and c in scraped.columns and c in products.columns]
+    seen = F.coalesce("vision_classified", F.lit(False)) if "vision_classified" in scraped.columns else F.lit(False)
+    fresh = last_listed(scraped).select("store_id", F.col("handle").alias("_key"), *(F.col(c).alias(f"_{c}") for c in taken), seen.alias("_seen"), F.lit(True).alias("_listed"))
     old = products.withColumns({"_key": F.col("handle"), "_existed": F.lit(True)})
     both = old.join(fresh, ["store_id", "_key"], "full_outer")
-    listed = F.coalesce("_listed", F.lit(False))
-    taken = {c: F.when(listed, F.col(f"_{c}")).otherwise(F.col(c)) for c in OVERWRITTEN if c != "handle" and c in scraped.columns}
-    own = both.withColumns(taken | {"handle": F.col("_key"), "id": F.coalesce("id", F.abs(F.xxhash64("store_id", "_key"))), "existed": F.coalesce("_existed", F.lit(False)), "listed": listed, "last_scraped": F.when(listed, F.lit(now).cast("timestamp_ntz")).otherwise(F.col("last_scraped"))})
+    listed, at = F.coalesce("_listed", F.lit(False)), F.lit(now).cast("timestamp_ntz")
+    more = {c: F.when(listed, F.col(f"_{c}")).otherwise(F.col(c)) for c in taken}
+    if "vision_classified_at" in products.columns:
+        more["vision_classified_at"] = F.when(F.col("_seen"), at).otherwise(F.col("vision_classified_at"))
+    own = both.withColumns(more | {"handle": F.col("_key"), "id": F.coalesce("id", F.abs(F.xxhash64("store_id", "_key"))), "existed": F.coalesce("_existed", F.lit(False)), "listed": listed, "last_scraped": F.when(listed, at).otherwise(F.col("last_scraped"))})
     own = own.withColumn("product_category", F.when(listed, R.assign_category(own, tables.catalog)).otherwise(F.col("product_category")))
     return own.select(*products.columns, "existed", "listed")
 
@@ -70,13 +85,18 @@ def sweep_off_cap(products: DataFrame, cap: int = 600, among: Column | None = No
     return retired(products, _within(active() & (F.col("current_position") > cap), among))
 
 
+def _retire_unlisted(products: DataFrame, listed: Column, scraped: DataFrame, guard: int) -> DataFrame:
+    """Two counts per store of the scrape decide; they are broadcast after a check of their number."""
+    sizes = scraped.groupBy("store_id").agg(F.count_if(F.col("is_fashion")).alias("_nf"), F.count_if(~F.col("is_fashion")).alias("_ng"))
+    own = products.join(checked(sizes), "store_id", "left")
+    enough = F.when(F.col("is_fashion"), F.col("_nf")).otherwise(F.col("_ng")) >= guard
+    return retired(own, active() & ~listed & F.coalesce(enough, F.lit(False))).drop("_nf", "_ng")
+
+
 def retire_absent(products: DataFrame, scraped: DataFrame, guard: int = 5) -> DataFrame:
     """Rows of a feed that the store's scrape doesn't list are retired, if that feed's list has ``guard`` rows."""
-    sizes = scraped.groupBy("store_id").agg(F.count_if(F.col("is_fashion")).alias("_nf"), F.count_if(~F.col("is_fashion")).alias("_ng"))
     listed = scraped.select("store_id", "handle").distinct().withColumn("_in", F.lit(True))
-    own = products.join(sizes, "store_id", "left").join(listed, ["store_id", "handle"], "left")
-    enough = F.when(F.col("is_fashion"), F.col("_nf")).otherwise(F.col("_ng")) >= guard
-    return retired(own, active() & F.col("_in").isNull() & F.coalesce(enough, F.lit(False))).select(*products.columns)
+    return _retire_unlisted(products.join(listed, ["store_id", "handle"], "left"), F.col("_in").isNotNull(), scraped, guard).select(*products.columns)
 
 
 def promote_wearables(products: DataFrame) -> DataFrame:
@@ -105,7 +125,7 @@ def apply_scrape(products: DataFrame, scraped: DataFrame, *, now: str, cap: int
     clean = scraped.withColumn("subniche", R.sane_subniche(F.col("is_fashion"), F.col("subniche")))
     state, old = upsert_products(products, clean, now=now, tables=tables), F.col("existed")
     state = sweep_promote(sweep_demote(sweep_junk(state, old, tables), old, tables), old, tables)
-    return retire_absent(sweep_off_cap(state, cap, old), clean, guard).select(*products.columns, "listed")
+    return _retire_unlisted(sweep_off_cap(state, cap, old), F.col("listed"), clean, guard).select(*products.columns, "listed")
 
 
 def apply_run(products: DataFrame, history: DataFrame, ledger: DataFrame, scraped: DataFrame, *, now: str, epoch: str, start: str, cap: int = 600, guard: int = 5, tables: R.Tables = R.SAMPLE) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -183,9 +203,15 @@ def maintain(products: DataFrame, tables: R.Tables = R.SAMPLE) -> DataFrame:
     return backfill_category(sweep_off_cap(sweep_demote(sweep_promote(own, None, tables), None, tables)), tables)
 
 
-def write_history(snapshots: DataFrame, path: str) -> None:
-    """Append snapshots to a table partitioned by day; a day that is written again is replaced."""
-    snapshots.withColumn("day", F.to_date("date")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+def write_history(snapshots: DataFrame, path: str, run: str) -> None:
+    """Append a run's snapshots, partitioned by run and day; a run that is written again replaces its own rows only."""
+    folder, _, table = path.rstrip("/").rpartition("/")
+    write_part(snapshots.withColumn("day", F.to_date("date")), folder, table, run, partition_by="day")
+
+
+def read_history(spark: SparkSession, path: str) -> DataFrame:
+    """The snapshots of all runs, with ``run`` and ``day``."""
+    return spark.read.parquet(path).withColumn("run", F.col("run").cast("string"))
 
 
 def write_state(df: DataFrame, path: str, version: int, partition_by: str | None = None) -> str:
@@ -198,10 +224,6 @@ def write_state(df: DataFrame, path: str, version: int, partition_by: str | None
 
 def newest_state(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
     """The newest version, or the newest before one, that was written to its end; None if there is none."""
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    root = hadoop.Path(path)
-    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    found = [f.getPath() for f in files.listStatus(root)] if files.exists(root) else []
-    done = {int(p.getName().split("=")[1]): p for p in found if p.getName().startswith("version=") and files.exists(hadoop.Path(p, "_SUCCESS"))}
+    done = complete_versions(spark, path)
     versions = [v for v in done if before is None or v < before]
-    return spark.read.parquet(done[max(versions)].toString()) if versions else None
+    return spark.read.parquet(done[max(versions)]) if versions else None

@@ -7,10 +7,15 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
+
+from ..operators import labels as L
 
 SNAPSHOT = "id long, product_id long, store_id long, position int, date timestamp"
-EVENT = "product_id long, date date, label string, prior_position int, current_position int, position_change int"
+MOVEMENT = "store_id long, product_id long, date date, label string, prior_position int, current_position int, position_change int"
+MOVEMENT_COLUMNS = ["store_id", "product_id", "date", "label", "prior_position", "current_position", "position_change"]
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
@@ -35,32 +40,72 @@ def daily_last_stream(stream: DataFrame, late: str = "1 day") -> DataFrame:
     return days.agg(F.max_by("position", "date").alias("position")).select("product_id", F.to_date("w.start").alias("date"), "position")
 
 
-def movement_stream(stream: DataFrame) -> DataFrame:
-    """L3: hero and villain events between observed days, from the state of each product.
+class DailyMovements(StatefulProcessor):
+    """L3 for one product: open days with their latest snapshots, and the position of the last closed day.
 
-    The state is the day before the last, its position, the last day and its latest
-    snapshot. An event of a day appears when a snapshot of a later day arrives; a
-    snapshot of an earlier day than the last comes too late and is dropped; the last
-    day's event appears with ``closing_snapshots``.
+    A day closes by time, when the watermark has passed its end; then it is compared
+    with the closed day before. A snapshot of a closed day comes too late and is
+    dropped. After ``keep`` days without a snapshot the product is forgotten, so that
+    its next day has none before it.
     """
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        before, day, at, position = state.get if state.exists else (0, "", 0, 0)
-        rows = pd.concat(list(frames)).sort_values("date", kind="stable")
-        out = []
-        for date, place in zip(rows["date"], rows["position"], strict=True):
-            own, moment = str(date.date()), int(date.value)
-            if own < day:
+    DAY = 86_400_000
+
+    def __init__(self, keep: int):
+        self.keep = keep
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getMapState("open", "day long", "at long, position int, store_id long, threshold int")
+        self.closed = handle.getValueState("closed", "day long, position int")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        gone = timerValues.getCurrentWatermarkInMs() // self.DAY  # days before this one are closed
+        latest: dict[int, tuple] = {}
+        for frame in rows:
+            own = zip(frame["date"].astype("datetime64[ms]").astype("int64"), frame["position"], frame["store_id"], frame["threshold"], strict=True)
+            for row in own:
+                day = int(row[0]) // self.DAY
+                if day >= gone and (day not in latest or row[0] >= latest[day][0]):
+                    latest[day] = tuple(map(int, row))
+        for day, row in latest.items():
+            if not self.open.containsKey((day,)):
+                self.handle.registerTimer((day + 1) * self.DAY)
+            elif self.open.getValue((day,))[0] > row[0]:
                 continue
-            if own > day:
-                if day and before and position and before != position:
-                    out.append((key[0], pd.Timestamp(day).date(), "hero" if position < before else "villain", before, position, before - position))
-                before, day, at = position, own, moment
-                position = int(place)
-            elif moment >= at:
-                at, position = moment, int(place)
-        state.update((before, day, at, position))
-        yield pd.DataFrame(out, columns=["product_id", "date", "label", "prior_position", "current_position", "position_change"])
-
-    grouped = stream.select("product_id", "date", "position").groupBy("product_id")
-    return grouped.applyInPandasWithState(step, EVENT, "before int, day string, at long, position int", "append", GroupStateTimeout.NoTimeout)
+            self.open.updateValue((day,), row)
+        yield pd.DataFrame([], columns=MOVEMENT_COLUMNS)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        ended = expiredTimerInfo.getExpiryTimeInMs() // self.DAY
+        last, before = self.closed.get() if self.closed.exists() else (None, 0)
+        out = []
+        for day in sorted(k[0] for k in self.open.keys() if k[0] < ended):
+            _, position, store_id, threshold = self.open.getValue((day,))
+            if before and position and before != position and abs(before - position) <= threshold:
+                out.append((store_id, key[0], pd.Timestamp(day * self.DAY, unit="ms").date(), "hero" if position < before else "villain", before, position, before - position))
+            last, before = day, position
+            self.open.removeKey((day,))
+        if last is not None and last + self.keep < ended:
+            self.closed.clear()
+        elif last is not None:
+            self.closed.update((last, before))
+            if not self.open.exists():
+                self.handle.registerTimer((last + self.keep + 1) * self.DAY)
+        yield pd.DataFrame(out, columns=MOVEMENT_COLUMNS)
+
+    def close(self) -> None:
+        pass
+
+
+def movement_stream(stream: DataFrame, products: DataFrame, *, start: str, late: str = "6 hours", keep: int = 30) -> DataFrame:
+    """L3: hero and villain events between observed days at or after ``start``, as days close; they equal H4's.
+
+    Moves beyond the threshold of the product's catalog (H1) are none; catalog sizes
+    come from ``products`` by a join. Snapshots of products that aren't there are
+    dropped. Needs the RocksDB state store.
+    """
+    sized = products.select(F.col("id").alias("product_id"), "store_id", "is_fashion").join(L.catalog_sizes(products), ["store_id", "is_fashion"], "left")
+    known = sized.select("product_id", "store_id", L.threshold(F.coalesce("size", F.lit(0))).cast("int").alias("threshold"))
+    own = stream.withWatermark("date", late).where(F.col("date") >= F.lit(start).cast("timestamp")).select("product_id", "date", "position").join(known, "product_id")
+    return own.groupBy("product_id").transformWithStateInPandas(DailyMovements(keep), MOVEMENT, "append", "EventTime")
