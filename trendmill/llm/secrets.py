@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .storage import stored
 from .text import chunks
 
 Span = tuple[int, int, str]
@@ -211,7 +212,14 @@ def common_words(docs: DataFrame, limit: int = 30_000) -> list[str]:
         yield counted()
 
     found = docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r["word"] for r in found.orderBy(F.desc("n"), "word").limit(limit).collect()]
+    found = stored(found.withColumn("size", F.floor(8 * F.log2("n"))))
+    # how many words there are of each order of size: some hundred rows; the list's words are of the largest ones
+    least, held = 0, 0
+    for r in found.groupBy("size").count().orderBy(F.desc("size")).collect():
+        least, held = r["size"], held + r["count"]
+        if held >= limit:
+            break
+    return [r["word"] for r in found.where(F.col("size") >= least).orderBy(F.desc("n"), "word").limit(limit).collect()]
 
 
 def find_secrets(docs: DataFrame, words: list[str], *, dear: float = DEAR) -> DataFrame:
