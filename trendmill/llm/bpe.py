@@ -13,6 +13,7 @@ import json
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from tokenizers import Tokenizer
 
 from .text import U, chunks, mix
 
-MEMO_LIMIT = 300_000
+MEMO_BYTES = 64 << 20  # of written words that a worker keeps
 PAIR_BITS = 20
 
 
@@ -65,20 +66,29 @@ class WordBpe:
         self.byte_of = {letter: b for b, letter in byte_letters().items()}
         self.known = np.zeros(1 << PAIR_BITS, dtype=np.uint64)
         self.pieces: dict[str, tuple[str, str]] = {}
+        self.held = 0
 
     def merged(self, symbols: list[int]) -> list[int]:
-        """Exact merging: again and again the leftmost pair of the lowest rank."""
-        symbols, size, rank, never = list(symbols), self.size, self.rank.get, len(self.made)
-        ranks = [rank(a * size + b, never) for a, b in zip(symbols, symbols[1:], strict=False)]
-        while ranks and (least := min(ranks)) < never:
-            k = ranks.index(least)
-            symbols[k : k + 2] = [self.made[least]]
-            del ranks[k]
-            if k:
-                ranks[k - 1] = rank(symbols[k - 1] * size + symbols[k], never)
-            if k < len(ranks):
-                ranks[k] = rank(symbols[k] * size + symbols[k + 1], never)
-        return symbols
+        """Exact merging: again and again the leftmost pair of the lowest rank, from a heap over linked neighbours."""
+        symbols, size, rank, many = list(symbols), self.size, self.rank.get, len(symbols)
+        after, before = [*range(1, many), -1], [*range(-1, many - 1)]
+        waiting = [(r, k) for k, (a, b) in enumerate(zip(symbols, symbols[1:], strict=False)) if (r := rank(a * size + b)) is not None]
+        heapify(waiting)
+        while waiting:
+            r, k = heappop(waiting)
+            right = after[k]
+            # a pair that has changed since has another rank; a place that was merged away has no symbol
+            if symbols[k] < 0 or right < 0 or rank(symbols[k] * size + symbols[right]) != r:
+                continue
+            symbols[k], symbols[right], after[k] = self.made[r], -1, after[right]
+            if after[k] >= 0:
+                before[after[k]] = k
+                if (r := rank(symbols[k] * size + symbols[after[k]])) is not None:
+                    heappush(waiting, (r, k))
+            left = before[k]
+            if left >= 0 and (r := rank(symbols[left] * size + symbols[k])) is not None:
+                heappush(waiting, (r, left))
+        return [s for s in symbols if s >= 0]
 
     def symbols(self, text: str) -> list[int]:
         """Ids of single letters; a trailing word end belongs to the last letter."""
@@ -165,11 +175,14 @@ class WordBpe:
         self.pieces |= {w: self._written([self.special[w]]) for w in new if w in self.special}
         for word, ids in zip(plain, self.encode_words([w.encode().decode("latin-1").translate(letters) for w in plain]), strict=True):
             self.pieces[word] = self._written(ids)
+        # three strings of at least 50 bytes a word
+        self.held += sum(300 + len(w) + sum(map(len, self.pieces[w])) for w in new)
 
     def encode_texts(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
         """Per text: number of tokens, decimal ids and decoded text, joined by spaces."""
-        if len(self.pieces) > MEMO_LIMIT:
+        if self.held > MEMO_BYTES:
             self.pieces.clear()
+            self.held = 0
         split = [self._split(t) for t in texts]
         found = [list(map(self.pieces.get, own)) for own in split]
         gaps = [[k for k, f in enumerate(own) if f is None] for own in found]

@@ -23,7 +23,7 @@ from tokenizers import Tokenizer
 
 from .text import Chunk, chunks, span_hashes
 
-MEMO_LIMIT = 350_000
+MEMO_BYTES = 64 << 20  # of either half of a worker's memo
 BLOCK_TOKENS = 1 << 20
 CHUNK_BYTES = 1 << 21
 #: Bytes that surely begin a visible character; those of white space don't.
@@ -81,6 +81,7 @@ class LibraryEncoder:
         self.opens[[k for t, k in vocab.items() if t.startswith("Ġ")]] = True
         self.memo: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
+        self.held = 0
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=np.uint32).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -105,8 +106,8 @@ class LibraryEncoder:
         borders = chunk.offsets.tolist()
         if not self.by_parts:
             return self.whole([raw[a:b].decode() for a, b in zip(borders, borders[1:], strict=False)])
-        if len(self.memo) > MEMO_LIMIT:  # what is used again moves on to the new half
-            self.memo, self.older = {}, self.memo
+        if self.held > MEMO_BYTES:  # what is used again moves on to the new half
+            self.memo, self.older, self.held = {}, self.memo, 0
         cut = np.zeros(len(chunk.data) + 1, dtype=bool)
         cut[:-1][:-1] = (chunk.data[:-1] == 0x20) & VISIBLE[chunk.data[1:]]
         cut[chunk.offsets[1:-1] - 1] = False  # the next character is another text's
@@ -120,6 +121,7 @@ class LibraryEncoder:
         self.memo.update((p, self.older[p]) for p in missing if p in self.older)
         self._learn([p for p in missing if p not in self.memo])
         own = [self.memo[p] for p in parts]
+        self.held += sum(180 + len(p) + len(self.memo[p]) for p in missing)
         size = np.fromiter(map(len, own), dtype=np.int64, count=len(own)) // 4
         begin = np.cumsum(size) - size
         each = size[back]
