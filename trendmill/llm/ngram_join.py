@@ -284,7 +284,7 @@ def _units(candidates: DataFrame, unit: int, percent: int) -> DataFrame:
     classes = sized.groupBy("cluster", "size_class").agg(F.sum(load).alias("of_class"))
     wholes = classes.groupBy("cluster").agg(F.sum("of_class").alias("of_cluster"))
     dealt = sized.join(wholes, "cluster")
-    small = dealt.where(F.col("of_cluster") <= 1).select("row_id", "set_key", F.xxhash64("cluster").alias("unit"), F.lit(0).alias("side"))
+    small = dealt.where(F.col("of_cluster") <= 1).select("row", "set_key", F.xxhash64("cluster").alias("unit"), F.lit(0).alias("side"))
     blocks = F.ceil(F.col("of_class") * 2).cast("int")
     counts = classes.join(wholes.where(F.col("of_cluster") > 1), "cluster").select("cluster", "size_class", blocks.alias("blocks"))
     large = dealt.where(F.col("of_cluster") > 1).join(counts, ["cluster", "size_class"])
@@ -303,7 +303,7 @@ def _units(candidates: DataFrame, unit: int, percent: int) -> DataFrame:
     downward = F.transform(F.sequence(F.lit(1), F.coalesce("below", F.lit(0))), lambda k: uses(down, k - 1, own, block, F.lit(True)))
     none = F.array().cast("array<struct<unit:bigint,side:int>>")
     parts = F.concat(within, F.when(F.col("above") > 0, upward).otherwise(none), F.when(F.col("below") > 0, downward).otherwise(none))
-    large = large.select("row_id", "set_key", F.explode(parts).alias("use")).select("row_id", "set_key", "use.unit", "use.side")
+    large = large.select("row", "set_key", F.explode(parts).alias("use")).select("row", "set_key", "use.unit", "use.side")
     return small.unionByName(large)
 
 
@@ -335,9 +335,10 @@ def ngram_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     shared = shared.select(F.col("set_key").alias("a"), F.col("low").alias("b"))
     clusters = stored(connected_components(shared).withColumnRenamed("component", "cluster"))
 
-    members = described.join(clusters, described.set_key == clusters.node).groupBy("set_key").agg(F.min("row_id").alias("row_id"), F.first("n_shingles").alias("n_shingles"), F.first("cluster").alias("cluster"))
-    units = _units(stored(members), unit, percent)
-    placed = docs.join(units.hint("shuffle_hash"), "row_id").select("unit", "side", "set_key", "text")
+    members = described.join(clusters, described.set_key == clusters.node).groupBy("set_key").agg(F.min(F.struct("row_id", "text_key")).alias("row"), F.first("n_shingles").alias("n_shingles"), F.first("cluster").alias("cluster"))
+    # a set's text is that of one row; its id alone may be that of many other texts
+    units = _units(stored(members), unit, percent).select("row.row_id", "row.text_key", "set_key", "unit", "side")
+    placed = docs.join(units.hint("shuffle_hash"), ["row_id", "text_key"]).select("unit", "side", "set_key", "text")
     links = placed.groupBy("unit").applyInArrow(_join_unit(width, percent), "a long, b long")
     components = connected_components(links)
 
