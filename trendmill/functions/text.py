@@ -109,17 +109,20 @@ def scrape_warning(niche: Column, fashion: Column, general: Column) -> Column:
     )
 
 
+def _quoted(term: str) -> str:
+    return reduce(lambda t, s: t.replace(s, "\\" + s), "\\.^$|?*+()[]{}", term)
+
+
 def whole_word(c: Column, term: str) -> Column:
     """``term`` between word borders, any case."""
-    quoted = reduce(lambda t, s: t.replace(s, "\\" + s), "\\.^$|?*+()[]{}", term)
-    return text_or_empty(c).rlike(rf"(?iU)(?<!\w){quoted}(?!\w)")
+    return text_or_empty(c).rlike(rf"(?iU)(?<!\w){_quoted(term)}(?!\w)")
 
 
 def loose_word(c: Column, term: str, mode: str = "substring") -> Column:
-    """``term`` anywhere, or before a word border."""
+    """``term`` anywhere, or with mode ``border`` as a word or the end of one."""
     if mode == "substring":
         return F.lower(text_or_empty(c)).contains(term.lower())
-    return whole_word(F.concat(F.lit(" "), text_or_empty(c)), term)
+    return text_or_empty(c).rlike(rf"(?iU){_quoted(term)}(?!\w)")
 
 
 def mentions(c: Column, words: str) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import render_tags
 from .feeds import in_feed
-from .rules import is_junk
+from .rules import SAMPLE, Tables, is_junk
 from .state import promoted
 
 
@@ -54,15 +54,15 @@ def unclassified(results: DataFrame, group: str = "store_id") -> DataFrame:
     return joined.drop("_some")
 
 
-def without_model(items: DataFrame) -> DataFrame:
+def without_model(items: DataFrame, tables: Tables = SAMPLE) -> DataFrame:
     """K4: with no model every row that survives the junk filter is fashion."""
-    return items.where(~is_junk(items)).withColumn("is_fashion", F.lit(True))
+    return items.where(~is_junk(items, tables.junk)).withColumn("is_fashion", F.lit(True))
 
 
-def reclassify_general(products: DataFrame, results: DataFrame, dry_run: bool) -> DataFrame:
+def reclassify_general(products: DataFrame, results: DataFrame, dry_run: bool, tables: Tables = SAMPLE) -> DataFrame:
     """K5: general rows that aren't junk and are flagged as wearable, promoted unless it's a dry run."""
     flagged = results.where("wearable").select("id")
-    hit = products.where(in_feed(False) & ~is_junk(products)).join(flagged, "id", "left_semi")
+    hit = products.where(in_feed(False) & ~is_junk(products, tables.junk)).join(flagged, "id", "left_semi")
     return hit if dry_run else promoted(hit, F.lit(True))
 
 

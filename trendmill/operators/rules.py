@@ -6,9 +6,11 @@ patterns are matched with Unicode case and word borders (``(?iU)``).
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +25,9 @@ SUBNICHES = (("electronics", r"\b(gizmo|charger|smartwatch)\b"), ("home", r"\b(p
 CATEGORIES = (("smartwatch", "electronics", r"\bsmart\s*watch(es)?\b"), ("watch", "accessories", r"\bwatch(es)?\b"), ("ring", "jewelry", r"\brings?\b"), ("bolt", "hardware", r"\bbolts?\b"), ("gear", "hardware", r"\bgears?\b|\banvils?\b"), ("plate", "home", r"\bplates?\b"), ("red-widget", "home", r"\bred widgets?\b"), ("widget", "home", r"\bwidgets?\b"))
 
 
+PHRASES = (("smartwatch", "electronics", ("smartwatch", "smartwatches", "smart watch", "smart watches")), ("watch", "accessories", ("watch", "watches")), ("ring", "jewelry", ("ring", "rings")), ("bolt", "hardware", ("bolt", "bolts")), ("gear", "hardware", ("gear", "gears", "anvil", "anvils")), ("plate", "home", ("plate", "plates")), ("red-widget", "home", ("red widget", "red widgets")), ("widget", "home", ("widget", "widgets")))
+
+
 class Tables(NamedTuple):
     """The rule tables of a user; all are patterns or ordered (name, pattern) entries."""
 
@@ -71,6 +76,41 @@ def assign_category(df: DataFrame, catalog=CATEGORIES) -> Column:
     return F.coalesce(*(F.when(hits(text, p), name) for name, _, p in catalog), F.lit(""))
 
 
+TOKEN = r"[\w']+"
+
+
+def phrase_categories(df: DataFrame, catalog: tuple[tuple[str, str, tuple[str, ...]], ...] = PHRASES, fields: tuple[str, ...] = ("title", "handle", "image_url", "product_type")) -> Column:
+    """B12 for catalogs of many literal phrases, ``(category, parent, phrases)``: the first category in order, else blank.
+
+    A phrase matches whole words in any case, with anything but a word between them.
+    All phrases are sought in one pass over a row's words: a dictionary leads from a
+    first word to the phrases that begin with it, so time doesn't grow with their
+    number. Patterns that aren't phrases go with ``assign_category``.
+    """
+    words = re.compile(TOKEN)
+    begins: dict[str, list[tuple[tuple[str, ...], int]]] = {}
+    for place, (_, _, phrases) in enumerate(catalog):
+        for phrase in phrases:
+            own = tuple(words.findall(phrase.lower()))
+            if own:
+                begins.setdefault(own[0], []).append((own, place))
+    names = [name for name, _, _ in catalog]
+
+    def category(text: str | None) -> str:
+        own, best = words.findall((text or "").lower()), len(names)
+        for at, word in enumerate(own):
+            for phrase, place in begins.get(word, ()):
+                if place < best and tuple(own[at : at + len(phrase)]) == phrase:
+                    best = place
+        return names[best] if best < len(names) else ""
+
+    @F.arrow_udf("string")
+    def named(texts: pa.Array) -> pa.Array:
+        return pa.array([category(t) for t in texts.to_pylist()], pa.string())
+
+    return named(F.concat_ws(" ", *(text_or_empty(F.col(f)) for f in fields)))
+
+
 def route(items: DataFrame, tables: Tables = SAMPLE) -> DataFrame:
     """Drops junk and ``exclude``; sets ``is_fashion`` and ``subniche``. Function beats form."""
     own = items.where(~is_junk(items, tables.junk)).withColumn("_sub", F.lower(F.trim(text_or_empty(F.col("subniche"))))).where("_sub <> 'exclude'")

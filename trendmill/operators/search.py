@@ -22,7 +22,7 @@ from .vectors import vector_top_k
 TRANSLATIONS = (("ring", "bague"), ("ring", "anillo"), ("plate", "teller"), ("plate", "assiette"), ("widget", "dings"))
 SYNONYMS = (("home", "plate"), ("home", "lamp"), ("jewelry", "ring"), ("jewelry", "necklace"))
 NOUNS = (("ring", "ring"), ("ring", "band"), ("plate", "plate"), ("plate", "dish"), ("gear", "gear"), ("gear", "anvil"))
-ALIASES = (("rings", "ring"), ("bands", "ring"), ("dishes", "plate"), ("plates", "plate"), ("gears", "gear"))
+ALIASES = (("rings", "ring"), ("bands", "ring"), ("dishes", "plate"), ("plates", "plate"), ("gears", "gear"), ("anvil", "gear"), ("bolts", "fastener"), ("fastener", "hardware"), ("hardware", "gear"), ("rods", "pole"), ("pole", "rods"))
 INTENTS = (("rings", "ring"), ("rings", "band"), ("tableware", "plate"), ("tableware", "dish"), ("hardware", "bolt"), ("hardware", "gear"))
 VOCABULARY = (("color", "red"), ("color", "blue"), ("color", "green"), ("material", "steel"), ("occasion", "wedding"), ("style", "large"))
 CONFLICTS = (("ring", "rod"), ("plate", "widget"), ("knee-high-boots", "ankle-boots"))
@@ -45,9 +45,17 @@ class Dictionaries(NamedTuple):
         return sorted(t for t in base | {b for a, b in pairs if a in base} if len(t) >= 3)
 
     def canonical(self, word: str) -> list[str]:
-        """J4 for one word: the categories that it names."""
-        w = word.lower()
-        return sorted({c for a, c in self.aliases if a == w} | {c for c, _ in self.nouns if c == w})
+        """J4 for one word: the category that it, or else its singular, leads to by aliases; none by a loop of them."""
+        w, ends = word.lower(), dict(self.aliases)
+        own = {c for c, _ in self.nouns}
+        for t in (w, *[w[:-1]] * (len(w) > 3 and w.endswith("s") and not w.endswith("ss")), *[w[:-2]] * (len(w) > 4 and w.endswith("es"))):
+            if t in own or t in ends:
+                seen: set[str] = set()
+                while t not in own and t in ends and t not in seen:
+                    seen.add(t)
+                    t = ends[t]
+                return [t] if t in own else []
+        return []
 
 
 SAMPLE = Dictionaries()
@@ -75,11 +83,32 @@ def lookup_tokens(words: DataFrame, index: DataFrame) -> DataFrame:
     return exact.unionByName(rest.join(index, "token").select("word", "category")).distinct()
 
 
+def alias_closure(aliases: DataFrame, nouns: DataFrame) -> DataFrame:
+    """``token, canonical`` of every alias and category; null where aliases lead nowhere or around.
+
+    Each step doubles the length of the chains that are followed, so there are as
+    many steps as the number of aliases has binary digits. ``aliases(token,
+    canonical)`` has one row per token; a category is no alias.
+    """
+    own = nouns.select(F.col("canonical").alias("token")).distinct()
+    ends = aliases.join(own, "token", "left_anti").unionByName(own.select("token", F.col("token").alias("canonical")))
+    for _ in range(max(1, aliases.count()).bit_length()):
+        further = ends.select(F.col("token").alias("canonical"), F.col("canonical").alias("_next"))
+        ends = ends.join(further, "canonical", "left").select("token", F.coalesce("_next", "canonical").alias("canonical"))
+    known = own.select(F.col("token").alias("canonical"), F.lit(True).alias("_known"))
+    return ends.join(known, "canonical", "left").select("token", F.when(F.col("_known"), F.col("canonical")).alias("canonical"))
+
+
 def resolve_aliases(words: DataFrame, aliases=ALIASES, nouns=NOUNS) -> DataFrame:
-    """``word, canonical, noun`` of category words; other words give no row."""
+    """``word, canonical, noun`` of category words: of the word and its singulars the first that is an alias or a category decides. Other words give no row."""
     spark = words.sparkSession
-    both = small(spark, [*aliases, *{(c, c) for c, _ in nouns}], "token string, canonical string")
-    return words.select("word", F.lower("word").alias("token")).distinct().join(both, "token").join(small(spark, nouns, "canonical string, noun string"), "canonical").select("word", "canonical", "noun")
+    named = small(spark, nouns, "canonical string, noun string")
+    ends = alias_closure(small(spark, aliases, "token string, canonical string"), named)
+    w = F.lower("word")
+    spelled = F.array_compact(F.array(w, F.when((F.length(w) > 3) & w.endswith("s") & ~w.endswith("ss"), F.left(w, F.length(w) - 1)), F.when((F.length(w) > 4) & w.endswith("es"), F.left(w, F.length(w) - 2))))
+    tried = words.select("word").distinct().select("word", F.posexplode(spelled).alias("place", "token")).join(ends, "token")
+    first = tried.groupBy("word").agg(F.min_by("canonical", "place").alias("canonical"))
+    return first.join(named, "canonical").select("word", "canonical", "noun")
 
 
 def expand_terms(words: DataFrame, translations=TRANSLATIONS, synonyms=SYNONYMS) -> DataFrame:
@@ -106,9 +135,11 @@ def strict_match(products: DataFrame, text: str, words: Dictionaries = SAMPLE) -
     return reduce(lambda a, b: a & b, (word_condition(products, w, words) for w in text.split()), F.lit(True))
 
 
-def loose_match(text: str, words: Dictionaries = SAMPLE) -> Column:
-    """Any variant of any word matches anywhere."""
-    return reduce(lambda a, b: a | b, (loose_word(F.col(c), t) for c in COLUMNS for t in sorted({t for w in text.split() for t in words.terms(w)})), F.lit(False))
+def loose_match(products: DataFrame, text: str, words: Dictionaries = SAMPLE) -> Column:
+    """Any variant of any word matches anywhere; category words match as in J6 even here."""
+    named = [w for w in text.split() if words.canonical(w)]
+    plain = sorted({t for w in text.split() if w not in named for t in words.terms(w)})
+    return reduce(lambda a, b: a | b, (*(word_condition(products, w, words) for w in named), *(loose_word(F.col(c), t) for c in COLUMNS for t in plain)), F.lit(False))
 
 
 def tag_match(text: str) -> Column:
@@ -118,7 +149,7 @@ def tag_match(text: str) -> Column:
 
 def cascade(products: DataFrame, text: str, words: Dictionaries = SAMPLE) -> DataFrame:
     """Rows of the first strategy with any: tag, strict, loose; in one pass and one aggregate."""
-    flagged = products.withColumns({"_tag": tag_match(text), "_strict": strict_match(products, text, words), "_loose": loose_match(text, words)})
+    flagged = products.withColumns({"_tag": tag_match(text), "_strict": strict_match(products, text, words), "_loose": loose_match(products, text, words)})
     some = flagged.agg(F.coalesce(F.bool_or("_tag"), F.lit(False)).alias("_any_tag"), F.coalesce(F.bool_or("_strict"), F.lit(False)).alias("_any_strict"))
     both = flagged.crossJoin(F.broadcast(some))  # one row
     kept = F.when(F.col("_any_tag"), F.col("_tag")).when(F.col("_any_strict"), F.col("_strict")).otherwise(F.col("_loose"))
@@ -126,16 +157,17 @@ def cascade(products: DataFrame, text: str, words: Dictionaries = SAMPLE) -> Dat
 
 
 def strategy_counts(products: DataFrame, text: str, words: Dictionaries = SAMPLE, samples: int = 5) -> DataFrame:
-    """Per strategy its matches, and the first ids of these."""
-    parts = []
-    for name, hit in (("tag", tag_match(text)), ("strict", strict_match(products, text, words)), ("loose", loose_match(text, words))):
-        rows = products.where(hit).select("id")
-        first = rows.orderBy("id").limit(samples).agg(F.sort_array(F.collect_list("id")).alias("sample"))
-        parts.append(rows.agg(F.count("*").alias("matches")).crossJoin(F.broadcast(first)).select(F.lit(name).alias("strategy"), "matches", "sample"))  # one row each
-    return reduce(DataFrame.unionByName, parts)
+    """Per strategy its matches, and the first ids of these; the products are read once."""
+    hits = {"tag": tag_match(text), "strict": strict_match(products, text, words), "loose": loose_match(products, text, words)}
+    flagged = products.select("id", F.explode(F.array_compact(F.array(*(F.when(hit, name) for name, hit in hits.items())))).alias("strategy"))
+    counts = flagged.groupBy("strategy").agg(F.count("*").alias("matches"))
+    first = flagged.withColumn("_n", F.expr("row_number() OVER (PARTITION BY strategy ORDER BY id)")).where(F.col("_n") <= samples).groupBy("strategy").agg(F.sort_array(F.collect_list("id")).alias("sample"))
+    names = small(products.sparkSession, [(name,) for name in hits], "strategy string")
+    found = names.join(counts, "strategy", "left").join(first, "strategy", "left")
+    return found.select("strategy", F.coalesce("matches", F.lit(0)).cast("long").alias("matches"), F.coalesce("sample", F.array().cast("array<long>")).alias("sample"))
 
 
-def expand_queries(queries: DataFrame, intents=INTENTS, vocabulary=VOCABULARY) -> DataFrame:
+def expand_queries(queries: DataFrame, intents=INTENTS, vocabulary=VOCABULARY, denied=DENIED) -> DataFrame:
     """Adds ``tokens, intents, terms, tags, strong`` (sorted arrays) to ``queries(query_id, text)``."""
     spark = queries.sparkSession
     words = queries.select("query_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]+)"), 1)).alias("token"))
@@ -148,7 +180,7 @@ def expand_queries(queries: DataFrame, intents=INTENTS, vocabulary=VOCABULARY) -
     out = queries.join(own, "query_id", "left").join(wide, "query_id", "left").join(tags, "query_id", "left")
     out = out.withColumns({c: F.coalesce(c, none) for c in ("tokens", "keywords", "intents", "tags")})
     out = out.withColumn("terms", F.array_sort(F.array_union("tokens", "keywords")))
-    strong = F.array_except(F.array_union("keywords", "tags"), F.array(*map(F.lit, DENIED)))
+    strong = F.array_except(F.array_union("keywords", "tags"), F.array(*map(F.lit, denied)).cast("array<string>"))
     return out.withColumn("strong", F.array_sort(F.when(F.size(strong) > 0, strong).otherwise(F.col("tokens"))))
 
 
@@ -187,15 +219,38 @@ def lexical_score(conflicts=CONFLICTS) -> Column:
         return F.when(F.length(u) >= 3, own).otherwise(0)
 
     tag_points = total(F.col("tags"), lambda t: points(F.array_contains(F.col("_tags"), t), 4) + points(F.array_contains(F.col("_title"), t), 2))
-    pairs = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in conflicts))
+    pairs = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in conflicts)).cast("array<struct<a:string,b:string>>")
     clash = F.aggregate(pairs, F.lit(0), lambda s, p: s + points(F.array_contains(F.col("terms"), p.a) & tags.contains(F.concat(F.lit("img:type:"), p.b)), 8))
     image = F.when(tags.contains("img:"), total(F.concat("terms", "tags"), of_image) - clash).otherwise(0)
     return points((F.length(phrase) >= 3) & title.contains(phrase), 15) + tag_points + total(F.col("terms"), of_term) + image
 
 
-def score_products(products: DataFrame, queries: DataFrame) -> DataFrame:
+def score_products(products: DataFrame, queries: DataFrame, conflicts=CONFLICTS) -> DataFrame:
     """Every product against every query of the stated set; ``query_id, id, kw``."""
-    return products.withColumns(_token_columns()).crossJoin(checked(queries)).select("query_id", "id", lexical_score().alias("kw"))
+    return products.withColumns(_token_columns()).crossJoin(checked(queries)).select("query_id", "id", lexical_score(conflicts).alias("kw"))
+
+
+def best_scores(products: DataFrame, queries: DataFrame, k: int = 20, conflicts=CONFLICTS) -> DataFrame:
+    """C12, J10 by postings: ``query_id, id, kw, rank`` of the ``k`` best products of each query, of those with points.
+
+    Points come from a shared token, or from a phrase, a term of several words or an
+    image tag that the title or tags contain. Only such pairs are joined and scored;
+    all others have no points or lose some.
+    """
+    columns = _token_columns()
+    posted = products.select("id", F.explode(F.array_distinct(F.concat(*columns.values()))).alias("token"))
+    wide = lambda t: t.contains(" ") | t.contains("-")
+    single = F.filter("terms", lambda t: ~wide(t) & (F.length(t) >= 3))
+    asked = queries.select("query_id", F.explode(F.array_distinct(F.concat(single, "tags"))).alias("token"))
+    shared = posted.join(checked(asked), "token").select("query_id", "id")
+    phrase = F.lower(F.trim("text"))
+    pictured = F.transform(F.concat("terms", "tags"), lambda t: F.replace(F.lower(F.trim(t)), F.lit(" "), F.lit("-")))
+    strings = F.concat(F.array_compact(F.array(F.when(F.length(phrase) >= 3, phrase))), F.filter("terms", lambda t: wide(t) & (F.length(t) >= 4)), F.filter(F.transform(pictured, lambda u: F.concat(F.lit(":"), u)), lambda u: F.length(u) >= 4))
+    held = queries.select("query_id", F.explode(F.array_distinct(strings)).alias("term"))
+    found = rows_with_terms(products, held, F.concat_ws("\n", text_or_empty(F.col("title")), text_or_empty(F.col("ai_tags")))).join(checked(held), "term").select("query_id", "id")
+    pairs = shared.unionByName(found).distinct()
+    scored = pairs.join(products.withColumns(columns), "id").join(checked(queries), "query_id").select("query_id", "id", lexical_score(conflicts).alias("kw")).where("kw > 0")
+    return scored.withColumn("rank", F.expr("row_number() OVER (PARTITION BY query_id ORDER BY kw DESC, id)")).where(F.col("rank") <= k)
 
 
 def intent_gate(queries: DataFrame, products: DataFrame) -> DataFrame:
@@ -209,6 +264,39 @@ def intent_gate(queries: DataFrame, products: DataFrame) -> DataFrame:
     return named.join(checked(asked), "word").select("query_id", "id").distinct()
 
 
+GRAM = 3
+
+
+def grams(c: Column, size: Column | int = GRAM) -> Column:
+    """The distinct runs of ``size`` letters of a text."""
+    last = F.char_length(c) - size + 1
+    return F.array_distinct(F.transform(F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>")), lambda k: F.substring(c, k, F.lit(size))))
+
+
+def rows_with_terms(products: DataFrame, terms: DataFrame, hay: Column) -> DataFrame:
+    """``id, term`` of all rows whose lower-cased ``hay`` contains a term of ``terms(term)``.
+
+    Postings instead of a scan: a term is looked for only in rows that have its
+    rarest run of three letters (a shorter term is its own run), and then verified.
+    Only runs that some term has are posted; that table is broadcast after a check of
+    its size, so what is shuffled are postings of the terms' runs and no others.
+    """
+    listed = terms.where(F.col("term").isNotNull() & (F.col("term") != "")).select("term").distinct()
+    size = F.least(F.lit(GRAM), F.char_length("term"))
+    of_terms = listed.select("term", F.explode(grams(F.col("term"), size)).alias("gram"))
+    wanted = of_terms.select("gram").distinct()
+    text = products.select("id", F.lower(hay).alias("hay"))
+    lengths = [r[0] for r in listed.select(size.alias("n")).distinct().orderBy("n").collect()]  # three numbers at most
+    runs = F.flatten(F.array(*(grams(F.col("hay"), n) for n in lengths))) if lengths else F.array().cast("array<string>")
+    posted = text.select("id", F.explode(runs).alias("gram")).join(checked(wanted), "gram")
+    often = posted.groupBy("gram").agg(F.count("*").alias("rows"))
+    rarest = of_terms.join(often, "gram").groupBy("term").agg(F.min(F.struct("rows", "gram")).alias("best"), F.count("*").alias("runs"))
+    # a term one of whose runs stands nowhere has no rows
+    whole = rarest.join(of_terms.groupBy("term").agg(F.count("*").alias("all")), "term").where("runs = all").select("term", F.col("best.gram").alias("gram"))
+    near = text.select("id", "hay", F.explode(runs).alias("gram")).join(checked(whole), "gram")
+    return near.where(F.contains("hay", "term")).select("id", "term")
+
+
 def named_by_terms(products: DataFrame, queries: DataFrame, top_k: int) -> DataFrame:
     """``query_id, id``: per query the first ``top_k`` rows by id whose title or tags contain a strong term.
 
@@ -216,10 +304,7 @@ def named_by_terms(products: DataFrame, queries: DataFrame, top_k: int) -> DataF
     are among the first ones of its terms, so no more than those leave the search.
     """
     asked = queries.select("query_id", F.explode("strong").alias("term"))
-    # one row; its terms are those of the dictionaries and the queries' own words
-    listed = asked.agg(F.collect_set("term").alias("all"))
-    hay = F.lower(F.concat_ws(" ", "title", text_or_empty(F.col("ai_tags"))))
-    found = products.select("id", hay.alias("hay")).crossJoin(F.broadcast(listed)).select("id", F.explode(F.filter("all", lambda t: F.col("hay").contains(t))).alias("term"))
+    found = rows_with_terms(products, asked, F.concat_ws(" ", "title", text_or_empty(F.col("ai_tags"))))
     first = lambda df, key: df.withColumn("_n", F.expr(f"row_number() OVER (PARTITION BY {key} ORDER BY id)")).where(F.col("_n") <= top_k).drop("_n")
     return first(asked.join(first(found, "term"), "term").select("query_id", "id").distinct(), "query_id")
 
@@ -231,16 +316,16 @@ def _candidates(products: DataFrame, index: DataFrame, queries: DataFrame, vecto
     return near.unionByName(named).groupBy("query_id", "id").agg(F.max("sim").alias("sim"))
 
 
-def _ranked(candidates: DataFrame, products: DataFrame, queries: DataFrame) -> DataFrame:
+def _ranked(candidates: DataFrame, products: DataFrame, queries: DataFrame, conflicts=CONFLICTS) -> DataFrame:
     rows = candidates.join(products, "id").join(checked(queries), "query_id").where(~gender_contradiction(F.col("text"), F.concat_ws(" ", "title", text_or_empty(F.col("ai_tags")))))
-    score = F.when(F.col("sim").isNotNull(), F.round(100.0 * F.col("sim"), 4)).otherwise(F.least(F.lit(59.0), lexical_score().cast("double")))
+    score = F.when(F.col("sim").isNotNull(), F.round(100.0 * F.col("sim"), 4)).otherwise(F.least(F.lit(59.0), lexical_score(conflicts).cast("double")))
     at = F.when(F.coalesce("current_position", F.lit(0)) == 0, 999999).otherwise(F.col("current_position"))
     gated = (F.size("intents") == 0) | F.arrays_overlap(F.concat(tokens(F.col("title")), tokens(F.col("ai_tags"))), "keywords")
     scored = rows.withColumns(_token_columns()).select("query_id", "id", score.alias("score"), at.alias("_at"), gated.alias("gated"))
     return scored.withColumn("rank", F.expr("row_number() OVER (PARTITION BY query_id ORDER BY score DESC, _at, id)")).drop("_at")
 
 
-def hybrid_search(products: DataFrame, index: DataFrame, queries: DataFrame, vectors: DataFrame, *, top_k: int = 200, limit: int = 20) -> DataFrame:
+def hybrid_search(products: DataFrame, index: DataFrame, queries: DataFrame, vectors: DataFrame, *, top_k: int = 200, limit: int = 20, conflicts=CONFLICTS) -> DataFrame:
     """``query_id, id, score, rank``.
 
     Candidates of a query are its ``top_k`` nearest vectors and the ``top_k`` first
@@ -248,7 +333,7 @@ def hybrid_search(products: DataFrame, index: DataFrame, queries: DataFrame, vec
     go. The score is 100 times the cosine, or without vector the lexical score up
     to 59. Ties go to the better rank, unknown ranks last, then to the smaller id.
     """
-    return _ranked(_candidates(products, index, queries, vectors, top_k), products, queries).where(F.col("rank") <= limit).drop("gated")
+    return _ranked(_candidates(products, index, queries, vectors, top_k), products, queries, conflicts).where(F.col("rank") <= limit).drop("gated")
 
 
 def judged_search(ranked: DataFrame, products: DataFrame, judge: Callable[[list[dict]], list], *, page: int = 150, batch: int = 25, limit: int = 20) -> DataFrame:
@@ -275,11 +360,11 @@ def judged_search(ranked: DataFrame, products: DataFrame, judge: Callable[[list[
     return kept.withColumn("rank", F.expr("row_number() OVER (PARTITION BY query_id ORDER BY rank)")).where(F.col("rank") <= limit)
 
 
-def explain_search(products: DataFrame, index: DataFrame, queries: DataFrame, vectors: DataFrame, *, top_k: int = 200, shown: int = 15) -> DataFrame:
+def explain_search(products: DataFrame, index: DataFrame, queries: DataFrame, vectors: DataFrame, *, top_k: int = 200, shown: int = 15, conflicts=CONFLICTS) -> DataFrame:
     """Per query how many candidates there are, how many pass the intent gate and the gender filter, and the best ids."""
     found = _candidates(products, index, queries, vectors, top_k)
     before = found.groupBy("query_id").agg(F.count("*").alias("candidates"), F.count("sim").alias("by_vector"))
-    ranked = _ranked(found, products, queries)
+    ranked = _ranked(found, products, queries, conflicts)
     best = F.filter(F.array_sort(F.collect_list(F.when(F.col("rank") <= shown, F.struct("rank", "id")))), lambda x: x.isNotNull())
     after = ranked.groupBy("query_id").agg(F.count("*").alias("kept"), F.count_if("gated").alias("gated"), F.transform(best, lambda x: x.id).alias("best"))
     none = F.lit(0).cast("long")

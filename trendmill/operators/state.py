@@ -214,6 +214,12 @@ def read_history(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).withColumn("run", F.col("run").cast("string"))
 
 
+def write_bucketed(df: DataFrame, table: str, path: str, key: str = "product_id", buckets: int = 64) -> DataFrame:
+    """A table dealt into buckets of ``key`` in the shared folder, so that what is grouped or joined by it isn't shuffled again."""
+    df.repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
 def write_state(df: DataFrame, path: str, version: int, partition_by: str | None = None) -> str:
     """A version directory; readers switch when it is complete. A repeated run writes it anew. Returns its path."""
     out = f"{path.rstrip('/')}/version={version}"

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,32 +13,42 @@ from .sides import checked
 
 
 def encode_vector(c: Column) -> Column:
-    """``b64:`` and little-endian 32-bit floats."""
+    """``b64:`` and little-endian 32-bit floats; a whole batch is one buffer that is cut at the rows' borders."""
 
-    @F.pandas_udf("string")
-    def packed(s: pd.Series) -> pd.Series:
-        import base64
+    @F.arrow_udf("binary")
+    def packed(batch: pa.Array) -> pa.Array:
+        held = batch.cast(pa.list_(pa.float32()))
+        sizes = pc.fill_null(pc.list_value_length(held), 0).to_numpy()
+        data = held.flatten().to_numpy(zero_copy_only=False).astype("<f4").tobytes()
+        return pa.Array.from_buffers(pa.binary(), len(held), [_valid(held), pa.py_buffer(_offsets(4 * sizes)), pa.py_buffer(data)])
 
-        return s.map(lambda v: None if v is None else "b64:" + base64.b64encode(np.asarray(v, dtype="<f4").tobytes()).decode())
+    return F.concat(F.lit("b64:"), F.base64(packed(c)))
 
-    return packed(c)
+
+def _offsets(sizes: np.ndarray) -> bytes:
+    return np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32).tobytes()
+
+
+def _valid(rows: pa.Array) -> pa.Buffer | None:
+    """The bits of rows that aren't null."""
+    return pa.py_buffer(np.packbits(rows.is_valid().to_numpy(zero_copy_only=False), bitorder="little").tobytes()) if rows.null_count else None
 
 
 def parse_vector(c: Column) -> Column:
     """Either stored form as array<float>; null for what can't be read."""
 
-    @F.pandas_udf("array<float>")
-    def unpacked(s: pd.Series) -> pd.Series:
-        def one(raw):
-            if raw is None or len(raw) % 4 or not len(raw):
-                return None
-            return np.frombuffer(raw, dtype="<f4")
-
-        return s.map(one)
+    @F.arrow_udf("array<float>")
+    def unpacked(batch: pa.Array) -> pa.Array:
+        held = batch.cast(pa.large_binary())
+        sizes = pc.fill_null(pc.binary_length(held), 0).to_numpy()
+        data = b"".join(b.as_buffer() for b in held if b.is_valid)
+        values = pa.array(np.frombuffer(data, dtype="<f4"))
+        return pa.Array.from_buffers(pa.list_(pa.float32()), len(held), [_valid(held), pa.py_buffer(_offsets(sizes // 4))], children=[values])
 
     raw = F.when(c.startswith("b64:"), F.try_to_binary(F.substring(c, 5, 1 << 30), F.lit("base64")))
+    whole = F.when((F.octet_length(raw) > 0) & (F.octet_length(raw) % 4 == 0), raw)
     listed = F.from_json(F.when(~c.startswith("b64:"), c), "array<float>")
-    return F.coalesce(unpacked(raw), F.when(F.size(listed) > 0, listed))
+    return F.coalesce(unpacked(whole), F.when(F.size(listed) > 0, listed))
 
 
 def normalised(c: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import labels as L
+from .operators import state as S
 from .registry import ORACLES, QUERIES
 from .sources import model as M
 from .sources.model import NOW, PRELUDE, START, TODAY
@@ -18,7 +19,8 @@ def query(name: str, sql: str | None = None):
         QUERIES[name] = function
         if sql:
             sql_ = sql.strip()
-            ORACLES[name] = f"WITH {PRELUDE}{', ' + sql_[5:] if sql_.startswith('WITH ') else sql_}"
+            again = "RECURSIVE " * sql_.startswith("WITH RECURSIVE ")
+            ORACLES[name] = f"WITH {again}{PRELUDE}{', ' + sql_[5 + len(again):] if sql_.startswith('WITH ') else sql_}"
         return function
 
     return add
@@ -124,6 +126,20 @@ def c2(spark, folder):
     return L.prior_positions(M.history(spark, folder), **FLOORS)
 
 
+@query("c2_e3_bucketed_history", "SELECT product_id, count(*) AS days, arg_max(position, dt) AS last_position, any_value(prior) AS prior FROM daily LEFT JOIN prior USING (product_id) GROUP BY 1")
+def c2b(spark, folder):
+    """Priors and daily lasts of a history that is stored in buckets: neither shuffles it, nor does their join."""
+    stored = bucketed_history(spark, folder)
+    days = L.daily_last(stored.where(L.trusted(NOW, START, START))).groupBy("product_id").agg(F.count("*").alias("days"), F.max_by("position", "date").alias("last_position"))
+    priors = L.prior_positions(stored, **FLOORS).withColumnRenamed("id", "product_id")
+    return days.join(priors, "product_id", "left")
+
+
+def bucketed_history(spark: SparkSession, folder: str) -> DataFrame:
+    path = M.new_folder(spark)
+    return S.write_bucketed(M.history(spark, folder), "history_" + path[-32:], path, buckets=8)
+
+
 @query("c3_products_with_prior", "SELECT id, prior FROM products JOIN prior ON id = product_id")
 def c3(spark, folder):
     _, products, history = tables(spark, folder)

@@ -127,6 +127,14 @@ def b12(spark, folder):
     return p.select("id", R.assign_category(p).alias("category"))
 
 
+@query("b12_phrase_catalog", f"SELECT id, {_CAT_SQL} AS category FROM products")
+def b12p(spark, folder):
+    """The same categories from phrases; as many again that no product has come before them."""
+    p = M.products(spark, folder)
+    others = tuple((f"none-{k}", "none", (f"unheard {k} thing", f"thing {k}")) for k in range(len(R.PHRASES)))
+    return p.select("id", R.phrase_categories(p, others + R.PHRASES).alias("category"))
+
+
 _ROUTED = f"""routed AS (SELECT id, title, store_id, handle, CASE WHEN g THEN false WHEN f OR w THEN true ELSE is_fashion END AS is_fashion,
   CASE WHEN g AND (w OR subniche = '') THEN {_SUB_SQL} WHEN f AND NOT g AND NOT w THEN 'fashion' ELSE subniche END AS subniche
   FROM (SELECT *, {_GENERAL_SQL} AS g, {_FASHION_SQL} AS f, subniche IN ('fashion', 'bags', 'accessories', 'jewelry') AS w FROM products WHERE NOT {_JUNK_SQL}))"""

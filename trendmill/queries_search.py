@@ -50,7 +50,15 @@ def _values(rows) -> str:
     return ", ".join("(" + ", ".join(f"'{x}'" for x in r) + ")" for r in rows)
 
 
-@query("j4_category_aliases", f"WITH {_WORDS}, al(token, canonical) AS (VALUES {_values([*J.ALIASES, *sorted({(c, c) for c, _ in J.NOUNS})])}), nn(canonical, noun) AS (VALUES {_values(J.NOUNS)}) SELECT word, canonical, noun FROM words JOIN al ON token = word JOIN nn USING (canonical)")
+_SPELLED = "[word] || CASE WHEN len(word) > 3 AND word LIKE '%s' AND word NOT LIKE '%ss' THEN [left(word, len(word) - 1)] ELSE [] END || CASE WHEN len(word) > 4 AND word LIKE '%es' THEN [left(word, len(word) - 2)] ELSE [] END"
+
+
+@query("j4_category_aliases", f"""WITH RECURSIVE {_WORDS}, al(token, canonical) AS (VALUES {_values(J.ALIASES)}), nn(canonical, noun) AS (VALUES {_values(J.NOUNS)}),
+ known AS (SELECT token FROM al UNION SELECT canonical FROM nn),
+ tried AS (SELECT word, unnest(spelled) AS token, generate_subscripts(spelled, 1) AS place FROM (SELECT word, {_SPELLED} AS spelled FROM words)),
+ start AS (SELECT word, arg_min(token, place) AS token FROM tried WHERE token IN (SELECT token FROM known) GROUP BY 1),
+ walk AS (SELECT word, token, 0 AS steps FROM start UNION ALL SELECT word, al.canonical, steps + 1 FROM walk JOIN al USING (token) WHERE walk.token NOT IN (SELECT canonical FROM nn) AND steps < 20)
+ SELECT word, canonical, noun FROM walk JOIN nn ON canonical = token""")
 def j4(spark, folder):
     return J.resolve_aliases(words_of(spark, folder))
 
@@ -89,7 +97,7 @@ def j7s(spark, folder):
 @query("j7_loose_words", f"SELECT id FROM products WHERE {_ALL} LIKE '%widget%' OR {_ALL} LIKE '%dings%' OR {_ALL} LIKE '%blue%'")
 def j7l(spark, folder):
     p = M.products(spark, folder)
-    return p.where(J.loose_match("widget blue")).select("id")
+    return p.where(J.loose_match(p, "widget blue")).select("id")
 
 
 @query("j7_cascade", f"SELECT id FROM products WHERE {_PLATE} AND {_ALL} LIKE '%men%'")
@@ -97,7 +105,7 @@ def j7c(spark, folder):
     return J.cascade(M.products(spark, folder), "plates men").select("id")
 
 
-_STRATEGIES = {"tag": "lower(coalesce(ai_tags, '')) LIKE '%plates%' AND lower(coalesce(ai_tags, '')) LIKE '%blue%'", "strict": f"{_PLATE} AND {_ALL} LIKE '%blue%'", "loose": f"regexp_matches({_ALL}, 'plate|teller|assiette|home|blue')"}
+_STRATEGIES = {"tag": "lower(coalesce(ai_tags, '')) LIKE '%plates%' AND lower(coalesce(ai_tags, '')) LIKE '%blue%'", "strict": f"{_PLATE} AND {_ALL} LIKE '%blue%'", "loose": f"({_PLATE} OR {_ALL} LIKE '%blue%')"}
 
 
 @query("d14_strategy_counts", " UNION ALL ".join(f"SELECT '{name}' AS strategy, (SELECT count(*) FROM products WHERE {hit}) AS matches, (SELECT coalesce(list(id ORDER BY id), CAST([] AS BIGINT[])) FROM (SELECT id FROM products WHERE {hit} ORDER BY id LIMIT 5)) AS sample" for name, hit in _STRATEGIES.items()))
@@ -151,6 +159,24 @@ def j10(spark, folder):
     return J.score_products(M.products(spark, folder), J.expand_queries(query_set(spark, folder)))
 
 
+@query("j10_best_scores", f"WITH {_Q}, {_KW} SELECT query_id, id, kw, row_number() OVER (PARTITION BY query_id ORDER BY kw DESC, id) AS rank FROM sc WHERE kw > 0 QUALIFY rank <= 20")
+def j10b(spark, folder):
+    return J.best_scores(M.saved(M.products(spark, folder)), M.saved(J.expand_queries(query_set(spark, folder))))
+
+
+_GRAMS = "t AS (SELECT DISTINCT unnest(string_split(title, ' ')) || CASE WHEN id % 3 = 0 THEN '' ELSE ' ' || left(split_part(title, ' ', 2), 2) END AS term FROM products UNION SELECT 'o' UNION SELECT 'zq')"
+
+
+@query("j6_rows_with_terms", f"WITH {_GRAMS} SELECT id, term FROM products, t WHERE contains(lower(title || ' ' || coalesce(ai_tags, '')), term)")
+def j6t(spark, folder):
+    """Every word of every title, some with the beginning of another, sought in titles and tags."""
+    p = M.saved(M.products(spark, folder))
+    words = p.select("id", "title", F.explode(F.split("title", " ")).alias("w"))
+    more = F.when(F.col("id") % 3 == 0, "").otherwise(F.concat(F.lit(" "), F.left(F.split_part("title", F.lit(" "), F.lit(2)), F.lit(2))))
+    terms = words.select(F.concat("w", more).alias("term")).unionByName(spark.createDataFrame([("o",), ("zq",)], "term string"))
+    return J.rows_with_terms(p, terms, F.concat_ws(" ", "title", X.text_or_empty(F.col("ai_tags"))))
+
+
 @query("j12_intent_gate", f"WITH {_Q} SELECT query_id, id FROM products p, qe q WHERE list_has_any({_tok('title')} || {_tok('ai_tags')}, keywords)")
 def j12(spark, folder):
     return J.intent_gate(J.expand_queries(query_set(spark, folder)), M.products(spark, folder).select("id", "title", "ai_tags"))

@@ -9,16 +9,16 @@ from itertools import accumulate
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import BADGE
 
 SHOP = r"://([^/]+)"
-EVENT = "array<struct<id:string,title:string,untranslatedTitle:string,url:string,vendor:string,type:string,image:string,amount:string>>"
+VARIANTS = "array<struct<price:struct<amount:double>,image:struct<src:string>,product:struct<id:string,title:string,untranslatedTitle:string,url:string,vendor:string,type:string>>>"
 ITEMS = "page_id long, store_id string, slot int, handle string, title string, price string, vendor string, product_type string, image_url string, product_url string"
 #: What tells product links, cards, titles and prices of a shop's page.
-LINK = r"products/([^/?#]+)"
+LINK = r"(?:^|/)products/([A-Za-z0-9][A-Za-z0-9_-]*)(?=[/?#]|$)"
 CARD_CLASS = re.compile(r"product|grid__item|card|tile|item", re.I)
 TITLE_CLASS = re.compile(r"title|product-?name|product-?heading", re.I)
 PRICE_CLASS = re.compile(r"price|money|amount", re.I)
@@ -28,29 +28,43 @@ VARIANT = re.compile(r'\s*[\[{].*"id"\s*:\s*\d', re.S)
 STEPS_UP = 6
 
 
-def link_items(pages: DataFrame, pattern: str = r'<a [^>]*href="[^"]*products/([^"/?#]+)') -> DataFrame:
-    """A3, plain links: ``page_id, store_id (host), slot, handle`` of every match of ``pattern``."""
-    found = pages.select("page_id", F.regexp_extract("url", SHOP, 1).alias("store_id"), F.posexplode(F.regexp_extract_all("html", F.lit(pattern), 1)).alias("slot", "handle"))
+def main_region(html: Column) -> Column:
+    """What stands in a page's ``main`` element, or the whole page without one."""
+    inner = F.regexp_extract(html, r"(?is)<main\b[^>]*+>(.*)</main\s*+>", 1)
+    return F.when(inner != "", inner).otherwise(html)
+
+
+def link_items(pages: DataFrame, pattern: str = r'<a\s[^>]*?href="(?:[^"]*/)?products/([A-Za-z0-9][A-Za-z0-9_-]*)(?=["/?#])') -> DataFrame:
+    """A3, plain links: ``page_id, store_id (host), slot, handle`` of every match of ``pattern`` in a page's main region."""
+    found = pages.select("page_id", F.regexp_extract("url", SHOP, 1).alias("store_id"), F.posexplode(F.regexp_extract_all(main_region(F.col("html")), F.lit(pattern), 1)).alias("slot", "handle"))
     return found.select("page_id", "store_id", (F.col("slot") + 1).alias("slot"), F.lower("handle").alias("handle"))
 
 
+def viewed_items(html: Column) -> Column:
+    """A2: a page's viewed products with their places, the first variant of each product id; null or empty without any.
+
+    The doubles are found by sorting a page's own list, so no rows meet others.
+    """
+    raw = F.regexp_extract(html, r'"events":"([^"\\]*+(?:\\.[^"\\]*+)*+)"', 1)  # possessive: no recursion, pages of any size
+    text = F.from_json(F.concat(F.lit('{"t":"'), raw, F.lit('"}')), "t string").t
+    events = F.from_json(text, "array<array<string>>")
+    viewed = F.flatten(F.transform(F.filter(events, lambda e: e[0] == "collection_viewed"), lambda e: F.from_json(F.get_json_object(e[1], "$.collection.productVariants"), VARIANTS)))
+    placed = F.transform(viewed, lambda v, k: F.struct(v.product.id.alias("id"), k.alias("slot"), F.lower(F.regexp_extract(F.substring_index(v.product.url, "?", 1), r"products/([^/?#]+)", 1)).alias("handle"), v.alias("v")))
+    sorted_ = F.array_sort(F.filter(placed, lambda x: x.id.isNotNull()), lambda a, b: F.when(a.id < b.id, -1).when(a.id > b.id, 1).otherwise(a.slot - b.slot))
+    before = F.concat(F.array(F.lit(None).cast("string")), F.transform(sorted_, lambda x: x.id))
+    first = F.filter(F.zip_with(sorted_, before, lambda x, p: F.struct(x.alias("x"), (x.id == p).alias("again"))), lambda z: z.x.isNotNull() & ~F.coalesce(z.again, F.lit(False)) & (z.x.handle != ""))
+    return F.array_sort(F.transform(first, lambda z: F.struct(z.x.slot.alias("slot"), z.x.handle.alias("handle"), z.x.v.alias("v"))), lambda a, b: a.slot - b.slot)
+
+
 def event_items(pages: DataFrame) -> DataFrame:
     """A2: products of the ``collection_viewed`` events in a page's escaped JSON.
 
     Columns as ``ITEMS``; slots are in document order and the first variant of each
-    product stands for it. Pages without such an event give no rows.
+    product stands for it. Pages without such an event give no rows; each page row
+    stands by itself, repeated ids included.
     """
-    raw = F.regexp_extract("html", r'"events":"([^"\\]*+(?:\\.[^"\\]*+)*+)"', 1)  # possessive: no recursion, pages of any size
-    text = F.from_json(F.concat(F.lit('{"t":"'), raw, F.lit('"}')), "t string").t
-    events = F.from_json(text, "array<array<string>>")
-    viewed = F.flatten(F.transform(F.filter(events, lambda e: e[0] == "collection_viewed"), lambda e: F.from_json(
-        F.get_json_object(e[1], "$.collection.productVariants"),
-        "array<struct<price:struct<amount:double>,image:struct<src:string>,product:struct<id:string,title:string,untranslatedTitle:string,url:string,vendor:string,type:string>>>")))
     base = F.regexp_extract("url", r"^([a-z]+://[^/]+)", 1)
-    rows = pages.select("page_id", base.alias("base"), F.regexp_extract("url", SHOP, 1).alias("store_id"), F.posexplode(viewed).alias("slot", "v"))
-    rows = rows.where("v.product.id IS NOT NULL").withColumn("_n", F.expr("row_number() OVER (PARTITION BY page_id, v.product.id ORDER BY slot)")).where("_n = 1")
-    handle = F.lower(F.regexp_extract(F.substring_index("v.product.url", "?", 1), r"products/([^/?#]+)", 1))
-    own = rows.withColumn("handle", handle).where("handle <> ''")
+    own = pages.select("page_id", base.alias("base"), F.regexp_extract("url", SHOP, 1).alias("store_id"), F.inline(viewed_items(F.col("html"))))
     title = F.coalesce(F.nullif(F.trim("v.product.untranslatedTitle"), F.lit("")), F.nullif(F.trim("v.product.title"), F.lit("")), F.initcap(F.replace("handle", F.lit("-"), F.lit(" "))))
     image = F.coalesce(F.col("v.image.src"), F.lit(""))
     image = F.when(image.startswith("//"), F.concat(F.lit("https:"), image)).when(image.startswith("/"), F.concat("base", image)).otherwise(image)
@@ -179,7 +193,6 @@ def card_items(pages: DataFrame, link: str = LINK) -> DataFrame:
 
 def page_items(pages: DataFrame) -> DataFrame:
     """A2, A3: the JSON items of a page, or its cards if there are none; each page's html is read for one of them."""
-    own = pages.withColumn("_json", F.coalesce(F.contains("html", F.lit('"events":"')), F.lit(False)))
-    events = event_items(own.where("_json"))
-    rest = own.join(events.select("page_id").distinct(), "page_id", "left_anti")
-    return events.unionByName(card_items(rest))
+    json = F.coalesce(F.contains("html", F.lit('"events":"')), F.lit(False))
+    empty = F.coalesce(F.size(viewed_items(F.col("html"))), F.lit(0)) <= 0
+    return event_items(pages.where(json)).unionByName(card_items(pages.where(~json | empty)))
