@@ -287,7 +287,8 @@ def nearest(vectors: DataFrame, *, k: int = 20, every: int = 20, coverage: float
         })
 
     best = held.unionByName(wanted).groupBy("part", "cell", "block").applyInArrow(search, "h1 long, h2 long, vec_id long, score double")
-    # as many entries as a query has searched groups, k + 1 each
+    # a query's searched groups bring k + 1 rows each; k + 1 of them all are left before anything is gathered
+    best = best.withColumn("_n", F.expr("row_number() OVER (PARTITION BY h1, h2 ORDER BY score DESC, vec_id)")).where(F.col("_n") <= k + 1)
     tops = best.groupBy("h1", "h2").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id"))), 1, k + 1).alias("top"))
     # many queries may share one vector
     salted = tops.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

@@ -40,7 +40,7 @@ EMBED, HIDDEN, CLASSES = 12, 12, 64
 TAGS = 1 + 2 * len(KINDS)
 BATCH, BATCHES, TRAIN_WINDOWS = 64, 480, 16000
 SURE = 0.6
-GROUP = 512  # windows read at once; their state stays in a core's cache
+GROUP = 384  # windows read at once; their state stays in a core's cache
 CELLS, LONG = 1 << 18, 1 << 12  # characters decoded together, and of a stretch that is decoded by itself
 AT_WORD = re.compile(r"[(\[{] ?(at|a) ?[)\]}]", re.I)
 Span = tuple[int, int, str]
@@ -130,13 +130,17 @@ def fresh(random: np.random.Generator) -> Arrays:
     def normal(*shape: int) -> np.ndarray:
         return random.normal(0, shape[-2] ** -0.5, shape).astype(np.float32)
 
-    bias = np.zeros((2, 1, 4 * HIDDEN), dtype=np.float32)
-    bias[:, :, HIDDEN : 2 * HIDDEN] = 1
-    return {"embed": normal(CLASSES, EMBED), "wx": normal(2, EMBED, 4 * HIDDEN), "wh": normal(2, HIDDEN, 4 * HIDDEN), "b": bias, "wo": normal(2 * HIDDEN, TAGS), "bo": np.zeros(TAGS, dtype=np.float32), "moves": np.zeros((TAGS, TAGS), dtype=np.float32)}
+    bias = np.zeros((2, 1, 3 * HIDDEN), dtype=np.float32)
+    bias[:, :, :HIDDEN] = 1
+    return {"embed": normal(CLASSES, EMBED), "wx": normal(2, EMBED, 3 * HIDDEN), "wh": normal(2, HIDDEN, 3 * HIDDEN), "b": bias, "wo": normal(2 * HIDDEN, TAGS), "bo": np.zeros(TAGS, dtype=np.float32), "moves": np.zeros((TAGS, TAGS), dtype=np.float32)}
 
 
 def squash(x: np.ndarray) -> np.ndarray:
-    """A cheap sigmoid to (-1, 1), for cell values; gates are (1 + squash) / 2."""
+    """A cheap sigmoid to (-1, 1), for new cell values; gates are (1 + squash) / 2.
+
+    What a cell forgets it takes in anew (one gate for both), so its value stays within
+    (-1, 1) and needs no squashing on its way out.
+    """
     return x / (1 + np.abs(x))
 
 
@@ -150,14 +154,12 @@ def emissions(model: Arrays, x: np.ndarray) -> tuple[np.ndarray, tuple]:
     states = []
     for t in range(steps):
         z = squash(pre[:, t] + h @ model["wh"])
-        gate = 0.5 * z[:, :, : 3 * HIDDEN] + 0.5
-        i, f, o = gate[:, :, :HIDDEN], gate[:, :, HIDDEN : 2 * HIDDEN], gate[:, :, 2 * HIDDEN :]
-        g = z[:, :, 3 * HIDDEN :]
+        gate = 0.5 * z[:, :, : 2 * HIDDEN] + 0.5
+        f, o, g = gate[:, :, :HIDDEN], gate[:, :, HIDDEN:], z[:, :, 2 * HIDDEN :]
         before = (h, c)
-        c = f * c + i * g
-        s = squash(c)
-        h = o * s
-        states.append((before, z, gate, s, h))
+        c = g + f * (c - g)
+        h = o * c
+        states.append((before, z, gate, c, h))
     out = np.stack([st[-1] for st in states], axis=1)
     both = np.concatenate([out[0], out[1][::-1]], axis=2)
     return both @ model["wo"] + model["bo"], (read, states, both)
@@ -170,7 +172,7 @@ def read_windows(model: Arrays, x: np.ndarray) -> np.ndarray:
     wh = model["wh"].transpose(0, 2, 1).copy()
     ahead = x.T.astype(np.intp)
     h, c = np.zeros((2, HIDDEN, size), dtype=np.float32), np.zeros((2, HIDDEN, size), dtype=np.float32)
-    z, more, far, own = (np.empty((2, n * HIDDEN, size), dtype=np.float32) for n in (4, 4, 4, 1))
+    z, more, far = (np.empty((2, 3 * HIDDEN, size), dtype=np.float32) for _ in range(3))
     out = np.empty((steps, 2, HIDDEN, size), dtype=np.float32)
     for t in range(steps):
         np.matmul(wh, h, out=z)
@@ -180,17 +182,14 @@ def read_windows(model: Arrays, x: np.ndarray) -> np.ndarray:
         np.abs(z, out=far)
         far += 1
         z /= far
-        gate = z[:, : 3 * HIDDEN]
+        gate, new = z[:, : 2 * HIDDEN], z[:, 2 * HIDDEN :]
         gate *= 0.5
         gate += 0.5
-        c *= gate[:, HIDDEN : 2 * HIDDEN]
-        np.multiply(gate[:, :HIDDEN], z[:, 3 * HIDDEN :], out=own)
-        c += own
+        c -= new
+        c *= gate[:, :HIDDEN]
+        c += new
         h = out[t]
-        np.abs(c, out=own)
-        own += 1
-        np.divide(c, own, out=h)
-        h *= gate[:, 2 * HIDDEN :]
+        np.multiply(c, gate[:, HIDDEN:], out=h)
     wo = model["wo"].T
     scores = wo[:, :HIDDEN] @ out[:, 0] + wo[:, HIDDEN:] @ out[::-1, 1] + model["bo"][:, None]
     return scores.transpose(2, 0, 1)
@@ -223,24 +222,23 @@ def slopes(model: Arrays, x: np.ndarray, y: np.ndarray) -> Arrays:
     out = {"moves": pair / size, "wo": both.reshape(-1, 2 * HIDDEN).T @ d.reshape(-1, TAGS), "bo": d.sum(axis=(0, 1))}
     back = d @ model["wo"].T
     dh_out = np.stack([back[:, :, :HIDDEN], back[::-1, :, HIDDEN:]])
-    dz_all = np.zeros((2, steps, size, 4 * HIDDEN), dtype=both.dtype)
+    dz_all = np.zeros((2, steps, size, 3 * HIDDEN), dtype=both.dtype)
     dwh = np.zeros_like(model["wh"])
     dh, dc = np.zeros((2, size, HIDDEN), dtype=both.dtype), np.zeros((2, size, HIDDEN), dtype=both.dtype)
     for t in range(steps - 1, -1, -1):
-        (h0, c0), z, gate, s, _ = states[t]
-        i, f, o, g = gate[:, :, :HIDDEN], gate[:, :, HIDDEN : 2 * HIDDEN], gate[:, :, 2 * HIDDEN :], z[:, :, 3 * HIDDEN :]
+        (h0, c0), z, gate, c, _ = states[t]
+        f, o, g = gate[:, :, :HIDDEN], gate[:, :, HIDDEN:], z[:, :, 2 * HIDDEN :]
         dh = dh + dh_out[:, t]
-        dc = dc + dh * o * (1 - np.abs(s)) ** 2
+        dc = dc + dh * o
         dz = dz_all[:, t]
-        dz[:, :, :HIDDEN] = 0.5 * dc * g
-        dz[:, :, HIDDEN : 2 * HIDDEN] = 0.5 * dc * c0
-        dz[:, :, 2 * HIDDEN : 3 * HIDDEN] = 0.5 * dh * s
-        dz[:, :, 3 * HIDDEN :] = dc * i
+        dz[:, :, :HIDDEN] = 0.5 * dc * (c0 - g)
+        dz[:, :, HIDDEN : 2 * HIDDEN] = 0.5 * dh * c
+        dz[:, :, 2 * HIDDEN :] = dc * (1 - f)
         dz *= (1 - np.abs(z)) ** 2
         dwh += h0.transpose(0, 2, 1) @ dz
         dh = dz @ model["wh"].transpose(0, 2, 1)
         dc = dc * f
-    flat = dz_all.reshape(2, -1, 4 * HIDDEN)
+    flat = dz_all.reshape(2, -1, 3 * HIDDEN)
     out |= {"wh": dwh, "b": flat.sum(axis=1, keepdims=True), "wx": read.reshape(2, -1, EMBED).transpose(0, 2, 1) @ flat}
     dread = (flat @ model["wx"].transpose(0, 2, 1)).reshape(2, steps, size, EMBED)
     embed = np.zeros_like(model["embed"])
@@ -607,12 +605,13 @@ def stretches(model: Arrays, code: np.ndarray, bounds: np.ndarray, *, block: int
 
 
 def _decoded(moves: np.ndarray, own: list[tuple[int, np.ndarray]]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Decode stretches in groups of at most ``CELLS`` characters, padding included."""
+    """Decode stretches in groups of like lengths and of at most ``CELLS`` characters, padding included."""
     order = sorted(own, key=lambda v: (len(v[1]), v[0]))
     first = 0
     while first < len(order):
         stop = first + 1
-        while stop < len(order) and (stop + 1 - first) * len(order[stop][1]) <= CELLS:
+        longest = 8 + 1.5 * len(order[first][1])
+        while stop < len(order) and len(order[stop][1]) <= longest and (stop + 1 - first) * len(order[stop][1]) <= CELLS:
             stop += 1
         group = order[first:stop]
         for (a, _), (tags, sure) in zip(group, decode(moves, [v for _, v in group]), strict=True):
