@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import gender_contradiction, loose_word, plural_variants, singulars, text_or_empty, whole_word
+from ..sources.model import saved
 from .rules import CATEGORIES
 from .sides import checked
 from .vectors import vector_top_k
@@ -92,7 +93,8 @@ def alias_closure(aliases: DataFrame, nouns: DataFrame) -> DataFrame:
     """
     own = nouns.select(F.col("canonical").alias("token")).distinct()
     ends = aliases.join(own, "token", "left_anti").unionByName(own.select("token", F.col("token").alias("canonical")))
-    for _ in range(max(1, aliases.count()).bit_length()):
+    for _ in range(max(1, aliases.count()).bit_length()):  # each step is stored, as it reads the one before twice
+        ends = saved(ends)
         further = ends.select(F.col("token").alias("canonical"), F.col("canonical").alias("_next"))
         ends = ends.join(further, "canonical", "left").select("token", F.coalesce("_next", "canonical").alias("canonical"))
     known = own.select(F.col("token").alias("canonical"), F.lit(True).alias("_known"))
