@@ -3,6 +3,7 @@
 import random
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -143,3 +144,26 @@ def test_a_bucketed_history_is_not_shuffled(spark):
     assert sorted(map(tuple, labelled.select("id", "label").collect())) == sorted(map(tuple, L.movement_labels(products, M.history(spark, FOLDER), **FLOORS).select("id", "label").collect()))
     spark.sql(f"DROP TABLE {stored.inputFiles()[0].split('/')[-2].replace('state-', 'history_')}")
     assert S.write_bucketed(products.limit(0), "none_of_them", M.new_folder(spark), key="id", buckets=2).count() == 0
+
+
+def test_blocked_search_equals_a_scan_and_skips_blocks(spark):
+    random_ = np.random.default_rng(3)
+    centres = random_.normal(size=(12, 16))
+    rows = np.concatenate([c + 0.05 * random_.normal(size=(120, 16)) for c in centres] + [np.tile(centres[:1], (300, 1))])
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    ids = random_.permutation(len(rows))
+    index = spark.createDataFrame([(int(i), r.tolist()) for i, r in zip(ids, rows)] + [(9999, None)], "id long, unit array<double>")
+    asked = [(1, rows[0].tolist()), (2, rows[-1].tolist()), (3, (-rows[5]).tolist()), (4, [0.0] * 16), (5, random_.normal(size=16).tolist())]
+    queries = spark.createDataFrame(asked, "query_id long, unit array<double>")
+    want = set()
+    for query_id, q in asked:
+        score = np.round(rows @ np.array(q), 12)
+        order = np.lexsort((ids, -score))[:25]
+        want |= {(query_id, int(ids[o]), n) for n, o in enumerate(order, 1) if any(q)}
+    got = V.vector_top_k(index, queries, 25)
+    assert {(r["query_id"], r["id"], r["rank"]) for r in got.collect()} == want
+    assert not any(w in got._jdf.queryExecution().executedPlan().toString() for w in ("NestedLoop", "Cartesian", "BroadcastExchange"))
+    blocks = M.saved(V.packed_blocks(index.where("unit IS NOT NULL"), values=16 * 40))
+    told = V.searched_blocks(blocks, queries, 25).where("query_id IS NULL").agg(F.sum("pairs"), F.sum("skipped")).first()
+    assert blocks.agg(F.sum(F.size("ids"))).first()[0] == len(rows) and told[0] == 4 * blocks.count() and told[1] > 0.3 * told[0]
+    assert V.vector_top_k(index.where("false"), queries, 5).count() == 0 and V.vector_top_k(index, queries.where("false"), 5).count() == 0
