@@ -40,7 +40,8 @@ EMBED, HIDDEN, CLASSES = 12, 12, 64
 TAGS = 1 + 2 * len(KINDS)
 BATCH, BATCHES, TRAIN_WINDOWS = 64, 480, 16000
 SURE = 0.6
-GROUP = 384  # windows read at once; their state stays in a core's cache
+GROUP = 768  # windows read at once
+BLOCK = 1 << 20  # characters whose scores are held
 CELLS, LONG = 1 << 18, 1 << 12  # characters decoded together, and of a stretch that is decoded by itself
 AT_WORD = re.compile(r"[(\[{] ?(at|a) ?[)\]}]", re.I)
 Span = tuple[int, int, str]
@@ -168,17 +169,18 @@ def emissions(model: Arrays, x: np.ndarray) -> tuple[np.ndarray, tuple]:
 def read_windows(model: Arrays, x: np.ndarray) -> np.ndarray:
     """The scores of ``emissions`` as (window, time, tag), for reading only: features stand before windows."""
     steps, size = x.shape[1], len(x)
-    table = (model["embed"] @ model["wx"] + model["b"]).transpose(0, 2, 1).copy()  # direction, gate, class
-    wh = model["wh"].transpose(0, 2, 1).copy()
-    ahead = x.T.astype(np.intp)
-    h, c = np.zeros((2, HIDDEN, size), dtype=np.float32), np.zeros((2, HIDDEN, size), dtype=np.float32)
-    z, more, far = (np.empty((2, 3 * HIDDEN, size), dtype=np.float32) for _ in range(3))
+    weights = np.concatenate([model["wh"], model["wx"], model["b"]], axis=1).transpose(0, 2, 1).copy()
+    embed, ahead = model["embed"], x.T.astype(np.intp)
+    seen = np.ones((2, HIDDEN + EMBED + 1, size), dtype=np.float32)  # state, character, one for the bias
+    h, read = seen[:, :HIDDEN], seen[:, HIDDEN:-1]
+    h[:] = 0
+    c = np.zeros((2, HIDDEN, size), dtype=np.float32)
+    z, far = (np.empty((2, 3 * HIDDEN, size), dtype=np.float32) for _ in range(2))
     out = np.empty((steps, 2, HIDDEN, size), dtype=np.float32)
     for t in range(steps):
-        np.matmul(wh, h, out=z)
         for way, at in ((0, t), (1, steps - 1 - t)):
-            np.take(table[way], ahead[at], axis=1, out=more[way], mode="clip")
-        z += more
+            read[way] = embed.take(ahead[at], axis=0, mode="clip").T
+        np.matmul(weights, seen, out=z)
         np.abs(z, out=far)
         far += 1
         z /= far
@@ -188,11 +190,12 @@ def read_windows(model: Arrays, x: np.ndarray) -> np.ndarray:
         c -= new
         c *= gate[:, :HIDDEN]
         c += new
-        h = out[t]
         np.multiply(c, gate[:, HIDDEN:], out=h)
-    wo = model["wo"].T
-    scores = wo[:, :HIDDEN] @ out[:, 0] + wo[:, HIDDEN:] @ out[::-1, 1] + model["bo"][:, None]
-    return scores.transpose(2, 0, 1)
+        out[t] = h
+    scores = out[:, 0].transpose(0, 2, 1) @ model["wo"][:HIDDEN]
+    scores += out[::-1, 1].transpose(0, 2, 1) @ model["wo"][HIDDEN:]
+    scores += model["bo"]
+    return scores.transpose(1, 0, 2)
 
 
 def _lse(x: np.ndarray, axis: int) -> np.ndarray:
@@ -511,15 +514,17 @@ def scores_of(model: Arrays, code: np.ndarray, bounds: np.ndarray, lo: int, hi:
     for size in np.unique(length):
         near = np.minimum(np.arange(size), np.arange(size)[::-1]).astype(np.float32)[:, None] + 1
         own = np.flatnonzero(length == size)
-        for group in (own[k : k + GROUP] for k in range(0, len(own), GROUP)):
+        for group in np.array_split(own, -(-len(own) // GROUP)):
             at = start[group, None] + np.arange(size)
             scores = read_windows(model, np.where(at < stop[group, None], code[np.minimum(at, len(code) - 1)], 0))
             scores *= near
+            scores = np.ascontiguousarray(scores)
             begin, first, last = start[group].tolist(), np.maximum(start[group], lo).tolist(), np.minimum(stop[group], hi).tolist()
             for row, (a, b, c) in enumerate(zip(begin, first, last, strict=True)):
                 total[b - lo : c - lo] += scores[row, b - a : c - a]
                 weight[b - lo : c - lo] += near[b - a : c - a]
-    return total / weight
+    total /= weight
+    return total
 
 
 def surely_outside(scores: np.ndarray, moves: np.ndarray, border: np.ndarray) -> np.ndarray:
@@ -534,7 +539,10 @@ def surely_outside(scores: np.ndarray, moves: np.ndarray, border: np.ndarray) ->
     inner, enter, leave = own[1:, 1:].max(), own[0, 1:], own[1:, 0]
     alone = max(0.0, max(0.0, enter.max()) + max(0.0, leave.max()) - inner)
     cost = max(0.0, np.ptp(leave), np.ptp(enter), inner - leave.min() - enter.min())
-    lost = (scores[:, 0] - scores[:, 1:].max(axis=1)).astype(np.float64) - inner
+    most = scores[:, 1].copy()
+    for tag in range(2, TAGS):
+        np.maximum(most, scores[:, tag], out=most)
+    lost = (scores[:, 0] - most).astype(np.float64) - inner
     size = len(lost)
     fine = lost > alone
     total = np.concatenate([[0.0], np.cumsum(np.where(fine, lost, 0.0))])
@@ -554,7 +562,7 @@ OUTSIDE = np.full((1, TAGS), -1e6, dtype=np.float32)
 OUTSIDE[0, 0] = 0
 
 
-def stretches(model: Arrays, code: np.ndarray, bounds: np.ndarray, *, block: int = CELLS) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def stretches(model: Arrays, code: np.ndarray, bounds: np.ndarray, *, block: int = BLOCK) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Start, tags and chances of all stretches that can hold a span; memory is bounded by a few blocks."""
     moves = model["moves"].astype(np.float64)
     border = np.zeros(len(code) + 1, dtype=bool)
