@@ -176,3 +176,32 @@ def test_days_close_by_time_and_late_snapshots_are_dropped(spark, tmp_path, rock
         found.append(run())
     assert found[0] == [] and found[1] == []  # the day of the newest snapshot is open
     assert found[2] == [(1, "2024-01-05", "villain", 4, 8), (2, "2024-01-06", "hero", 30, 20)]  # 9 to 30 is beyond the threshold; the late one is dropped
+
+
+def test_closed_days_of_many_products_are_compared_in_one_call():
+    import pandas as pd
+
+    class State:
+        held = None
+
+        def exists(self):
+            return self.held is not None
+
+        def get(self):
+            return self.held
+
+        def update(self, value):
+            self.held = value
+
+    own = I.DailyMovements(keep=3)
+    own.closed = State()
+
+    def call(*rows):
+        frame = pd.DataFrame([(p, d, at, 1, 12, dt.date(1970, 1, 1) + dt.timedelta(d)) for p, d, at in rows], columns=["product_id", "day", "position", "store_id", "threshold", "date"])
+        found = pd.concat(own.handleInputRows((0,), iter([frame[:1], frame[1:]]), None))
+        return sorted(zip(found["product_id"], found["date"].map(lambda x: (x - dt.date(1970, 1, 1)).days), found["label"], found["prior_position"], strict=True))
+
+    assert call((2, 11, 7), (1, 10, 5), (2, 10, 9), (3, 10, 4)) == [(2, 11, "hero", 9)]
+    assert call((1, 13, 6), (2, 12, 40)) == [(1, 13, "villain", 5)]  # 7 to 40 is beyond the threshold
+    assert 3 in own.closed.held[0]
+    assert call((1, 14, 5), (3, 14, 1)) == [(1, 14, "hero", 6)]  # product 3 was away too long

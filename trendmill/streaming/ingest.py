@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
+from pyspark.sql.streaming.stateful_processor import TimerValues
 
 from ..operators import labels as L
 
@@ -41,71 +41,56 @@ def daily_last_stream(stream: DataFrame, late: str = "1 day") -> DataFrame:
 
 
 class DailyMovements(StatefulProcessor):
-    """L3 for one product: open days with their latest snapshots, and the position of the last closed day.
+    """L3 for one bucket of products: the last closed day of each and its position.
 
-    A day closes by time, when the watermark has passed its end; then it is compared
-    with the closed day before. A snapshot of a closed day comes too late and is
-    dropped. After ``keep`` days without a snapshot the product is forgotten, so that
-    its next day has none before it.
+    Rows are closed days, each product's once and in order from batch to batch. A day
+    is compared with the one before, unless that is more than ``keep`` days older;
+    products without a day for that long are forgotten. A batch of a bucket is one
+    table, so the number of calls doesn't grow with the products.
     """
 
-    DAY = 86_400_000
+    STATE = "product_id array<bigint>, day array<int>, position array<int>"
 
     def __init__(self, keep: int):
         self.keep = keep
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.open = handle.getMapState("open", "day long", "at long, position int, store_id long, threshold int")
-        self.closed = handle.getValueState("closed", "day long, position int")
+        self.closed = handle.getValueState("closed", self.STATE)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        gone = timerValues.getCurrentWatermarkInMs() // self.DAY  # days before this one are closed
-        latest: dict[int, tuple] = {}
-        for frame in rows:
-            own = zip(frame["date"].astype("datetime64[ms]").astype("int64"), frame["position"], frame["store_id"], frame["threshold"], strict=True)
-            for row in own:
-                day = int(row[0]) // self.DAY
-                if day >= gone and (day not in latest or row[0] >= latest[day][0]):
-                    latest[day] = tuple(map(int, row))
-        for day, row in latest.items():
-            if not self.open.containsKey((day,)):
-                self.handle.registerTimer((day + 1) * self.DAY)
-            elif self.open.getValue((day,))[0] > row[0]:
-                continue
-            self.open.updateValue((day,), row)
-        yield pd.DataFrame([], columns=MOVEMENT_COLUMNS)
-
-    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        ended = expiredTimerInfo.getExpiryTimeInMs() // self.DAY
-        last, before = self.closed.get() if self.closed.exists() else (None, 0)
-        out = []
-        for day in sorted(k[0] for k in self.open.keys() if k[0] < ended):
-            _, position, store_id, threshold = self.open.getValue((day,))
-            if before and position and before != position and abs(before - position) <= threshold:
-                out.append((store_id, key[0], pd.Timestamp(day * self.DAY, unit="ms").date(), "hero" if position < before else "villain", before, position, before - position))
-            last, before = day, position
-            self.open.removeKey((day,))
-        if last is not None and last + self.keep < ended:
-            self.closed.clear()
-        elif last is not None:
-            self.closed.update((last, before))
-            if not self.open.exists():
-                self.handle.registerTimer((last + self.keep + 1) * self.DAY)
-        yield pd.DataFrame(out, columns=MOVEMENT_COLUMNS)
+        new = pd.concat(rows, ignore_index=True)
+        before = dict(zip(("product_id", "day", "position"), self.closed.get(), strict=True)) if self.closed.exists() else {}
+        known = pd.DataFrame(before, columns=["product_id", "day", "position"], dtype="int64")
+        own = new[["product_id", "day", "position"]].astype("int64")
+        days = pd.concat([known.assign(row=-1), own.assign(row=range(len(own)))], ignore_index=True).sort_values(["product_id", "day"])
+        days["prior"] = days.groupby("product_id")["position"].shift(fill_value=0)
+        gap = days["day"] - days.groupby("product_id")["day"].shift(fill_value=-(1 << 30))
+        days.loc[gap > self.keep, "prior"] = 0
+        last = days.drop_duplicates("product_id", keep="last")
+        last = last[last["day"] >= last["day"].max() - self.keep]
+        self.closed.update(tuple(last[c].tolist() for c in ("product_id", "day", "position")))
+        days = days[days["row"] >= 0].sort_values("row").reset_index(drop=True)
+        change = days["prior"] - days["position"]
+        moved = (days["prior"] != 0) & (days["position"] != 0) & (change != 0) & (change.abs() <= new["threshold"])
+        label = (change > 0).map({True: "hero", False: "villain"})
+        found = pd.DataFrame({"store_id": new["store_id"], "product_id": days["product_id"], "date": new["date"], "label": label, "prior_position": days["prior"], "current_position": days["position"], "position_change": change})
+        yield found[moved][MOVEMENT_COLUMNS]
 
     def close(self) -> None:
         pass
 
 
-def movement_stream(stream: DataFrame, products: DataFrame, *, start: str, late: str = "6 hours", keep: int = 30) -> DataFrame:
+def movement_stream(stream: DataFrame, products: DataFrame, *, start: str, late: str = "6 hours", keep: int = 30, buckets: int = 1024) -> DataFrame:
     """L3: hero and villain events between observed days at or after ``start``, as days close; they equal H4's.
 
-    Moves beyond the threshold of the product's catalog (H1) are none; catalog sizes
-    come from ``products`` by a join. Snapshots of products that aren't there are
-    dropped. Needs the RocksDB state store.
+    A day closes by time, when the watermark has passed its end (L2); a later snapshot
+    of it is dropped. Only closed days reach the comparison, in ``buckets`` of
+    products, a number that stays for a checkpoint. Moves beyond the threshold of the
+    product's catalog (H1) are none; catalog sizes come from ``products`` by a join.
+    Snapshots of products that aren't there are dropped. Needs the RocksDB state store.
     """
     sized = products.select(F.col("id").alias("product_id"), "store_id", "is_fashion").join(L.catalog_sizes(products), ["store_id", "is_fashion"], "left")
     known = sized.select("product_id", "store_id", L.threshold(F.coalesce("size", F.lit(0))).cast("int").alias("threshold"))
-    own = stream.withWatermark("date", late).where(F.col("date") >= F.lit(start).cast("timestamp")).select("product_id", "date", "position").join(known, "product_id")
-    return own.groupBy("product_id").transformWithStateInPandas(DailyMovements(keep), MOVEMENT, "append", "EventTime")
+    days = daily_last_stream(stream.where(F.col("date") >= F.lit(start).cast("timestamp")), late)
+    own = days.join(known, "product_id").select("*", F.unix_date("date").alias("day"), F.pmod(F.xxhash64("product_id"), F.lit(buckets)).alias("bucket"))
+    return own.groupBy("bucket").transformWithStateInPandas(DailyMovements(keep), MOVEMENT, "append", "None")
