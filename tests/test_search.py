@@ -167,3 +167,34 @@ def test_blocked_search_equals_a_scan_and_skips_blocks(spark):
     told = V.searched_blocks(blocks, queries, 25).where("query_id IS NULL").agg(F.sum("pairs"), F.sum("skipped")).first()
     assert blocks.agg(F.sum(F.size("ids"))).first()[0] == len(rows) and told[0] == 4 * blocks.count() and told[1] > 0.3 * told[0]
     assert V.vector_top_k(index.where("false"), queries, 5).count() == 0 and V.vector_top_k(index, queries.where("false"), 5).count() == 0
+
+
+def alike(spark, n):
+    """Products of two looks, numbered handles."""
+    return M.saved(spark.range(n).selectExpr("id", "if(id % 2 = 0, 'red ring', 'blue plate') AS title", "cast(NULL AS STRING) AS ai_tags", "'' AS product_category", "'' AS subniche", "'' AS product_type", "concat('h-', id) AS handle"))
+
+
+def test_products_and_queries_that_are_alike_are_scored_once(spark):
+    p = alike(spark, 3000)
+    asked = M.saved(J.expand_queries(spark.range(40).selectExpr("id AS query_id", "if(id < 39, 'a red ring', 'h 1234') AS text")))
+    kinds = J.in_groups(J._seen(p, asked), "id").groupBy("title", "_handle").count().collect()
+    assert len(kinds) == 3  # the asked number makes a kind of its own
+    got = J.score_products(p, asked).groupBy("query_id").agg({"id": "count", "kw": "sum"}).collect()
+    assert len(got) == 40 and {r["count(id)"] for r in got} == {3000}
+    best = J.best_scores(p, asked, 5).collect()
+    assert sorted(r["id"] for r in best if r["query_id"] == 7) == [0, 2, 4, 6, 8]
+    assert [(r["id"], r["rank"]) for r in best if r["query_id"] == 39] == [(1234, 1)]
+
+
+def test_groups_stay_small_and_keep_every_key(spark):
+    rows = spark.range(2500).selectExpr("id", "if(id < 2400, 'a', NULL) AS look", "array('x') AS words")
+    got = J.in_groups(rows, "id", 100).collect()
+    assert sorted(k for r in got for k in r["ids"]) == list(range(2500)) and max(len(r["ids"]) for r in got) < 200
+
+
+def test_gate_expands_groups_of_equal_words(spark):
+    p = alike(spark, 2000)
+    asked = M.saved(J.expand_queries(spark.range(30).selectExpr("id AS query_id", "if(id % 3 = 0, 'rings and plates', 'ring') AS text")))
+    got = J.intent_gate(asked, p)
+    assert got.count() == got.distinct().count() == 10 * 2000 + 20 * 1000
+    assert "Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString().split("Generate", 2)[0]  # pairs are never made distinct
