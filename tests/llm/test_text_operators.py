@@ -562,3 +562,31 @@ def test_queries_with_sql(spark):
 
     for name, sql in queries.ORACLES.items():
         assert rows(queries.QUERIES[name](spark, FOLDER).toPandas()) == rows(duck(FOLDER, sql))
+
+
+def test_greedy_tries_no_lengths_that_no_token_has():
+    import public_tokenizers
+
+    from trendmill.llm.bpe import WordBpe
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
+        codec = WordBpe(file.read())
+    words = ["zqxjkvbwp" * 3, "abracadabra", "q", "hello", "xx"]
+    want = []
+    for w in words:
+        out, at = [], 0
+        while at < len(w):
+            stop = next(k for k in range(len(w), at, -1) if w[at:k] + codec.end * (k == len(w)) in codec.vocab)
+            out.append(codec.vocab[w[at:stop] + codec.end * (stop == len(w))])
+            at = stop
+        want.append(out)
+    tried = []
+
+    class Vocab(dict):
+        def get(self, key, default=None):
+            tried.append(key)
+            return super().get(key, default)
+
+    codec.vocab = Vocab(codec.vocab)
+    assert [codec.greedy(w) for w in words] == want
+    assert len(tried) < 120

@@ -54,6 +54,10 @@ class WordBpe:
         self.token = {k: t for t, k in self.vocab.items()} | {k: t for t, k in self.special.items()}
         self.end = model["end_of_word_suffix"]
         self.longest = max(map(len, self.vocab))
+        self.reach: dict[str, int] = {}  # length of the longest token by its first three letters
+        for token in self.vocab:
+            if len(token) > self.reach.get(token[:3], 0):
+                self.reach[token[:3]] = len(token)
         self.size = max(self.token) + 1
         self.rank: dict[int, int] = {}
         self.made: list[int] = []
@@ -104,7 +108,7 @@ class WordBpe:
             if last is not None:
                 out.append(last)
                 return out
-            for stop in range(min(size - 1, at + self.longest), at, -1):
+            for stop in range(min(size - 1, at + self.reach.get(word[at : at + 3], 2)), at, -1):
                 token = self.vocab.get(word[at:stop])
                 if token is not None:
                     out.append(token)
