@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trendmill.llm.bpe import bpe_encode_decode
@@ -41,11 +41,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFr
     different texts are told apart. Of rows with equal id and text one stays, the
     first by the other columns. Texts without words have no copies but such rows.
     """
-    others = ngram_components(docs).where("NOT is_first").select(F.col("doc_id").alias("other_id"), F.col("text_key").alias("other_key")).distinct()
-    key = F.xxhash64("text")
-    kept = docs.join(others.hint("shuffle_hash"), F.col("doc_id").cast("long").eqNullSafe(F.col("other_id")) & (key == F.col("other_key")), "left_anti")
+    others = ngram_components(docs).where("NOT is_first").select(*_row_key(F.col("doc_id").cast("long"), F.col("text_key"))).distinct()
+    # the join and the window share their keys, so texts are shuffled once
+    keyed = docs.select("*", *_row_key(F.col("doc_id").cast("long"), F.xxhash64("text")))
+    kept = keyed.join(others.hint("shuffle_hash"), ["_row", "_nameless", "_key"], "left_anti")
     again = ", ".join(f"`{c}`" for c in docs.columns if c not in ("doc_id", "text")) or "doc_id"
-    return kept.withColumn("_again", F.expr(f"row_number() OVER (PARTITION BY doc_id, xxhash64(text) ORDER BY {again})")).where("_again = 1").select(docs.columns)
+    return kept.withColumn("_again", F.expr(f"row_number() OVER (PARTITION BY _row, _nameless, _key ORDER BY {again})")).where("_again = 1").select(docs.columns)
+
+
+def _row_key(own: Column, key: Column) -> list[Column]:
+    """An id that may be null and the hash of its text, as columns that are never null."""
+    return [F.coalesce(own, key).alias("_row"), own.isNull().alias("_nameless"), key.alias("_key")]
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

@@ -87,3 +87,14 @@ def test_redacted_texts_hold_no_pattern(spark):
     out = C.personal_data(spark, docs, "").collect()
     assert len(out) == docs.count() and all(len(r["text"]) == r["n_chars"] for r in out)
     assert not any(s[2] == "email" for r in out for s in pii.pattern_spans(r["text"]))
+
+
+def test_texts_are_shuffled_once_to_drop_near_copies(spark):
+    import corpus_pipeline as P
+
+    docs = spark.createDataFrame([(1, "a b c d e f g", "x"), (2, "a b c d e f g", "x"), (None, "p q r s t u", "x"), (None, "p q r s t u", "y"), (3, None, "x")], "doc_id long, text string, source string")
+    got = P.near_duplicates(spark, docs, "")
+    assert sorted((str(r["doc_id"]), r["text"], r["source"]) for r in got.collect()) == [("1", "a b c d e f g", "x"), ("3", None, "x"), ("None", "p q r s t u", "x")]
+    plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    window = plan[plan.index("row_number") : plan.index("ShuffledHashJoin")]
+    assert "Exchange" not in window
