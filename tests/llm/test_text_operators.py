@@ -590,3 +590,20 @@ def test_greedy_tries_no_lengths_that_no_token_has():
     codec.vocab = Vocab(codec.vocab)
     assert [codec.greedy(w) for w in words] == want
     assert len(tried) < 120
+
+
+def test_the_frequent_level_needs_no_second_sketch():
+    import tracemalloc
+
+    import numpy as np
+
+    from trendmill.llm import ngram_join as N
+
+    levels = np.zeros(1 << N.SKETCH_BITS, dtype=np.uint8)
+    levels[: 1 << 20] = 40
+    tracemalloc.start()
+    found = N.hot_level(levels)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    total = (2**5 - 1) * (1 << 20)
+    assert found == min(255, int(np.ceil(8 * np.log2(1 + max(N.HOT_ROWS, total / N.HOT_SLOTS))))) and peak < 8 << 20

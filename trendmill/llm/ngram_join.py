@@ -97,7 +97,10 @@ def shingle_levels(docs: DataFrame, text: str, width: int) -> np.ndarray:
 
 def hot_level(levels: np.ndarray) -> int:
     """The level from which a counter is frequent: at most ``HOT_SLOTS`` of them can be, whatever the input."""
-    total = float(np.exp2(levels / 8.0).sum() - len(levels))
+    counters = np.zeros(256, dtype=np.int64)
+    for first in range(0, len(levels), SKETCH_PART):  # the driver holds no second array of all counters
+        counters += np.bincount(levels[first : first + SKETCH_PART], minlength=256)
+    total = float(np.exp2(np.arange(256) / 8.0) @ counters - len(levels))
     return min(255, math.ceil(8 * math.log2(1 + max(HOT_ROWS, total / HOT_SLOTS))))
 
 
