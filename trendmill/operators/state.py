@@ -220,10 +220,16 @@ def write_bucketed(df: DataFrame, table: str, path: str, key: str = "product_id"
     return df.sparkSession.table(table)
 
 
-def write_state(df: DataFrame, path: str, version: int, partition_by: str | None = None) -> str:
-    """A version directory; readers switch when it is complete. A repeated run writes it anew. Returns its path."""
+def write_state(df: DataFrame, path: str, version: int, partition_by: str | None = None, order_by: tuple[str, ...] = ()) -> str:
+    """A version directory; readers switch when it is complete. A repeated run writes it anew. Returns its path.
+
+    ``partition_by`` makes a folder per value and is for few values, such as days.
+    ``order_by`` is for keys that grow with the table, such as stores: the files hold
+    ranges of it, so a reader of one key skips the others by their footers.
+    """
     out = f"{path.rstrip('/')}/version={version}"
-    writer = df.write.mode("overwrite")
+    ranged = df.repartitionByRange(*order_by).sortWithinPartitions(*order_by) if order_by else df
+    writer = (ranged.repartition(partition_by) if partition_by and not order_by else ranged).write.mode("overwrite")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(out)
     return out
 

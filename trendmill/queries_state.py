@@ -248,6 +248,6 @@ def d13(spark, folder):
 def a12(spark, folder):
     """The older version is other, and one that was never finished isn't seen."""
     state, path = M.products(spark, folder).select("id", "is_fashion", "subniche", "store_id"), M.new_folder(spark)
-    S.write_state(state.where("is_fashion"), path, 1, partition_by="store_id")
-    S.write_state(state, path, 2, partition_by="store_id")
-    return S.newest_state(spark, path).withColumn("store_id", F.col("store_id").cast("long"))
+    S.write_state(state.where("is_fashion"), path, 1, order_by=("store_id", "id"))
+    S.write_state(state, path, 2, order_by=("store_id", "id"))
+    return S.newest_state(spark, path)
