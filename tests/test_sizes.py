@@ -2,8 +2,13 @@
 
 from pyspark.sql import functions as F
 
+from trendmill import queries_streaming as QS
 from trendmill.operators import state as S
 from trendmill.registry import QUERIES
+from trendmill.sources import pages as P
+
+FOLDER = "/root/testdata/sf0.001"
+
 
 def test_versioned_state_has_no_folder_per_store(spark, tmp_path):
     assert not [f for f in QUERIES["a12_versioned_state"](spark, "/root/testdata/sf0.01").inputFiles() if "store_id=" in f]
@@ -11,3 +16,16 @@ def test_versioned_state_has_no_folder_per_store(spark, tmp_path):
     S.write_state(rows, str(tmp_path), 1, order_by=("store_id", "id"))
     got = S.newest_state(spark, str(tmp_path))
     assert len(got.inputFiles()) <= 4 and sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.collect()))
+
+
+def test_derived_pages_are_dealt_to_all_tasks(spark):
+    for make in (QS.card_pages,):
+        assert make(spark, FOLDER).rdd.getNumPartitions() == 4
+
+
+def test_pages_are_parsed_once(spark):
+    events = '<script>{"events":"[[\\"collection_viewed\\",{\\"collection\\":{\\"productVariants\\":[{\\"product\\":{\\"id\\":\\"1\\",\\"url\\":\\"/products/a\\"}}]}}]]"}</script>'
+    rows = [(1, "https://s.example/collections/all", events), (2, "https://s.example/collections/all", '<main><a href="/products/b">Bee</a></main>'), (3, None, None), (4, "https://s.example/x", '"events":"no" <a href="/products/c">Cee</a>')]
+    got = P.page_items(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert "from_json" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r["page_id"], r["handle"]) for r in got.collect()) == [(1, "a"), (2, "b"), (4, "c")]

@@ -140,10 +140,14 @@ def json_pages(spark, folder):
 def a4(spark, folder):
     from .sources.pages import page_items
 
-    p = M.products(spark, folder)
+    return page_items(card_pages(spark, folder)).select("page_id", "handle", "title", "price", "image_url")
+
+
+def card_pages(spark, folder):
+    """A collection page per product, with its card and no events."""
+    p = M.spread(M.products(spark, folder).select("id", "handle", "title", "price", "image_url"))
     html = F.concat(F.lit('<main><div class="grid"><div class="card"><a href="/products/'), "handle", F.lit('?v=1"><img data-src="'), "image_url", F.lit('" alt="x"></a><div class="info"><a href="/products/'), "handle", F.lit('"><span> '), "title", F.lit('</span></a><b class="price-badge">-20%</b><span class="price">'), "price", F.lit("</span></div></div></div></main>"))
-    pages = p.select(F.col("id").alias("page_id"), F.lit("https://shop.example/collections/all").alias("url"), html.alias("html"))
-    return page_items(pages).select("page_id", "handle", "title", "price", "image_url")
+    return p.select(F.col("id").alias("page_id"), F.lit("https://shop.example/collections/all").alias("url"), html.alias("html"))
 
 
 @query("a4_cards_of_pages")
@@ -151,4 +155,4 @@ def a4_pages(spark, folder):
     """The given raw pages, whose links aren't those of a shop: any rooted link counts as a product's."""
     from .sources.pages import card_items
 
-    return card_items(M.read(spark, folder, "pages"), r"^/([^/?#]+)").select("page_id", "store_id", "slot", "handle", "title", "price", "image_url")
+    return card_items(M.spread(M.read(spark, folder, "pages").select("page_id", "url", "html")), r"^/([^/?#]+)").select("page_id", "store_id", "slot", "handle", "title", "price", "image_url")

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import BADGE
+from .model import saved
 
 SHOP = r"://([^/]+)"
 VARIANTS = "array<struct<price:struct<amount:double>,image:struct<src:string>,product:struct<id:string,title:string,untranslatedTitle:string,url:string,vendor:string,type:string>>>"
@@ -63,8 +64,12 @@ def event_items(pages: DataFrame) -> DataFrame:
     product stands for it. Pages without such an event give no rows; each page row
     stands by itself, repeated ids included.
     """
+    return _of_items(pages, viewed_items(F.col("html")))
+
+
+def _of_items(pages: DataFrame, items: Column) -> DataFrame:
     base = F.regexp_extract("url", r"^([a-z]+://[^/]+)", 1)
-    own = pages.select("page_id", base.alias("base"), F.regexp_extract("url", SHOP, 1).alias("store_id"), F.inline(viewed_items(F.col("html"))))
+    own = pages.select("page_id", base.alias("base"), F.regexp_extract("url", SHOP, 1).alias("store_id"), F.inline(items))
     title = F.coalesce(F.nullif(F.trim("v.product.untranslatedTitle"), F.lit("")), F.nullif(F.trim("v.product.title"), F.lit("")), F.initcap(F.replace("handle", F.lit("-"), F.lit(" "))))
     image = F.coalesce(F.col("v.image.src"), F.lit(""))
     image = F.when(image.startswith("//"), F.concat(F.lit("https:"), image)).when(image.startswith("/"), F.concat("base", image)).otherwise(image)
@@ -192,7 +197,13 @@ def card_items(pages: DataFrame, link: str = LINK) -> DataFrame:
 
 
 def page_items(pages: DataFrame) -> DataFrame:
-    """A2, A3: the JSON items of a page, or its cards if there are none; each page's html is read for one of them."""
+    """A2, A3: the JSON items of a page, or its cards if there are none.
+
+    What the events of a page hold is found once and stored, with the html of pages
+    without such items, so both kinds are read from there.
+    """
     json = F.coalesce(F.contains("html", F.lit('"events":"')), F.lit(False))
-    empty = F.coalesce(F.size(viewed_items(F.col("html"))), F.lit(0)) <= 0
-    return event_items(pages.where(json)).unionByName(card_items(pages.where(~json | empty)))
+    parsed = pages.select("page_id", "url", "html", F.when(json, viewed_items(F.col("html"))).alias("items"))
+    some = F.coalesce(F.size("items"), F.lit(0)) > 0
+    found = saved(parsed.select("page_id", "url", F.when(some, F.col("items")).alias("items"), F.when(~some, F.col("html")).alias("html"), some.alias("viewed")))
+    return _of_items(found.where("viewed"), F.col("items")).unionByName(card_items(found.where("NOT viewed")))
