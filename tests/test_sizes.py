@@ -19,7 +19,7 @@ def test_versioned_state_has_no_folder_per_store(spark, tmp_path):
 
 
 def test_derived_pages_are_dealt_to_all_tasks(spark):
-    for make in (QS.card_pages,):
+    for make in (QS.card_pages, QS.json_pages):
         assert make(spark, FOLDER).rdd.getNumPartitions() == 4
 
 

@@ -126,7 +126,8 @@ def a2(spark, folder):
 
 def json_pages(spark, folder):
     """A collection page per product, with its event block as a shop would write it."""
-    p = M.products(spark, folder).join(M.stores(spark, folder).select(F.col("id").alias("store_id"), "name"), "store_id")
+    sold = M.products(spark, folder).join(M.stores(spark, folder).select(F.col("id").alias("store_id"), "name"), "store_id")
+    p = M.spread(sold.select("id", "name", "price", "image_url", "title", "handle", "vendor", "product_type"))
     amount = F.when(F.col("id") % 3 != 0, F.col("price").cast("double"))
     variant = F.struct(F.struct(amount.alias("amount")).alias("price"), F.struct(F.col("image_url").alias("src")).alias("image"), F.struct(F.col("id").cast("string").alias("id"), "title", F.concat(F.lit("/products/"), "handle", F.lit("?v=1")).alias("url"), "vendor", F.col("product_type").alias("type")).alias("product"))
     payload = F.to_json(F.struct(F.struct(F.array(variant, variant).alias("productVariants")).alias("collection")))
