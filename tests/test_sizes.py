@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from trendmill import queries_streaming as QS
+from trendmill.operators import search as J
 from trendmill.operators import state as S
 from trendmill.registry import QUERIES
 from trendmill.sources import pages as P
@@ -29,3 +30,23 @@ def test_pages_are_parsed_once(spark):
     got = P.page_items(spark.createDataFrame(rows, "page_id long, url string, html string"))
     assert "from_json" not in got._jdf.queryExecution().optimizedPlan().toString()
     assert sorted((r["page_id"], r["handle"]) for r in got.collect()) == [(1, "a"), (2, "b"), (4, "c")]
+
+
+def searched(spark):
+    p = spark.createDataFrame([(k, f"red ring {k}", f"h{k}", "", "ring", "jewelry", k + 1) for k in range(30)], "id long, title string, handle string, ai_tags string, product_category string, subniche string, current_position int").withColumn("product_type", F.lit(""))
+    queries = J.expand_queries(spark.createDataFrame([(k, "Hot ring") for k in range(40)], "query_id long, text string"))
+    units = spark.createDataFrame([(k, [1.0, float(k)]) for k in range(3)], "id long, unit array<double>")
+    return p, units, queries, units.where("id = 1").select(F.col("id").alias("query_id"), "unit")
+
+
+def test_equal_queries_are_searched_and_scored_once(spark, monkeypatch):
+    asked, search = [], J.named_by_terms
+    monkeypatch.setattr(J, "named_by_terms", lambda p, q, k: (asked.append(q.count()), search(p, q, k))[1])
+    args = searched(spark)
+    got = J.hybrid_search(*args, top_k=2, limit=3).orderBy("query_id", "rank").collect()
+    assert asked == [1]
+    alone = [[tuple(r)[1:] for r in got if r["query_id"] == k] for k in range(40) if k != 1]
+    assert all(own == alone[0] for own in alone) and [i for i, _, _ in alone[0]] == [0, 1]
+    assert [r["id"] for r in got if r["query_id"] == 1] == [2, 1, 0]
+    told = {r["query_id"]: (r["candidates"], r["by_vector"], r["best"]) for r in J.explain_search(*args, top_k=2).collect()}
+    assert told[0] == (2, 0, [0, 1]) and told[1] == (3, 2, [2, 1, 0]) and len(told) == 40
