@@ -50,3 +50,23 @@ def test_equal_queries_are_searched_and_scored_once(spark, monkeypatch):
     assert [r["id"] for r in got if r["query_id"] == 1] == [2, 1, 0]
     told = {r["query_id"]: (r["candidates"], r["by_vector"], r["best"]) for r in J.explain_search(*args, top_k=2).collect()}
     assert told[0] == (2, 0, [0, 1]) and told[1] == (3, 2, [2, 1, 0]) and len(told) == 40
+
+
+def test_judged_batches_may_span_arrow_batches(spark):
+    ranked = spark.createDataFrame([(q, r, 1.0, r) for q in range(5) for r in range(1, 11)], "query_id long, id long, score double, rank int")
+    p = spark.range(1, 11).select("id", F.lit("t").alias("title"), F.lit(None).cast("string").alias("ai_tags"))
+
+    def judge(rows):
+        assert [r["rank"] for r in rows] == list(range(rows[0]["rank"], rows[0]["rank"] + len(rows))) and len(rows) in (4, 2)
+        if rows[0]["rank"] == 5:
+            raise ValueError
+        return [{"match": r["id"] % 2 == 0} for r in rows]
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        got = J.judged_search(ranked, p, judge, page=10, batch=4, limit=20)
+        assert "FlatMapGroups" not in got._jdf.queryExecution().optimizedPlan().toString()  # no Python call's frames per batch
+        rows = got.collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert [[r["id"] for r in sorted(rows, key=lambda r: r["rank"]) if r["query_id"] == q] for q in range(5)] == [[2, 4, 5, 6, 7, 8, 10]] * 5
