@@ -1,12 +1,16 @@
 """How steps grow: files, tasks and memory that must not follow the number of keys or the splits of a small file."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from trendmill import queries_streaming as QS
 from trendmill.operators import search as J
 from trendmill.operators import state as S
 from trendmill.registry import QUERIES
+from trendmill.sources import model as M
 from trendmill.sources import pages as P
+from trendmill.streaming import increments as N
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -70,3 +74,17 @@ def test_judged_batches_may_span_arrow_batches(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert [[r["id"] for r in sorted(rows, key=lambda r: r["rank"]) if r["query_id"] == q] for q in range(5)] == [[2, 4, 5, 6, 7, 8, 10]] * 5
+
+
+def planned(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_products_and_their_progress_are_never_broadcast(spark):
+    assert not re.search(r"BroadcastHashJoin \[p_partkey", planned(M.history(spark, FOLDER)))
+    products, progress = M.saved(QS.first_products(spark, FOLDER)), M.saved(spark.createDataFrame([], N.PROGRESS))
+    now = QS.RUNS[2]
+    scraped = M.saved(QS.run_scrapes(spark, FOLDER)).where(F.date_format("date", "yyyy-MM-dd HH:mm:ss") == now).drop("date")
+    _, snapshots, events, _ = N.apply_increment(products, progress, scraped, now=now, rules=N.Rules(M.START, M.START))
+    for df in (snapshots, events):
+        assert "SortMergeJoin [store_id" in planned(df) and not re.search(r"BroadcastHashJoin \[(store_id#\d+L, _key|id)#", planned(df))

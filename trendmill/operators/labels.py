@@ -7,6 +7,8 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .sides import merged
+
 CAP, SHARE, RETENTION_DAYS = 30, 0.30, 30
 
 
@@ -37,7 +39,7 @@ def catalog_sizes(products: DataFrame) -> DataFrame:
 
 def labels_from_priors(own: DataFrame, priors: DataFrame, sizes: DataFrame) -> DataFrame:
     """H2 for rows whose prior positions (``id, prior``) and catalog sizes are known."""
-    known = own.join(priors.select("id", "prior"), "id", "left").join(sizes, ["store_id", "is_fashion"], "left")
+    known = own.join(merged(priors.select("id", "prior")), "id", "left").join(sizes, ["store_id", "is_fashion"], "left")
     prior, at = F.col("prior"), F.coalesce("current_position", F.lit(0))
     none = F.coalesce(prior, F.lit(0)) == 0
     far = F.abs(prior - at) > threshold(F.coalesce("size", F.lit(0)))

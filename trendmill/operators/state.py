@@ -12,7 +12,7 @@ from ..functions.text import reject_reason, store_url, text_or_empty
 from . import labels as L
 from . import rules as R
 from .commits import complete_versions, write_part
-from .sides import checked
+from .sides import checked, merged
 
 OVERWRITTEN = ("title", "handle", "image_url", "price", "vendor", "product_type", "ai_tags", "current_position", "is_fashion", "subniche")
 
@@ -44,7 +44,7 @@ def upsert_products(products: DataFrame, scraped: DataFrame, *, now: str, tables
     seen = F.coalesce("vision_classified", F.lit(False)) if "vision_classified" in scraped.columns else F.lit(False)
     fresh = last_listed(scraped).select("store_id", F.col("handle").alias("_key"), *(F.col(c).alias(f"_{c}") for c in taken), seen.alias("_seen"), F.lit(True).alias("_listed"))
     old = products.withColumns({"_key": F.col("handle"), "_existed": F.lit(True)})
-    both = old.join(fresh, ["store_id", "_key"], "full_outer")
+    both = merged(old).join(fresh, ["store_id", "_key"], "full_outer")  # a right join where only listed rows are wanted
     listed, at = F.coalesce("_listed", F.lit(False)), F.lit(now).cast("timestamp_ntz")
     more = {c: F.when(listed, F.col(f"_{c}")).otherwise(F.col(c)) for c in taken}
     if "vision_classified_at" in products.columns:

@@ -14,6 +14,8 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.sides import merged
+
 TODAY, START, NOW = "2024-01-30", "2024-01-08", "2024-01-30 18:00:00"
 
 
@@ -67,7 +69,7 @@ def _with_store(spark: SparkSession, folder: str) -> DataFrame:
 def history(spark: SparkSession, folder: str) -> DataFrame:
     """``id, product_id, store_id, position, date``; snapshots at the quarters of each day."""
     events = read(spark, folder, "events").selectExpr("user_id AS p_partkey", "to_date(ts) AS dt", "cast(floor(hour(ts) / 6) AS INT) AS q", "value")
-    own = events.join(_with_store(spark, folder).select("p_partkey", "store_id"), "p_partkey")
+    own = events.join(merged(_with_store(spark, folder).select("p_partkey", "store_id")), "p_partkey")
     summed = own.groupBy("p_partkey", "store_id", "dt", "q").agg(F.sum(F.col("value").cast("decimal(12,2)")).alias("v"))
     return summed.selectExpr(
         "p_partkey * 1000 + datediff(dt, DATE'2024-01-01') * 4 + q AS id", "p_partkey AS product_id", "store_id",
