@@ -88,3 +88,26 @@ def test_products_and_their_progress_are_never_broadcast(spark):
     _, snapshots, events, _ = N.apply_increment(products, progress, scraped, now=now, rules=N.Rules(M.START, M.START))
     for df in (snapshots, events):
         assert "SortMergeJoin [store_id" in planned(df) and not re.search(r"BroadcastHashJoin \[(store_id#\d+L, _key|id)#", planned(df))
+
+
+def test_scores_of_a_block_are_made_in_slices():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from trendmill.operators import vectors as V
+
+    rows = np.random.default_rng(7).normal(size=(8192, 16))
+    rows /= np.linalg.norm(rows, axis=1)[:, None]
+    blocks = V._packed(pa.table({"block": pa.array([0] * 8192, pa.int32()), "cell": pa.array([0] * 8192, pa.int32()), "id": np.arange(8192), "unit": pa.array(list(rows))}))
+    asked = pa.table({"query_id": np.arange(2048), "q": pa.array(list(rows[:2048]))})
+    tracemalloc.start()
+    found = V._search(5)(blocks, asked).to_pandas()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6  # all scores of the block are 134 MB
+    assert found["pairs"].iloc[-1] == 2048 and found["query_id"].isna().sum() == 1 and len(found) == 5 * 2048 + 1
+    for q in range(0, 2048, 97):
+        own = np.round(rows @ rows[q], 12)
+        assert found[found["query_id"] == q]["id"].tolist() == np.lexsort((np.arange(8192), -own))[:5].tolist()

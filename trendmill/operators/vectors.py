@@ -80,6 +80,7 @@ def dot(a: Column, b: Column) -> Column:
 
 
 CELL_VALUES = 1 << 20  # numbers in a block's matrix: 8 MB
+SCORES = 1 << 20  # numbers that a task scores at once: 8 MB
 CENTRES, TOGETHER, ASKED = 256, 8, 2048  # sampled centres; blocks and queries that meet in one task
 FOUND = "query_id long, id long, sim double, pairs long, skipped long"
 
@@ -138,22 +139,22 @@ def _search(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
             if not len(active):
                 continue
             rows = np.frombuffer(blocks.column("matrix")[c].as_buffer(), dtype=np.float64).reshape(-1, q.shape[1])
-            names = np.array(blocks.column("ids")[c].as_py())
-            scores = np.round(q[active] @ rows.T, 12)  # equal vectors tie wherever they stand
-            for at, own in zip(active.tolist(), scores, strict=True):
-                near = np.flatnonzero(own >= best[at, -1])
-                if len(near):
-                    both, of = np.concatenate([best[at], own[near]]), np.concatenate([ids[at], names[near]])
-                    order = np.lexsort((of, -both))[:k]
-                    best[at], ids[at] = both[order], of[order]
+            names = blocks.column("ids")[c].values.to_numpy()
+            step = max(1, SCORES // len(names))
+            for part in (active[a : a + step] for a in range(0, len(active), step)):
+                scores = np.round(q[part] @ rows.T, 12)  # equal vectors tie wherever they stand
+                for at, own in zip(part.tolist(), scores, strict=True):
+                    near = np.flatnonzero(own >= best[at, -1])
+                    if len(near):
+                        both, of = np.concatenate([best[at], own[near]]), np.concatenate([ids[at], names[near]])
+                        order = np.lexsort((of, -both))[:k]
+                        best[at], ids[at] = both[order], of[order]
         real = np.isfinite(best)
         row = np.nonzero(real)[0]
         total = int(real.sum())
-        tell = lambda v: pa.array([None] * total + [v], pa.int64())
-        return pa.table({
-            "query_id": pa.array([*asked.column("query_id").to_numpy()[row].tolist(), None], pa.int64()), "id": pa.array([*ids[real].tolist(), None], pa.int64()),
-            "sim": pa.array([*best[real].tolist(), None], pa.float64()), "pairs": tell(len(q) * len(radius)), "skipped": tell(skipped),
-        })
+        told = lambda v: pa.concat_arrays([pa.array(v), pa.nulls(1, pa.array(v).type)])
+        tell = lambda v: pa.concat_arrays([pa.nulls(total, pa.int64()), pa.array([v], pa.int64())])
+        return pa.table({"query_id": told(asked.column("query_id").to_numpy()[row]), "id": told(ids[real]), "sim": told(best[real]), "pairs": tell(len(q) * len(radius)), "skipped": tell(skipped)})
 
     return run
 
@@ -164,7 +165,8 @@ def searched_blocks(blocks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     A group of blocks meets a group of queries in one task, blocks of the highest
     bound first. A block whose centre and radius can't give more than a query's
     k-th best so far is skipped for it. Nothing is broadcast, and no pair of rows leaves
-    a task but the best.
+    a task but the best. Scores are made in slices of ``SCORES``, so a task's memory is
+    that of its blocks and queries.
     """
     asked = queries.where(F.exists("unit", lambda x: x != 0)).select("query_id", F.col("unit").cast("array<double>").alias("q"))
     n_blocks, n_asked = blocks.count(), asked.count()
