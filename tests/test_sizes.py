@@ -111,3 +111,8 @@ def test_scores_of_a_block_are_made_in_slices():
     for q in range(0, 2048, 97):
         own = np.round(rows @ rows[q], 12)
         assert found[found["query_id"] == q]["id"].tolist() == np.lexsort((np.arange(8192), -own))[:5].tolist()
+
+
+def test_newest_events_read_a_stored_ledger(spark):
+    plan = planned(QUERIES["e2_newest_event_per_label"](spark, FOLDER))
+    assert "Window" not in plan and len(re.findall("SortMergeJoin", plan)) == 2  # one for each label, in tasks of their own

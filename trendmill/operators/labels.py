@@ -74,7 +74,7 @@ def events_of_today(products: DataFrame, history: DataFrame, *, now: str, epoch:
 
 def merge_events(ledger: DataFrame, fresh: DataFrame) -> DataFrame:
     """H3: next ledger; a fresh row replaces that of its product and day, no row is removed."""
-    return ledger.join(fresh.select("product_id", "date"), ["product_id", "date"], "left_anti").select(*ledger.columns).unionByName(fresh)
+    return ledger.join(merged(fresh.select("product_id", "date")), ["product_id", "date"], "left_anti").select(*ledger.columns).unionByName(fresh)
 
 
 def daily_last(history: DataFrame) -> DataFrame:
@@ -92,11 +92,11 @@ def backfill_events(products: DataFrame, history: DataFrame, ledger: DataFrame |
     low = F.greatest(F.date_sub(day(now), retention), F.to_date(F.lit(start[:10])))
     days = daily_last(history.where((F.to_date("date") >= low) & (F.to_date("date") < day(now))))
     steps = observed_steps(days).where("prior_position IS NOT NULL AND prior_position <> 0 AND position <> 0 AND position <> prior_position")
-    owned = steps.join(products.select(F.col("id").alias("product_id"), "store_id", "is_fashion"), "product_id").join(catalog_sizes(products), ["store_id", "is_fashion"], "left")
+    owned = steps.join(merged(products.select(F.col("id").alias("product_id"), "store_id", "is_fashion")), "product_id").join(catalog_sizes(products), ["store_id", "is_fashion"], "left")
     change = F.col("prior_position") - F.col("position")
     events = owned.where(F.abs(change) <= threshold(F.coalesce("size", F.lit(0)))).select(
         "store_id", "product_id", "date", F.when(change > 0, "hero").otherwise("villain").alias("label"), "prior_position", F.col("position").alias("current_position"), change.alias("position_change"))
-    return events if ledger is None else events.join(ledger.select("product_id", "date"), ["product_id", "date"], "left_anti")
+    return events if ledger is None else events.join(merged(ledger.select("product_id", "date")), ["product_id", "date"], "left_anti")
 
 
 def keep_recent(rows: DataFrame, *, now: str, days: int = RETENTION_DAYS) -> DataFrame:
@@ -128,4 +128,4 @@ def event_window(ledger: DataFrame, products: DataFrame, *, label: str, days: in
         own = own.where(F.col("store_id") == store_id)
     newest = own.groupBy("product_id").agg(F.max_by(F.struct("date", "label", "prior_position", F.col("current_position").alias("event_position"), "position_change"), "date").alias("e")).select("product_id", "e.*")
     feed = F.lit(True) if is_fashion is None else F.col("is_fashion") if is_fashion else ~F.col("is_fashion") & (F.col("subniche") != "")
-    return newest.join(products.where(feed), F.col("product_id") == F.col("id"))
+    return newest.join(merged(products.where(feed)), F.col("product_id") == F.col("id"))

@@ -34,12 +34,13 @@ def run_tables(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame,
     """Stores, products, history and ledger; the model is derived once and written, as a run would leave it."""
     stores, products, history = tables(spark, folder)
     products, history = M.saved(products), M.saved(history)
-    return stores, products, history, ledger_of(products, history)
+    return stores, products, history, M.saved(ledger_of(products, history))
 
 
 def ledger_of(products: DataFrame, history: DataFrame) -> DataFrame:
-    """Backfilled events and those of today."""
-    return L.merge_events(L.backfill_events(products, history, None, now=NOW, start=START), L.events_of_today(products, history, **FLOORS))
+    """Backfilled events and those of today; the latter are written first, as the merge reads them twice."""
+    today = M.saved(L.events_of_today(products, history, **FLOORS))
+    return L.merge_events(L.backfill_events(products, history, None, now=NOW, start=START), today)
 
 
 def ledger(spark: SparkSession, folder: str) -> DataFrame:
