@@ -607,3 +607,42 @@ def test_the_frequent_level_needs_no_second_sketch():
     tracemalloc.stop()
     total = (2**5 - 1) * (1 << 20)
     assert found == min(255, int(np.ceil(8 * np.log2(1 + max(N.HOT_ROWS, total / N.HOT_SLOTS))))) and peak < 8 << 20
+
+
+@pytest.mark.parametrize("shape", ["stars", "chains"])
+def test_components_take_no_round_on_stars(spark, shape):
+    from trendmill.llm.graph import connected_components
+
+    if shape == "stars":
+        edges = [(k, k - k % 10) for k in range(400)] + [(7, 7), (1000, 1000), (None, 3), (5, None), (0, 9)]
+        want = {k: k - k % 10 for k in range(400)} | {1000: 1000}
+    else:
+        edges = [(k, k + 1) for k in range(90) if k % 30 != 29] + [(k + 1, k) for k in range(5)]
+        want = {k: k - k % 30 for k in range(90)}
+    spark.sparkContext.setJobGroup(f"components-{shape}", "")
+    got = connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
+    took = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"components-{shape}"))
+    spark.sparkContext.setJobGroup("", "")
+    assert len(got) == len(want) and dict(map(tuple, got)) == want
+    assert shape == "chains" or took <= 12
+
+
+def test_op2_a_unit_yields_stars_and_the_levels_are_let_go(spark):
+    assert ngram_join.stars([(5, 3), (5, 9), (-2, 9), (8, 7), (7, 8), (4, 4)]) == {5: -2, 3: -2, 9: -2, 8: 7}
+    docs = spark.createDataFrame([(k, " ".join(f"w{j}" if (j + k) % 40 else f"x{k}" for j in range(120))) for k in range(30)], "doc_id long, text string")
+    held = []
+    wrapped = ngram_join._held_twice
+
+    def watched(rows):
+        import gc
+
+        gc.collect()
+        held.append(sum(isinstance(x, np.ndarray) and x.nbytes == 1 << ngram_join.SKETCH_BITS for y in gc.get_objects() for x in gc.get_referents(y)))
+        return wrapped(rows)
+
+    ngram_join._held_twice = watched
+    try:
+        ngram_join.ngram_components(docs).collect()
+    finally:
+        ngram_join._held_twice = wrapped
+    assert held == [0, 0, 0]

@@ -120,7 +120,7 @@ def _lists(values: list[np.ndarray]) -> pa.Array:
 
 def _describe(width: int, percent: int, levels, hot: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level = np.frombuffer(levels.value, dtype=np.uint8)
+        level = levels.value
         for batch in batches:
             for chunk in chunks(batch.column(2)):
                 sizes, keys, rare, frequent = [], [], [], []
@@ -139,6 +139,16 @@ def _describe(width: int, percent: int, levels, hot: int):
     return run
 
 
+def _described(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Sizes, keys and leading shingles of all texts' sets; the driver lets go of the levels when they are written."""
+    levels = shingle_levels(docs, "text", width)
+    hot, levels = hot_level(levels), docs.sparkSession.sparkContext.broadcast(levels)
+    try:
+        return stored(docs.mapInArrow(_describe(width, percent, levels, hot), "row_id long, doc_id long, text_key long, n_shingles long, set_key long, rare array<long>, frequent array<long>"))
+    finally:
+        levels.destroy()
+
+
 class SignatureTree:
     """Levels from leaves (sets) to the root: bitmaps, size ranges, bitmap slack.
 
@@ -246,22 +256,40 @@ def spanning_links(left: list[np.ndarray], right: list[np.ndarray] | None, perce
     return found
 
 
+def stars(pairs: list[tuple[int, int]]) -> dict[int, int]:
+    """Each end of ``pairs`` that isn't the least of its component, and that least one."""
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while x in up:
+            up[x] = up.get(up[x], up[x])
+            x = up[x]
+        return x
+
+    for x, y in pairs:
+        x, y = top(x), top(y)
+        if x != y:
+            up[max(x, y)] = min(x, y)
+    return {x: top(x) for x in up}
+
+
 def _join_unit(width: int, percent: int):
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         known = table.column("set_key").to_numpy()
         side = table.column("side").to_numpy()
         texts = table.column("text").combine_chunks()
-        found: tuple[dict[int, np.ndarray], ...] = ({}, {})
+        sets: tuple[dict[int, np.ndarray], ...] = ({}, {})
         for chunk in chunks(texts):
             for k, own in enumerate(shingle_sets(chunk, width), chunk.first):
                 key = _set_key(own)
                 if key == known[k]:  # a repeated id may bring another text
-                    found[side[k]][key] = own
-        left, right = (dict(sorted(f.items(), key=lambda s: (s[1][0], len(s[1]), s[0]))) for f in found)
+                    sets[side[k]][key] = own
+        left, right = (dict(sorted(f.items(), key=lambda s: (s[1][0], len(s[1]), s[0]))) for f in sets)
         keys = [*left, *right]
         pairs = spanning_links([*left.values()], [*right.values()] or None, percent) if left else []
-        return pa.table({"a": pa.array([keys[x] for x, _ in pairs], pa.int64()), "b": pa.array([keys[y] for _, y in pairs], pa.int64())})
+        found = stars([(keys[x], keys[y]) for x, y in pairs])  # most clusters are one unit, so no round of contraction is left
+        return pa.table({"a": pa.array([*found.keys()], pa.int64()), "b": pa.array([*found.values()], pa.int64())})
 
     return run
 
@@ -285,29 +313,24 @@ def _units(candidates: DataFrame, unit: int, percent: int) -> DataFrame:
     # what counts of a set is its share of a unit's sets or of its shingles
     load = F.greatest(F.lit(1.0 / unit), F.col("n_shingles") / F.lit(float(UNIT_SHINGLES)))
     classes = sized.groupBy("cluster", "size_class").agg(F.sum(load).alias("of_class"))
-    wholes = classes.groupBy("cluster").agg(F.sum("of_class").alias("of_cluster"))
-    dealt = sized.join(wholes, "cluster")
-    small = dealt.where(F.col("of_cluster") <= 1).select("row", "set_key", F.xxhash64("cluster").alias("unit"), F.lit(0).alias("side"))
-    blocks = F.ceil(F.col("of_class") * 2).cast("int")
-    counts = classes.join(wholes.where(F.col("of_cluster") > 1), "cluster").select("cluster", "size_class", blocks.alias("blocks"))
-    large = dealt.where(F.col("of_cluster") > 1).join(counts, ["cluster", "size_class"])
-    large = large.withColumn("block", F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int"))
-    above = counts.select("cluster", (F.col("size_class") - 1).alias("size_class"), F.col("blocks").alias("above"))
-    below = counts.select("cluster", (F.col("size_class") + 1).alias("size_class"), F.col("blocks").alias("below"))
-    large = large.join(above, ["cluster", "size_class"], "left").join(below, ["cluster", "size_class"], "left")
+    # a cluster's sizes are of a hundred classes at most: one small map a cluster, met in one join
+    blocks_of = F.map_from_entries(F.collect_list(F.struct("size_class", F.ceil(F.col("of_class") * 2).cast("int"))))
+    wholes = classes.groupBy("cluster").agg(F.sum("of_class").alias("of_cluster"), blocks_of.alias("blocks_of"))
+    own, up, down = F.col("size_class"), F.col("size_class") + 1, F.col("size_class") - 1
+    dealt = sized.join(wholes, "cluster").withColumns({"blocks": F.try_element_at("blocks_of", own), "above": F.try_element_at("blocks_of", up), "below": F.try_element_at("blocks_of", down)})
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int"))
 
     def uses(lo_class, lo_block, hi_class, hi_block, side):
         return F.struct(F.xxhash64("cluster", lo_class, lo_block, hi_class, hi_block).alias("unit"), side.cast("int").alias("side"))
 
-    own, up, down = F.col("size_class"), F.col("size_class") + 1, F.col("size_class") - 1
     block = F.col("block")
     within = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: uses(own, F.least(block, k), own, F.greatest(block, k), block > k))
     upward = F.transform(F.sequence(F.lit(1), F.coalesce("above", F.lit(0))), lambda k: uses(own, block, up, k - 1, F.lit(False)))
     downward = F.transform(F.sequence(F.lit(1), F.coalesce("below", F.lit(0))), lambda k: uses(down, k - 1, own, block, F.lit(True)))
     none = F.array().cast("array<struct<unit:bigint,side:int>>")
     parts = F.concat(within, F.when(F.col("above") > 0, upward).otherwise(none), F.when(F.col("below") > 0, downward).otherwise(none))
-    large = large.select("row", "set_key", F.explode(parts).alias("use")).select("row", "set_key", "use.unit", "use.side")
-    return small.unionByName(large)
+    whole = F.array(F.struct(F.xxhash64("cluster").alias("unit"), F.lit(0).alias("side")))
+    return dealt.select("row", "set_key", F.explode(F.when(F.col("of_cluster") <= 1, whole).otherwise(parts)).alias("use")).select("row", "set_key", "use.unit", "use.side")
 
 
 def ngram_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, unit: int = 4096) -> DataFrame:
@@ -322,12 +345,9 @@ def ngram_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     has another id. Repeated rows are rows of their own. An empty table gives no
     rows, other columns of ``docs`` are ignored, and no cap drops any pair.
     """
-    spark = docs.sparkSession
     own, words = F.col(doc_id).cast("long"), F.col(text)
     docs = docs.select(F.coalesce(own, F.xxhash64(words)).alias("row_id"), own.alias("doc_id"), words.alias("text"), F.xxhash64(words).alias("text_key"))
-    levels = shingle_levels(docs, "text", width)
-    describe = _describe(width, percent, spark.sparkContext.broadcast(levels.tobytes()), hot_level(levels))
-    described = stored(docs.mapInArrow(describe, "row_id long, doc_id long, text_key long, n_shingles long, set_key long, rare array<long>, frequent array<long>"))
+    described = _described(docs, width, percent)
 
     least = F.least(F.lit(SHARED), F.ceil(F.col("n_shingles") * percent / 100)).cast("int")
     rows = lambda column: described.select("set_key", least.alias("least"), F.explode(column).alias("shingle"), F.lit(column == "frequent").alias("hot"))
