@@ -646,3 +646,29 @@ def test_op2_a_unit_yields_stars_and_the_levels_are_let_go(spark):
     finally:
         ngram_join._held_twice = wrapped
     assert held == [0, 0, 0]
+
+
+def test_op2_sets_that_share_by_chance_meet_in_no_unit(spark, monkeypatch):
+    """Each text shares a passage with each of ten others, and the sketch tells nothing apart, as on a very large corpus."""
+    ring = lambda i: " ".join(f"p{min(i, j % 200)}x{max(i, j % 200)}w{k}" for j in range(i - 5, i + 6) if j != i for k in range(9))
+    texts = [ring(i) for i in range(200)] + [ring(i) + " end" for i in range(0, 200, 50)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    met = []
+    dealt = ngram_join._units
+    monkeypatch.setattr(ngram_join, "shingle_levels", lambda *_: np.zeros(1 << ngram_join.SKETCH_BITS, dtype=np.uint8))
+    monkeypatch.setattr(ngram_join, "_units", lambda candidates, *more: met.append(candidates.count()) or dealt(candidates, *more))
+    got = ngram_join.ngram_components(docs).select("doc_id", "n_shingles", "component_id").collect()
+    assert Counter(map(tuple, got)) == brute_components(list(range(len(texts))), brute_sets(texts))
+    assert sum(r.doc_id != r.component_id for r in got) == 4 and met == [8]
+
+
+def test_split_by_keys(spark):
+    from trendmill.llm.storage import SLOTS, split_by_keys
+
+    values = [*range(-300, 300), 2**63 - 1, -(2**63), SLOTS - 1, SLOTS, SLOTS + 7]
+    rows = spark.createDataFrame([(k,) for k in values], "k long")
+    wanted = {k for k in values if k % 7 == 0} | {2**63 - 1}
+    some, rest = ({r.k for r in df.collect()} for df in split_by_keys(rows, rows.where(F.col("k").isin(*wanted)), "k"))
+    assert some == {k for k in values if k % SLOTS in {w % SLOTS for w in wanted}} >= wanted and rest == set(values) - some
+    none, all_ = split_by_keys(rows, rows.where("k IS NULL"), "k")
+    assert none.count() == 0 and all_.count() == len(values)

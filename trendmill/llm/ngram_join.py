@@ -7,10 +7,13 @@
    n - ceil(t * n) + m shingles in *any* common order, so the order decides the
    cost and never the result.
 3. Sets with fewer than m such shingles that another set has too are linked with
-   nothing. The others fall into candidate clusters (connected components of
-   sharing one). A linked pair is always inside one cluster. Rows of shingles that
-   the sketch knows as frequent are met by minima combined before the shuffle, so
-   neither copies nor common passages bring their rows to one task.
+   nothing. Of the others, pairs are counted where at most ``HELD`` sets hold a
+   shingle, and those that share m of them are edges; sets with m shingles of more
+   holders are also joined with whatever holds one of these. Candidate clusters are
+   the connected components. A linked pair is always inside one cluster, and sets
+   that share a few shingles by chance don't meet, however many there are. Rows of
+   shingles that the sketch knows as frequent are met by minima combined before the
+   shuffle, so neither copies nor common passages bring their rows to one task.
 4. In each cluster a signature tree is built: nodes hold the OR of their sets'
    token bitmaps and the range of set sizes. A dual traversal drops node pairs
    whose largest possible overlap is too small; surviving pairs of sets are
@@ -31,13 +34,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import connected_components
-from .storage import join_uneven, stored
+from .storage import join_uneven, split_by_keys, stored
 from .text import U, chunks, mix, shingle_sets
 
 SKETCH_BITS = 24
 SKETCH_PART = 1 << 16
 LEAF = 8
 SHARED = 6
+HELD = 16
 HOT_ROWS, HOT_SLOTS = 500, 100_000
 UNIT_SHINGLES = 1 << 21
 
@@ -295,15 +299,40 @@ def _join_unit(width: int, percent: int):
 
 
 def _held_twice(rows: DataFrame) -> DataFrame:
-    """Rows whose shingle another set has too, and the least such set as ``low``.
+    """Different rows whose shingle another set has too, the least such set as ``low`` and the number of the shingle's rows, copies included, as ``held``.
 
     Rows of frequent shingles (``hot``) are joined with what their shingles' minima
     and maxima leave, a small table; the planner decides how. The others have no
     more rows a shingle than a counter that isn't frequent.
     """
-    both = rows.where("NOT hot").selectExpr("*", "min(set_key) OVER (PARTITION BY shingle) AS low", "max(set_key) OVER (PARTITION BY shingle) AS high")
-    ends = stored(rows.where("hot").groupBy("shingle").agg(F.min("set_key").alias("low"), F.max("set_key").alias("high")).where("low != high").drop("high"))
-    return both.where("low != high").drop("high").unionByName(rows.where("hot").join(ends, "shingle"))
+    both = rows.where("NOT hot").selectExpr("*", "min(set_key) OVER (PARTITION BY shingle) AS low", "max(set_key) OVER (PARTITION BY shingle) AS high", "count(*) OVER (PARTITION BY shingle) AS held")
+    # equal rows have met by their shingle, so making these distinct moves nothing
+    both = both.where("low != high").drop("high").distinct()
+    ends = stored(rows.where("hot").groupBy("shingle").agg(F.min("set_key").alias("low"), F.max("set_key").alias("high"), F.count("*").alias("held")).where("low != high").drop("high"))
+    return both.unionByName(rows.where("hot").join(ends, "shingle").distinct())
+
+
+def _strong(shared: DataFrame) -> DataFrame:
+    """Sets with enough shared shingles to be linked, and how many of these have more than ``HELD`` holders."""
+    found = shared.groupBy("set_key").agg(F.count("*").alias("n"), F.first("least").alias("least"), F.count_if(F.col("held") > HELD).alias("wide"))
+    return found.where("n >= least").select("set_key", "wide")
+
+
+def candidate_edges(shared: DataFrame) -> DataFrame:
+    """``a, b`` of sets whose components hold every linked pair, from different ``shared(set_key, least, shingle, hot, low, held)``.
+
+    A linked pair shares ``least`` of either set's rows. Shingles of at most ``HELD``
+    sets are met pair by pair, those of the same sets at once; a pair must share what
+    the shingles of more sets, ``wide`` of either, can't bring. Only if these may be
+    enough alone, a set is joined with the least such set of each.
+    """
+    rows = shared.join(_strong(shared), "set_key").drop("low")
+    common = _held_twice(stored(rows.where(F.col("held") > HELD).where("wide >= least").drop("held")))
+    together = rows.where(F.col("held") <= HELD).groupBy("shingle").agg(F.array_sort(F.collect_list(F.struct("set_key", F.expr("greatest(1, least - wide) AS need")))).alias("sets"))
+    lists = together.groupBy("sets").agg(F.count("*").alias("n"))
+    pairs = lists.select("n", F.explode(F.expr("flatten(transform(sets, (s, i) -> transform(slice(sets, i + 2, size(sets)), t -> struct(s.set_key AS a, t.set_key AS b, greatest(s.need, t.need) AS need))))")).alias("pair"))
+    near = pairs.groupBy("pair.a", "pair.b").agg(F.sum("n").alias("n"), F.first("pair.need").alias("need")).where("n >= need")
+    return near.select("a", "b").unionByName(common.select(F.col("set_key").alias("a"), F.col("low").alias("b")))
 
 
 def _units(candidates: DataFrame, unit: int, percent: int) -> DataFrame:
@@ -351,17 +380,16 @@ def ngram_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
 
     least = F.least(F.lit(SHARED), F.ceil(F.col("n_shingles") * percent / 100)).cast("int")
     rows = lambda column: described.select("set_key", least.alias("least"), F.explode(column).alias("shingle"), F.lit(column == "frequent").alias("hot"))
-    shared = stored(_held_twice(rows("rare").unionByName(rows("frequent"))).distinct())
-    for _ in range(2):
-        strong = shared.groupBy("set_key").agg(F.count("*").alias("n"), F.first("least").alias("least")).where("n >= least").select("set_key")
-        shared = stored(_held_twice(shared.drop("low").join(strong, "set_key")))
-    shared = shared.select(F.col("set_key").alias("a"), F.col("low").alias("b"))
-    clusters = stored(connected_components(shared).withColumnRenamed("component", "cluster"))
+    shared = stored(_held_twice(rows("rare").unionByName(rows("frequent"))))
+    shared = stored(_held_twice(shared.drop("low", "held").join(_strong(shared).select("set_key"), "set_key")))
+    clusters = stored(connected_components(candidate_edges(shared)).withColumnRenamed("component", "cluster"))
 
     members = described.join(clusters, described.set_key == clusters.node).groupBy("set_key").agg(F.min(F.struct("row_id", "text_key")).alias("row"), F.first("n_shingles").alias("n_shingles"), F.first("cluster").alias("cluster"))
     # a set's text is that of one row; its id alone may be that of many other texts
     units = _units(stored(members), unit, percent).select("row.row_id", "row.text_key", "set_key", "unit", "side")
-    placed = docs.join(units.hint("shuffle_hash"), ["row_id", "text_key"]).select("unit", "side", "set_key", "text")
+    units = stored(units)
+    few, _ = split_by_keys(docs, units, "text_key")
+    placed = few.join(units.hint("shuffle_hash"), ["row_id", "text_key"]).select("unit", "side", "set_key", "text")
     links = placed.groupBy("unit").applyInArrow(_join_unit(width, percent), "a long, b long")
     components = connected_components(links)
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SETTING = "spark.checkpoint.dir"
+SLOTS = 1 << 24
 
 
 @lru_cache(maxsize=8)
@@ -56,3 +57,18 @@ def join_uneven(rows: DataFrame, table: DataFrame, key: str, size: str, *, least
     often = F.col(size) > max(least, total / most)
     hot = F.broadcast(table.where(often))
     return rows.join(hot, key).unionByName(rows.join(F.broadcast(table.where(often).select(key)), key, "left_anti").join(table.where(~often), key))
+
+
+def split_by_keys(rows: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``rows`` whose hash ``key`` (a long, never null) may be one of ``keys``, and the others, which surely aren't.
+
+    The keys are marked in a bitmap of 2**24 bits, whatever their number, so wide rows
+    that meet no other needn't be shuffled. Rows that are among the first by chance are
+    for a join to drop.
+    """
+    slot = F.pmod(F.col(key), F.lit(SLOTS)) + 1
+    marks = F.broadcast(stored(keys.groupBy(F.bitmap_bucket_number(slot).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("_marks"))))
+    placed = rows.withColumns({"_bucket": F.bitmap_bucket_number(slot), "_place": F.bitmap_bit_position(slot)}).join(marks, "_bucket", "left")
+    byte = F.conv(F.hex(F.substring("_marks", (F.col("_place") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    marked = F.coalesce(F.getbit(byte, (F.col("_place") % 8).cast("int")) == 1, F.lit(False))
+    return placed.where(marked).select(rows.columns), placed.where(~marked).select(rows.columns)
