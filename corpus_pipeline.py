@@ -18,7 +18,7 @@ from trendmill.llm.language import identify_language, learn_profiles
 from trendmill.llm.mixing import in_mixed_order, mix_sources, root_weights
 from trendmill.llm.ngram_join import ngram_components
 from trendmill.llm.pii import find_pii, learn_tagger
-from trendmill.llm.storage import small, stored
+from trendmill.llm.storage import small, split_by_keys, stored
 
 LEAST_SCORE = 0.35
 
@@ -41,12 +41,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFr
     different texts are told apart. Of rows with equal id and text one stays, the
     first by the other columns. Texts without words have no copies but such rows.
     """
-    others = ngram_components(docs).where("NOT is_first").select(*_row_key(F.col("doc_id").cast("long"), F.col("text_key"))).distinct()
-    # the join and the window share their keys, so texts are shuffled once
+    key = ["_row", "_nameless", "_key"]
+    others = stored(ngram_components(docs).where("NOT is_first").select(*_row_key(F.col("doc_id").cast("long"), F.col("text_key"))).distinct())
     keyed = docs.select("*", *_row_key(F.col("doc_id").cast("long"), F.xxhash64("text")))
-    kept = keyed.join(others.hint("shuffle_hash"), ["_row", "_nameless", "_key"], "left_anti")
+    repeated = keyed.groupBy(key).agg(F.count("*").alias("rows")).where("rows > 1")
+    # most texts are neither dropped nor repeated, and stay where they are
+    some, alone = split_by_keys(keyed, others.select("_key").unionByName(repeated.select("_key")), "_key")
+    # the join and the window share their keys, so the others are shuffled once
+    kept = some.join(others.hint("shuffle_hash"), key, "left_anti")
     again = ", ".join(f"`{c}`" for c in docs.columns if c not in ("doc_id", "text")) or "doc_id"
-    return kept.withColumn("_again", F.expr(f"row_number() OVER (PARTITION BY _row, _nameless, _key ORDER BY {again})")).where("_again = 1").select(docs.columns)
+    first = kept.withColumn("_again", F.expr(f"row_number() OVER (PARTITION BY _row, _nameless, _key ORDER BY {again})")).where("_again = 1")
+    return first.select(docs.columns).unionByName(alone.select(docs.columns))
 
 
 def _row_key(own: Column, key: Column) -> list[Column]:

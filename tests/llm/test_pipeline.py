@@ -98,3 +98,14 @@ def test_texts_are_shuffled_once_to_drop_near_copies(spark):
     plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
     window = plan[plan.index("row_number") : plan.index("ShuffledHashJoin")]
     assert "Exchange" not in window
+
+
+def test_texts_without_copies_stay_where_they_are(spark, monkeypatch):
+    rows = [(k, " ".join(f"w{k}x{j}" for j in range(9)), "x") for k in range(60)]
+    docs = spark.createDataFrame(rows + [(60, rows[7][1], "x"), (8, rows[8][1], "y"), (9, "other", "x"), (None, None, "x")], "doc_id long, text string, source string")
+    sides, split = [], C.split_by_keys
+    monkeypatch.setattr(C, "split_by_keys", lambda *given: sides.append(split(*given)) or sides[-1])
+    got = C.near_duplicates(spark, docs, "").collect()
+    assert sorted((str(r["doc_id"]), r["text"] or "", r["source"]) for r in got) == sorted([(str(a), b, c) for a, b, c in rows] + [("9", "other", "x"), ("None", "", "x")])
+    some, alone = sides[0]
+    assert [some.count(), alone.count()] == [4, 60]
