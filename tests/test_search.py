@@ -198,3 +198,14 @@ def test_gate_expands_groups_of_equal_words(spark):
     got = J.intent_gate(asked, p)
     assert got.count() == got.distinct().count() == 10 * 2000 + 20 * 1000
     assert "Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString().split("Generate", 2)[0]  # pairs are never made distinct
+
+
+def test_pairs_of_groups_become_few_rows_at_once(spark, monkeypatch):
+    """Spark holds what comes from one row until its last is made, so no pair of groups may stand for a million."""
+    p = alike(spark, 1800)
+    asked = M.saved(J.expand_queries(spark.range(900).selectExpr("id AS query_id", "'ring' AS text")))
+    dealt, spread = [], J.spread
+    monkeypatch.setattr(J, "spread", lambda rows: dealt.append(rows) or spread(rows))
+    gated, scored = J.intent_gate(asked, p), J.score_products(p, asked)
+    assert gated.count() == gated.distinct().count() == 900 * 900 and scored.count() == 900 * 1800
+    assert dealt[0].agg(F.max(F.size("ids") * F.size("query_ids"))).first()[0] < 200_000
