@@ -209,3 +209,4 @@ def test_pairs_of_groups_become_few_rows_at_once(spark, monkeypatch):
     gated, scored = J.intent_gate(asked, p), J.score_products(p, asked)
     assert gated.count() == gated.distinct().count() == 900 * 900 and scored.count() == 900 * 1800
     assert dealt[0].agg(F.max(F.size("ids") * F.size("query_ids"))).first()[0] < 200_000
+    assert dealt[1].agg(F.max(F.size("ids"))).first()[0] < 200
